@@ -11,10 +11,9 @@ All arcs with one label share a target, so a state is a copy of its parent less
 arc; states are stored that way (copy on write) and the whole automaton of n merges
 takes O(n) memory. ``accepts`` reads an arc from these tables.
 
-A pre-split word is encoded by table-driven transitions: exactly one token that ends
-at each byte position continues the path that reaches the token's start, and following
-these back from the end gives the word's only accepted path. Decoding emits the byte
-labels of the arcs.
+A pre-split word is encoded by table-driven transitions: the longest arcs that the text
+allows are taken first, and as the automaton is deterministic the path that reaches the end
+is the only one. Decoding emits the byte labels of the arcs.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ from ._spark import by_slice
 #: Fixed value: the split of the byte-level pre-tokenizer. ``\s`` is spelled out as Unicode White_Space.
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Distinct words that a worker remembers before it starts afresh.
-MEMORY = 400_000
+#: Distinct words, and arcs, that a worker remembers before it starts afresh.
+MEMORY = 600_000
 
 
 def default_tokenizer() -> str:
@@ -62,13 +61,15 @@ class MergeAutomaton:
             self.labels[token] = label
         for rank, (u, v, w) in enumerate(merges):
             self._gadget(rank, u, v, w)
-        self.ending: dict = {}
+        self.longest = max(map(len, self.labels))
+        self.trie: dict = {}
         for token, label in enumerate(self.labels):
             if label:
-                node = self.ending
-                for byte in reversed(label):
+                node = self.trie
+                for byte in label:
                     node = node.setdefault(byte, {})
                 node[-1] = token
+        self.arcs: dict[int, bool] = {}
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         self.labels[w] = self.labels[u] + self.labels[v]
@@ -91,26 +92,57 @@ class MergeAutomaton:
             else:
                 token = self.left[token]
 
+    def arc(self, state: int, token: int) -> bool:
+        """``accepts``, remembered."""
+        key = state << 32 | token
+        found = self.arcs.get(key)
+        if found is None:
+            if len(self.arcs) >= MEMORY:
+                self.arcs.clear()
+            found = self.arcs[key] = self.accepts(state, token)
+        return found
+
+    def matches(self, word: bytes, at: int) -> list[int]:
+        """Tokens that ``word`` goes on with at ``at``, shortest first."""
+        found, node = [], self.trie
+        for byte in word[at : at + self.longest]:
+            node = node.get(byte)
+            if node is None:
+                break
+            token = node.get(-1)
+            if token is not None:
+                found.append(token)
+        return found
+
     def encode(self, word: bytes) -> list[int]:
-        last = [-1] * (len(word) + 1)
-        state = [0] * (len(word) + 1)
-        for end in range(1, len(word) + 1):
-            node = self.ending
-            for start in range(end - 1, -1, -1):
-                node = node.get(word[start])
-                if node is None:
-                    break
-                token = node.get(-1)
-                if token is not None and self.accepts(state[start], token):
-                    last[end], state[end] = token, self.goto[token]
+        """The word's only accepted path, longest arcs first.
+
+        The automaton is deterministic and one path spells each beginning of the word, so a
+        position is reached by one state only and is given up once for all.
+        """
+        labels, goto, size = self.labels, self.goto, len(word)
+        path: list[int] = []
+        state, at = 0, 0
+        open_arcs = [self.matches(word, 0)]
+        given_up: set[int] = set()
+        while at < size:
+            arcs = open_arcs[-1]
+            while arcs:
+                token = arcs.pop()
+                to = at + len(labels[token])
+                if to not in given_up and self.arc(state, token):
+                    path.append(token)
+                    state, at = goto[token], to
+                    open_arcs.append(self.matches(word, at))
                     break
-            if last[end] < 0:
-                raise ValueError(f"no arc for byte {word[end - 1]}")
-        path, at = [], len(word)
-        while at:
-            path.append(last[at])
-            at -= len(self.labels[last[at]])
-        return path[::-1]
+            else:
+                if not path:
+                    raise ValueError("the word has bytes without arcs")
+                given_up.add(at)
+                open_arcs.pop()
+                at -= len(labels[path.pop()])
+                state = goto[path[-1]] if path else 0
+        return path
 
 
 class Words(dict):
