@@ -52,19 +52,16 @@ def start(seed: int = 3) -> Network:
 
 
 def padded(data: np.ndarray) -> np.ndarray:
-    """Bytes up to a whole number of half chunks (two at least) and one filter more, filled with 0."""
-    halves = max(2, -(-len(data) // HALF))
+    """A filter's width of 0, the bytes, and 0 up to whole half chunks (two at least) and a width more.
+
+    Laid one after another less that last width, documents don't reach into each other's filters.
+    """
+    halves = max(2, -(-(len(data) + WIDTH) // HALF))
     out = np.zeros(halves * HALF + WIDTH, np.uint8)
-    out[: len(data)] = data
+    out[WIDTH : WIDTH + len(data)] = data
     return out
 
 
-def windows(data: np.ndarray) -> np.ndarray:
-    """All filter positions of padded bytes: a view of (positions, WIDTH)."""
-    n = (len(data) - WIDTH) // STEP
-    return np.lib.stride_tricks.as_strided(data, (n, WIDTH), (STEP * data.strides[0], data.strides[0]))
-
-
 def maxima(net: Network, data: np.ndarray) -> np.ndarray:
     """The filters' maxima in each half chunk of padded bytes."""
     vectors = net.embed[data]
