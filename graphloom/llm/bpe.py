@@ -260,5 +260,23 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     return by_slice(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenised(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """``docs`` without the text but with ids, n_tokens and whether decoding gives the text back.
+
+    Null texts are empty: no ids, 0 tokens, exact.
+    """
+    path = tokenizer or default_tokenizer()
+    rest = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "exact")]
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec(path)
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        ids = [own.encode(t) for t in texts]
+        exact = [own.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(exact, pa.bool_())], names=[*rest, "ids", "n_tokens", "exact"])
+
+    return by_slice(docs.select(*rest, "text"), work, ", ".join(filter(None, [_schema(docs, rest), "ids array<int>, n_tokens long, exact boolean"])))
+
+
 def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
