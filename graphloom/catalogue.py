@@ -1,9 +1,15 @@
 """Every query over the driver's tables, by name, with its SQL."""
 
+from __future__ import annotations
+
+from .plans import graph_queries, parse_queries, text_queries
+
+_PARTS = (graph_queries, text_queries, parse_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.SQL.items()}

@@ -20,7 +20,7 @@ def latest_runs(events: DataFrame) -> DataFrame:
     end = F.max_by(F.struct("at", "outcome", "error_type", F.substring("error_message", 1, MESSAGE).alias("error_message")), F.when(F.col("event") == "finish", F.col("at")))
     done = F.count_if(F.col("event") == "finish") > 0
     rows = events.groupBy("id").agg(F.max("command").alias("command"), F.max("repository_path").alias("repository_path"), start.alias("started_at"), end.alias("e"), done.alias("done"))
-    seconds = F.unix_micros("e.at") / 1e6 - F.unix_micros("started_at") / 1e6
+    seconds = F.unix_micros(F.col("e.at").cast("timestamp")) / 1e6 - F.unix_micros(F.col("started_at").cast("timestamp")) / 1e6
     when = lambda c: F.when(F.col("done"), c)
     return rows.select("id", "command", "repository_path", "started_at", when(F.col("e.at")).alias("finished_at"), when(seconds).alias("duration_seconds"), F.coalesce(when(F.col("e.outcome")), F.lit("started")).alias("outcome"), when(F.col("e.error_type")).alias("error_type"), when(F.col("e.error_message")).alias("error_message"))
 

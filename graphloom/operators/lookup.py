@@ -170,4 +170,4 @@ def header_status(rows: DataFrame) -> DataFrame:
     pattern = F.when(kind == "class", F.concat(F.lit(lead + r"class\s+"), quoted, end)).when(kind.isin("function", "method"), F.concat(F.lit(lead + r"(?:async\s+)?def\s+"), quoted, end))
     assigned = F.concat(F.lit(lead + r"(?:[A-Za-z_]\w*\s*(?::[^=\n]+)?=\s*)*"), quoted, F.lit(r"\s*(?::(?!:)|=(?!=)).*$"))
     pattern = F.when(kind.isin("variable", "constant"), assigned).otherwise(pattern)
-    return rows.withColumn("header", F.when(pattern.isNull() | F.col("excerpt").isNull(), "unsupported").when(F.expr("true") & head.rlike(pattern), "valid").otherwise("stale"))
+    return rows.withColumn("header", F.when(pattern.isNull() | F.col("excerpt").isNull(), "unsupported").when(F.regexp_like(head, pattern), "valid").otherwise("stale"))

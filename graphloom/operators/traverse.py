@@ -183,7 +183,8 @@ def components(pairs: DataFrame) -> DataFrame:
         named = colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")).join(left, "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour"))
         member = front = checkpoint(colour.where("node = colour"))
         while True:
-            front = checkpoint(front.join(named, (front["node"] == named["dst"]) & (front["colour"] == named["colour"])).select(F.col("src").alias("node"), named["colour"]).distinct().join(member, ["node", "colour"], "left_anti"))
+            at = front.select(F.col("node").alias("dst"), "colour")
+            front = checkpoint(at.join(named, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct().join(member, ["node", "colour"], "left_anti"))
             if front.isEmpty():
                 break
             member = checkpoint(member.unionByName(front))

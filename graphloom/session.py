@@ -13,6 +13,30 @@ def session(name: str = "graphloom", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the workers once, for clusters whose Python doesn't have it.
+
+    The archive lies with the driver, which serves it to the executors.
+    """
+    import os
+    import tempfile
+    import zipfile
+
+    context = spark.sparkContext
+    if getattr(context, "_graphloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for top, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(top, name)
+                    out.write(full, os.path.join("graphloom", os.path.relpath(full, root)))
+    context.addPyFile(archive)
+    context._graphloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
