@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -10,7 +11,10 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text bytes that one vectorised step holds at most (one longer text is a step of its own).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
+#: Rows of an Arrow batch, where the session leaves Spark's own figure.
+BATCH_ROWS = 1000
+ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +33,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that nothing refers to any more; it learns of them by garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS, so that long texts and sets stay within a worker's memory."""
+    if spark.conf.get(ROWS_SETTING) == "10000":
+        spark.conf.set(ROWS_SETTING, str(BATCH_ROWS))
+
+
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about ``SLICE_BYTES`` of ``column``."""
     sizes = [0 if n is None else n for n in pa.compute.binary_length(batch.column(column)).to_pylist()]
@@ -52,4 +68,5 @@ def by_slice(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch | No
                 if out is not None and out.num_rows:
                     yield out
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)

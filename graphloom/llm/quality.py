@@ -84,7 +84,7 @@ def document_scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.n
     joined = np.concatenate([*pieces, np.zeros(WIDTH, np.uint8)])
     sizes = np.array([len(p) // HALF for p in pieces])
     ends = np.cumsum(sizes)
-    block = 4096 * HALF
+    block = 1024 * HALF
     halves = np.concatenate([maxima(net, joined[a : min(a + block, len(joined) - WIDTH) + WIDTH]) for a in range(0, len(joined) - WIDTH, block)])
     logits = chunk_logits(net, halves)
     sums = np.concatenate([[0.0], np.cumsum(np.clip(logits.astype(np.float64), -8, 8))])

@@ -4,7 +4,7 @@ import re
 
 import numpy as np
 import pytest
-from graphloom.llm import bpe, line_dedup, quality
+from graphloom.llm import bpe, quality
 
 from .test_line_dedup import norm
 from .test_near_copies import brute as near_brute
@@ -87,4 +87,3 @@ def test_tokens(stages):
 def test_run_is_the_stages(spark, stages):
     got = {r.doc_id: r.n_tokens for r in pipeline.run(spark, SF).collect()}
     assert got == stages[4][1].n_tokens.to_dict()
-    assert line_dedup.BITS == 3
