@@ -16,8 +16,10 @@ def session(name: str = "graphloom", **settings: str) -> SparkSession:
 def ship(spark: SparkSession) -> None:
     """Sends this package to the workers once, for clusters whose Python doesn't have it.
 
-    The archive lies with the driver, which serves it to the executors.
+    The archive goes to the shared folder of ``spark.checkpoint.dir``; where that is unset, as in local
+    runs, to a folder of the driver, which serves it.
     """
+    import io
     import os
     import tempfile
     import zipfile
@@ -25,14 +27,24 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if getattr(context, "_graphloom_shipped", False):
         return
-    root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
-    with zipfile.ZipFile(archive, "w") as out:
+    root, held = os.path.dirname(os.path.abspath(__file__)), io.BytesIO()
+    with zipfile.ZipFile(held, "w") as out:
         for top, _, names in os.walk(root):
             for name in names:
                 if name.endswith(".py"):
                     full = os.path.join(top, name)
                     out.write(full, os.path.join("graphloom", os.path.relpath(full, root)))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        archive = f"{shared.rstrip('/')}/{context.applicationId}/graphloom.zip"
+        at = spark._jvm.org.apache.hadoop.fs.Path(archive)
+        stream = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+        stream.write(held.getvalue())
+        stream.close()
+    else:
+        archive = os.path.join(tempfile.mkdtemp(prefix="graphloom-"), "graphloom.zip")
+        with open(archive, "wb") as file:
+            file.write(held.getvalue())
     context.addPyFile(archive)
     context._graphloom_shipped = True
 
