@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONTAINMENT_TYPES, CONTEXT_UNITS, Graph
+from .order import positions
 
 DEPENDENCY_TYPES = ("imports", "references", "inherits", "calls")
 #: Precedence of candidate sources, weights of the priority formula.
@@ -38,7 +39,7 @@ def search(graph: Graph, query: str) -> DataFrame:
 
 def ranked(found: DataFrame) -> DataFrame:
     """Position by (-score, type, lower name, path, id). A report: one ordered list of all matches."""
-    return found.withColumn("position", F.row_number().over(Window.orderBy(F.desc("score"), "entity_type", F.lower("name"), "path", "entity_id")))
+    return positions(found, F.desc("score"), "entity_type", F.lower("name"), "path", "entity_id")
 
 
 def deduplicate(candidates: DataFrame) -> DataFrame:
@@ -73,10 +74,10 @@ def rank(candidates: DataFrame, signals: list[str], most: int | None = None) ->
     for s in signals:
         total = total + F.coalesce(F.col(s), F.lit(0.0))
     rows = candidates.withColumn("final_score", F.least(F.lit(1.0), total))
-    order = Window.orderBy(F.desc("final_score"), "entity_type", "entity_id")
-    if most is not None:
-        rows = rows.orderBy(F.desc("final_score"), "entity_type", "entity_id").limit(most)
-    return rows.withColumn("position", F.row_number().over(order))
+    order = (F.desc("final_score"), "entity_type", "entity_id")
+    if most is None:
+        return positions(rows, *order)
+    return rows.orderBy(*order).limit(most).withColumn("position", F.row_number().over(Window.orderBy(*order)))
 
 
 def depth_decision(candidates: DataFrame, mode: str | None = None) -> DataFrame:
@@ -108,4 +109,4 @@ def priorities(units: DataFrame) -> DataFrame:
     weight = F.coalesce(*[F.when(F.col("entity_type") == t, w) for t, w in TYPE_WEIGHT.items()], F.lit(0.0))
     value = 0.70 * F.col("relevance") + 0.20 * weight + 0.10 * F.least(F.lit(0.15), 0.05 * F.col("evidence"))
     rows = units.withColumn("priority", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), 6))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc("priority"), "entity_type", "entity_id")))
+    return positions(rows, F.desc("priority"), "entity_type", "entity_id")

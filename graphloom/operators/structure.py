@@ -181,7 +181,15 @@ def evaluate_rules(graph: Graph, rules: list[dict]) -> DataFrame:
 
 
 def limited(items: DataFrame, order: list, limit: int, by: list[str] | None = None) -> DataFrame:
-    """``items`` with position and total, cut at ``limit`` for each ``by``; totals are from before the cut."""
-    part = Window.partitionBy(*(by or []))
-    rows = items.withColumn("position", F.row_number().over(part.orderBy(*order))).withColumn("total", F.count("*").over(part))
-    return rows.where(F.col("position") <= limit).withColumn("truncated", F.col("total") > limit)
+    """``items`` with position and total, cut at ``limit`` for each ``by``; totals are from before the cut.
+
+    The cut comes before any shuffle by ``by`` (a limit, or a window that keeps the first rows only), the
+    totals are an aggregate of their own: no list is gathered whole.
+    """
+    if not by:
+        top = items.orderBy(*order).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*order)))
+        rows = top.crossJoin(F.broadcast(items.agg(F.count("*").alias("total"))))
+    else:
+        top = items.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("position") <= limit)
+        rows = top.join(items.groupBy(*by).agg(F.count("*").alias("total")), by)
+    return rows.withColumn("truncated", F.col("total") > limit)
