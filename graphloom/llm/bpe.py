@@ -21,8 +21,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-from array import array
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,7 +33,7 @@ from ._spark import by_slice
 SPACE = r"\t-\r \x85\xa0  -     　"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Distinct words, and arcs, that a worker remembers before it starts afresh.
-MEMORY = 600_000
+MEMORY = 500_000
 
 
 def default_tokenizer() -> str:
@@ -146,16 +146,17 @@ class MergeAutomaton:
 
 
 class Words(dict):
-    """Token ids by pre-split word, filled through the automaton."""
+    """Token ids, four bytes each, little end first, by pre-split word; filled through the automaton."""
 
-    def __init__(self, automaton: MergeAutomaton):
+    def __init__(self, automaton: MergeAutomaton, special: dict[str, int]):
         super().__init__()
-        self.automaton = automaton
+        self.automaton, self.special = automaton, special
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= MEMORY:
             self.clear()
-        found = self[word] = self.automaton.encode(word.encode())
+        ids = [self.special[word]] if word in self.special else self.automaton.encode(word.encode())
+        found = self[word] = np.array(ids, "<u4").tobytes()
         return found
 
 
@@ -171,7 +172,7 @@ class Codec:
         self.labels = {i: x for i, x in enumerate(self.automaton.labels)} | {i: s.encode() for s, i in self.special.items()}
         self.split = regex.compile(SPLIT)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.words = Words(self.automaton)
+        self.words = Words(self.automaton, self.special)
 
     def pieces(self, text: str) -> list[str]:
         """The pre-split words; special tokens stand alone."""
@@ -182,18 +183,16 @@ class Codec:
             out += [part] if i % 2 else self.split.findall(part)
         return out
 
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.words.__getitem__, self.pieces(text)))
+
     def encode(self, text: str) -> list[int]:
-        words, out = self.words, []
-        if self.cut is not None and self.cut.search(text):
-            for i, part in enumerate(self.cut.split(text)):
-                out += [self.special[part]] if i % 2 else self.encode(part)
-            return out
-        for word in self.split.findall(text):
-            out += words[word]
-        return out
+        return np.frombuffer(self.encode_bytes(text), "<u4").tolist()
 
-    def count(self, word: str) -> int:
-        return 1 if word in self.special else len(self.words[word])
+    def count(self, words: list[str]) -> int:
+        """Tokens of these pre-split words together."""
+        return sum(map(len, map(self.words.__getitem__, words))) // 4
 
     def decode(self, ids) -> bytes:
         """The arcs' labels; bytes that are no UTF-8 become U+FFFD."""
@@ -218,7 +217,7 @@ def encode_documents(docs: DataFrame, tokenizer: str | None = None, text: str =
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
-        found = pa.array([own.encode(t or "") for t in batch.column(text).to_pylist()], pa.list_(pa.int32()))
+        found = _lists([own.encode_bytes(t or "") for t in batch.column(text).to_pylist()])
         return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), found], names=[*rest, ids])
 
     return by_slice(docs.select(rest), work, _schema(docs, rest) + f", `{ids}` array<int>", text)
@@ -250,11 +249,10 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         own, sha = codec(path), hashlib.sha256
         count, first, second = [], [], []
         for text in batch.column("text").to_pylist():
-            ids = own.encode(text or "")
-            coded = array("I", ids)
-            count.append(len(ids))
-            first.append(sha(coded.tobytes()).hexdigest())
-            second.append(sha(own.decode(ids)).hexdigest())
+            ids = own.encode_bytes(text or "")
+            count.append(len(ids) // 4)
+            first.append(sha(ids).hexdigest())
+            second.append(sha(own.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return by_slice(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -271,12 +269,18 @@ def tokenised(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        ids = [own.encode(t) for t in texts]
-        exact = [own.decode(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
-        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(ids, pa.list_(pa.int32())), pa.array([len(x) for x in ids], pa.int64()), pa.array(exact, pa.bool_())], names=[*rest, "ids", "n_tokens", "exact"])
+        ids = [own.encode_bytes(t) for t in texts]
+        exact = [own.decode(np.frombuffer(x, "<u4").tolist()) == t.encode() for x, t in zip(ids, texts, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), _lists(ids), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(exact, pa.bool_())], names=[*rest, "ids", "n_tokens", "exact"])
 
     return by_slice(docs.select(*rest, "text"), work, ", ".join(filter(None, [_schema(docs, rest), "ids array<int>, n_tokens long, exact boolean"])))
 
 
+def _lists(ids: list[bytes]) -> pa.Array:
+    """Encoded rows as a list array."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+
+
 def _schema(df: DataFrame, columns: list[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)

@@ -49,7 +49,7 @@ def _leaves(own: Codec, words: list[str]) -> tuple[list[int], list[int]]:
     for at in range(0, len(words), LEAF):
         part = words[at : at + LEAF]
         lengths.append(sum(map(len, part)))
-        counts.append(sum(map(own.count, part)))
+        counts.append(own.count(part))
     return lengths, counts
 
 
