@@ -19,8 +19,8 @@ LEAST_QUALITY = 0.3
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects; it learns from the labelled rows of ``documents``."""
     net = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, net, "_quality")
-    return scored.where(F.col("text").isNull() | (F.col("_quality") >= LEAST_QUALITY)).select(docs.columns)
+    scored = quality.score(docs, net, "__quality")
+    return scored.where(F.col("text").isNull() | (F.col("__quality") >= LEAST_QUALITY)).select(docs.columns)
 
 
 def once_only_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
