@@ -9,13 +9,20 @@ document. A document leaks an item if its windows on consistent diagonals cover
 
 Only windows that some item has leave a document's task. The items' hashes go to all tasks
 while they number at most ``HASHES`` (8 bytes each); beyond that every window is shuffled and
-joined. Null and empty texts and items, and items of fewer than ``LEAST`` words, match nothing.
+joined. Null and empty texts and items match nothing.
+
+A second pass looks for verbatim copies: all words are literals in lower case, so neither capitals
+nor slots matter, and items of any length, of ``LEAST`` words or fewer too, have windows. Letters of
+scripts without blanks (``UNSPACED``) count as words there. Names are slots by their capitals, so
+templates of items of fewer than ``LEAST`` words, and copies with other values whose case differs
+as well, are not looked for.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +45,8 @@ UNIT_WORDS = (
 #: Words that are no names where a sentence begins with them.
 PLAIN_WORDS = "a an and are as at be both but by can did do does each every find for from given had has have he her his how i if in is it its let many much my no not of on one or our she so some suppose that the their then there these they this those to was we were what when where which while who whose why will with you your".split()
 NUMBER, NAME, UNIT = (hash_word(f"\x00{kind}") for kind in ("number", "name", "unit"))
+#: Scripts that part no words by blanks.
+UNSPACED = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
 SCHEMA = "place int, hash long, slots array<long>, size int"
 
 
@@ -76,9 +85,15 @@ def template(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return raw.row[keep], hashed, value, (number | name | unit)[keep]
 
 
-def windows(column: pa.Array, sizes: list[int], wanted: np.ndarray | None) -> tuple[np.ndarray, list, list, list, list]:
+def literals(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``template``, but all words are literals, whatever their case."""
+    raw = words(pc.replace_substring_regex(pc.utf8_lower(column), UNSPACED, r" \1 "), NOT_ALNUM, lower=True)
+    return raw.row, raw.hash, raw.hash, np.zeros(len(raw.hash), bool)
+
+
+def windows(column: pa.Array, sizes: list[int], wanted: np.ndarray | None, form=template) -> tuple[np.ndarray, list, list, list, list]:
     """(row, place, hash, slots, size) of all windows, or of those with a hash in ``wanted``."""
-    row, hashed, value, slot = template(column)
+    row, hashed, value, slot = form(column)
     literal = np.concatenate([[0], np.cumsum(~slot)])
     first = np.searchsorted(row, np.arange(len(column)))
     out = [np.zeros(0, np.int64)], [], [], [], []
@@ -99,29 +114,29 @@ def windows(column: pa.Array, sizes: list[int], wanted: np.ndarray | None) -> tu
     return np.concatenate(out[0]), *out[1:]
 
 
-def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted: np.ndarray | None) -> DataFrame:
+def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted: np.ndarray | None, form) -> DataFrame:
     kind = pa.list_(pa.int64())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        row, place, hashed, slots, size = windows(batch.column("text"), sizes, wanted)
+        row, place, hashed, slots, size = windows(batch.column("text"), sizes, wanted, form)
         return pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(row)), pa.array(place, pa.int32()), pa.array(hashed, pa.int64()), pa.array(slots, kind), pa.array(size, pa.int32())], names=[key, "place", "hash", "slots", "size"])
 
     return by_slice(df.select(key, "text"), work, f"{key} {df.schema[key].dataType.simpleString()}, {SCHEMA}")
 
 
-def _item_windows(items: DataFrame) -> DataFrame:
+def _item_windows(items: DataFrame, form, least: int) -> DataFrame:
     """All windows of all items: of WINDOW words, or of the whole item where it is shorter."""
     kind = pa.list_(pa.int64())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("text")
-        row = template(column)[0]
+        row = form(column)[0]
         n = np.bincount(row, minlength=len(column)) if len(column) else np.zeros(0, int)
         held = [[], [], [], [], []]
         for i in range(len(column)):
-            if n[i] >= LEAST:
+            if n[i] >= least:
                 size = int(min(WINDOW, n[i]))
-                _, place, hashed, slots, sizes = windows(column.slice(i, 1), [size], None)
+                _, place, hashed, slots, sizes = windows(column.slice(i, 1), [size], None, form)
                 for to, more in zip(held, ([i] * len(place), place, hashed, slots, sizes), strict=True):
                     to += more
         return pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(held[0], pa.int64())), pa.array(held[1], pa.int32()), pa.array(held[2], pa.int64()), pa.array(held[3], kind), pa.array(held[4], pa.int32())], names=["item_id", "place", "hash", "slots", "size"])
@@ -133,9 +148,17 @@ def leaks(docs: DataFrame, items: DataFrame, most_hashes: int = HASHES) -> DataF
     """Leaked pairs: doc_id, item_id, n_windows, n_item_windows, coverage, same_values.
 
     ``same_values``: every slot holds the item's own value. An item_id with several texts counts
-    as one item. Repeated documents with one doc_id count as one document.
+    as one item. Repeated documents with one doc_id count as one document. A pair that leaks both
+    verbatim and as a template has the figures of the form that covers more.
     """
-    item = _item_windows(items).cache()
+    both = _leaks(docs, items, most_hashes, template, LEAST).unionByName(_leaks(docs, items, most_hashes, literals, LEAST))
+    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_windows", "n_item_windows")).alias("best"), F.bool_or("same_values").alias("same_values"))
+    return best.select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.coverage", "same_values")
+
+
+def _leaks(docs: DataFrame, items: DataFrame, most_hashes: int, form, least: int) -> DataFrame:
+    """The leaked pairs by the windows of one form."""
+    item = _item_windows(items, form, least).cache()
     totals = item.groupBy("item_id").agg(F.countDistinct("size", "place").alias("n_item_windows"))
     n = item.count()
     sizes = sorted(r[0] for r in item.select("size").distinct().collect())
@@ -143,7 +166,7 @@ def leaks(docs: DataFrame, items: DataFrame, most_hashes: int = HASHES) -> DataF
     wanted = None
     if small:
         wanted = np.unique(np.array([r[0] for r in item.select("hash").distinct().collect()], np.int64).astype(np.uint64))
-    own = _window_rows(docs.where("text is not null"), "doc_id", sizes or [WINDOW], wanted)
+    own = _window_rows(docs.where("text is not null"), "doc_id", sizes or [WINDOW], wanted, form)
     right = item.select("item_id", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "size")
     met = own.join(F.broadcast(right) if small else right, ["hash", "size"])
     pairs = F.arrays_zip("item_slots", "slots")

@@ -38,3 +38,11 @@ def test_short_items_match_whole(spark):
     items = spark.createDataFrame([(1, "The quick brown fox jumps")], "item_id long, text string")
     got = decontaminate.leaks(docs, items).collect()
     assert [r.doc_id for r in got] == [1]
+
+
+def test_verbatim_in_any_case(spark):
+    """A copy in lower case or capitals is the item, though its names are no slots there."""
+    item = "Tom Baker met Anna Weiss, Paul Stone, Maria Lopez and Émile Ünal in Paris. Tom gave Anna 12 red apples. Paul gave Émile 7."
+    docs = spark.createDataFrame([(1, f"so {item.lower()} end"), (2, item.upper()), (3, "nothing of it is in here at all")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    assert {(r.doc_id, r.same_values) for r in decontaminate.leaks(docs, items).collect()} == {(1, True), (2, True)}
