@@ -151,7 +151,7 @@ def leaks(docs: DataFrame, items: DataFrame, most_hashes: int = HASHES) -> DataF
     as one item. Repeated documents with one doc_id count as one document. A pair that leaks both
     verbatim and as a template has the figures of the form that covers more.
     """
-    both = _leaks(docs, items, most_hashes, template, LEAST).unionByName(_leaks(docs, items, most_hashes, literals, LEAST))
+    both = _leaks(docs, items, most_hashes, template, LEAST).unionByName(_leaks(docs, items, most_hashes, literals, 1))
     best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_windows", "n_item_windows")).alias("best"), F.bool_or("same_values").alias("same_values"))
     return best.select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.coverage", "same_values")
 

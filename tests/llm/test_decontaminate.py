@@ -46,3 +46,12 @@ def test_verbatim_in_any_case(spark):
     docs = spark.createDataFrame([(1, f"so {item.lower()} end"), (2, item.upper()), (3, "nothing of it is in here at all")], "doc_id long, text string")
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     assert {(r.doc_id, r.same_values) for r in decontaminate.leaks(docs, items).collect()} == {(1, True), (2, True)}
+
+
+def test_short_and_slotted_items(spark):
+    """Whole items are found verbatim however short or full of slots, and without blanks between words."""
+    texts = {1: "Where was Albert Einstein born", 2: "What is 12 + 30 + 7", 3: "Boil two eggs", 4: "法国的首都是哪里"}
+    rows = [(i, f"Before it: {t}. After it.") for i, t in texts.items()] + [(4 + 1, "他问法国的首都是哪里然后走了"), (6, "What is 12 + 31 + 7"), (7, "Where was Albert"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()}
+    assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
