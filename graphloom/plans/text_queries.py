@@ -236,7 +236,17 @@ def unresolved_imports(spark, d):
 @query("link_imports", """, own AS (SELECT source, doc_id, 'pkg' || doc_id % 20 || '.m' || doc_id % 50 AS module FROM documents WHERE doc_id < 200), idx AS (SELECT module, max(doc_id) AS target FROM own GROUP BY 1)
 SELECT doc_id, target FROM (SELECT doc_id, 'pkg' || (doc_id * 3) % 25 AS m, 'm' || (doc_id * 7) % 60 AS n FROM own) JOIN idx ON module = m || '.' || n""", "WITH RECURSIVE x AS (SELECT 1)")
 def link_imports(spark, d):
-    docs = table(spark, d, "documents").where("doc_id < 200").select("doc_id")
+    return _imports_of(table(spark, d, "documents").where("doc_id < 200"))
+
+
+@query("link_imports_all", """, own AS (SELECT doc_id, 'pkg' || doc_id % 20 || '.m' || doc_id % 50 AS module FROM documents), idx AS (SELECT module, max(doc_id) AS target FROM own GROUP BY 1)
+SELECT doc_id, target FROM (SELECT doc_id, 'pkg' || (doc_id * 3) % 25 AS m, 'm' || (doc_id * 7) % 60 AS n FROM own) JOIN idx ON module = m || '.' || n""", "WITH RECURSIVE x AS (SELECT 1)")
+def link_imports_all(spark, d):
+    return _imports_of(table(spark, d, "documents"))
+
+
+def _imports_of(docs):
+    docs = docs.select("doc_id")
     s = lambda e: F.expr(e).cast("string")
     module = F.concat(F.lit("src/pkg"), s("doc_id % 20"), F.lit("/m"), s("doc_id % 50"), F.lit(".py"))
     # One module name may have several files: the last by path counts, so the path ends in a sortable number.
