@@ -362,6 +362,14 @@ def unused_files(spark, d):
     return usage.unused_files(g).withColumn("path", F.regexp_replace("path", r"\.py$", ""))
 
 
+@query("unused_files_all", """ SELECT id, path, 'unused_candidate' AS classification FROM files WHERE id NOT IN (SELECT target_id FROM edges WHERE relationship_type = 'imports' AND source_id <> target_id)
+AND id NOT IN (SELECT s.file_id FROM edges e JOIN symbols s ON s.id = e.target_id WHERE relationship_type = 'references' AND e.source_id <> s.file_id)""")
+def unused_files_all(spark, d):
+    g = commerce(spark, d)
+    g.files = g.files.withColumn("path", F.concat("path", F.lit(".py")))
+    return usage.unused_files(g).withColumn("path", F.regexp_replace("path", r"\.py$", ""))
+
+
 TESTS = """, tests AS (SELECT id, path FROM files WHERE s_suppkey % 10 = 5), targets AS (SELECT id FROM files WHERE s_suppkey % 10 <> 5), held AS (SELECT id AS end_id, path FROM tests UNION ALL SELECT s.id, t.path FROM symbols s JOIN tests t ON t.id = s.file_id),
 met AS (SELECT path AS test_path, target_id, relationship_type, 'outgoing_from_test' AS direction FROM edges JOIN held ON source_id = end_id WHERE target_id IN (SELECT id FROM targets) UNION ALL SELECT path, source_id, relationship_type, 'incoming_to_test' FROM edges JOIN held ON target_id = end_id WHERE source_id IN (SELECT id FROM targets)),
 direct AS (SELECT test_path, target_id, string_agg(DISTINCT relationship_type, ', ' ORDER BY relationship_type) AS types, string_agg(DISTINCT direction, ', ' ORDER BY direction) AS directions FROM met GROUP BY 1, 2)

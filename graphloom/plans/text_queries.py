@@ -329,7 +329,17 @@ def map_changed_paths(spark, d):
 c AS (SELECT user_id, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, bool_or(incomplete) AS incomplete FROM d GROUP BY 1)
 SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN blockers > 0 THEN 'blocked' WHEN incomplete THEN 'incomplete' WHEN warnings > 0 THEN 'partial' ELSE 'success' END AS status FROM c""")
 def outcome_rollup(spark, d):
-    e = table(spark, d, "events").where("event_id % 20 = 0")
+    return _outcomes_of(table(spark, d, "events").where("event_id % 20 = 0"))
+
+
+@query("outcome_rollup_all", """WITH RECURSIVE d AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'blocker' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, value < 2 AS incomplete FROM events),
+c AS (SELECT user_id, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, bool_or(incomplete) AS incomplete FROM d GROUP BY 1)
+SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN blockers > 0 THEN 'blocked' WHEN incomplete THEN 'incomplete' WHEN warnings > 0 THEN 'partial' ELSE 'success' END AS status FROM c""")
+def outcome_rollup_all(spark, d):
+    return _outcomes_of(table(spark, d, "events"))
+
+
+def _outcomes_of(e):
     severity = F.when(F.col("event_type") == "error", "error").when(F.col("event_type") == "purchase", "blocker").when(F.col("event_type") == "signup", "warning").otherwise("info")
     return history.outcomes(e.select("user_id", severity.alias("severity"), (F.col("value") < 2).alias("incomplete")), ["user_id"])
 
