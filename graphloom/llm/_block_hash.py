@@ -1,0 +1,101 @@
+"""SimHash in blocks, for whole columns of normalised lines.
+
+Each different feature of a line falls into one of the line's blocks, by its hash, and votes on
+the bits of that block alone. A changed feature so flips bits of two blocks at most, the one it
+left and the one it came to.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+
+from . import _words
+
+U = np.uint64
+#: Blocks of a line of n different words: about SHARE * n ** GROWTH, n / MOST at least and LEAST at least; then the same for letter pairs.
+WORD_BLOCKS = {"share": 0.9, "growth": 0.65, "least": 4, "most": 32}
+PAIR_BLOCKS = {"share": 0.45, "growth": 0.75, "least": 5, "most": 32}
+#: Lines of fewer words have blocks of letter pairs too.
+SHORT = 20
+#: A block with fewer words and fewer bytes in them is no key; nor is one of fewer letter pairs (half as many in lines of under FEW bytes).
+LEAST_WORDS, LEAST_BYTES, LEAST_PAIRS, FEW = 3, 12, 4, 24
+#: Votes are counted in lanes of LANE bits, for each of SUMS sums.
+LANE, SUMS = 6, 6
+ONES = sum(1 << at for at in range(0, 60, LANE))
+
+
+def steps(n: np.ndarray, share: float, growth: float, least: int, most: int) -> np.ndarray:
+    """The number of blocks of lines of ``n`` features: a ladder that grows by the square root of two."""
+    ideal = np.maximum(share * np.maximum(n, 1.0) ** growth, n / most) / least
+    return np.round(least * 2 ** np.maximum(0, np.floor(2 * np.log2(np.maximum(ideal, 1e-9))) / 2)).astype(np.int64)
+
+
+def majority(hashed: np.ndarray, start: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The SUMS words of majority bits of each run of ``hashed`` that begins at ``start`` and holds ``m`` hashes."""
+    out = np.empty((SUMS, len(start)), np.uint64)
+    half = (1 << LANE - 1) - 1
+    for k in range(SUMS):
+        votes = np.add.reduceat((hashed >> U(k)) & U(ONES), start)
+        # Votes, and half a lane less half of the hashes, reach the lane's top bit just where the votes are over half.
+        over = (votes + (half - np.minimum(m, 2 * half) // 2).astype(np.uint64) * U(ONES)) & U(ONES << LANE - 1)
+        out[k] = np.where(m <= 2 * half, over, votes)
+    return out
+
+
+def _distinct(row: np.ndarray, hashed: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((hashed, row))
+    row, hashed, size = row[order], hashed[order], size[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashed[1:] != hashed[:-1])
+    return row[new], hashed[new], size[new]
+
+
+def block_keys(row: np.ndarray, hashed: np.ndarray, size: np.ndarray, n_rows: int, how: dict, kind: int, keep) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the blocks that ``keep`` admits by their number of features, sizes in all and row.
+
+    A line has the blocks of its own step and of the step of a line a tenth shorter.
+    """
+    row, hashed, size = _distinct(row, hashed, size)
+    n = np.bincount(row, minlength=n_rows)
+    own, shorter = steps(n, **how), steps(np.floor(0.9 * n), **how)
+    rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for level, some in ((own, None), (shorter, own != shorter)):
+        r, h, s = (row, hashed, size) if some is None else (x[some[row]] for x in (row, hashed, size))
+        if not len(r):
+            continue
+        first = np.cumsum(level) - level
+        block = ((h >> U(24)) % level[r].astype(np.uint64)).astype(np.int64)
+        order = np.argsort(first[r] + block, kind="stable")
+        r, h, s, block = r[order], h[order], s[order], block[order]
+        start = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (block[1:] != block[:-1])]))
+        m = np.diff(start, append=len(r))
+        total, at = np.add.reduceat(s, start), r[start]
+        key = _words.mix((level[at] << 24 | block[start] << 4 | kind).astype(np.uint64))
+        with np.errstate(over="ignore"):
+            for bits in majority(h, start, m):
+                key = _words.mix(key ^ bits)
+        good = keep(m, total, at)
+        rows.append(at[good])
+        keys.append(key[good])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def line_keys(column: pa.Array) -> pa.Array:
+    """The keys of each normalised line (words parted by blanks), as lists of 64-bit integers."""
+    n_rows = len(column)
+    found = _words.words(column, lower=False)
+    row = found.row.astype(np.int64)
+    at, key = block_keys(row, found.hash, found.end - found.start, n_rows, WORD_BLOCKS, 0, lambda m, total, r: (m >= LEAST_WORDS) | (total >= LEAST_BYTES))
+    short = np.bincount(row, minlength=n_rows) < SHORT
+    if short.any():
+        data, offsets = found.data.astype(np.uint64), found.offsets
+        owner = np.repeat(np.arange(n_rows), np.diff(offsets))
+        pair = np.flatnonzero(short[owner[:-1]] & (owner[:-1] == owner[1:])) if len(owner) > 1 else np.zeros(0, np.int64)
+        bytes_of = np.diff(offsets)
+        hashed = _words.mix(data[pair] << U(8) | data[pair + 1])
+        a, k = block_keys(owner[pair], hashed, np.ones(len(pair), np.int64), n_rows, PAIR_BLOCKS, 1, lambda m, total, r: m >= np.where(bytes_of[r] < FEW, LEAST_PAIRS // 2, LEAST_PAIRS))
+        at, key = np.concatenate([at, a]), np.concatenate([key, k])
+    order = np.argsort(at, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=n_rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[order].view(np.int64)))
