@@ -1,11 +1,13 @@
 """Operator 4: approximate nearest neighbours by cross-polytope hashing.
 
-Each table rotates unit vectors by three rounds of random signs and a fast Hadamard
-transform and assigns them to the nearest signed axis. A query probes, in each table, the
-cells whose axes lie nearest to it. Cells are laid out in groups, large groups in blocks, and
-a query meets a block once per table; the candidates, which are the vectors in cells that it
-probes there, are ranked by their exact inner product. Nothing but the best of a block leaves
-it.
+Each table rotates unit vectors twice by three rounds of random signs and a fast Hadamard
+transform; the nearest signed axis of the first rotation and that of the second (among its first
+``SECOND`` axes) are a vector's cell. The largest inner product asks for length as well as direction, so
+cells are parted by classes of length, half an octave each. A query ranks cells by the longest length in
+them times its own coordinates on their axes, and probes, in each table, the best ones until they should
+hold a share of all vectors that falls with their number (``share``). Cells are laid out in groups
+whose number grows with the vectors, large groups in blocks; a query goes to the groups that hold a
+cell that it probes, and only vectors of those cells are multiplied, exactly. Nothing but the best of a block leaves it.
 
 Equal vectors form one class. As ties go to smaller ids, a class's ``k + 1`` smallest ids are
 all that can appear in any result, so no class, however common, costs more than that.
@@ -23,10 +25,12 @@ from pyspark.sql import functions as F
 
 from ._spark import checkpoint
 
-#: Tables; share of a table's cells that a query probes (a quarter of 2 * width).
-TABLES, PROBED = 4, 0.25
-#: Groups into which a table's cells fall; vectors in a block and queries that meet it at once, on average, at most.
-GROUPS, BLOCK = 8, 8192
+#: Tables; axes of the second rotation; classes of length.
+TABLES, SECOND, LENGTHS = 8, 64, 6
+#: Share of the vectors in the cells that a query probes in one table: SHARE for 10,000 vectors, falling with that power of their number.
+SHARE, FALL = 0.032, 0.4
+#: Vectors in a group, on average; groups of a table at least; vectors in a block and queries that meet it at once, on average, at most.
+GROUP, GROUPS, BLOCK = 4096, 8, 8192
 
 
 def width(dimension: int) -> int:
@@ -51,21 +55,48 @@ def rotate(vectors: np.ndarray, table: int) -> np.ndarray:
     return x
 
 
+def axes(dimension: int) -> tuple[int, int]:
+    """The numbers of signed axes of both rotations."""
+    return 2 * width(dimension), 2 * min(width(dimension), SECOND)
+
+
+def _signed(vectors: np.ndarray, table: int, n: int) -> np.ndarray:
+    """Coordinates on the first ``n`` signed axes: axis, its opposite, the next axis and so on."""
+    x = rotate(vectors, table)[:, : n // 2]
+    return np.stack([x, -x], axis=2).reshape(len(x), n)
+
+
 def cells(vectors: np.ndarray, table: int) -> np.ndarray:
-    """The nearest signed axis of each row: twice the axis, and 1 more where its sign is minus."""
-    x = rotate(vectors, table)
-    axis = np.abs(x).argmax(1)
-    return 2 * axis + (x[np.arange(len(x)), axis] < 0)
-
-
-def probes(vectors: np.ndarray, table: int, share: float) -> np.ndarray:
-    """Whether each row probes each cell: the nearest signed axes first."""
-    x = rotate(vectors, table)
-    near = np.empty((len(x), 2 * x.shape[1]))
-    near[:, 0::2], near[:, 1::2] = x, -x
-    n = min(near.shape[1], max(1, round(share * near.shape[1])))
-    out = np.zeros(near.shape, bool)
-    np.put_along_axis(out, np.argsort(-near, axis=1, kind="stable")[:, :n], True, 1)
+    """The cell of each row: the nearest signed axes of both rotations."""
+    first, second = axes(vectors.shape[1])
+    return _signed(vectors, 2 * table, first).argmax(1) * second + _signed(vectors, 2 * table + 1, second).argmax(1)
+
+
+def share(n: int) -> float:
+    return min(1.0, SHARE * (max(n, 1) / 10_000) ** -FALL)
+
+
+def probes(vectors: np.ndarray, table: int, held: np.ndarray, part: float) -> list[np.ndarray]:
+    """The cells that each row probes, class of length times cells plus cell, sorted.
+
+    ``held``: vectors of each class of length. The best cells come first until their expected vectors
+    are ``part`` of all.
+    """
+    first, second = axes(vectors.shape[1])
+    n = first * second
+    classes = np.flatnonzero(held)
+    near = [_signed(vectors, 2 * table, first), _signed(vectors, 2 * table + 1, second)]
+    out = []
+    for x, y in zip(*near, strict=True):
+        flat = (x[:, None] + y[None, :]).ravel()
+        if len(classes) == 1:
+            best = np.argpartition(-flat, min(n - 1, int(np.ceil(part * n)) - 1))[: max(1, int(np.ceil(part * n)))]
+            out.append(np.sort(best + classes[0] * n))
+            continue
+        ranked = np.argsort(-(flat[None, :] * 2.0 ** (-classes[:, None] / 2)).ravel(), kind="stable")
+        filled = np.cumsum((held[classes] / n)[ranked // n])
+        best = ranked[: 1 + np.searchsorted(filled, part * held.sum() * (1 - 1e-12))]
+        out.append(np.sort(best % n + classes[best // n] * n))
     return out
 
 
@@ -105,79 +136,85 @@ def _index(classes: DataFrame) -> DataFrame:
     """A row for each class and table: d, t, g, cell, ids, v."""
 
     def work(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        n, size = len(x), 2 * width(x.shape[1])
-        cell = np.concatenate([cells(unit(x), t) for t in range(TABLES)])
+        n, size = len(x), int(np.prod(axes(x.shape[1])))
+        own, groups, length = unit(x), batch.column("groups").to_numpy(), batch.column("length").to_numpy()
+        cell = np.concatenate([cells(own, t) for t in range(TABLES)])
         every = np.tile(np.arange(n), TABLES)
         out = batch.take(pa.array(every))
-        return pa.RecordBatch.from_arrays([out.column("d"), pa.array(np.repeat(np.arange(TABLES), n), pa.int32()), pa.array(cell * GROUPS // size, pa.int32()), pa.array(cell, pa.int32()), out.column("ids"), out.column("v")], names=["d", "t", "g", "cell", "ids", "v"])
+        return pa.RecordBatch.from_arrays(
+            [out.column("d"), pa.array(np.repeat(np.arange(TABLES), n), pa.int32()), pa.array(cell * groups[every] // size, pa.int32()), pa.array(cell + length[every] * size, pa.int32()), out.column("ids"), out.column("v")],
+            names=["d", "t", "g", "cell", "ids", "v"],
+        )
 
     return _by_dimension(classes, work, "d int, t int, g int, cell int, ids array<long>, v array<double>")
 
 
-def _probing(queries: DataFrame, share: float) -> DataFrame:
+def _probing(queries: DataFrame, part: float | None) -> DataFrame:
     """A row for each query, table and group with a probed cell: d, t, g, cells, query_id, v."""
 
     def work(batch: pa.RecordBatch, x: np.ndarray) -> pa.RecordBatch:
-        size = 2 * width(x.shape[1])
-        group = np.arange(size) * GROUPS // size
+        size, own = int(np.prod(axes(x.shape[1]))), unit(x)
+        held, groups = np.array(batch.column("held")[0].as_py()), batch.column("groups")[0].as_py()
         rows, table, to, found = [], [], [], []
         for t in range(TABLES):
-            probed = probes(unit(x), t, share)
-            for g in np.unique(group):
-                own = np.flatnonzero(group == g)
-                for i in np.flatnonzero(probed[:, own].any(1)):
+            for i, probed in enumerate(probes(own, t, held, part or share(int(held.sum())))):
+                group = probed % size * groups // size
+                order = np.argsort(group, kind="stable")
+                for one in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
                     rows.append(i)
                     table.append(t)
-                    to.append(g)
-                    found.append(own[probed[i, own]])
+                    to.append(group[one[0]])
+                    found.append(probed[one])
         out = batch.take(pa.array(rows, pa.int64()))
         return pa.RecordBatch.from_arrays([out.column("d"), pa.array(table, pa.int32()), pa.array(to, pa.int32()), pa.array(found, pa.list_(pa.int32())), out.column("vec_id"), out.column("v")], names=["d", "t", "g", "cells", "query_id", "v"])
 
     return _by_dimension(queries, work, "d int, t int, g int, cells array<int>, query_id long, v array<double>")
 
 
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All whole numbers from each ``low`` to below its ``high``."""
+    n = high - low
+    return np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 def _best(k: int):
-    """Ranks a block: (query_id, vec_id, score), the k best for each query."""
+    """Ranks a block: (query_id, vec_id, score), the k best for each query among the vectors of the cells that it probes."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        left, right = left.combine_chunks(), right.combine_chunks()
-        base, cell = _stack(left.column("v").chunk(0)), left.column("cell").to_numpy()
+        left = left.take(np.argsort(left.column("cell").to_numpy(), kind="stable")).combine_chunks()
+        base, cell = _stack(left.column("v").combine_chunks()), left.column("cell").to_numpy()
         ids = left.column("ids").to_pylist()
-        wide = int(cell.max()) + 1
+        asked, x = right.column("query_id").to_pylist(), _stack(right.column("v").combine_chunks())
         out: list[list] = [[], [], []]
-        for at in range(0, right.num_rows, 256):
-            part = right.slice(at, 256)
-            asked = part.column("query_id").to_pylist()
-            x = _stack(part.column("v").combine_chunks())
-            probed = np.zeros((len(asked), wide), bool)
-            for i, own in enumerate(part.column("cells").to_pylist()):
-                probed[i, [c for c in own if c < wide]] = True
-            scores = np.where(probed[:, cell], x @ base.T, -np.inf)
-            n = min(k + 1, len(base))
-            # Products of one matrix may differ in their last bits; all near the k-th best are taken along.
-            floor = np.partition(scores, len(base) - n, axis=1)[:, len(base) - n]
-            for i, own in enumerate(asked):
-                near = np.flatnonzero(scores[i] >= (floor[i] - 1e-9 * (1 + abs(floor[i])) if np.isfinite(floor[i]) else -1e300))
-                exact = (base[near] * x[i]).sum(1)
-                pairs = sorted((-s, v) for s, c in zip(exact.tolist(), near.tolist(), strict=True) for v in ids[c] if v != own)[:k]
-                out[0] += [own] * len(pairs)
-                out[1] += [v for _, v in pairs]
-                out[2] += [-s for s, _ in pairs]
+        probed = right.column("cells").combine_chunks()
+        for i, own in enumerate(asked):
+            p = probed[i].values.to_numpy()
+            met = _ranges(np.searchsorted(cell, p, "left"), np.searchsorted(cell, p, "right"))
+            if not len(met):
+                continue
+            exact = (base[met] * x[i]).sum(1)
+            if len(met) > k + 1:
+                floor = -np.partition(-exact, k)[k]
+                met, exact = met[exact >= floor], exact[exact >= floor]
+            pairs = sorted((-s, v) for s, c in zip(exact.tolist(), met.tolist(), strict=True) for v in ids[c] if v != own)[:k]
+            out[0] += [own] * len(pairs)
+            out[1] += [v for _, v in pairs]
+            out[2] += [-s for s, _ in pairs]
         return pa.table([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
 
 
-def _search(index: DataFrame, queries: DataFrame, k: int, share: float) -> DataFrame:
-    asked = _probing(queries, share)
+def _search(index: DataFrame, queries: DataFrame, k: int, part: float | None = None) -> DataFrame:
+    asked = _probing(queries, part)
     groups = ["d", "t", "g"]
-    # 2 * GROUPS rows for each table and dimension: how many blocks a group's vectors and queries make.
+    # How many blocks a group's vectors and queries make: a row a group, that is one for some thousands of vectors.
     loads = index.groupBy(groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     askers = asked.groupBy(groups).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("askers"))
-    plan = F.broadcast(loads.join(askers, groups))
+    plan = loads.join(askers, groups)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     base = index.join(plan, groups).withColumn("b", F.pmod(F.xxhash64("ids"), F.col("blocks")).cast("int")).withColumn("q", every("askers"))
     ask = asked.join(plan, groups).withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("askers")).cast("int")).withColumn("b", every("blocks"))
@@ -195,15 +232,21 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     non-finite components take no part, nor do rows without vec_id; only vectors of one dimension
     meet. A vec_id that occurs repeatedly is found once and is never its own neighbour.
     """
-    rows = _usable(vectors)
+    rows = _usable(vectors).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)))
+    longest = rows.groupBy("d").agg(F.max("norm").alias("longest"))
+    # One row a dimension.
+    rows = rows.join(F.broadcast(longest), "d").withColumn("length", F.least(F.floor(2 * F.log2(F.col("longest") / F.col("norm")) + F.lit(1e-9)), F.lit(LENGTHS - 1)).cast("int"))
     kept = rows.dropDuplicates(["vec_id", "v"]).withColumn("n", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    classes = kept.groupBy("v", "d").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    index = checkpoint(_index(classes))
-    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"])
-    found = checkpoint(_search(index, queries, k, PROBED))
+    classes = kept.groupBy("v", "d").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"), F.min("length").alias("length"))
+    classes = checkpoint(classes)
+    held = F.array(*[F.count_if(F.col("length") == i) for i in range(LENGTHS)]).alias("held")
+    counts = classes.groupBy("d").agg(held, F.greatest(F.lit(GROUPS), F.ceil(F.count("*") / GROUP)).cast("int").alias("groups"))
+    index = checkpoint(_index(classes.join(F.broadcast(counts), "d").select("d", "v", "ids", "length", "groups")))
+    queries = rows.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id", "v"]).join(F.broadcast(counts), "d").select("vec_id", "v", "d", "held", "groups")
+    found = checkpoint(_search(index, queries, k))
     sizes = rows.groupBy("d").agg(F.count_distinct("vec_id").alias("size"))
     short = queries.join(found.groupBy(F.col("query_id").alias("vec_id")).count(), "vec_id", "left").join(F.broadcast(sizes), "d")
-    short = checkpoint(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(k), F.col("size") - 1)).select("vec_id", "v", "d"))
+    short = checkpoint(short.where(F.coalesce("count", F.lit(0)) < F.least(F.lit(k), F.col("size") - 1)).select("vec_id", "v", "d", "held", "groups"))
     if short.isEmpty():
         return found
     more = _search(index, short, k, 1.0)

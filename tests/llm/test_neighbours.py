@@ -54,4 +54,32 @@ def test_edges_copies_and_few_rows(spark):
 def test_rotation_keeps_products():
     x = np.random.default_rng(1).standard_normal((9, 37))
     y = neighbours.rotate(x, 2)
-    assert np.allclose(y @ y.T, x @ x.T) and neighbours.cells(x, 1).max() < 128
+    assert np.allclose(y @ y.T, x @ x.T) and neighbours.cells(x, 1).max() < 128 * 128
+
+
+@pytest.mark.parametrize("spread", [0.0, 0.3, 1.0])
+def test_recall_of_unequal_lengths(spark, spread):
+    """Inner products, not angles: vectors of log-normal length."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((3000, 32))
+    x *= np.exp(spread * rng.standard_normal((3000, 1))) / np.sqrt((x * x).sum(1, keepdims=True))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, 20)
+    found = np.mean([len(got[q] & {i for _, i in near}) / 20 for q, near in want.items()])
+    assert got.keys() == want.keys() and found >= 0.9, found
+
+
+def test_candidates_fall_behind_the_vectors():
+    """The share of vectors that a query meets in a table falls as they grow, and is what share() says."""
+    rng = np.random.default_rng(7)
+    met = []
+    for n in (1000, 10_000, 40_000):
+        x = neighbours.unit(rng.standard_normal((n, 64)))
+        cell = neighbours.cells(x, 0)
+        got = np.mean([np.isin(cell, p).mean() for p in neighbours.probes(x[:40], 0, np.array([n]), neighbours.share(n))])
+        assert 0.4 * neighbours.share(n) < got < 2.5 * neighbours.share(n)
+        met.append(got)
+    assert met[0] > 1.8 * met[1] > 2.5 * met[2]
