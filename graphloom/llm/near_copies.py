@@ -8,12 +8,12 @@ a chance of at most ``MISS``. Candidates are compared by their registers, correc
 for registers that agree by chance, and those that may reach the threshold are
 confirmed on the full sets.
 
-Equal sets form one class (its smallest doc_id stands for it), so copies are never
-compared. In each bucket of a band all classes are first compared with the one that shares
-most buckets, and linked ones are joined to components. Only buckets that still hold
-several components, and over two classes, are then compared pairwise, in blocks of at
+Equal sets form one class, so copies are never compared. In each bucket of a band all classes
+are first compared with the one that shares most buckets, and linked ones are joined to
+components; buckets that still hold several components, and over two classes, are compared with
+``PIVOTS`` more of their classes. What is then left is compared pairwise, in blocks of at
 most ``BLOCK`` classes a side, each pair in the first band that it shares; a block gives a
-spanning set of links. So the number of rows never grows with the square of a group.
+spanning set of links. So the number of links never grows with the square of a group.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from ._spark import by_slice, checkpoint
 MISS, REGISTERS, MANTISSA = 1e-6, 420, 10
 #: Standard errors by which a sketch may fall short of the threshold before its pair is confirmed.
 SLACK = 6.0
-#: Classes on each side of a block; ids that are broadcast at most (8 MB).
-BLOCK, BROADCAST_IDS = 256, 1_000_000
+#: Further pivots before what is left of a bucket is compared in blocks; classes on each side of a block; classes that are broadcast at most (some 20 MB).
+PIVOTS, BLOCK, BROADCAST_IDS = 2, 256, 400_000
 U = np.uint64
 
 
@@ -132,9 +132,8 @@ def _sketched(docs: DataFrame, shingle: int, threshold: float) -> DataFrame:
         n, first, second, held = [], [], [], []
         for own in sets(batch.column("text"), shingle):
             n.append(len(own))
-            with np.errstate(over="ignore"):
-                first.append(int(_words.mix(own).sum().astype(np.int64)))
-                second.append(int(_words.mix(own ^ U(0xC2B2AE3D27D4EB4F)).sum().astype(np.int64)))
+            for to, key in zip((first, second), _keys(own), strict=True):
+                to.append(key)
             held.append(sketch(own, count * rows).tobytes() if len(own) else None)
         long = pa.int64()
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, long), pa.array(first, long), pa.array(second, long), pa.array(held, pa.binary())], names=["doc_id", "n", "k1", "k2", "registers"])
@@ -173,24 +172,38 @@ def _likely(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
 
 
-def _full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(id, words): the full sets of the documents in ``ids`` (id)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _keys(own: np.ndarray) -> tuple[int, int]:
+    """Two hashes of a set."""
+    with np.errstate(over="ignore"):
+        return int(_words.mix(own).sum().astype(np.int64)), int(_words.mix(own ^ U(0xC2B2AE3D27D4EB4F)).sum().astype(np.int64))
+
+
+def _full_sets(docs: DataFrame, ids: DataFrame, classes: DataFrame, shingle: int) -> DataFrame:
+    """(id, words): the full sets of the classes in ``ids`` (id), from the texts of the documents that stand for them."""
+    wanted = checkpoint(classes.select("id", "doc", "k1", "k2", "n").join(ids, "id", "left_semi"))
+    from_docs = wanted.select("doc").distinct()
+    if wanted.count() <= BROADCAST_IDS:
+        from_docs, wanted = F.broadcast(from_docs), F.broadcast(wanted)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(from_docs, "doc", "left_semi")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        held = [s.astype(np.int64) for s in sets(batch.column("text"), shingle)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(held, pa.list_(pa.int64()))], names=["id", "words"])
+        held = sets(batch.column("text"), shingle)
+        keys = [_keys(s) for s in held]
+        long = pa.int64()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in keys], long), pa.array([k for _, k in keys], long), pa.array([len(s) for s in held], long), pa.array([s.astype(np.int64) for s in held], pa.list_(long))],
+            names=["k1", "k2", "n", "words"],
+        )
 
-    return by_slice(rows.join(ids, "id", "left_semi"), work, "id long, words array<long>")
+    # Several texts under one doc_id are told apart by the keys of their sets.
+    read = by_slice(rows, work, "k1 long, k2 long, n long, words array<long>")
+    return read.join(wanted.drop("doc"), ["k1", "k2", "n"]).select("id", "words").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs with 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    # A doc_id that occurs repeatedly has the set that its class has; any other is no harm to leave out.
-    full = _full_sets(docs, checkpoint(ids), shingle).dropDuplicates(["id"])
-    full = checkpoint(full)
+    full = checkpoint(_full_sets(docs, checkpoint(ids), classes, shingle))
 
     def run(batches):
         for batch in batches:
@@ -262,21 +275,30 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     threshold = percent / 100
     count, rows = bands(threshold)
     every = checkpoint(_sketched(docs, shingle, threshold))
-    classes = checkpoint(every.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("id"), F.min_by("registers", "doc_id").alias("registers")))
+    classes = every.where("n > 0 and doc_id is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc"), F.min_by("registers", "doc_id").alias("registers"))
+    # A number of its own for each class, fixed by the checkpoint: documents of several texts stand in several classes.
+    classes = checkpoint(classes.withColumn("id", F.monotonically_increasing_id()))
     banded = _banded(classes, threshold)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = checkpoint(banded.join(shared, "bucket"))
     degree = members.groupBy("id").agg(F.count("*").alias("degree"))
-    pivots = members.join(degree, "id").groupBy("bucket").agg(F.min(F.struct(-F.col("degree"), "id"))["id"].alias("b"))
-    pairs = members.select("bucket", F.col("id").alias("a")).join(pivots, "bucket").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    likely = checkpoint(_likely(pairs, classes, threshold))
-    links = checkpoint(_confirmed(likely, docs, shingle, percent))
-    roots = components(links)
-    rooted = members.where("m > 2").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    contested = checkpoint(rooted.join(open_buckets, "bucket"))
+    contested = members.join(degree, "id").withColumn("root", F.col("id"))
+    links = roots = None
+    for turn in range(PIVOTS + 1):
+        order = -F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn)).bitwiseAND(F.lit((1 << 62) - 1))
+        pivots = contested.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("p")).select("bucket", F.col("p.id").alias("b"), F.col("p.root").alias("rb"))
+        pairs = contested.select("bucket", F.col("id").alias("a"), "root").join(pivots, "bucket").where("root <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        likely = checkpoint(_likely(pairs, classes, threshold))
+        more = checkpoint(_confirmed(likely, docs, classes, shingle, percent))
+        links = more if links is None else links.unionByName(more)
+        roots = components(links) if turn == 0 or not more.isEmpty() else roots
+        rooted = contested.drop("root").where("m > 2").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+        contested = checkpoint(rooted.join(open_buckets, "bucket"))
+        if contested.isEmpty():
+            break
     if not contested.isEmpty():
-        full = _full_sets(docs, checkpoint(contested.select("id").distinct()), shingle).dropDuplicates(["id"])
+        full = _full_sets(docs, checkpoint(contested.select("id").distinct()), classes, shingle)
         chunks = F.ceil(F.col("m") / BLOCK).cast("int")
         dealt = contested.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
         dealt = dealt.select("bucket", "id", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
@@ -284,12 +306,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
         more = checkpoint(_within_blocks(whole, percent, count, rows))
         if not more.isEmpty():
             roots = components(links.unionByName(more))
-    found = every.join(classes.select("k1", "k2", "n", "id"), ["k1", "k2", "n"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    linked = classes.select("k1", "k2", "n", "id", "doc").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = linked.groupBy("root").agg(F.min("doc").alias("least"))
+    found = every.join(linked.join(least, "root").select("k1", "k2", "n", "least"), ["k1", "k2", "n"], "left")
     return _result(found)
 
 
 def _result(found: DataFrame) -> DataFrame:
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "id", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id"))
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 

@@ -63,6 +63,19 @@ def test_contested_groups_against_brute_force(spark, monkeypatch):
         assert got == {i: (n, c, c == i) for i, (n, c) in brute(rows, k, percent).items()}
 
 
+def test_several_texts_under_one_id(spark):
+    """Each text of a doc_id is linked as a document of its own; an id's component is the smallest id that any of its texts reaches."""
+    rng = random.Random(2)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, want = [], {}
+    for i in range(30):
+        one, other = ([word() for _ in range(60)] for _ in range(2))
+        rows += [(i, " ".join(one)), (i, " ".join(other)), (1000 + i, " ".join([*one[:-1], "x"])), (2000 + i, " ".join([*other[:-1], "y"]))]
+        want |= {i: i, 1000 + i: i, 2000 + i: i}
+    got = near_copies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert len(got) == len(rows) and all(r.component_id == want[r.doc_id] and r.kept == (r.doc_id < 1000) for r in got)
+
+
 def test_edges(spark):
     rows = [(5, None), (6, ""), (7, " \t\n"), (8, "one"), (9, "ONE"), (4, "one two"), (3, "one two"), (None, "one two"), (2, "x " * 60_000), (1, "x " * 50_000), (8, "one")]
     df = spark.createDataFrame([(i, t, 1, "c") for i, t in rows], "doc_id long, text string, n int, component_id string")
