@@ -16,16 +16,29 @@ from graphloom.llm._spark import checkpoint, table
 LEAST_QUALITY = 0.3
 
 
+def _new_name(docs: DataFrame, name: str) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the classifier rejects; it learns from the labelled rows of ``documents``."""
     net = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = quality.score(docs, net, "__quality")
-    return scored.where(F.col("text").isNull() | (F.col("__quality") >= LEAST_QUALITY)).select(docs.columns)
+    name = _new_name(docs, "quality")
+    scored = quality.score(docs, net, name)
+    return scored.where(F.col("text").isNull() | (F.col(name) >= LEAST_QUALITY)).select(docs.columns)
 
 
 def once_only_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated lines out of the texts; ``n_chars`` follows."""
-    out = line_dedup.dedup_lines(docs)
+    """Takes repeated lines out of the texts; ``n_chars`` follows.
+
+    A document whose lines all stand elsewhere is gone as a whole; texts that were blank before stay.
+    """
+    name = _new_name(docs, "blank")
+    blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
+    out = line_dedup.dedup_lines(docs.withColumn(name, blank))
+    out = out.where(F.col("text").isNull() | F.col(name) | ~blank).select(docs.columns)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
