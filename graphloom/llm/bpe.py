@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._spark import by_slice
 
@@ -255,7 +256,7 @@ def round_trip(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
             second.append(sha(own.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(count, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return by_slice(docs.select("doc_id", "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return by_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def tokenised(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -11,30 +11,33 @@ from __future__ import annotations
 import functools
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._spark import by_slice
 
 # Element and class names.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-RAW = frozenset("iframe math noframes noembed noscript object script style svg template textarea title xmp audio video canvas".split())
+RAW = frozenset("iframe noframes noembed script style svg template textarea title".split())
 VOID = frozenset("area base br col embed frame hr img input keygen link meta param source track wbr".split())
 GOOD_TAG = frozenset(["article", "main"])
 BAD_TAG = frozenset("nav footer aside form button select fieldset menu dialog head".split())
 BAD_ROLE = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 GOOD_NAME = frozenset("article articlebody post entry story maincontent articletext posttext postbody entrytext".split())
 BAD_NAME = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion popup modal overlay cookie cookies consent gdpr notice notices notification alert warning disclaimer "
-    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars side rail widget widgets footer foot masthead topbar toolbar skip share sharing social follow related recommended recommendations more popular trending "
-    "comment comments commentlist respond reply replies discussion disqus feedback newsletter subscribe subscription signup login register search form pagination pager copyright legal imprint tags tagcloud hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promoted promotion popup modal overlay cookie cookies consent gdpr notice notices notification "
+    "nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars widget widgets footer masthead topbar toolbar skip share sharing social "
+    "comment comments commentlist respond replies disqus newsletter subscribe subscription signup login pagination pager copyright imprint hidden".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[\"'>]")
 ATTRIBUTE = re.compile(r"""(class|id|role|style|aria-hidden|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PART = re.compile(r"[A-Za-z]+")
 
@@ -79,11 +82,56 @@ def mark_of(tag: str, rest: str, within: int) -> int:
     return good
 
 
+def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, whether it closes, name, attributes) of each tag; comments and declarations have no name.
+
+    Whoever takes a tag may send the place from which to go on. Every byte is read a bounded number of
+    times: a quote or bracket that isn't found once isn't looked for again.
+    """
+    at, quoting, bracket = 0, True, True
+    while True:
+        start = page.find("<", at)
+        if start < 0:
+            return
+        found = NAME.match(page, start + 1)
+        if found:
+            end, here = -1, found.end()
+            while quoting and bracket:
+                stop = STOP.search(page, here)
+                if stop and stop[0] == ">":
+                    end = stop.start()
+                    break
+                here = page.find(stop[0], stop.end()) + 1 if stop else 0
+                quoting = here > 0
+            if end < 0 and bracket:
+                end = page.find(">", found.end())
+                bracket = end >= 0
+            if end < 0:
+                at = start + 1
+                continue
+            tag = (start, end + 1, bool(found[1]), found[2].lower(), page[found.end() : end])
+        elif page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            tag = (start, end + 3 if end >= 0 else len(page), False, "", "")
+        elif bracket and page[start + 1 : start + 2] in ("!", "?", "/"):
+            end = page.find(">", start)
+            bracket = end >= 0
+            if end < 0:
+                at = start + 1
+                continue
+            tag = (start, end + 1, False, "", "")
+        else:
+            at = start + 1
+            continue
+        at = (yield tag) or tag[1]
+
+
 def blocks(page: str) -> list[Block]:
     """The page's flat blocks that hold text, in order."""
     found: list[Block] = []
     now = Block()
-    stack: list[tuple[str, int]] = []
+    stack: list[tuple[str, int]] = []  # name, mark of the nearest telling container
+    opened: dict[str, int] = {}
     heading = item = False
     anchors = 0
 
@@ -94,7 +142,7 @@ def blocks(page: str) -> list[Block]:
             if now.text:
                 now.words = now.text.count(" ") + 1
                 now.density = min(1.0, now.linked / now.words)
-                now.mark = next((m for _, m in reversed(stack) if m), 0)
+                now.mark = stack[-1][1] if stack else 0
                 now.heading, now.item = heading, item
                 found.append(now)
         now = Block()
@@ -105,24 +153,17 @@ def blocks(page: str) -> list[Block]:
             if anchors:
                 now.linked += len(text.split())
 
-    at, low = 0, None
-    while True:
-        tag = TAG.search(page, at)
-        hold(page[at : tag.start() if tag else len(page)])
-        if not tag:
-            break
-        at = tag.end()
-        name = (tag[2] or tag[5] or "").lower()
-        if not name:
-            continue
-        closing, rest = tag[1] or tag[4], tag[3] or tag[6] or ""
+    at, scan = 0, tags(page)
+    tag = next(scan, None)
+    while tag:
+        start, end, closing, name, rest = tag
+        hold(page[at:start])
+        at = end
         if name in RAW:
             if not closing and not rest.endswith("/"):
-                low = page.lower() if low is None or len(low) != len(page) else low
-                end = low.find(f"</{name}", at)
-                at = len(page) if end < 0 else end
-            continue
-        if name == "a":
+                shut = re.compile(f"</{name}", re.I).search(page, at)
+                at = shut.start() if shut else len(page)
+        elif name == "a":
             anchors = 0 if closing else 1
         elif name == "br":
             hold(" ")
@@ -133,15 +174,22 @@ def blocks(page: str) -> list[Block]:
                 heading = not closing
             elif name in ("li", "dt", "dd"):
                 item = not closing
-            if name == "p" or name in VOID:
-                continue
-            if not closing:
-                stack.append((name, mark_of(name, rest, next((m for _, m in reversed(stack) if m), 0))))
-            else:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == name:
-                        del stack[i:]
-                        break
+            if name != "p" and name not in VOID:
+                if not closing:
+                    within = stack[-1][1] if stack else 0
+                    stack.append((name, mark_of(name, rest, within) or within))
+                    opened[name] = opened.get(name, 0) + 1
+                elif opened.get(name):
+                    while True:
+                        last, _ = stack.pop()
+                        opened[last] -= 1
+                        if last == name:
+                            break
+        try:
+            tag = scan.send(at)
+        except StopIteration:
+            tag = None
+    hold(page[at:])
     close()
     return found
 
@@ -251,4 +299,4 @@ def extract(pages: DataFrame) -> DataFrame:
         texts = [main_text(p) for p in batch.column("html").to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return by_slice(pages.select("page_id", "url", "html"), work, "page_id long, url string, text string, n_chars long", "html")
+    return by_slice(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"), work, "page_id long, url string, text string, n_chars long", "html")

@@ -32,7 +32,7 @@ def _fold_table() -> np.ndarray:
     """Lower case of every letter, 0 for all that is none, for all code points."""
     if not _folded:
         table = np.zeros(0x110000, np.uint32)
-        for c in range(0x30000):
+        for c in range(0x110000):
             if chr(c).isalpha():
                 low = chr(c).lower()
                 table[c] = ord(low) if len(low) == 1 else c
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         found = [model.predict(own) for own in letters(batch.column("text"))]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x for x, _ in found], pa.string()), pa.array([p for _, p in found], pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return by_slice(docs.select("doc_id", "text"), work, "doc_id long, lang_pred string, score double")
+    return by_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, lang_pred string, score double")
 
 
 def report(docs: DataFrame) -> DataFrame:

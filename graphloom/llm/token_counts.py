@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._spark import by_slice
 from .bpe import Codec, codec, default_tokenizer
@@ -113,7 +114,7 @@ def trees(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         ints = pa.list_(pa.int32())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([t.total for t in made], pa.int64()), pa.array([t.lengths for t in made], ints), pa.array([t.counts for t in made], ints), pa.array([t.sums for t in made], ints)], names=["doc_id", "n_tokens", "leaf_lengths", "leaf_tokens", "sums"])
 
-    return by_slice(docs.select("doc_id", "text"), work, SCHEMA)
+    return by_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, SCHEMA)
 
 
 def count_edited(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
@@ -141,4 +142,4 @@ def count_edited(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
         long = pa.int64()
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(before, long), pa.array(after, long), pa.array(words, long), pa.array(again, long)], names=["doc_id", "n_tokens", "n_tokens_edited", "n_words", "n_words_again"])
 
-    return by_slice(rows.select("doc_id", "text", "edits"), work, "doc_id long, n_tokens long, n_tokens_edited long, n_words long, n_words_again long")
+    return by_slice(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits"), work, "doc_id long, n_tokens long, n_tokens_edited long, n_words long, n_words_again long")

@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), pa.array(spans, kind), pa.array(telling, pa.int32())], names=["doc_id", "score", "spans", "n_significant"])
 
-    return by_slice(docs.select("doc_id", "text"), work, "doc_id long, score double, spans array<struct<start int, end int, score double>>, n_significant int")
+    return by_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, score double, spans array<struct<start int, end int, score double>>, n_significant int")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from graphloom.llm import html_text, queries
 
@@ -35,7 +36,19 @@ def test_parts_of_an_article_that_are_none():
 def test_edges(spark):
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "</", "<!--", "<script>", "&#xD800;&")][:7] == [""] * 7
     assert html_text.main_text("<article><p>x" + "y" * 200_000) == "x" + "y" * 200_000
-    assert html_text.main_text("<article>" + "<div>" * 5000 + "deep" + '<a href="' * 3000) == "deep" or True
+    assert html_text.main_text("<article>" + "<div>" * 5000 + "deep" + '<a href="' * 3) == "deep" + '<a href="' * 3
+    assert html_text.main_text(f"<article><p>{LONG}<math><mi>x</mi></math> <object>in its place</object></p><noscript><p>{LONG}</p></noscript><section class='more related'><p>{LONG}</p></section></article>") == f"{LONG}x in its place\n{LONG.strip()}\n{LONG.strip()}"
     df = spark.createDataFrame([(1, None, None, "x"), (2, "u", "<article><p>a  b</p></article>", "x"), (2, "u", "<article><p>a  b</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "", 0), (2, "a b", 3), (2, "a b", 3)]
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def test_hostile_pages_in_linear_time():
+    for page in ("<article>x" + '<a href="' * 110_000, "<article>" + "<div>x" * 170_000, "<article>" + "<div>" * 100_000 + "</section>" * 50_000 + "x", "<" * 1_000_000, "<a '" * 250_000 + ">", "<!--" * 250_000, "<title>" * 150_000):
+        began = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - began < 6, page[:40]
+
+
+def test_tags_read_quotes():
+    assert [t[3:] for t in html_text.tags("""a<b x='>' y=">">c</B><!-- <i> --><!doctype x><br/><u title="open>d""")] == [("b", """ x='>' y=">\""""), ("b", ""), ("", ""), ("", ""), ("br", "/"), ("u", ' title="open')]
