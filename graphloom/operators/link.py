@@ -74,23 +74,35 @@ def _unique(rows: DataFrame, keys: list[str], out: str) -> DataFrame:
     return rows.where(F.col(keys[-1]).isNotNull()).groupBy(*keys).agg(F.count_distinct("id").alias("n"), F.min("id").alias(out)).where("n = 1").drop("n")
 
 
+def _counted(symbols: DataFrame, key: str, to: str) -> DataFrame:
+    """(to, n, id): how many symbols a name names, and one of them; a common name is one row."""
+    return symbols.where(F.col(key).isNotNull()).groupBy(F.col(key).alias(to)).agg(F.count_distinct("id").alias("n"), F.min("id").alias("id"))
+
+
 def _bound(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(ordinal, binding, id): symbols that a reference may mean through the imports of its file."""
+    """(file_id, ordinal, binding, n, id): what a reference may mean through the imports of its file: the number of symbols and one of them."""
     stem = F.regexp_replace("module_name", r"^\.+", "")
     name = F.coalesce("alias", "imported_name", F.element_at(F.split("module_name", r"\."), -1))
-    bound = imports.select("file_id", name.alias("name"), F.coalesce("imported_name", F.element_at(F.split("module_name", r"\."), -1)).alias("bare"), F.concat_ws(".", F.nullif(stem, F.lit("")), "imported_name").alias("full"), F.col("ordinal").alias("binding"))
+    bound = imports.select(
+        "file_id", name.alias("name"), F.coalesce("imported_name", F.element_at(F.split("module_name", r"\."), -1)).alias("bare"),
+        F.concat_ws(".", F.nullif(stem, F.lit("")), "imported_name").alias("full"), F.col("ordinal").alias("binding"),
+    )
     met = refs.select("file_id", "name", "ordinal").join(bound, ["file_id", "name"])
-    by_full = met.join(symbols.select(F.col("qualified_name").alias("full"), "id"), "full").select("ordinal", "binding", "id")
-    by_bare = met.join(symbols.select(F.col("name").alias("bare"), "id"), "bare").select("ordinal", "binding", "id")
-    return by_full.unionByName(by_bare).distinct()
+    by = lambda key, to: met.join(_counted(symbols, key, to), to).select("file_id", "ordinal", "binding", "n", "id")
+    return by("qualified_name", "full").unionByName(by("name", "bare"))
+
+
+def _only(bound: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """(keys, out): the symbol that all rows of the key name, where it is one."""
+    return bound.groupBy(*keys).agg(F.max("n").alias("n"), F.count_distinct("id").alias("ids"), F.min("id").alias(out)).where("n = 1 and ids = 1").drop("n", "ids")
 
 
 def reference_edges(symbols: DataFrame, references: DataFrame, imports: DataFrame) -> DataFrame:
     """File to symbol: unique by qualified name 1.0, through an import 0.9, in the file 0.8, everywhere 0.7; first line only."""
     real = symbols.where("kind <> 'import'").select("id", "file_id", "name", "qualified_name")
     found = references.join(_unique(real, ["qualified_name"], "q"), "qualified_name", "left")
-    bound = _bound(references, imports, real).groupBy("ordinal").agg(F.count_distinct("id").alias("n"), F.min("id").alias("b")).where("n = 1").drop("n")
-    found = found.join(bound, "ordinal", "left").join(_unique(real, ["file_id", "name"], "s"), ["file_id", "name"], "left").join(_unique(real, ["name"], "g"), "name", "left")
+    bound = _only(_bound(references, imports, real), ["file_id", "ordinal"], "b")
+    found = found.join(bound, ["file_id", "ordinal"], "left").join(_unique(real, ["file_id", "name"], "s"), ["file_id", "name"], "left").join(_unique(real, ["name"], "g"), "name", "left")
     confidence = F.when(F.col("q").isNotNull(), 1.0).when(F.col("b").isNotNull(), 0.9).when(F.col("s").isNotNull(), 0.8).otherwise(0.7)
     rows = found.select(F.col("file_id").alias("source_id"), F.coalesce("q", "b", "s", "g").alias("target_id"), confidence.alias("c"), "line", F.coalesce("col", F.lit(-1)).alias("col"), "ordinal").where("target_id is not null")
     first = rows.groupBy("source_id", "target_id").agg(F.min_by(F.struct("c", "line"), F.struct("line", "col", "ordinal")).alias("f")).select("source_id", "target_id", "f.*")
@@ -101,9 +113,9 @@ def inheritance_edges(symbols: DataFrame, bases: DataFrame, imports: DataFrame)
     """Class to class: unique by qualified name 1.0, through the first import that is unique 0.9, by name 0.8; never to itself."""
     classes = symbols.where("kind = 'class'").select("id", "file_id", "name", "qualified_name")
     found = bases.join(_unique(classes, ["qualified_name"], "q"), "qualified_name", "left")
-    each = _bound(bases, imports, classes).groupBy("ordinal", "binding").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
-    bound = each.groupBy("ordinal").agg(F.min_by("id", "binding").alias("b"))
-    found = found.join(bound, "ordinal", "left").join(_unique(classes, ["name"], "g"), "name", "left")
+    each = _only(_bound(bases, imports, classes), ["file_id", "ordinal", "binding"], "id")
+    bound = each.groupBy("file_id", "ordinal").agg(F.min_by("id", "binding").alias("b"))
+    found = found.join(bound, ["file_id", "ordinal"], "left").join(_unique(classes, ["name"], "g"), "name", "left")
     confidence = F.when(F.col("q").isNotNull(), 1.0).when(F.col("b").isNotNull(), 0.9).otherwise(0.8)
     rows = found.select(F.col("class_symbol_id").alias("source_id"), F.coalesce("q", "b", "g").alias("target_id"), confidence.alias("c"), "line", "ordinal").where("target_id is not null and source_id <> target_id")
     first = rows.groupBy("source_id", "target_id").agg(F.min_by(F.struct("c", "line"), "ordinal").alias("f")).select("source_id", "target_id", "f.*")

@@ -108,6 +108,20 @@ def resolve_targets(graph: Graph, targets: DataFrame) -> DataFrame:
     return out.select("target", status.alias("status"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("candidates") == 1, F.col("c")[0]["id"]).alias("id"), F.transform("c", lambda x: x["id"]).alias("candidate_ids"))
 
 
+def changeset_paths(files: DataFrame, asked: DataFrame, root: str | None = None) -> DataFrame:
+    """``asked`` (path) with status and id: indexed, unindexed, outside_root or invalid.
+
+    Absolute paths lie in the tree where they begin with ``root``; relative ones that climb out of it don't. Null and blank
+    paths are invalid. ``files``: id, path.
+    """
+    raw = F.trim("path")
+    rows = asked.withColumn("_norm", paths.normalise(raw, root))
+    climbs = F.col("_norm").isNull() | F.col("_norm").rlike(r"^\.\.(/|$)")
+    met = rows.join(files.select(F.col("path").alias("_norm"), "id"), "_norm", "left")
+    status = F.when(raw.isNull() | (raw == ""), "invalid").when(climbs, "outside_root").when(F.col("id").isNull(), "unindexed").otherwise("indexed")
+    return met.withColumn("status", status).select(*asked.columns, "status", "id")
+
+
 def locate_symbols(graph: Graph, name: str, *, file_path: str | None = None, kind: str | None = None, qualified_name: str | None = None) -> DataFrame:
     """Symbols that ``name`` may mean, best rung only; imports stay only where nothing else is found."""
     owners = graph.files.select(F.col("id").alias("file_id"), "path", F.col("name").alias("file_name"), paths.query_module(F.col("path")).alias("module"))

@@ -125,6 +125,27 @@ def named_tests(tests: DataFrame, targets: DataFrame, direct: DataFrame) -> Data
     return met.join(direct.select("test_path", "target_id"), ["test_path", "target_id"], "left_anti")
 
 
+def tests_by_symbol(named: DataFrame, targets: DataFrame) -> DataFrame:
+    """(test_path, target_id, evidence, matched): tests that name a target, or hold a test of its name.
+
+    ``named``: test_path and the names of a test file's symbols and references; ``targets``: target_id, name. Upper
+    and lower case count alike; ``test_x`` names x.
+    """
+    key = F.lower("name")
+    tests = named.select("test_path", F.col("name").alias("matched"), F.explode(F.array_distinct(F.array(key, F.regexp_replace(key, "^test_", "")))).alias("key"))
+    met = tests.join(targets.select("target_id", key.alias("key")), "key")
+    return met.groupBy("test_path", "target_id").agg(F.lit("symbol_name_match").alias("evidence"), F.min("matched").alias("matched"))
+
+
+def names_in_tests(graph: Graph) -> DataFrame:
+    """(test_path, name) of what test files define and refer to."""
+    tests = graph.files.where(is_test_file(F.col("path"))).select(F.col("id").alias("file_id"), F.col("path").alias("test_path"))
+    names = graph.symbols.select("file_id", "name")
+    if graph.references is not None:
+        names = names.unionByName(graph.references.select("file_id", "name"))
+    return names.join(tests, "file_id").select("test_path", "name").distinct()
+
+
 def untested(targets: DataFrame, *associations: DataFrame) -> DataFrame:
     for found in associations:
         targets = targets.join(found.select("target_id"), "target_id", "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import link
 from ..schema import Graph
-from ..session import table
+from ..session import checkpoint, table
 from ..sources import parse
 from ..streaming import incremental
 
@@ -56,7 +56,7 @@ def parsed_errors(spark, d):
 
 
 def _graph(spark, sources) -> Graph:
-    parts = parse.tables(parse.parse_files(sources))
+    parts = parse.tables(checkpoint(parse.parse_files(sources)))
     null = F.lit(None).cast("string")
     files = sources.select("id", F.lit("dir:src").alias("directory_id"), "path", F.element_at(F.split("path", "/"), -1).alias("name"), F.lit(".py").alias("extension"), F.lit("source").alias("file_type"), F.octet_length("content").cast("bigint").alias("size"), F.lit(False).alias("is_generated"), F.lit(False).alias("is_ignored"))
     directories = spark.range(1).select(F.lit("dir:src").alias("id"), F.lit("src").alias("path"), F.lit("src").alias("name"), null.alias("parent_id"), F.lit(1).alias("depth"), F.lit("source").alias("directory_type"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -46,9 +46,13 @@ def tests_for(graph: Graph, targets: DataFrame) -> dict[str, DataFrame]:
     """direct, heuristic and unknown test associations of targets (target_id)."""
     is_test = usage.is_test_file(F.col("path"))
     direct = usage.direct_tests(graph, targets, is_test)
-    named = graph.vertices().join(targets, F.col("id") == F.col("target_id"), "left_semi").select(F.col("id").alias("target_id"), paths.stem_of(F.col("name")).alias("stem"))
+    named = graph.vertices().join(targets, F.col("id") == F.col("target_id"), "left_semi").select(F.col("id").alias("target_id"), paths.stem_of(F.when(F.col("kind") == "symbol", paths.name_of(F.col("path"))).otherwise(F.col("name"))).alias("stem"))
     tests = graph.files.where(is_test).select(F.col("path").alias("test_path"))
-    heuristic = usage.named_tests(tests, named, direct)
+    # A symbol's target goes by the stem of its file; its own name is looked for in the tests.
+    symbols = graph.symbols.join(targets.select(F.col("target_id").alias("id")), "id", "left_semi").select(F.col("id").alias("target_id"), "name")
+    by_symbol = usage.tests_by_symbol(usage.names_in_tests(graph), symbols).drop("matched").join(direct.select("test_path", "target_id"), ["test_path", "target_id"], "left_anti")
+    by_name = usage.named_tests(tests, named, direct)
+    heuristic = by_name.unionByName(by_symbol.join(by_name.select("test_path", "target_id"), ["test_path", "target_id"], "left_anti"))
     return {"direct": direct, "heuristic": heuristic, "unknown": usage.untested(targets, direct, heuristic)}
 
 
@@ -89,7 +93,9 @@ def risk_facts(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH) ->
 
 def risk_concerns(facts: DataFrame, incomplete: bool = False) -> DataFrame:
     """(severity, concern, count, evidence): three or more downstream components, none tested, package crossings; evidence up to 10."""
-    by = facts.groupBy("fact").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("node")), 1, 10).alias("evidence"))
+    first = facts.select("fact", "node").distinct().withColumn("r", F.row_number().over(Window.partitionBy("fact").orderBy("node"))).where("r <= 10")
+    shown = first.groupBy("fact").agg(F.array_sort(F.collect_list("node")).alias("evidence"))
+    by = facts.groupBy("fact").agg(F.count("*").alias("n")).join(shown, "fact")
     wide = by.where("fact = 'downstream_component'").select(F.when(F.col("n") >= 3, "warning").otherwise("info").alias("severity"), F.lit("downstream_impact").alias("concern"), "n", "evidence")
     cross = by.where("fact = 'package_crossing'").select(F.lit("warning").alias("severity"), F.lit("package_boundary").alias("concern"), "n", "evidence")
     tests = facts.agg(F.count_if(F.col("fact") == "associated_test").alias("n")).where("n = 0").select(F.lit("warning").alias("severity"), F.lit("missing_tests").alias("concern"), "n", F.array().cast("array<string>").alias("evidence"))

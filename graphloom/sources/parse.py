@@ -204,7 +204,8 @@ def _arrow() -> pa.Schema:
 
 
 def tables(parsed: DataFrame) -> dict[str, DataFrame]:
-    """symbols, imports, references, inheritance and errors of parsed files; ordinals rise with (path, place in the file)."""
+    """symbols, imports, references, inheritance and errors of parsed files; an ordinal is a place in its file
+    above a hash of the path: within a file they rise, and (file_id, ordinal) names a row."""
     base = F.xxhash64("path").bitwiseAND(F.lit((1 << 42) - 1)) * F.lit(1 << 20)
 
     def of(column: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import classify, link
 from ..schema import Graph, directory_id, file_id
+from ..session import checkpoint
 from . import parse
 
 LISTING = "path string, is_directory boolean, size bigint, modified_at_ns bigint"
@@ -80,7 +81,7 @@ def fingerprints(read: DataFrame) -> DataFrame:
 def analyse(spark: SparkSession, root: str, registry: parse.Registry | None = None) -> Graph:
     """The whole graph of a tree: scanned, parsed and linked."""
     directories, files = scan(spark, root)
-    parts = parse.tables(parse.parse_files(contents(spark, root, files), registry))
+    parts = parse.tables(checkpoint(parse.parse_files(contents(spark, root, files), registry)))
     graph = Graph(directories, files, parts["symbols"], parts["symbols"].limit(0), parts["imports"], parts["references"], parts["inheritance"], parts["errors"])
     graph.edges = link.build_edges(graph)
     return graph

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import changes, link
+from ..functions import paths
+from ..operators import changes, classify, link
 from ..schema import Graph
+from ..session import checkpoint
 from ..sources import parse, snapshot
 
 #: path, content (null: deleted), at
@@ -23,14 +26,11 @@ def latest(versions: DataFrame) -> DataFrame:
 
 def apply_versions(graph: Graph, versions: DataFrame, registry: parse.Registry | None = None) -> Graph:
     """``graph`` after the changed files in ``versions``: theirs are parsed, the rest is kept, all is linked anew."""
-    last = latest(versions)
+    last = checkpoint(latest(versions))
     there = last.where("content is not null")
     base = changes.without_paths(graph, last)
     files = there.select(F.concat(F.lit("file:"), "path").alias("id"), "path", "content")
-    parts = parse.tables(parse.parse_files(files, registry))
-    from ..functions import paths
-    from ..operators import classify
-
+    parts = parse.tables(checkpoint(parse.parse_files(files, registry)))
     path, name = F.col("path"), paths.name_of(F.col("path"))
     fresh = files.select("id", F.concat(F.lit("dir:"), paths.parent_of(path)).alias("directory_id"), "path", name.alias("name"), paths.suffix_of(name).alias("extension"), classify.file_type(path).alias("file_type"), F.octet_length("content").cast("bigint").alias("size"), classify.is_generated(path).alias("is_generated"), F.lit(False).alias("is_ignored"))
     out = Graph(graph.directories, base.files.unionByName(fresh), base.symbols.unionByName(parts["symbols"]), graph.edges.where("false"), base.imports.unionByName(parts["imports"]), base.references.unionByName(parts["references"]), base.inheritance.unionByName(parts["inheritance"]), changes.without_errors(graph.errors, last).unionByName(parts["errors"]), graph.status)
@@ -38,14 +38,17 @@ def apply_versions(graph: Graph, versions: DataFrame, registry: parse.Registry |
     return out
 
 
-def refresh_stream(versions: DataFrame, store: str, checkpoint: str, empty: Callable[[], Graph], registry: parse.Registry | None = None) -> StreamingQuery:
+def refresh_stream(versions: DataFrame, store: str, state: str, empty: Callable[[], Graph], registry: parse.Registry | None = None) -> StreamingQuery:
     """Runs ``apply_versions`` on each micro-batch against the current snapshot and publishes a new one.
 
-    A batch that is run again after a failure writes the version named after it again.
+    ``state`` is the stream's checkpoint folder. Each attempt at a batch writes a folder of its own, so a
+    batch that failed half-way never reads what it overwrites; one whose snapshot was published before the
+    failure is passed over when it comes again.
     """
     def batch(rows: DataFrame, number: int) -> None:
-        spark = rows.sparkSession
-        if not rows.isEmpty():
-            snapshot.save(spark, apply_versions(snapshot.load(spark, store) or empty(), rows, registry), store, version=f"batch-{number:012d}")
+        spark, name = rows.sparkSession, f"batch-{number:012d}"
+        published = (snapshot.manifest(spark, store) or {}).get("version", "")
+        if not rows.isEmpty() and not published.startswith(name):
+            snapshot.save(spark, apply_versions(snapshot.load(spark, store) or empty(), rows, registry), store, version=f"{name}-{uuid.uuid4().hex[:8]}")
 
-    return versions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return versions.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
