@@ -1,7 +1,9 @@
 import random
 
 import pytest
-from graphloom.llm import bpe, token_counts
+from pyspark.sql import functions as F
+
+from graphloom.llm import bpe, queries, token_counts
 
 tokenizers = pytest.importorskip("tokenizers")
 
@@ -55,7 +57,9 @@ def test_edits_count_as_a_whole_new_count(both):
             at = rng.randrange(len(tree.text) + 1)
             tree = token_counts.edit(own, tree, at, at + rng.randrange(0, 30), rng.choice(["", " new", "x", "\n", " 's", "endoftext|>", "<|"]))
             assert tree.total == len(own.encode(tree.text))
-            assert tree.sums[len(tree.sums) // 2 :][: len(tree.counts)] == tree.counts or not tree.counts
+            for sums in (tree.lengths, tree.counts):
+                assert all(sums[i] == sums[2 * i] + sums[2 * i + 1] for i in range(1, tree.size))
+            assert tree.lengths[1] == len(tree.text)
 
 
 def test_an_edit_touches_a_part_only(both):
@@ -76,3 +80,68 @@ def test_tables(spark):
     edits = df.selectExpr("doc_id", "text", "array(named_struct('at', 0, 'gone', 3, 'new', 'a')) edits")
     assert [r.n_tokens_edited > 0 for r in token_counts.count_edited(edits).collect()] == [True] * 4
     assert token_counts.trees(df).count() == 4
+
+
+def test_op2_on_the_driver_table(spark, both):
+    """Every count before and after the query's edits is that of the whole text counted anew."""
+    own, _ = both
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    found = queries.op2_token_counts(spark, sf).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r.doc_id]
+        n = len(text)
+        assert r.n_tokens == len(own.encode(text))
+        # As the query has them: a cut in the middle, a word at the start, a new end; places are those of the first text.
+        for at, gone, new in ((n // 2, 7, ""), (0, 0, "Revised: "), (n - 12, 20, ".")):
+            at = max(0, min(at, len(text)))
+            end = max(at, min(at + gone, len(text)))
+            text = text[:at] + new + text[end:]
+        assert r.n_tokens_edited == len(own.encode(text)), r.doc_id
+
+
+def test_trees_are_kept_and_edited(spark, both):
+    """A stored tree is edited without its text being counted again; null edits, nulls, repeated rows and empty tables."""
+    own, _ = both
+    rows = [(1, "one two three four " * 900, [(5, 3, "six"), (16_000, 2, "")]), (2, None, [(0, 0, "new words")]), (3, "as it is", None), (3, "as it is", None), (4, "", [])]
+    df = spark.createDataFrame(rows, "doc_id int, text string, edits array<struct<at int, gone int, new string>>")
+    kept = token_counts.trees(df).cache()
+    after = sorted(token_counts.edit_trees(kept).collect(), key=lambda r: r.doc_id)
+    assert [r.doc_id for r in after] == [1, 2, 3, 3, 4]
+    assert all(r.n_tokens == len(own.encode(r.text)) == r.counts[1] and r.lengths[1] == len(r.text) for r in after)
+    assert 0 < after[0].n_words_again < after[0].n_words / 4 and after[2].n_words_again == 0 and after[1].text == "new words"
+    again = token_counts.edit_trees(spark.createDataFrame(after).drop("n_tokens_before", "n_words_again").withColumn("edits", F.lit(None).cast(df.schema["edits"].dataType)))
+    assert sorted((r.doc_id, r.n_tokens) for r in again.collect()) == [(r.doc_id, r.n_tokens) for r in after]
+    assert token_counts.edit_trees(kept.limit(0)).count() == 0
+
+
+def test_growing_and_shrinking(both):
+    own, _ = both
+    tree = token_counts.build(own, "word " * 500)
+    before = tree.size
+    tree = token_counts.edit(own, tree, 1000, 1000, "more of it " * 4000)
+    assert tree.size > before and tree.total == len(own.encode(tree.text))
+    tree = token_counts.edit(own, tree, 10, len(tree.text) - 10, "")
+    assert tree.total == len(own.encode(tree.text))
+    for _ in range(300):
+        tree = token_counts.edit(own, tree, 5, 5, " ab")
+    assert tree.total == len(own.encode(tree.text))
+
+
+def test_op1_query_against_the_library(spark):
+    """ids_sha256 and decoded_sha256 of the query itself."""
+    import hashlib
+    import struct
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    library.no_truncation(), library.no_padding()
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.op1_bpe(spark, sf).collect():
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
