@@ -16,7 +16,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +32,8 @@ class CountTree:
     """``lengths`` and ``counts`` hold the sums over nodes 1 to 2 * size - 1; leaves begin at ``size``."""
 
     text: str
-    lengths: np.ndarray
-    counts: np.ndarray
+    lengths: list[int]
+    counts: list[int]
     encoded: int = 0
 
     @property
@@ -43,16 +42,16 @@ class CountTree:
 
     @property
     def total(self) -> int:
-        return int(self.counts[1])
+        return self.counts[1]
 
     def leaf_at(self, place: int) -> tuple[int, int]:
         """The leaf that holds character ``place`` (the last one with text beyond the end), and where it starts."""
         node, start = 1, 0
-        place = min(place, int(self.lengths[1]) - 1)
+        place = min(place, self.lengths[1] - 1)
         while node < self.size:
             node *= 2
             if place >= start + self.lengths[node]:
-                start += int(self.lengths[node])
+                start += self.lengths[node]
                 node += 1
         return node - self.size, start
 
@@ -61,25 +60,24 @@ class CountTree:
         node, start = leaf + self.size, 0
         while node > 1:
             if node % 2:
-                start += int(self.lengths[node - 1])
+                start += self.lengths[node - 1]
             node //= 2
         return start
 
     def put(self, leaf: int, length: int, count: int) -> None:
         node = leaf + self.size
-        more, tokens = length - int(self.lengths[node]), count - int(self.counts[node])
+        more, tokens = length - self.lengths[node], count - self.counts[node]
         while node and (more or tokens):
             self.lengths[node] += more
             self.counts[node] += tokens
             node //= 2
 
 
-def _summed(leaves: list[int]) -> np.ndarray:
+def _summed(leaves: list[int]) -> list[int]:
     size = 1
     while size < len(leaves):
         size *= 2
-    out = np.zeros(2 * size, np.int64)
-    out[size : size + len(leaves)] = leaves
+    out = [0] * size + leaves + [0] * (size - len(leaves))
     for node in range(size - 1, 0, -1):
         out[node] = out[2 * node] + out[2 * node + 1]
     return out
@@ -96,12 +94,6 @@ def build(own: Codec, text: str) -> CountTree:
     return CountTree(text, _summed([sum(map(len, p)) for p in parts]), _summed([own.count(p) for p in parts]), len(words))
 
 
-def _lists(column: pa.Array) -> list[np.ndarray]:
-    """The lists of a column, each as an array of its own."""
-    held, ends = column.flatten().to_numpy(), column.offsets.to_numpy() - column.offsets[0].as_py()
-    return [held[a:b].copy() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-
-
 def edit(own: Codec, tree: CountTree, start: int, end: int, new: str) -> CountTree:
     """``tree`` after ``text[start:end]`` became ``new``; ``encoded`` counts the words encoded anew.
 
@@ -127,13 +119,13 @@ def edit(own: Codec, tree: CountTree, start: int, end: int, new: str) -> CountTr
         if stop >= len(text):
             past = size
             break
-        following = int(tree.lengths[size + past])
+        following = tree.lengths[size + past]
         longer = own.pieces(text[began : stop + margin + 1 + following])
         if following and longer[: len(words)] == words and sum(map(len, words)) == stop - began:
             break
     if len(words) > MOST * LEAF * (past - first):
         fresh = [words[at : at + LEAF] for at in range(0, len(words), LEAF)]
-        around = lambda sums, measure: _summed([*sums[size : size + first].tolist(), *map(measure, fresh), *sums[size + past :].tolist()])
+        around = lambda sums, measure: _summed([*sums[size : size + first], *map(measure, fresh), *sums[size + past :]])
         return CountTree(text, around(tree.lengths, lambda p: sum(map(len, p))), around(tree.counts, own.count), len(words))
     for leaf, part in zip(range(first, past), _dealt(words, past - first), strict=True):
         tree.put(leaf, sum(map(len, part)), own.count(part))
@@ -179,7 +171,7 @@ def edit_trees(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = codec(path)
         made, again = [], []
-        for text, lengths, counts, edits in zip(batch.column("text").to_pylist(), _lists(batch.column("lengths")), _lists(batch.column("counts")), batch.column("edits").to_pylist(), strict=True):
+        for text, lengths, counts, edits in zip(batch.column("text").to_pylist(), batch.column("lengths").to_pylist(), batch.column("counts").to_pylist(), batch.column("edits").to_pylist(), strict=True):
             tree, n = CountTree(text or "", lengths, counts), 0
             for e in edits or []:
                 tree = edit(own, tree, e["at"], e["at"] + e["gone"], e["new"] or "")
@@ -193,6 +185,23 @@ def edit_trees(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 
 def count_edited(rows: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """Counts before and after edits of ``rows`` (doc_id, text, edits): trees are built, then edited as they are."""
-    edited = edit_trees(trees(rows, tokenizer), tokenizer)
-    return edited.select("doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), "n_words", "n_words_again")
+    """Counts before and after edits of ``rows`` (doc_id, text, edits), where no trees are kept yet.
+
+    Trees are built and edited in one pass over the texts; they don't leave the task.
+    """
+    path = tokenizer or default_tokenizer()
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = codec(path)
+        out: list[list[int]] = [[], [], [], []]
+        for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
+            tree, n = build(own, text or ""), 0
+            before, words = tree.total, tree.encoded
+            for e in edits or []:
+                tree = edit(own, tree, e["at"], e["at"] + e["gone"], e["new"] or "")
+                n += tree.encoded
+            for to, value in zip(out, (before, tree.total, words, n), strict=True):
+                to.append(value)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in out)], names=["doc_id", "n_tokens", "n_tokens_edited", "n_words", "n_words_again"])
+
+    return by_slice(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "edits"), work, "doc_id long, n_tokens long, n_tokens_edited long, n_words long, n_words_again long")
