@@ -44,17 +44,22 @@ def test_quality(spark, stages):
 
 
 def test_lines(stages):
+    """Repeated lines go; documents that lose all of them go too, so that no text is newly blank."""
     before, after, *_ = stages[1]
-    assert set(before.index) == set(after.index)
+    assert set(after.index) <= set(before.index)
+    assert all(t.strip() or not before.text[i].strip() for i, t in after.text.items())
+    every = {norm(x) for t in after.text for x in t.split("\n") if norm(x)}
+    gone = before.text[~before.index.isin(after.index)]
+    assert len(gone) and np.mean([norm(x) in every for t in gone for x in t.split("\n") if norm(x)]) > 0.5
     seen, repeated = set(), 0
     for i in sorted(before.index):
-        kept = after.text[i].split("\n")
+        kept = (after.text[i] if i in after.index else "").split("\n")
         fresh = [x for x in before.text[i].split("\n") if not norm(x) or not (norm(x) in seen or seen.add(norm(x)))]
         repeated += len(before.text[i].split("\n")) - len(fresh)
-        if kept != fresh and after.text[i]:  # fuzzy repeats are fewer still
+        if kept != fresh and i in after.index:  # fuzzy repeats are fewer still
             it = iter(fresh)
             assert all(x in it for x in kept)
-        assert after.n_chars[i] == len(after.text[i])
+        assert i not in after.index or after.n_chars[i] == len(after.text[i])
     assert repeated > 0
     lines = [norm(x) for t in after.text for x in t.split("\n") if norm(x)]
     assert len(lines) == len(set(lines))
@@ -87,3 +92,21 @@ def test_tokens(stages):
 def test_run_is_the_stages(spark, stages):
     got = {r.doc_id: r.n_tokens for r in pipeline.run(spark, SF).collect()}
     assert got == stages[4][1].n_tokens.to_dict()
+
+
+def test_edges_of_each_stage(spark, tmp_path):
+    """Nulls in any column, empty and blank texts, repeated rows, an empty table and extra columns with clashing names."""
+    prose = "\n".join(f"Line {i} of a text with words enough to be read as prose, and number {i * i} in it." for i in range(12))
+    rows = [(1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (2, None, None, None, None), (None, prose, "en", "a", 2), (3, "", "en", "a", 3), (4, " \n ", None, "b", 4), (5, "word " * 3000, "en", "b", 5)]
+    schema = "doc_id long, text string, lang string, source string, __quality int"
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.drop("__quality").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "A question that no text here holds, with twelve words or more in all?"), (None, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in pipeline.STAGES:
+        for given in (docs, docs.limit(0)):
+            out = stage(spark, given, str(tmp_path))
+            if name != pipeline.STAGES[-1][0]:
+                assert out.columns == docs.columns
+            found = [r.doc_id for r in out.collect()]
+            assert set(found) <= {1, 2, 3, 4, 5, None} and (found.count(2) == 1 or given is not docs), name
