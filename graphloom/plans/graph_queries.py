@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import lookup, search, structure, traverse, usage
-from ..schema import edge_id
+from ..schema import Graph, edge_id
+from ..session import table
 from . import reports
 from .bindings import COMMERCE, commerce
 
@@ -344,22 +345,36 @@ def structural_rules(spark, d):
     return structure.evaluate_rules(commerce(spark, d), RULES).select("rule_id", "severity", "hits", "outcome")
 
 
-@query("unused_symbols", """, uses AS (SELECT e.target_id AS id, e.source_id <> s.id AND (e.source_id <> s.file_id OR NOT e.line BETWEEN s.start_line AND s.end_line) AS outside FROM edges e JOIN symbols s ON s.id = e.target_id WHERE relationship_type = 'references' AND e.confidence > 0.99)
-SELECT s.id, s.name, s.kind, CAST((SELECT count(*) FROM uses u WHERE u.id = s.id AND NOT outside) AS BIGINT) AS self_uses, 'unused_candidate' AS classification FROM symbols s WHERE NOT EXISTS (SELECT 1 FROM uses u WHERE u.id = s.id AND outside)""")
+def _customers(spark, d):
+    """Customers as files of one class each: an event is a reference from outside, an order one from the class's own lines."""
+    customer, orders, events = (table(spark, d, t) for t in ("customer", "orders", "events"))
+    file = lambda key: F.concat(F.lit("file:c"), F.col(key).cast("string"))
+    symbol = lambda key: F.concat(F.lit("symbol:c"), F.col(key).cast("string"))
+    null, no = F.lit(None).cast("string"), F.lit(False)
+    files = customer.select(file("c_custkey").alias("id"), F.concat("c_name", F.lit(".py")).alias("path"), F.concat("c_name", F.lit(".py")).alias("name"), no.alias("is_ignored"), no.alias("is_generated"))
+    symbols = customer.select(
+        symbol("c_custkey").alias("id"), file("c_custkey").alias("file_id"), F.col("c_name").alias("name"), F.lit("class").alias("kind"),
+        F.col("c_name").alias("qualified_name"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"), null.alias("parent_symbol_id"), null.alias("signature"),
+    )
+    seen = events.select(F.concat(F.lit("file:"), "event_type").alias("source_id"), symbol("user_id").alias("target_id"), F.lit("1").alias("line"))
+    own = orders.select(file("o_custkey").alias("source_id"), symbol("o_custkey").alias("target_id"), (F.col("o_orderkey") % 9 + 1).cast("string").alias("line"))
+    kind = F.lit("references")
+    edges = seen.unionByName(own).select(
+        edge_id(F.col("source_id"), F.col("target_id"), kind).alias("id"), "source_id", "target_id",
+        kind.alias("relationship_type"), F.lit(1.0).alias("confidence"), F.create_map(F.lit("line"), F.col("line")).alias("metadata"),
+    )
+    return Graph(None, files, symbols, edges)
+
+
+@query("unused_symbols", """SELECT 'symbol:c' || c_custkey AS id, c_name AS name, 'class' AS kind, CAST((SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS BIGINT) AS self_uses, 'unused_candidate' AS classification
+FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)""", "")
 def unused_symbols(spark, d):
-    g = commerce(spark, d)
-    g.edges = g.edges.where("relationship_type <> 'references' or confidence > 0.99")
-    return usage.unused_symbols(g).select("id", "name", "kind", "self_uses", "classification")
+    return usage.unused_symbols(_customers(spark, d)).select("id", "name", "kind", "self_uses", "classification")
 
 
-@query("unused_files", """ SELECT id, path, 'unused_candidate' AS classification FROM files WHERE id NOT IN (SELECT target_id FROM edges WHERE relationship_type = 'imports' AND source_id <> target_id)
-AND id NOT IN (SELECT s.file_id FROM edges e JOIN symbols s ON s.id = e.target_id WHERE relationship_type = 'references' AND e.source_id <> s.file_id AND s.p_partkey % 50 = 0)""")
+@query("unused_files", "SELECT 'file:c' || c_custkey AS id, c_name || '.py' AS path, 'unused_candidate' AS classification FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)", "")
 def unused_files(spark, d):
-    g = commerce(spark, d)
-    g.files = g.files.withColumn("path", F.concat("path", F.lit(".py")))
-    number = F.regexp_extract("target_id", r"symbol:(\d+)", 1).try_cast("bigint")
-    g.edges = g.edges.where((F.col("relationship_type") != "references") | (number % 50 == 0))
-    return usage.unused_files(g).withColumn("path", F.regexp_replace("path", r"\.py$", ""))
+    return usage.unused_files(_customers(spark, d))
 
 
 @query("unused_files_all", """ SELECT id, path, 'unused_candidate' AS classification FROM files WHERE id NOT IN (SELECT target_id FROM edges WHERE relationship_type = 'imports' AND source_id <> target_id)

@@ -233,15 +233,13 @@ def unresolved_imports(spark, d):
     return rows.join(known, "at", "left_anti").select("page_id", "ordinal", "href")
 
 
-@query("link_imports", """, own AS (SELECT source, doc_id, 'pkg' || doc_id % 20 || '.m' || doc_id % 50 AS module FROM documents WHERE doc_id < 200), idx AS (SELECT module, max(doc_id) AS target FROM own GROUP BY 1)
-SELECT doc_id, target FROM (SELECT doc_id, 'pkg' || (doc_id * 3) % 25 AS m, 'm' || (doc_id * 7) % 60 AS n FROM own) JOIN idx ON module = m || '.' || n""", "WITH RECURSIVE x AS (SELECT 1)")
-def link_imports(spark, d):
-    return _imports_of(table(spark, d, "documents").where("doc_id < 200"))
+LINK_IMPORTS = """, own AS (SELECT doc_id, 'pkg' || doc_id % 20 || '.m' || doc_id % 50 AS module FROM documents), idx AS (SELECT module, max(doc_id) AS target FROM own GROUP BY 1)
+SELECT doc_id, target FROM (SELECT doc_id, 'pkg' || (doc_id * 3) % 25 AS m, 'm' || (doc_id * 7) % 60 AS n FROM own) JOIN idx ON module = m || '.' || n"""
 
 
-@query("link_imports_all", """, own AS (SELECT doc_id, 'pkg' || doc_id % 20 || '.m' || doc_id % 50 AS module FROM documents), idx AS (SELECT module, max(doc_id) AS target FROM own GROUP BY 1)
-SELECT doc_id, target FROM (SELECT doc_id, 'pkg' || (doc_id * 3) % 25 AS m, 'm' || (doc_id * 7) % 60 AS n FROM own) JOIN idx ON module = m || '.' || n""", "WITH RECURSIVE x AS (SELECT 1)")
-def link_imports_all(spark, d):
+@query("link_imports", LINK_IMPORTS, "WITH RECURSIVE x AS (SELECT 1)")
+@query("link_imports_all", LINK_IMPORTS, "WITH RECURSIVE x AS (SELECT 1)")
+def link_imports(spark, d):
     return _imports_of(table(spark, d, "documents"))
 
 
@@ -325,17 +323,14 @@ def map_changed_paths(spark, d):
     return history.map_paths(status, g.files, g.directories)
 
 
-@query("outcome_rollup", """WITH RECURSIVE d AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'blocker' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, value < 2 AS incomplete FROM events WHERE event_id % 20 = 0),
+OUTCOMES = """WITH RECURSIVE d AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'blocker' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, value < 2 AS incomplete FROM events),
 c AS (SELECT user_id, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, bool_or(incomplete) AS incomplete FROM d GROUP BY 1)
-SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN blockers > 0 THEN 'blocked' WHEN incomplete THEN 'incomplete' WHEN warnings > 0 THEN 'partial' ELSE 'success' END AS status FROM c""")
-def outcome_rollup(spark, d):
-    return _outcomes_of(table(spark, d, "events").where("event_id % 20 = 0"))
+SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN blockers > 0 THEN 'blocked' WHEN incomplete THEN 'incomplete' WHEN warnings > 0 THEN 'partial' ELSE 'success' END AS status FROM c"""
 
 
-@query("outcome_rollup_all", """WITH RECURSIVE d AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'blocker' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, value < 2 AS incomplete FROM events),
-c AS (SELECT user_id, count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'info') AS infos, bool_or(incomplete) AS incomplete FROM d GROUP BY 1)
-SELECT *, CASE WHEN errors > 0 THEN 'failed' WHEN blockers > 0 THEN 'blocked' WHEN incomplete THEN 'incomplete' WHEN warnings > 0 THEN 'partial' ELSE 'success' END AS status FROM c""")
-def outcome_rollup_all(spark, d):
+@query("outcome_rollup", OUTCOMES)
+@query("outcome_rollup_all", OUTCOMES)
+def outcome_rollup(spark, d):
     return _outcomes_of(table(spark, d, "events"))
 
 
