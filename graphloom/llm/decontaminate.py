@@ -4,12 +4,19 @@ Words become a template: numbers, names and units are typed placeholders. Window
 ``WINDOW`` template words (the whole template where an item is shorter) are joined by hash
 between items and documents. On each diagonal (document place less item place) the values
 in the slots must be consistent: one value of the item always stands for one value of the
-document. A document leaks an item if its windows on consistent diagonals cover at least
-``COVER`` of the item's windows.
+document.
+
+What decides are the words that the joined windows cover, not the windows: diagonals of one
+region, as wide as the item is long, are taken together, so changed, dropped and inserted words
+cost the words about them and no more. A document leaks an item if in one region the windows
+cover ``COVER`` of the item's words, or a run of ``RUN`` words without a break. Words of an item
+that no window holds, for their slots stand too close, don't count, but for half of the
+item at least its words must count.
 
 Only windows that some item has leave a document's task. The items' hashes go to all tasks
 while they number at most ``HASHES`` (8 bytes each); beyond that every window is shuffled and
-joined. Null and empty texts and items match nothing.
+joined. Null and empty texts and items match nothing. Texts that share an item_id are looked
+for one by one.
 
 A second pass looks for verbatim copies: all words are literals in lower case, so neither capitals
 nor slots matter, and items of any length, of ``LEAST`` words or fewer too, have windows. Letters of
@@ -23,14 +30,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import by_slice
 from ._words import NOT_ALNUM, column_bytes, hash_word, shingles, words
 
-#: Template words in a window; of them literal at least; least words of an item; share of an item's windows.
-WINDOW, LITERAL, LEAST, COVER = 8, 4, 5, 0.5
+#: Template words in a window; of them literal at least; least words of an item; share of an item's words; words of a quote.
+WINDOW, LITERAL, LEAST, COVER, RUN = 6, 3, 5, 0.5, 25
 #: Window hashes that are broadcast at most (16 MB).
 HASHES = 2_000_000
 
@@ -125,7 +132,7 @@ def _window_rows(df: DataFrame, key: str, sizes: list[int], wanted: np.ndarray |
 
 
 def _item_windows(items: DataFrame, form, least: int) -> DataFrame:
-    """All windows of all items: of WINDOW words, or of the whole item where it is shorter."""
+    """All windows of all items: of WINDOW words, or of the whole item where it is shorter. ``part`` tells texts of one id apart, ``n`` counts a text's words."""
     kind = pa.list_(pa.int64())
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -139,27 +146,52 @@ def _item_windows(items: DataFrame, form, least: int) -> DataFrame:
                 _, place, hashed, slots, sizes = windows(column.slice(i, 1), [size], None, form)
                 for to, more in zip(held, ([i] * len(place), place, hashed, slots, sizes), strict=True):
                     to += more
-        return pa.RecordBatch.from_arrays([batch.column("item_id").take(pa.array(held[0], pa.int64())), pa.array(held[1], pa.int32()), pa.array(held[2], pa.int64()), pa.array(held[3], kind), pa.array(held[4], pa.int32())], names=["item_id", "place", "hash", "slots", "size"])
+        at = pa.array(held[0], pa.int64())
+        made = [batch.column("item_id").take(at), batch.column("part").take(at), pa.array(n, pa.int32()).take(at)]
+        made += [pa.array(held[1], pa.int32()), pa.array(held[2], pa.int64()), pa.array(held[3], kind), pa.array(held[4], pa.int32())]
+        return pa.RecordBatch.from_arrays(made, names=["item_id", "part", "n", "place", "hash", "slots", "size"])
 
-    return by_slice(items.where("text is not null and item_id is not null").dropDuplicates(["item_id", "text"]).select("item_id", "text"), work, f"item_id {items.schema['item_id'].dataType.simpleString()}, {SCHEMA}")
+    own = items.where("text is not null and item_id is not null").dropDuplicates(["item_id", "text"])
+    own = own.select("item_id", F.xxhash64("text").alias("part"), "text")
+    return by_slice(own, work, f"item_id {items.schema['item_id'].dataType.simpleString()}, part long, n int, {SCHEMA}")
 
 
 def leaks(docs: DataFrame, items: DataFrame, most_hashes: int = HASHES) -> DataFrame:
-    """Leaked pairs: doc_id, item_id, n_windows, n_item_windows, coverage, same_values.
+    """Leaked pairs: doc_id, item_id, n_words, n_item_words, longest_run, coverage, same_values.
 
-    ``same_values``: every slot holds the item's own value. An item_id with several texts counts
-    as one item. Repeated documents with one doc_id count as one document. A pair that leaks both
-    verbatim and as a template has the figures of the form that covers more.
+    ``n_words`` of the item's ``n_item_words`` words stand in the document, ``longest_run`` of them without
+    a break. ``same_values``: every slot holds the item's own value. Repeated documents with one doc_id
+    count as one document. A pair that leaks in several ways has the figures of the one that covers most.
     """
     both = _leaks(docs, items, most_hashes, template, LEAST).unionByName(_leaks(docs, items, most_hashes, literals, 1))
-    best = both.groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_windows", "n_item_windows")).alias("best"), F.bool_or("same_values").alias("same_values"))
-    return best.select("doc_id", "item_id", "best.n_windows", "best.n_item_windows", "best.coverage", "same_values")
+    best = both.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("coverage", "n_words", "n_item_words", "longest_run")).alias("best"), F.bool_or("same_values").alias("same_values")
+    )
+    return best.select("doc_id", "item_id", "best.n_words", "best.n_item_words", "best.longest_run", "best.coverage", "same_values")
+
+
+def _covered(places: Column, size: Column) -> Column:
+    """The different words that windows at these places cover."""
+    return F.array_distinct(F.flatten(F.transform(places, lambda p: F.sequence(p, p + size - 1))))
+
+
+def _run(places: Column, size: Column) -> Column:
+    """The most words in a row that windows at these places cover."""
+    start = F.struct(F.lit(0).alias("begin"), F.lit(-1).alias("end"), F.lit(0).alias("best"))
+
+    def step(held: Column, p: Column) -> Column:
+        begin = F.when(p <= held["end"], held["begin"]).otherwise(p)
+        return F.struct(begin.alias("begin"), (p + size).alias("end"), F.greatest(held["best"], p + size - begin).alias("best"))
+
+    return F.aggregate(F.array_sort(places), start, step, lambda held: held["best"])
 
 
 def _leaks(docs: DataFrame, items: DataFrame, most_hashes: int, form, least: int) -> DataFrame:
     """The leaked pairs by the windows of one form."""
     item = _item_windows(items, form, least).cache()
-    totals = item.groupBy("item_id").agg(F.countDistinct("size", "place").alias("n_item_windows"))
+    text = ["item_id", "part", "n"]
+    counted = F.size(_covered(F.collect_set("place"), F.first("size")))
+    totals = item.groupBy(text).agg(F.greatest(counted, F.ceil(F.col("n") / 2)).cast("long").alias("n_item_words"))
     n = item.count()
     sizes = sorted(r[0] for r in item.select("size").distinct().collect())
     small = n <= most_hashes
@@ -167,22 +199,33 @@ def _leaks(docs: DataFrame, items: DataFrame, most_hashes: int, form, least: int
     if small:
         wanted = np.unique(np.array([r[0] for r in item.select("hash").distinct().collect()], np.int64).astype(np.uint64))
     own = _window_rows(docs.where("text is not null"), "doc_id", sizes or [WINDOW], wanted, form)
-    right = item.select("item_id", F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "size")
+    right = item.select(*text, F.col("place").alias("item_place"), "hash", F.col("slots").alias("item_slots"), "size")
     met = own.join(F.broadcast(right) if small else right, ["hash", "size"])
     pairs = F.arrays_zip("item_slots", "slots")
+    # One text's windows have one size.
     diagonal = (
-        met.groupBy("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("diagonal"))
-        .agg(F.collect_set(F.struct("size", "item_place")).alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
-        .select("doc_id", "item_id", "at", "pairs", (F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs")).alias("consistent"))
-        .where("consistent")
-        .select("doc_id", "item_id", "at", F.forall("pairs", lambda x: x["item_slots"] == x["slots"]).alias("same"))
+        met.groupBy("doc_id", *text, (F.col("place") - F.col("item_place")).alias("diagonal"))
+        .agg(F.first("size").alias("size"), F.collect_set("item_place").alias("at"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))
+        .where(F.size(F.array_distinct(F.transform("pairs", lambda x: x["item_slots"]))) == F.size("pairs"))
+        .withColumn("same", F.forall("pairs", lambda x: x["item_slots"] == x["slots"]))
+        .withColumn("run", _run(F.col("at"), F.col("size")))
+    )
+    # Regions overlap by half, so that a copy whose diagonals shift lies within one.
+    region = F.explode(F.array(F.floor(2 * F.col("diagonal") / F.col("n")), F.floor(2 * F.col("diagonal") / F.col("n")) - 1))
+    found = (
+        diagonal.withColumn("region", region)
+        .groupBy("doc_id", *text, "region")
+        .agg(
+            F.size(F.array_distinct(F.flatten(F.collect_set(_covered(F.col("at"), F.col("size")))))).cast("long").alias("n_words"),
+            F.max("run").cast("long").alias("longest_run"),
+            F.bool_and("same").alias("same_values"),
+        )
     )
-    found = diagonal.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_windows"), F.bool_and("same").alias("same_values"))
     return (
-        found.join(F.broadcast(totals) if small else totals, "item_id")
-        .withColumn("coverage", F.col("n_windows") / F.col("n_item_windows"))
-        .where(F.col("coverage") >= COVER)
-        .select("doc_id", "item_id", "n_windows", "n_item_windows", "coverage", "same_values")
+        found.join(F.broadcast(totals) if small else totals, text)
+        .withColumn("coverage", F.least(F.lit(1.0), F.col("n_words") / F.col("n_item_words")))
+        .where((F.col("coverage") >= COVER) | (F.col("longest_run") >= RUN))
+        .select("doc_id", "item_id", "n_words", "n_item_words", "longest_run", "coverage", "same_values")
     )
 
 

@@ -55,3 +55,36 @@ def test_short_and_slotted_items(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(list(texts.items()), "item_id long, text string")).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 4)}
+
+
+def test_near_copies_and_quotes(spark):
+    """A changed word every eight words, dropped and inserted words, and a quote of less than half of an item."""
+    words = [f"{a}{b}" for a in ("lo", "mi", "ra", "te", "su", "ka") for b in ("ban", "der", "fil", "gor", "hum", "jas", "kel", "lom", "nip", "pur", "qua")]
+    item = " ".join(words[:64])
+    changed = " ".join("other" if i % 8 == 4 else w for i, w in enumerate(words[:64]))
+    shifted = " ".join(w for i, w in enumerate(words[:64]) for w in ([w, "more"] if i % 9 == 7 else [] if i % 20 == 19 else [w]))
+    short = " ".join(words[:16])
+    docs = {
+        1: f"before it {changed} after it",
+        2: f"before it {shifted} after it",
+        3: "x y z " * 30 + " ".join(words[20:50]) + " and so on" * 30,
+        4: short.replace(words[8], "other"),
+        5: " ".join(words[20:34]) + " nothing else",
+        6: " pause ".join(" ".join(words[i : i + 3]) for i in range(0, 63, 3)),
+        7: " ".join(" ".join(words[i : i + 6]) + " far" * 200 for i in range(0, 60, 6)),
+    }
+    docs = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    items = spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")
+    for most in (decontaminate.HASHES, 3):
+        got = {(r.doc_id, r.item_id): r for r in decontaminate.leaks(docs, items, most).collect()}
+        assert {d for d, i in got if i == 1} == {1, 2, 3} and (4, 2) in got
+        assert got[3, 1].longest_run == got[3, 1].n_words == 30 and got[4, 2].n_words == 15
+        assert not {d for d, _ in got} & {5, 6}
+
+
+def test_items_with_several_texts(spark):
+    """Each text of an item_id is looked for, alone."""
+    one, two = "the first text of the item is about rivers and boats", "a second form speaks of mountains and of the long way up"
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one + " " + two)], "doc_id int, text string")
+    items = spark.createDataFrame([(1, one), (1, two)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.coverage) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1, 1.0), (2, 1, 1.0), (3, 1, 1.0)}
