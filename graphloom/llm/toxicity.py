@@ -2,8 +2,9 @@
 
 The tokens of a word are the word itself and its beginnings of ``STEMS`` bytes, so that
 inflected and compound forms tell too. Tokens get log-odds between toxic and clean documents
-under a symmetric Dirichlet prior. A word has the score of its most
-telling token; words whose tokens could all be chance (z below ``Z``) or are new cost ``DRIFT``. Ruzzo and Tompa's linear scan finds every maximal segment of a document. The best
+under a symmetric Dirichlet prior. A word has the score of its most toxic token, or, where
+none is, of its most clean one; words whose tokens could all be chance (|z| below ``Z``) or are
+new cost ``DRIFT``. Ruzzo and Tompa's linear scan finds every maximal segment of a document. The best
 scores of clean documents follow an extreme-value law, fitted here; each segment gets its
 expected number of equals by chance in a document of that length, and a document's segments
 are combined and mapped to a probability by a logistic fit on the sample.
@@ -21,9 +22,9 @@ from pyspark.sql import functions as F
 
 from . import _sample
 from ._spark import by_slice
-from ._words import NOT_ALNUM, Words, mix, words
+from ._words import NOT_ALNUM, Words, column_bytes, mix, words
 
-#: Prior count of every token in either class, least z-score of a telling token, cost of any other word.
+#: Prior count of every token in either class, least z-score (of either sign) of a telling token, cost of any other word.
 PRIOR, Z, DRIFT = 0.5, 3.2, 0.02
 #: Lengths in bytes of the beginnings of words that are tokens.
 STEMS = (3, 4, 5, 6, 7, 8)
@@ -44,18 +45,22 @@ class Model:
 
     def word_scores(self, tokens: np.ndarray) -> np.ndarray:
         """A score for each column of ``tokens`` (rows: the word and its beginnings)."""
-        best = np.full(tokens.shape[1], -DRIFT)
+        high, low = np.zeros(tokens.shape[1]), np.full(tokens.shape[1], -DRIFT)
         if len(self.keys):
             for hashed in tokens:
                 at = np.minimum(np.searchsorted(self.keys, hashed), len(self.keys) - 1)
-                best = np.maximum(best, np.where(self.keys[at] == hashed, self.scores[at], -DRIFT))
-        return best
+                own = np.where(self.keys[at] == hashed, self.scores[at], 0.0)
+                high, low = np.maximum(high, own), np.minimum(low, own)
+        return np.where(high > 0, high, low)
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """The log of the chance count of the segments together, negated: 0 where there are none."""
         each = [max(0.0, self.rate * s - math.log(self.size * max(n, 1))) for _, _, s in segments]
         return sum(sorted(each, reverse=True)) if each else 0.0
 
+    def significant(self, score: float, n: int) -> bool:
+        return self.rate * score - math.log(self.size * max(1, n)) > -math.log(SIGNIFICANT)
+
     def probability(self, segments: list[tuple[int, int, float]], n: int) -> float:
         best = max((s for _, _, s in segments), default=0.0)
         x = self.evidence(segments, n) + 0.5 * self.rate * best
@@ -103,20 +108,22 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     for at in range(0, len(texts), 200):
         found = words(pa.array(texts[at : at + 200], pa.large_string()), NOT_ALNUM)
         held, bounds = tokens(found), found.bounds()
-        seen += [np.unique(held[:, a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    keys, toxic = np.unique(np.concatenate([x for x, y in zip(seen, labels, strict=True) if y] or [np.zeros(0, np.uint64)]), return_counts=True)
-    others, n_others = np.unique(np.concatenate([x for x, y in zip(seen, labels, strict=True) if not y] or [np.zeros(0, np.uint64)]), return_counts=True)
-    at = np.minimum(np.searchsorted(others, keys), max(0, len(others) - 1))
-    clean = np.where(others[at] == keys, n_others[at], 0) if len(others) else np.zeros(len(keys))
+        seen += [np.unique(held[:, a:b][held[:, a:b] != 0]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    none = [np.zeros(0, np.uint64)]
+    count = lambda wanted: np.unique(np.concatenate([x for x, y in zip(seen, labels, strict=True) if y == wanted] or none), return_counts=True)
+    (own, n_own), (others, n_others) = count(True), count(False)
+    keys = np.union1d(own, others)
+    toxic, clean = np.zeros(len(keys)), np.zeros(len(keys))
+    toxic[np.searchsorted(keys, own)], clean[np.searchsorted(keys, others)] = n_own, n_others
     del seen
     nt, nc = float(toxic.sum()), float(n_others.sum())
     if not nt or not nc:
         p = float(labels.mean()) if len(labels) else 0.0
         return Model(keys[:0], np.zeros(0), 1.0, 1.0, 0.0, math.log((p + 0.01) / (1.01 - p)))
-    most = PRIOR * (len(keys) + len(others))
+    most = PRIOR * (len(own) + len(others))
     odds = np.log((toxic + PRIOR) / (nt + most - toxic - PRIOR)) - np.log((clean + PRIOR) / (nc + most - clean - PRIOR))
     z = odds / np.sqrt(1 / (toxic + PRIOR) + 1 / (clean + PRIOR))
-    telling = (z > Z) & (odds > ODDS) & (toxic >= SPREAD)
+    telling = (np.abs(z) > Z) & (np.abs(odds) > ODDS) & (np.where(odds > 0, toxic, clean) >= SPREAD)
     model = Model(keys[telling], odds[telling], 1.0, 1.0, 1.0, 0.0)
     scored, lengths = [], []
     for at in range(0, len(texts), 200):
@@ -152,26 +159,43 @@ def train(docs: DataFrame, labels: DataFrame, n: int = _sample.ROWS) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, score, spans (start and end in words, score), n_significant.
+    """Per document: doc_id, score, spans, n_significant.
 
+    A span is a passage: start and end in words, score, whether it is significant, and its text.
     Null and empty texts have no passages and score as clean ones. Repeated rows repeat.
     """
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("significant", pa.bool_()), ("text", pa.string())]))
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = words(batch.column("text"), NOT_ALNUM)
+        data, _ = column_bytes(batch.column("text"))
         bounds, scores = found.bounds(), model.word_scores(tokens(found))
         out, spans, telling = [], [], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             own = segments(scores[a:b])
             out.append(model.probability(own, int(b - a)))
-            spans.append([{"start": s, "end": e, "score": v} for s, e, v in own])
-            telling.append(sum(model.rate * v - math.log(model.size * max(1, b - a)) > -math.log(SIGNIFICANT) for _, _, v in own))
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64()), pa.array(spans, kind), pa.array(telling, pa.int32())], names=["doc_id", "score", "spans", "n_significant"])
+            held = []
+            for start, end, value in own:
+                text = data[found.start[a + start] : found.end[a + end - 1]].tobytes().decode("utf-8", "replace")
+                held.append({"start": start, "end": end, "score": value, "significant": model.significant(value, int(b - a)), "text": text})
+            spans.append(held)
+            telling.append(sum(x["significant"] for x in held))
+        made = [batch.column("doc_id"), pa.array(out, pa.float64()), pa.array(spans, kind), pa.array(telling, pa.int32())]
+        return pa.RecordBatch.from_arrays(made, names=["doc_id", "score", "spans", "n_significant"])
 
-    return by_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, "doc_id long, score double, spans array<struct<start int, end int, score double>>, n_significant int")
+    span = "struct<start int, end int, score double, significant boolean, text string>"
+    return by_slice(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, f"doc_id long, score double, spans array<{span}>, n_significant int")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The scores with their fold and decision, and the significant passages' texts in their order."""
     scored = score(docs, train(docs, labels))
-    return scored.select("doc_id", (_sample.fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("spans").alias("n_spans"), "n_significant")
+    return scored.select(
+        "doc_id",
+        (_sample.fold(4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+        "n_significant",
+        F.transform(F.filter("spans", lambda x: x["significant"]), lambda x: x["text"]).alias("passages"),
+    )

@@ -73,6 +73,55 @@ def test_segments_against_brute_force():
         assert [(a, b) for a, b, _ in toxicity.segments(np.array(scores))] == brute_segments(scores)
 
 
+def plain_toxic(rows):
+    """Word and beginning counts by document, log-odds and z, with plain dictionaries."""
+    import math
+    import re
+    from collections import Counter
+
+    split = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    forms = lambda w: {w} | {w[:n] + "*" for n in toxicity.STEMS if len(w) > n}
+    seen = {y: Counter(f for t, z in rows if z == y for f in {f for w in split(t) for f in forms(w)}) for y in (0, 1)}
+    total, most = {y: sum(seen[y].values()) for y in seen}, 0.5 * (len(seen[0]) + len(seen[1]))
+    telling = {}
+    for f in seen[0].keys() | seen[1].keys():
+        a, b = seen[1][f] + 0.5, seen[0][f] + 0.5
+        odds = math.log(a / (total[1] + most - a)) - math.log(b / (total[0] + most - b))
+        if abs(odds) / math.sqrt(1 / a + 1 / b) > 3.2 and abs(odds) > 1.5 and seen[int(odds > 0)][f] >= 5:
+            telling[f] = odds
+
+    def scores(text):
+        out = []
+        for w in split(text):
+            own = [telling.get(f, 0.0) for f in forms(w)]
+            out.append(max(own) if max(own) > 0 else min(-0.02, *own))
+        return out
+
+    return split, scores
+
+
+def test_toxic_passages_against_plain_odds(spark):
+    """Toxic and clean words both count; passages are the original text, and the tables' order of rows doesn't matter."""
+    rng = random.Random(4)
+    common, foul, kind = ([f"{a}{i}word" for i in range(40)] for a in ("c", "foul", "kind"))
+    rows = []
+    for i in range(400):
+        text = rng.choices(common, k=30) + (rng.choices(foul[:3], k=6) if i % 4 == 0 else rng.choices(kind[:3], k=6))
+        rows.append((" ".join(text).title(), int(i % 4 == 0)))
+    split, scores = plain_toxic(rows)
+    model = toxicity.fit(rows)
+    assert (model.scores > 0).any() and (model.scores < 0).any()
+    for text, _ in rows[:40]:
+        found = _words.words(pa.array([text]), _words.NOT_ALNUM)
+        assert np.allclose(model.word_scores(toxicity.tokens(found)), scores(text))
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows[:40])], "doc_id int, text string")
+    for r in toxicity.score(docs, model).collect():
+        text, y = rows[r.doc_id]
+        assert [(x.start, x.end) for x in r.spans] == [(a, b) for a, b, _ in toxicity.segments(np.array(scores(text)))]
+        assert all(x.text in text and split(x.text) == split(text)[x.start : x.end] for x in r.spans)
+        assert (r.score >= 0.3) == bool(y) and r.n_significant == sum(x.significant for x in r.spans)
+
+
 def test_words_match_a_plain_split():
     texts = ["", " a  B\tc\n", None, "é ê", "x" * 500, "the the The", "\x0bq\x1cr"]
     found = _words.words(pa.array(texts))
