@@ -127,57 +127,104 @@ def policy(pairs: DataFrame, rules: list[dict], default: str = "unrestricted") -
     return pairs.withColumn("p", decided).select(*pairs.columns, F.col("p.decision").alias("decision"), F.col("p.rule_id").alias("rule_id"), F.col("p.decision").isin("deny", "prohibit").alias("violation"))
 
 
-def matches(pattern: str, kind: Column, name: Column, path: Column, qualified: Column) -> Column:
-    """Whether a vertex matches: ``*``, the exact name or path, a dotted or path prefix, or a glob."""
-    if pattern == "*":
-        return F.lit(True)
-    texts = [path, name, qualified, F.concat_ws(":", path, name)]
+def matches(pattern: str, name: Column, path: Column, qualified: Column) -> Column:
+    """Whether a vertex matches: ``*``, the exact name or path, a dotted or path prefix, or a glob; blank patterns match nothing."""
+    pattern = pattern.strip()
+    if pattern == "*" or not pattern:
+        return F.lit(bool(pattern))
+    dotted = F.translate(path, "/", ".")
+    texts = [path, dotted, name, qualified, F.concat_ws(":", path, name)]
     found = F.lit(False)
-    glob = any(c in pattern for c in "*?[")
+    glob = _is_glob(pattern)
     for t in texts:
         found = found | F.coalesce(t.rlike(paths.glob_to_regex(pattern)) if glob else t == pattern, F.lit(False))
     if not glob:
-        found = found | F.coalesce(path.startswith(pattern.rstrip("/") + "/"), F.lit(False)) | F.coalesce(qualified.startswith(pattern + "."), F.lit(False))
+        stem = pattern.strip("/")
+        for t, prefix in ((path, stem + "/"), (dotted, stem.replace("/", ".") + "."), (qualified, pattern + ".")):
+            found = found | F.coalesce(t.startswith(prefix), F.lit(False))
     return found
 
 
+def _is_glob(pattern: str) -> bool:
+    return any(c in pattern for c in "*?[")
+
+
+def _rule_hits(graph: Graph, texts: list[str]) -> DataFrame:
+    """(id, file_id, hits): for each vertex that matches a pattern, by itself or through its file, the numbers of those patterns.
+
+    ``own`` marks symbols that match by their own name, ``package`` files that make the pattern a package.
+    """
+    every = graph.vertices()
+    files = every.where("kind = 'file'").select(F.col("id").alias("file_id"), F.col("path").alias("fp"), F.col("name").alias("fn"))
+    ends = every.join(files, "file_id", "left")
+    null, symbol = F.lit(None).cast("string"), F.col("kind") == "symbol"
+    found = []
+    for number, text in enumerate(texts):
+        own = matches(text, F.col("name"), F.col("path"), F.col("qualified_name"))
+        named = symbol & matches(text, F.col("name"), null, F.coalesce("qualified_name", "name")) | symbol & (F.concat_ws(":", "fp", "name") == text.strip())
+        package = (F.col("kind") == "file") & (F.col("name") == "__init__.py") & own
+        hit = F.struct(F.lit(number).alias("pattern"), F.coalesce(named, F.lit(False)).alias("own"), F.coalesce(package, F.lit(False)).alias("package"))
+        found.append(F.when(own | named | (symbol & matches(text, F.col("fn"), F.col("fp"), null)), hit))
+    return ends.select("id", "file_id", F.filter(F.array(*found), lambda x: x.isNotNull()).alias("hits")).where(F.size("hits") > 0)
+
+
 def evaluate_rules(graph: Graph, rules: list[dict]) -> DataFrame:
-    """One row a rule: rule_id, kind, severity, outcome (violation, no_violation, unevaluable), hits.
+    """One row a rule: rule_id, kind, severity, outcome (violation, no_violation, unevaluable), hits, reason.
 
     prohibited_dependency, layer_boundary, package_boundary and prohibited_relationship look for an edge
     from source to target; isolated_component for an edge from or to anything else. A symbol end also
-    matches through its file. Rules whose pattern matches nothing, or lack a target that they need, are
-    unevaluable, and so is finding nothing in an incomplete analysis.
+    matches through its file. A rule is unevaluable, with its ``reason``, where a pattern is blank
+    (empty_pattern), a target that it needs lacks (missing_target), a pattern that is neither glob nor package
+    names symbols of several files (ambiguous), a pattern matches nothing (unmatched), or nothing was found
+    in an incomplete analysis (incomplete_analysis).
+
+    The rules are configuration: all patterns are matched in one scan of the vertices, and all
+    rules counted in one pass over the edges.
     """
     spark = graph.edges.sparkSession
-    every = graph.vertices()
-    files = every.where("kind = 'file'").select(F.col("id").alias("file_id"), F.col("path").alias("fp"), F.col("name").alias("fn"))
-    ends = every.join(files, "file_id", "left")
-    out = None
+    if not rules:
+        return spark.createDataFrame([], "rule_id string, kind string, severity string, outcome string, hits bigint, reason string")
+    texts = sorted({r[side] for r in rules for side in ("source", "target") if r.get(side) is not None})
+    members = _rule_hits(graph, texts)
+    by_pattern = members.select("file_id", F.explode("hits").alias("hit")).groupBy(F.col("hit.pattern").alias("pattern"))
+    stats = by_pattern.agg(F.bool_or("hit.package").alias("package"), F.countDistinct(F.when(F.col("hit.own"), F.col("file_id"))).alias("own_files"))
+    side = lambda name: members.select(F.col("id").alias(f"{name}_id"), F.transform("hits", lambda x: x["pattern"]).alias(f"{name}_hits"))
+    edges = graph.edges.select("source_id", "target_id", "relationship_type").distinct().join(side("source"), "source_id", "left").join(side("target"), "target_id", "left")
+
+    def within(name: str, pattern: str) -> Column:
+        return F.coalesce(F.array_contains(f"{name}_hits", texts.index(pattern)), F.lit(False))
+
+    counts, rows = [], []
     for number, rule in enumerate(rules):
-        rule_id = rule.get("rule_id") or f"rule_{number + 1}"
-        target = rule.get("target")
-        hit = lambda p: matches(p, F.col("kind"), F.col("name"), F.col("path"), F.col("qualified_name")) | ((F.col("kind") == "symbol") & matches(p, F.lit("file"), F.col("fn"), F.col("fp"), F.lit(None).cast("string")))  # noqa: B023, E731
-        edges = graph.edges.where(~F.col("relationship_type").isin(*CONTAINMENT_TYPES))
-        if rule.get("relationship_type"):
-            edges = graph.edges.where(F.col("relationship_type") == rule["relationship_type"])
-        source = ends.where(hit(rule["source"])).select("id")
-        inside = lambda df, c, how: df.join(source.select(F.col("id").alias(c)), c, how)  # noqa: B023, E731
-        if rule["kind"] == "isolated_component":
-            found = inside(inside(edges, "source_id", "left_semi"), "target_id", "left_anti").unionByName(inside(inside(edges, "source_id", "left_anti"), "target_id", "left_semi"))
-            enough = source.agg((F.count("*") > 0).alias("enough"))
-        elif target is None:
-            found, enough = edges.where("false"), spark.range(1).select(F.lit(False).alias("enough"))
+        kind, source, target = rule["kind"], rule["source"], rule.get("target")
+        alone = kind == "isolated_component"
+        wanted = F.col("relationship_type") == rule["relationship_type"] if rule.get("relationship_type") else ~F.col("relationship_type").isin(*CONTAINMENT_TYPES)
+        if alone:
+            found = within("source", source) != within("target", source)
         else:
-            to = ends.where(hit(target)).select(F.col("id").alias("target_id"))
-            found = inside(edges, "source_id", "left_semi").join(to, "target_id", "left_semi")
-            enough = source.agg((F.count("*") > 0).alias("a")).crossJoin(to.agg((F.count("*") > 0).alias("b"))).select((F.col("a") & F.col("b")).alias("enough"))
-        hits = found.select("source_id", "target_id", "relationship_type").distinct().agg(F.count("*").alias("hits"))
-        nothing = "no_violation" if graph.status in COMPLETE else "unevaluable"
-        outcome = F.when(~F.col("enough"), "unevaluable").when(F.col("hits") > 0, "violation").otherwise(nothing)
-        row = hits.crossJoin(enough).select(F.lit(rule_id).alias("rule_id"), F.lit(rule["kind"]).alias("kind"), F.lit(rule.get("severity", "error")).alias("severity"), outcome.alias("outcome"), F.when(F.col("enough"), F.col("hits")).otherwise(0).alias("hits"))
-        out = row if out is None else out.unionByName(row)
-    return out if out is not None else spark.createDataFrame([], "rule_id string, kind string, severity string, outcome string, hits bigint")
+            found = within("source", source) & within("target", target) if target is not None else F.lit(False)
+        counts.append(F.count_if(wanted & found).alias(f"n{number}"))
+        ends = [source] if alone else [source, target]
+        known = "missing_target" if None in ends else "empty_pattern" if not all(e.strip() for e in ends) else None
+        values = {
+            "rule_id": rule.get("rule_id") or f"rule_{number + 1}", "kind": kind, "severity": rule.get("severity", "error"), "known": known,
+            "patterns": [texts.index(e) for e in ends if e is not None], "sure": [_is_glob(e) for e in ends if e is not None],
+        }
+        rows.append(F.struct(*[(F.array(*map(F.lit, v)) if isinstance(v, list) else F.lit(v).cast("string")).alias(k) for k, v in values.items()], F.col(f"n{number}").alias("hits")))
+    ruled = edges.agg(*counts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    # One row a pattern: as bounded as the rules.
+    sides = ruled.select("rule_id", F.explode(F.arrays_zip("patterns", "sure")).alias("p")).select("rule_id", F.col("p.patterns").alias("pattern"), F.col("p.sure").alias("sure"))
+    judged = (
+        sides.join(F.broadcast(stats), "pattern", "left")
+        .groupBy("rule_id")
+        .agg(F.bool_or(F.col("own_files").isNull()).alias("unmatched"), F.bool_or(~F.col("sure") & ~F.coalesce("package", F.lit(False)) & (F.coalesce("own_files", F.lit(0)) > 1)).alias("ambiguous"))
+    )
+    reason = F.coalesce("known", F.when(F.col("ambiguous"), "ambiguous"), F.when(F.col("unmatched"), "unmatched"))
+    out = ruled.join(F.broadcast(judged), "rule_id", "left").withColumn("reason", reason).withColumn("hits", F.when(F.col("reason").isNull(), F.col("hits")).otherwise(0))
+    if graph.status not in COMPLETE:
+        out = out.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("hits") == 0), "incomplete_analysis").otherwise(F.col("reason")))
+    outcome = F.when(F.col("reason").isNotNull(), "unevaluable").when(F.col("hits") > 0, "violation").otherwise("no_violation")
+    return out.select("rule_id", "kind", "severity", outcome.alias("outcome"), "hits", "reason")
 
 
 def limited(items: DataFrame, order: list, limit: int, by: list[str] | None = None) -> DataFrame:

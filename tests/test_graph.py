@@ -142,6 +142,34 @@ def test_rules_in_an_incomplete_analysis(spark):
     assert outcome() == ["unevaluable", "violation", "violation", "unevaluable"]
 
 
+def test_rules_that_cannot_be_evaluated(spark):
+    """Reasons, and names that several files hold: ambiguous but as a glob, by their path, or as a package."""
+    files = ["a.py", "b.py", "c.py", "pkg/__init__.py", "pkg/one.py"]
+    symbols = [("run", "a.py", "run"), ("run", "b.py", "run"), ("pkg", "a.py", "pkg"), ("pkg", "b.py", "pkg"), ("only", "c.py", "only")]
+    vertices = spark.createDataFrame([(f"file:{p}", "file", p.rsplit("/")[-1], p, f"file:{p}", None) for p in files] + [(f"symbol:{p}:{n}", "symbol", n, None, f"file:{p}", q) for n, p, q in symbols], "id string, kind string, name string, path string, file_id string, qualified_name string")
+    edges = spark.createDataFrame([("symbol:a.py:run", "symbol:c.py:only", "calls"), ("file:b.py", "file:pkg/one.py", "imports"), ("file:b.py", "file:pkg/one.py", "imports")], "source_id string, target_id string, relationship_type string")
+
+    class Small:
+        status = next(iter(structure.COMPLETE))
+
+        def vertices(self):
+            return vertices
+
+    g = Small()
+    g.edges = edges
+    kind = "prohibited_dependency"
+    cases = [
+        ("run", "only", "unevaluable", "ambiguous", 0), ("run*", "only", "violation", None, 1), ("a.py:run", "only", "violation", None, 1),
+        ("b.py", "pkg", "violation", None, 1), ("b.py", "pkg.one", "violation", None, 1), (" ", "only", "unevaluable", "empty_pattern", 0),
+        ("a.py", "", "unevaluable", "empty_pattern", 0), ("a.py", None, "unevaluable", "missing_target", 0), ("no*", "only", "unevaluable", "unmatched", 0),
+        ("c.py", "a.py", "no_violation", None, 0), ("a", "c", "violation", None, 1),
+    ]
+    rules = [{"rule_id": f"r{i:02}", "kind": kind, "source": s, "target": t} for i, (s, t, *_) in enumerate(cases)]
+    got = structure.evaluate_rules(g, rules).orderBy("rule_id").collect()
+    assert [(r.outcome, r.reason, r.hits) for r in got] == [tuple(c[2:]) for c in cases]
+    assert structure.evaluate_rules(g, []).count() == 0
+
+
 def test_globs_paths_and_lines(spark):
     import fnmatch
 
