@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -24,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage into the shared folder named by ``spark.checkpoint.dir``.
 
-    The folder is set here only where the session has none (tests, local runs).
+    The folder is set here only where the session has none and runs in this process alone (tests, local
+    runs); on a cluster a folder of this machine would be lost with it, so that is an error.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint(eager=True)
 
