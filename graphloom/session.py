@@ -54,10 +54,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage into the shared folder of ``spark.checkpoint.dir``; a folder of its own only where that is unset."""
+    """Cuts the lineage into the shared folder of ``spark.checkpoint.dir``; a folder of its own only in local runs without that setting."""
+    import re
     import tempfile
 
     spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.match(r"local($|\[)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a shared folder")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
     return df.checkpoint(eager=True)
