@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, line_dedup, near_copies, neighbours, quality, token_counts, toxicity
+from . import bpe, decontaminate, html_text, language, line_dedup, near_copies, neighbours, quality, spelling, token_counts, toxicity
 from ._spark import table
 
 
@@ -55,6 +55,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if re.match(r"op\d+_", k)}
 
