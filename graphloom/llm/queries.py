@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language, line_dedup, lloyd, near_copies, neighbours, quality, spelling, token_counts, toxicity
+from . import bpe, decontaminate, html_text, language, line_dedup, lloyd, near_copies, neighbours, pii, quality, spelling, token_counts, toxicity
 from ._spark import table
 
 
@@ -55,6 +55,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op12_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lloyd.cluster(table(spark, sf_dir, "embeddings"))
 
