@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import link
+from ..operators import link, relink
 from ..schema import Graph
 from ..session import checkpoint, table
 from ..sources import parse
@@ -37,8 +37,8 @@ def _sources(spark, d, rows: str = "true"):
 SELECT file_id, 'Base' AS name, 'import' AS kind, 'm' || n || '.C' || n AS qualified_name, 1 AS start_line, CAST(NULL AS VARCHAR) AS signature FROM p
 UNION ALL SELECT file_id, 'os.path', 'import', 'os.path', 2, NULL FROM p UNION ALL SELECT file_id, 'LIMIT', 'constant', 'LIMIT', 3, NULL FROM p
 UNION ALL SELECT file_id, 'C' || k, 'class', 'C' || k, 5, NULL FROM p UNION ALL SELECT file_id, 'size', 'variable', 'C' || k || '.size', 6, NULL FROM p
-UNION ALL SELECT file_id, 'area', 'method', 'C' || k || '.area', 8, 'area(self, x: int, *rest, scale=2, **more)' FROM p
-UNION ALL SELECT file_id, 'make_' || k, 'function', 'make_' || k, 11, 'make_' || k || '(kind=''' || p_type || ''')' FROM p""")
+UNION ALL SELECT file_id, 'area', 'method', 'C' || k || '.area', 8, 'area(self, x: int, *rest, scale = 2, **more)' FROM p
+UNION ALL SELECT file_id, 'make_' || k, 'function', 'make_' || k, 11, 'make_' || k || '(kind = ''' || p_type || ''')' FROM p""")
 def parsed_symbols(spark, d):
     return parse.tables(parse.parse_files(_sources(spark, d)))["symbols"].select("file_id", "name", "kind", "qualified_name", "start_line", "signature")
 
@@ -96,3 +96,34 @@ def incremental_refresh(spark, d):
     versions = _sources(spark, d, "p_partkey % 5 = 1 or p_partkey % 7 = 3").select("path", F.when(~F.regexp_extract("path", r"m(\d+)", 1).cast("int").__mod__(7).eqNullSafe(3), F.col("content")).alias("content"), F.lit("2024-01-01").cast("timestamp").alias("at"))
     after = incremental.apply_versions(base, versions)
     return after.symbols.join(after.files.select(F.col("id").alias("file_id"), "path"), "file_id").groupBy("path").agg(F.count("*").alias("symbols"))
+
+
+def _linked_sources(spark, d, rows: str = "true", named: str = "C"):
+    """A module for each part: a base class from the next one, a function that two modules share by name, and a use of the next pair's."""
+    k = F.col("p_partkey")
+    n = table(spark, d, "part").count()
+    pairs = (n + 1) // 2
+    half = F.floor(k / 2).cast("int")
+    text = F.format_string("from m%d import C%d as Base\n\nclass " + named + "%d(Base):\n    pass\n\ndef shared_%d():\n    return 1\n\nuse = shared_%d\n", (k + 1) % n, (k + 1) % n, k, half, (half + 1) % pairs)
+    path = F.format_string("src/m%d.py", k)
+    return table(spark, d, "part").where(rows).select(F.concat(F.lit("file:"), path).alias("id"), path.alias("path"), text.alias("content"))
+
+
+_RELINKED = """WITH t AS (SELECT count(*) AS n, (count(*) + 1) // 2 AS pairs FROM part),
+p AS (SELECT p_partkey AS k, 'file:src/m' || p_partkey || '.py' AS f, (p_partkey + 1) % n AS nx, (p_partkey // 2 + 1) % pairs AS pair FROM part, t WHERE p_partkey % 7 <> 3),
+c AS (SELECT k, 'symbol:src/m' || k || '.py:class:' || CASE WHEN k % 5 = 1 THEN 'D' ELSE 'C' END || k || ':3:0' AS id, k % 5 <> 1 AS kept FROM p),
+one AS (SELECT k // 2 AS pair, min('symbol:src/m' || k || '.py:function:shared_' || k // 2 || ':6:0') AS id FROM p GROUP BY 1 HAVING count(*) = 1)
+SELECT 'imports' AS relationship_type, p.f AS source_id, q.f AS target_id, CAST(1.0 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS line FROM p JOIN p q ON q.k = p.nx WHERE p.k <> q.k
+UNION ALL SELECT 'inherits', c.id, b.id, 0.9, '3' FROM p JOIN c USING (k) JOIN c b ON b.k = p.nx AND b.kept
+UNION ALL SELECT 'references', p.f, b.id, 0.9, '3' FROM p JOIN c b ON b.k = p.nx AND b.kept
+UNION ALL SELECT 'references', p.f, one.id, 0.7, '9' FROM p JOIN one USING (pair)"""
+
+
+@query("relinked_edges", _RELINKED)
+def relinked_edges(spark, d):
+    """Files go (names of two symbols become unique), classes are renamed (names lose their symbol), the rest is left: the edges between files are those of a full build."""
+    base = relink.indexed(_graph(spark, _linked_sources(spark, d)))
+    gone = _linked_sources(spark, d, "p_partkey % 7 = 3").withColumn("content", F.lit(None).cast("string"))
+    renamed = _linked_sources(spark, d, "p_partkey % 5 = 1 and p_partkey % 7 <> 3", "D")
+    after = incremental.apply_versions(base, gone.unionByName(renamed).select("path", "content", F.lit("2024-01-02").cast("timestamp").alias("at")))
+    return after.edges.where("relationship_type in ('imports', 'inherits', 'references')").select("relationship_type", "source_id", "target_id", "confidence", F.try_element_at("metadata", F.lit("line")).alias("line"))

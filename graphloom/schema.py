@@ -45,6 +45,9 @@ class Graph:
     inheritance: DataFrame | None = None
     errors: DataFrame | None = None
     status: str = "analyzed"
+    #: What linking keeps for the next refresh: how many symbols a name names, and the files whose links hang on a name.
+    names: DataFrame | None = None
+    referrers: DataFrame | None = None
 
     def vertices(self) -> DataFrame:
         """id, kind, name, path, qualified_name, file_id of files, symbols and directories."""

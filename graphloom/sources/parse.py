@@ -45,20 +45,19 @@ def dotted(node: ast.expr) -> str | None:
 
 def signature(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
     """Positional arguments with annotations and defaults, ``*args``, keyword-only ones and ``**kwargs``; no return type and no bare marks."""
-    def shown(arg: ast.arg, default: ast.expr | None) -> str:
-        text = arg.arg + (f": {ast.unparse(arg.annotation)}" if arg.annotation else "")
-        return text if default is None else f"{text} = {ast.unparse(default)}" if arg.annotation else f"{text}={ast.unparse(default)}"
-
     a = node.args
     plain = [*a.posonlyargs, *a.args]
-    defaults = [None] * (len(plain) - len(a.defaults)) + list(a.defaults)
-    parts = [shown(x, d) for x, d in zip(plain, defaults, strict=True)]
-    if a.vararg:
-        parts.append(f"*{a.vararg.arg}")
-    parts += [shown(x, d) for x, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)]
-    if a.kwarg:
-        parts.append(f"**{a.kwarg.arg}")
-    return f"{node.name}({', '.join(parts)})"
+    without = len(plain) - len(a.defaults)
+    every = [("", x, None if i < without else a.defaults[i - without], True) for i, x in enumerate(plain)]
+    every += [("*", a.vararg, None, False)] if a.vararg else []
+    every += [("", x, d, True) for x, d in zip(a.kwonlyargs, a.kw_defaults, strict=True)]
+    every += [("**", a.kwarg, None, False)] if a.kwarg else []
+
+    def shown(mark: str, arg: ast.arg, default: ast.expr | None, whole: bool) -> str:
+        kind = f": {ast.unparse(arg.annotation)}" if whole and arg.annotation else ""
+        return f"{mark}{arg.arg}{kind}" + (f" = {ast.unparse(default)}" if default is not None else "")
+
+    return f"{node.name}({', '.join(shown(*x) for x in every)})"
 
 
 class PythonSource(ast.NodeVisitor):
@@ -87,7 +86,7 @@ class PythonSource(ast.NodeVisitor):
         for base in node.bases:
             full = dotted(base)
             if full is not None:
-                self.out.inheritance.append({"class_symbol_id": own, "name": full.rpartition(".")[2], "line": base.lineno, "col": base.col_offset, "qualified_name": full if "." in full else None, "ordinal": len(self.out.inheritance)})
+                self.out.inheritance.append({"class_symbol_id": own, "name": full.rpartition(".")[2], "line": base.lineno, "col": base.col_offset, "qualified_name": full, "ordinal": len(self.out.inheritance)})
         self._inside(node.name, own, "class", node)
 
     def _function(self, node: ast.FunctionDef | ast.AsyncFunctionDef) -> None:
@@ -120,7 +119,7 @@ class PythonSource(ast.NodeVisitor):
     def visit_ImportFrom(self, node: ast.ImportFrom) -> None:
         module = "." * node.level + (node.module or "")
         for a in node.names:
-            self._imported(node, module, a.name, a.asname, node.level, a.asname or a.name, f"{module}.{a.name}" if node.module else module + a.name)
+            self._imported(node, module, a.name, a.asname, node.level, a.asname or a.name, f"{module}.{a.name}")
 
     def _refer(self, name: str, node: ast.expr, full: str | None) -> None:
         self.out.references.append({"name": name, "line": node.lineno, "col": node.col_offset, "qualified_name": full, "kind": "reference", "ordinal": len(self.out.references)})

@@ -12,6 +12,8 @@ from ..operators.changes import ANALYZER_VERSION, SCHEMA_VERSION
 from ..schema import Graph
 
 TABLES = ("directories", "files", "symbols", "edges", "imports", "references", "inheritance", "errors")
+#: Tables that only the next refresh reads.
+INDEX = ("names", "referrers")
 
 
 def _path(spark: SparkSession, text: str):
@@ -25,13 +27,13 @@ def _fs(spark: SparkSession, text: str):
 def save(spark: SparkSession, graph: Graph, store: str, fingerprints: DataFrame | None = None, version: str | None = None) -> str:
     """Writes a new version and then, as the commit point, its manifest. Readers see the old version until then."""
     version = version or str(time.time_ns())
-    for name in TABLES:
+    for name in TABLES + INDEX:
         df = getattr(graph, name)
         if df is not None:
             df.write.mode("overwrite").parquet(f"{store}/{version}/{name}")
     if fingerprints is not None:
         fingerprints.write.mode("overwrite").parquet(f"{store}/{version}/fingerprints")
-    manifest = {"version": version, "schema_version": SCHEMA_VERSION, "analyzer_version": ANALYZER_VERSION, "status": graph.status, "tables": [n for n in TABLES if getattr(graph, n) is not None] + (["fingerprints"] if fingerprints is not None else [])}
+    manifest = {"version": version, "schema_version": SCHEMA_VERSION, "analyzer_version": ANALYZER_VERSION, "status": graph.status, "tables": [n for n in TABLES + INDEX if getattr(graph, n) is not None] + (["fingerprints"] if fingerprints is not None else [])}
     fs = _fs(spark, store)
     out = fs.create(_path(spark, f"{store}/_next.json"), True)
     out.write(json.dumps(manifest).encode())
@@ -62,7 +64,7 @@ def load(spark: SparkSession, store: str) -> Graph | None:
     found = manifest(spark, store)
     if found is None:
         return None
-    read = {n: spark.read.parquet(f"{store}/{found['version']}/{n}") for n in found["tables"] if n in TABLES}
+    read = {n: spark.read.parquet(f"{store}/{found['version']}/{n}") for n in found["tables"] if n in TABLES + INDEX}
     return Graph(**read, status=found["status"])
 
 

@@ -29,10 +29,13 @@ def test_python_rows():
     out = parse.parse_python("src/f.py", SOURCE)
     got = [(s["name"], s["kind"], s["qualified_name"], s["start_line"]) for s in out.symbols]
     assert got == [("c", "import", "a.b", 1), ("y", "import", "..m.x", 2), ("z", "import", "..m.z", 2), ("K", "constant", "K", 3), ("n", "variable", "n", 4), ("A", "class", "A", 7), ("v", "variable", "A.v", 8), ("go", "method", "A.go", 9), ("inner", "function", "A.go.inner", 10), ("run", "function", "run", 13)]
-    assert out.symbols[7]["signature"] == "go(self, a: int, b=2, *rest, k, o: str = 's', **kw)"
+    assert out.symbols[7]["signature"] == "go(self, a: int, b = 2, *rest, k, o: str = 's', **kw)"
     assert [(i["module_name"], i["imported_name"], i["alias"], i["level"]) for i in out.imports] == [("a.b", None, "c", 0), ("..m", "x", "y", 2), ("..m", "z", None, 2)]
-    assert [(b["name"], b["qualified_name"]) for b in out.inheritance] == [("Base", None), ("Other", "pkg.Other")]
+    assert [(b["name"], b["qualified_name"]) for b in out.inheritance] == [("Base", "Base"), ("Other", "pkg.Other")]
     assert {(r["name"], r["qualified_name"]) for r in out.references} >= {("e", "c.d.e"), ("d", "c.d"), ("c", None), ("K", None), ("v", "self.v")}
+    near = parse.parse_python("p/f.py", "from . import m, n as o\nfrom .. import q\n")
+    assert [(x["name"], x["qualified_name"]) for x in near.symbols] == [("m", "..m"), ("o", "..n"), ("q", "...q")]
+    assert [(i["module_name"], i["imported_name"], i["level"]) for i in near.imports] == [(".", "m", 1), (".", "n", 1), ("..", "q", 2)]
     bad = parse.parse_python("b.py", "def (")
     assert bad.errors[0].startswith("b.py:1:") and not bad.symbols
     with pytest.raises(ValueError):
