@@ -224,20 +224,51 @@ def relevant_tests(graph: Graph, affected: DataFrame, is_test: Column) -> DataFr
     return both.join(tests, "test_id", "left_semi").join(affected.select("node"), "node", "left_semi").select("test_id", F.col("node").alias("target_id"), "relationship_type").distinct()
 
 
-def expand(adjacent: DataFrame, candidates: DataFrame, max_depth: int) -> DataFrame:
-    """Candidates (entity_id, score) spread along edges: entity_id, score, depth, confidence, from_id.
-
-    A node that is reached has the least of its parent's score and the edge's confidence; of several
-    ways the strongest stays: highest confidence, then fewest hops, then smallest parent.
+def expand(adjacent: DataFrame, candidates: DataFrame, max_depth: int, max_candidates: int | None = None) -> DataFrame:
+    """Candidates (entity_id, score) spread along edges, breadth first: entity_id, score, level, depth, from_id, relationship_type, confidence, candidate_confidence.
+
+    A queue takes the candidates by falling score, then id, and what a node leads to by type, id and edge. A
+    node's score is the lesser of its finder's score and the edge's confidence. The evidence (all
+    columns from ``depth`` on) is the strongest that any expanded node gives it, at whatever level it turns up: by candidate
+    confidence, then fewest hops, then the greater finder. ``max_candidates`` ends the walk, in the
+    queue's order, once so many are known, candidates among them; evidence found by then counts. Candidates are level 0 and need no evidence.
     """
-    seen = candidates.select("entity_id", "score").withColumns({"depth": F.lit(0), "confidence": F.lit(1.0), "from_id": F.lit(None).cast("string")})
-    frontier, found = seen.select("entity_id", "score"), seen
-    for depth in range(1, max_depth + 1):
-        reached = frontier.join(adjacent.select("from_id", F.col("to_id"), "confidence"), F.col("entity_id") == F.col("from_id")).select(F.col("to_id").alias("entity_id"), F.least("score", "confidence").alias("score"), "confidence", "from_id")
-        best = reached.join(found.select("entity_id"), "entity_id", "left_anti").groupBy("entity_id").agg(F.max_by(F.struct("score", "confidence", "from_id"), F.struct("confidence", "score")).alias("b"), F.min(F.struct(-F.col("confidence"), "from_id", -F.col("score"))).alias("m"))
-        level = checkpoint(best.select("entity_id", (-F.col("m").getField("col3")).alias("score"), F.lit(depth).alias("depth"), (-F.col("m").getField("col1")).alias("confidence"), F.col("m.from_id").alias("from_id")))
-        if level.isEmpty():
+    step = F.struct(F.lit(0.0).alias("score"), F.col("step.relationship_type").alias("type"), F.col("to_id").alias("node"), F.col("step.edge_id").alias("edge"))
+    ways = adjacent.where(F.col("step.kind") != "unknown").select("from_id", "to_id", F.col("confidence").cast("double").alias("confidence"), F.col("step.relationship_type").alias("relationship_type"), step.alias("place"))
+    own = candidates.groupBy("entity_id").agg(F.max(F.col("score").cast("double")).alias("score"))
+    start = F.array(F.struct((-F.col("score")).alias("score"), F.lit("").alias("type"), F.col("entity_id").alias("node"), F.lit("").alias("edge")))
+    known = own.select("entity_id", "score", F.lit(0).alias("level"), start.alias("queue"))
+    if max_candidates is not None:
+        known = known.orderBy("queue").limit(max_candidates)
+    known = frontier = checkpoint(known)
+    room = None if max_candidates is None else max_candidates - known.count()
+    stop, last = None, 0
+    for level in range(1, max_depth + 1):
+        if room == 0:
             break
-        found = checkpoint(found.unionByName(level))
-        frontier = level.select("entity_id", "score")
-    return found
+        met = frontier.join(ways, F.col("entity_id") == F.col("from_id")).select(F.col("to_id").alias("entity_id"), F.least("score", "confidence").alias("score"), F.concat("queue", F.array("place")).alias("queue"))
+        fresh = met.join(known.select("entity_id"), "entity_id", "left_anti").groupBy("entity_id").agg(F.min(F.struct("queue", "score")).alias("f"))
+        fresh = fresh.select("entity_id", "f.score", F.lit(level).alias("level"), "f.queue")
+        if room is not None:
+            fresh = fresh.orderBy("queue").limit(room)
+        frontier, last = checkpoint(fresh), level
+        found = frontier.count()
+        if not found:
+            break
+        known = checkpoint(known.unionByName(frontier))
+        if room is not None:
+            room -= found
+            if room == 0:
+                stop = frontier.agg(F.max("queue").alias("stop"))
+    given = known.where(F.col("level") < last).join(ways, F.col("entity_id") == F.col("from_id"))
+    given = given.select(F.col("to_id").alias("entity_id"), "from_id", (F.col("level") + 1).alias("depth"), "relationship_type", "confidence", F.least("score", "confidence").alias("candidate_confidence"), F.concat("queue", F.array("place")).alias("queue"))
+    if stop is not None:
+        given = given.crossJoin(F.broadcast(stop)).where((F.col("depth") < last) | (F.col("queue") <= F.col("stop")))
+    first = given.groupBy("entity_id", "from_id", "depth", "candidate_confidence").agg(F.min_by(F.struct("relationship_type", "confidence"), "queue").alias("e"))
+    strength = F.struct(F.col("candidate_confidence"), -F.col("depth"), F.col("from_id"))
+    best = first.groupBy("entity_id").agg(F.max_by(F.struct("depth", "from_id", "e", "candidate_confidence"), strength).alias("b"))
+    best = best.select("entity_id", "b.depth", "b.from_id", "b.e.relationship_type", "b.e.confidence", "b.candidate_confidence")
+    originals = known.where("level = 0").select("entity_id", "score", "level")
+    null = lambda kind: F.lit(None).cast(kind)
+    originals = originals.select("*", F.lit(0).alias("depth"), null("string").alias("from_id"), null("string").alias("relationship_type"), null("double").alias("confidence"), null("double").alias("candidate_confidence"))
+    return originals.unionByName(known.where("level > 0").select("entity_id", "score", "level").join(best, "entity_id"))

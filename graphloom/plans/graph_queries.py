@@ -246,13 +246,36 @@ def changeset_impact(spark, d):
     return found.select("node", "min_depth", F.array_join("roots", ",").alias("roots"), "classification")
 
 
-@query("relation_expansion", """, pairs AS (SELECT source_id AS a, target_id AS b, confidence FROM edges WHERE relationship_type = 'references'), roots AS (SELECT id FROM files WHERE s_suppkey IN (1, 2)),
-l1 AS (SELECT b AS entity_id, max(confidence) AS c FROM pairs WHERE a IN (SELECT id FROM roots) GROUP BY 1)
-SELECT entity_id, CAST(least(0.9, c) AS DOUBLE) AS score, 1 AS depth, CAST(c AS DOUBLE) AS confidence FROM l1 UNION ALL SELECT id, 0.9, 0, 1.0 FROM roots""")
-def relation_expansion(spark, d):
+_EXPANSION = """, roots AS (SELECT id, CASE WHEN s_suppkey = 1 THEN 0.9 ELSE 0.95 END AS score FROM files WHERE s_suppkey IN (1, 2)),
+ways AS (SELECT source_id AS a, target_id AS b, relationship_type AS t, confidence AS c, id FROM edges WHERE relationship_type <> 'defines' UNION ALL SELECT target_id, source_id, relationship_type, confidence, id FROM edges WHERE relationship_type <> 'defines'),
+m1 AS (SELECT b, a, t, ways.id, least(score, c) AS s, row_number() OVER (ORDER BY -score, a, t, b, ways.id) AS place FROM ways JOIN roots ON a = roots.id WHERE b NOT IN (SELECT id FROM roots)),
+l1 AS (SELECT b AS entity_id, arg_min(s, place) AS score, min(place) AS place FROM m1 GROUP BY 1),
+m2 AS (SELECT b, least(score, c) AS s, row_number() OVER (ORDER BY place, t, b, id) AS place FROM ways JOIN l1 ON a = entity_id WHERE b NOT IN (SELECT id FROM roots) AND b NOT IN (SELECT entity_id FROM l1)),
+l2 AS (SELECT b AS entity_id, arg_min(s, place) AS score, min(place) AS place FROM m2 GROUP BY 1),
+known AS (SELECT entity_id, score, 1 AS level, place FROM l1 UNION ALL SELECT entity_id, score, 2, place FROM l2),
+given AS (SELECT b, a, 1 AS depth, t, c, least(score, c) AS cc, ways.id FROM ways JOIN roots ON a = roots.id UNION ALL SELECT b, a, 2, t, c, least(score, c), id FROM ways JOIN l1 ON a = entity_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY cc DESC, depth, a DESC, t, id) AS n FROM given)
+"""
+
+
+def _expansion(spark, d, **more):
     g = commerce(spark, d)
-    roots = _root(g).union(_root(g, 2)).select(F.col("root").alias("entity_id"), F.lit(0.9).alias("score"))
-    return traverse.expand(traverse.adjacency(g, "outgoing", ["references"]), roots, 1).select("entity_id", "score", "depth", "confidence")
+    score = F.when(F.col("name") == f"Supplier#{1:09d}", 0.9).otherwise(0.95)
+    roots = g.files.where(F.col("name").isin(f"Supplier#{1:09d}", f"Supplier#{2:09d}")).select(F.col("id").alias("entity_id"), score.alias("score"))
+    return traverse.expand(traverse.adjacency(g, "both", ["references", "imports"]), roots, 2, **more)
+
+
+@query("relation_expansion", _EXPANSION + """SELECT entity_id, CAST(score AS DOUBLE) AS score, level, depth, a AS from_id, t AS relationship_type, CAST(cc AS DOUBLE) AS candidate_confidence FROM known JOIN best ON b = entity_id AND n = 1
+UNION ALL SELECT id, score, 0, 0, NULL, NULL, NULL FROM roots""")
+def relation_expansion(spark, d):
+    """Two hops from two suppliers: what was found first may owe its evidence to a node of the next level."""
+    return _expansion(spark, d).drop("confidence")
+
+
+@query("relation_expansion_limited", _EXPANSION + """SELECT entity_id, level FROM (SELECT id AS entity_id, 0 AS level, 0 AS place FROM roots UNION ALL SELECT entity_id, level, place FROM known) QUALIFY row_number() OVER (ORDER BY level, place) <= 60""")
+def relation_expansion_limited(spark, d):
+    """The first sixty of the queue."""
+    return _expansion(spark, d, max_candidates=60).select("entity_id", "level")
 
 
 @query("containment_edges", " SELECT parent_id, id AS child_id, 'directory-directory' AS kind FROM directories WHERE parent_id IS NOT NULL UNION SELECT directory_id, id, 'directory-file' FROM files UNION SELECT file_id, id, 'file-symbol' FROM symbols")

@@ -276,3 +276,55 @@ def test_reports(spark, chain):
 def test_violations(spark):
     g = graph(spark, ["a.py"], [("a.py", "f", "function", 5, 2)], [("file:a.py", "x", "odd", 1, 2.0)])
     assert {r.rule for r in violations(g).collect()} == {"line_range", "confidence_range", "relationship_type"}
+
+
+def plain_expansion(edges, candidates, max_depth, most=None):
+    """The queue as plain loops over sorted edges; edges of (source, target, type, confidence, id)."""
+    ways = {}
+    for s, t, kind, c, own in edges:
+        ways.setdefault(s, []).append((kind, t, own, c))
+        if s != t:
+            ways.setdefault(t, []).append((kind, s, own, c))
+        else:
+            ways[s].append((kind, t, own, c))
+    order = sorted(candidates, key=lambda x: (-x[1], x[0]))[:most]
+    known, evidence = {n: (s, 0) for n, s in order}, {}
+    front = list(order)
+    for depth in range(1, max_depth + 1):
+        later = []
+        for node, score in front:
+            for kind, to, own, c in sorted(ways.get(node, [])):
+                if most is not None and len(known) >= most:
+                    return known, evidence
+                if known.get(to, (0, 1))[1] == 0:
+                    continue
+                new = (min(score, c), -depth, node)
+                if to in evidence:
+                    if new > evidence[to][0]:
+                        evidence[to] = (new, kind)
+                    continue
+                known[to], evidence[to] = (new[0], depth), (new, kind)
+                later.append((to, new[0]))
+        front = later
+    return known, evidence
+
+
+def test_expansion_replaces_weaker_evidence(spark):
+    """A later level gives stronger evidence than the one before; random graphs agree with plain loops, with and without a limit."""
+    rng = random.Random(21)
+    cases = [([("a", "b", "calls", 0.2, "e0"), ("a", "c", "calls", 0.9, "e1"), ("c", "b", "imports", 0.9, "e2")], [("a", 0.95)], 2, None)]
+    for most in (None, 4, 7):
+        nodes = [f"n{i}" for i in range(12)]
+        edges = [(rng.choice(nodes), rng.choice(nodes), rng.choice(("calls", "imports")), rng.choice((0.2, 0.5, 0.7, 0.9)), f"e{i:02d}") for i in range(24)]
+        cases.append((edges, [(n, rng.choice((0.4, 0.8))) for n in nodes[:2]], 3, most))
+    for edges, candidates, depth, most in cases:
+        schema = "id string, source_id string, target_id string, relationship_type string, confidence double, metadata map<string,string>"
+        rows = spark.createDataFrame([(own, s, t, kind, c, {}) for s, t, kind, c, own in edges], schema)
+        files = spark.createDataFrame([(n, "d", n, n, "", "source", 1, False, False) for n in sorted({x for e in edges for x in e[:2]} | {c[0] for c in candidates})], "id string, directory_id string, path string, name string, extension string, file_type string, size long, is_generated boolean, is_ignored boolean")
+        g = Graph(spark.createDataFrame([], "id string, path string, name string, parent_id string, depth int, directory_type string"), files, spark.createDataFrame([], "id string, file_id string, name string, kind string, qualified_name string, start_line int, end_line int, parent_symbol_id string, signature string"), rows)
+        got = traverse.expand(traverse.adjacency(g, "both", None), spark.createDataFrame(candidates, "entity_id string, score double"), depth, most).collect()
+        known, evidence = plain_expansion(edges, candidates, depth, most)
+        assert {r.entity_id: (r.score, r.level) for r in got} == known
+        assert {r.entity_id: ((r.candidate_confidence, -r.depth, r.from_id), r.relationship_type) for r in got if r.level} == evidence
+    first = plain_expansion(*cases[0])
+    assert first[0]["b"] == (0.2, 1) and first[1]["b"] == ((0.9, -2, "c"), "imports")
