@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONTAINMENT_TYPES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, Graph, metadata_key
-from ..session import checkpoint
+from ..session import checkpoint, forget, stored
 from . import lookup
 
 STEP = ("rank", "relationship_type", "path", "name", "kind", "to_id", "detail", "edge_id")
@@ -154,49 +154,107 @@ def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", ty
     raise AssertionError
 
 
-def components(pairs: DataFrame) -> DataFrame:
+def _without_chains(edges: DataFrame, cut) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges, chained, rings): ``edges`` (src, dst) with every chain of nodes of one way in and one way out drawn together to one edge.
+
+    ``chained`` (node, a, b) has the ends of the chain that each such node stood on; ``rings`` (node, component)
+    those that have no ends. Pointers to both ends double their reach each round. None where there is no such node.
+    """
+    out = edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("outs"), F.min("dst").alias("b"))
+    back = edges.groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("ins"), F.min("src").alias("a"))
+    inner = cut(out.join(back, "node").where("outs = 1 and ins = 1 and a <> node").select("node", "a", "b"))
+    n = inner.count()
+    if not n:
+        return None
+    ids = inner.select(F.col("node").alias("other"))
+    open_at = lambda df, end: df.join(ids.select(F.col("other").alias(end), F.lit(True).alias(f"{end}_open")), end, "left")
+    now = cut(open_at(open_at(inner, "a"), "b").select("node", "a", "b", F.coalesce("a_open", F.lit(False)).alias("a_open"), F.coalesce("b_open", F.lit(False)).alias("b_open"), F.col("node").alias("low")))
+    reach = 1
+    while reach < n and not now.where("a_open or b_open").isEmpty():
+        ahead = now.select(F.col("node").alias("b"), F.col("b").alias("b2"), F.col("b_open").alias("b2_open"), F.col("low").alias("low2"))
+        behind = now.select(F.col("node").alias("a"), F.col("a").alias("a2"), F.col("a_open").alias("a2_open"))
+        both, last = now.join(ahead, "b", "left").join(behind, "a", "left"), now
+        now = cut(
+            both.select(
+                "node", F.coalesce("a2", "a").alias("a"), F.coalesce("b2", "b").alias("b"),
+                F.coalesce("a2_open", F.lit(False)).alias("a_open"), F.coalesce("b2_open", F.lit(False)).alias("b_open"), F.least("low", F.coalesce("low2", "low")).alias("low"),
+            )
+        )
+        forget(last)
+        reach *= 2
+    whole = now.where("not a_open and not b_open").select("node", "a", "b")
+    inside = ids.withColumnRenamed("other", "src"), ids.withColumnRenamed("other", "dst")
+    kept = edges.join(inside[0], "src", "left_anti").join(inside[1], "dst", "left_anti").select("src", "dst")
+    drawn = kept.unionByName(whole.select(F.col("a").alias("src"), F.col("b").alias("dst"))).distinct()
+    return cut(drawn), whole, now.where("a_open or b_open").select("node", F.col("low").alias("component"))
+
+
+def _least_reaching(pairs: DataFrame, cut) -> DataFrame:
+    """(node, colour): the least node from which a node can be reached, itself included.
+
+    Each round takes the least colour of the nodes one step back, then that of the node it is named
+    after: what reaches a colour's node reaches the node too, so colours leap.
+    """
+    colour = cut(pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct().withColumn("colour", F.col("node")))
+    while True:
+        offered = pairs.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
+        after = cut(colour.join(offered, "node", "left").select("node", F.least("colour", F.coalesce("offer", "colour")).alias("colour"), (F.col("offer") < F.col("colour")).alias("moved")))
+        if after.where("moved").isEmpty():
+            forget(after)
+            return colour
+        forget(colour)
+        leap = after.select(F.col("node").alias("colour"), F.col("colour").alias("onward"))
+        colour = cut(after.select("node", "colour").join(leap, "colour").select("node", F.col("onward").alias("colour")))
+        forget(after)
+
+
+def components(pairs: DataFrame, rounds: list | None = None) -> DataFrame:
     """(node, component) of the strongly connected components of (src, dst); a component's name is its least node.
 
-    Nodes without a way in or out are trimmed first. Then each node takes the least node that
-    reaches it as colour; those of a colour that reach the node it is named after are a component.
+    Nodes without a way in or out are trimmed and chains drawn together, as long as that takes a tenth of the
+    edges; ends of a chain that turn out to be of one component take the chain with them. In what is left each
+    node gets the least node that reaches it as colour, and within a colour the least node that it reaches: where that is the
+    colour's own node, the node belongs to it. ``rounds`` gets an entry for each table that is written on the way.
     """
-    left = checkpoint(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
-    done = left.select(F.col("src").alias("node")).union(left.select("dst")).distinct()
-    every, out = checkpoint(done), []
-    while not left.isEmpty():
-        while True:
-            live = left.select(F.col("src").alias("node")).intersect(left.select(F.col("dst").alias("node")))
-            less = checkpoint(left.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(live.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
-            shrunk, left = less.count() < left.count(), less
-            if not shrunk:
-                break
-        if left.isEmpty():
-            break
-        colour = left.select(F.col("src").alias("node")).distinct().withColumn("colour", F.col("node"))
-        while True:
-            offered = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("offer"))
-            after = checkpoint(colour.join(offered, "node", "left").select("node", F.least("colour", "offer").alias("colour"), (F.col("offer") < F.col("colour")).alias("moved")))
-            moved = after.where("moved").isEmpty()
-            colour = after.select("node", "colour")
-            if moved:
-                break
-        named = colour.select(F.col("node").alias("src"), F.col("colour").alias("cs")).join(left, "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("cd")), "dst").where("cs = cd").select("src", "dst", F.col("cs").alias("colour"))
-        member = front = checkpoint(colour.where("node = colour"))
-        while True:
-            at = front.select(F.col("node").alias("dst"), "colour")
-            front = checkpoint(at.join(named, ["dst", "colour"]).select(F.col("src").alias("node"), "colour").distinct().join(member, ["node", "colour"], "left_anti"))
-            if front.isEmpty():
-                break
-            member = checkpoint(member.unionByName(front))
-        out.append(member.select("node", F.col("colour").alias("component")))
-        left = checkpoint(left.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    single = every
-    for part in out:
-        single = single.join(part, "node", "left_anti")
-    result = single.select("node", F.col("node").alias("component"))
-    for part in out:
-        result = result.unionByName(part)
-    return result
+
+    def cut(df: DataFrame) -> DataFrame:
+        if rounds is not None:
+            rounds.append(1)
+        return stored(df)
+
+    edges = cut(pairs.select("src", "dst").where("src is not null and dst is not null").distinct())
+    every = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct())
+    found, chains = [], []
+    size = edges.count()
+    while size:
+        live = edges.select(F.col("src").alias("node")).intersect(edges.select(F.col("dst").alias("node")))
+        edges = cut(edges.join(live.select(F.col("node").alias("src")), "src", "left_semi").join(live.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst"))
+        drawn = _without_chains(edges, cut)
+        if drawn is not None:
+            edges, chained, rings = drawn
+            chains.append(chained)
+            found.append(rings)
+        before, size = size, edges.count()
+        if not size or size * 10 <= before * 9:
+            continue
+        colour = _least_reaching(edges, cut)
+        of = lambda end: colour.select(F.col("node").alias(end), F.col("colour").alias(f"{end}_colour"))  # noqa: B023, E731
+        within = cut(edges.join(of("src"), "src").join(of("dst"), "dst").where("src_colour = dst_colour").select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+        back = _least_reaching(within, cut).select("node", F.col("colour").alias("low"))
+        member = cut(colour.join(back, "node", "left").where(F.coalesce("low", "node") == F.col("colour")).select("node", F.col("colour").alias("component")))
+        found.append(member)
+        edges = cut(edges.join(member.select(F.col("node").alias("src")), "src", "left_anti").join(member.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        size = edges.count()
+    known = every.limit(0).select("node", F.col("node").alias("component"))
+    for part in found:
+        known = known.unionByName(part)
+    for chained in reversed(chains):
+        of = lambda end: known.select(F.col("node").alias(end), F.col("component").alias(f"{end}_component"))  # noqa: B023, E731
+        a, b = F.coalesce("a_component", "a"), F.coalesce("b_component", "b")
+        known = cut(known.unionByName(chained.join(of("a"), "a", "left").join(of("b"), "b", "left").where(a == b).select("node", a.alias("component"))))
+    named = every.join(known, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("node").alias("least"))
+    return named.join(least, "component").select("node", F.col("least").alias("component"))
 
 
 def cycles(pairs: DataFrame) -> DataFrame:

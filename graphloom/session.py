@@ -53,16 +53,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage into the shared folder of ``spark.checkpoint.dir``; a folder of its own only in local runs without that setting."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; a folder of its own only in local runs without that setting."""
     import re
     import tempfile
 
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.match(r"local($|\[)", context.master):
             raise ValueError("spark.checkpoint.dir must name a shared folder")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage into the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the same shared folder and read again.
+
+    For loops that join a table with itself: a checkpoint keeps the planner's estimate of its size, which such
+    a loop multiplies each round until planning takes all the time; a table that is read has the size of its files.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._graphloom_folder = folder
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes what ``stored`` wrote, once nothing reads it any more."""
+    folder = getattr(df, "_graphloom_folder", None)
+    if folder is not None:
+        at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)

@@ -78,10 +78,27 @@ def test_strong_components_against_brute_force(spark):
         want = {n: min([n, *(m for m in nodes if (n, m) in reach and (m, n) in reach)]) for n in nodes}
         got = {r.node: r.component for r in traverse.components(spark.createDataFrame(list(pairs), "src long, dst long")).collect()}
         assert got == want
+    # Chains between dense parts, chains within a cycle, rings, and loops.
+    pairs = [(0, 1), (1, 0), (1, 20), (20, 21), (21, 22), (22, 5), (5, 6), (6, 7), (7, 30), (30, 31), (31, 5), (6, 5), (40, 41), (41, 42), (42, 40), (50, 50), (5, 60), (60, 61), (7, 7)]
+    got = {r.node: r.component for r in traverse.components(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    groups = {n: n for p in pairs for n in p} | dict.fromkeys((0, 1), 0) | dict.fromkeys((5, 6, 7, 30, 31), 5) | dict.fromkeys((40, 41, 42), 40)
+    assert got == groups
     loop = traverse.cycles(spark.createDataFrame([(1, 1), (2, 3)], "src long, dst long")).collect()
     assert [(r.component, r.size, r.internal_edges) for r in loop] == [(1, 1, 1)]
 
 
+def test_long_chains_and_rings_take_few_rounds(spark):
+    """Ten thousand modules in a row, in a ring, and in a ring with a shortcut, numbered at random."""
+    order = list(range(10_000))
+    random.Random(3).shuffle(order)
+    row = list(zip(order[:-1], order[1:], strict=True))
+    for pairs, size in ((row, 1), ([*row, (order[-1], order[0])], 10_000), ([*row, (order[-1], order[0]), (order[10], order[5000])], 10_000)):
+        rounds = []
+        got = traverse.components(spark.createDataFrame(pairs, "src long, dst long").repartition(4), rounds)
+        assert got.groupBy("component").count().agg({"count": "max", "component": "min"}).first()[0:2] in ((size, 0), (0, size))
+        assert len(rounds) < 40, len(rounds)
+
+
 def test_resolution_of_targets(spark):
     g = graph(spark, ["src/pkg/__init__.py", "src/pkg/m.py", "src/n.py"], [("src/pkg/m.py", "Config", "class", 1, 5), ("src/n.py", "Config", "class", 1, 5), ("src/n.py", "os", "import", 1, 1), ("src/n.py", "run", "function", 7, 9)])
     want = {"src/n.py": "resolved", "./src/n.py": "resolved", "Config": "ambiguous", "pkg.m.Config": "resolved", "pkg.m": "resolved", "pkg": "resolved", "run": "resolved", "os": "not_found", "n.run": "resolved", "zzz": "not_found"}
