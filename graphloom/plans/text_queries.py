@@ -314,13 +314,46 @@ def change_relevance(spark, d):
     return search.change_relevance(e.select(F.col("event_id").alias("commit_hash"), F.col("user_id").cast("string").alias("path")))
 
 
-@query("map_changed_paths", """, s AS (SELECT CASE WHEN s_suppkey % 3 = 0 THEN path || '.new' ELSE path END AS path, CASE WHEN s_suppkey % 6 = 0 THEN path END AS orig_path, id FROM files)
-SELECT path, orig_path, CASE WHEN path LIKE '%.new' AND orig_path IS NULL THEN 'unmatched' ELSE 'matched' END AS match, CASE WHEN path LIKE '%.new' AND orig_path IS NULL THEN NULL ELSE id END AS entity_id FROM s""", COMMERCE)
-def map_changed_paths(spark, d):
+_MAPPED = """, s AS (SELECT 'repo/' || CASE WHEN s_suppkey % 3 = 0 THEN path || '.new' WHEN s_suppkey % 7 = 1 THEN '../' || path ELSE path END AS path, CASE WHEN s_suppkey % 6 = 0 THEN 'repo/' || path END AS orig_path, id, s_suppkey AS k FROM files
+  UNION ALL SELECT 'repo/' || path || '/', NULL, id, NULL FROM directories UNION ALL SELECT 'elsewhere/' || path, NULL, id, NULL FROM directories),
+m AS (SELECT path, orig_path, CASE WHEN path LIKE 'elsewhere/%' OR path LIKE '%../%' THEN NULL ELSE regexp_replace(substr(path, 6), '/$', '') END AS project_path,
+  CASE WHEN path LIKE 'elsewhere/%' OR path LIKE '%../%' OR path LIKE '%.new' THEN NULL ELSE id END AS entity_id, CASE WHEN path LIKE '%../%' THEN 'escapes_root' WHEN path LIKE 'elsewhere/%' THEN 'outside_root' WHEN path LIKE '%.new' THEN 'no_entity' END AS reason,
+  CASE WHEN orig_path IS NOT NULL THEN id END AS orig_entity_id FROM s)
+"""
+
+
+def _mapped(spark, d):
     g = commerce(spark, d)
     number = F.substring("name", -9, 9).cast("int")
-    status = g.files.select(F.when(number % 3 == 0, F.concat("path", F.lit(".new"))).otherwise(F.col("path")).alias("path"), F.when(number % 6 == 0, F.col("path")).alias("orig_path"))
-    return history.map_paths(status, g.files, g.directories)
+    new = F.when(number % 3 == 0, F.concat("path", F.lit(".new"))).when(number % 7 == 1, F.concat(F.lit("../"), "path")).otherwise(F.col("path"))
+    repo = lambda c: F.concat(F.lit("repo/"), c)
+    null = F.lit(None).cast("string")
+    status = g.files.select(repo(new).alias("path"), F.when(number % 6 == 0, repo(F.col("path"))).alias("orig_path"))
+    status = status.unionByName(g.directories.select(F.concat(repo(F.col("path")), F.lit("/")).alias("path"), null.alias("orig_path"))).unionByName(g.directories.select(F.concat(F.lit("elsewhere/"), "path").alias("path"), null.alias("orig_path")))
+    return history.map_paths(status, g.files, g.directories, "/work", "/work/repo")
+
+
+@query("map_changed_paths", _MAPPED + "SELECT path, orig_path, project_path, CASE WHEN entity_id IS NULL THEN 'unmatched' ELSE 'matched' END AS match, entity_id, reason, orig_entity_id FROM m", COMMERCE)
+def map_changed_paths(spark, d):
+    """Changed paths of a repository whose project lies in a folder of it: renames, climbing paths and such outside among them."""
+    return _mapped(spark, d).select("path", "orig_path", "project_path", "match", "entity_id", "reason", "orig_entity_id")
+
+
+@query("mapped_path_counts", _MAPPED + "SELECT count(*) AS total, count(entity_id) AS matched, count(*) - count(entity_id) AS unmatched, 0::BIGINT AS ambiguous, 0::BIGINT AS unavailable, 'partial' AS outcome FROM m", COMMERCE)
+def mapped_path_counts(spark, d):
+    return history.mapping_counts(_mapped(spark, d))
+
+
+@query("paths_after_renames", """WITH e AS (SELECT event_id, user_id, event_type, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id ORDER BY event_id) AS v, count(*) FILTER (event_type = 'signup') OVER (PARTITION BY user_id) AS n FROM events)
+SELECT event_id AS ordinal, 'u' || user_id || '/v' || v AS path, CASE WHEN event_type = 'signup' THEN 'R' ELSE 'M' END AS status, 'u' || user_id || '/v' || n AS current_path FROM e""")
+def paths_after_renames(spark, d):
+    """A user's file is renamed by each signup and changed by what else they do: every change is brought to the file's last name."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
+    v = F.count_if(F.col("event_type") == "signup").over(Window.partitionBy("user_id").orderBy("event_id"))
+    path = lambda n: F.concat(F.lit("u"), "user_id", F.lit("/v"), n)
+    renamed = F.col("event_type") == "signup"
+    changes = e.withColumn("v", v).select(F.col("event_id").alias("ordinal"), path(F.col("v")).alias("path"), F.when(renamed, path(F.col("v") - 1)).alias("old_path"), F.when(renamed, "R").otherwise("M").alias("status"))
+    return history.paths_today(changes).select("ordinal", "path", "status", "current_path")
 
 
 OUTCOMES = """WITH RECURSIVE d AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'blocker' WHEN 'signup' THEN 'warning' ELSE 'info' END AS severity, value < 2 AS incomplete FROM events),

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,31 +16,59 @@ from ..schema import Graph, directory_id, file_id
 from ..session import checkpoint
 from . import parse
 
+#: Rows of a listing that are handed on at once.
+BATCH = 10_000
 LISTING = "path string, is_directory boolean, size bigint, modified_at_ns bigint"
 
 
-def listing(root: str, ignored_files: tuple[str, ...] = ()) -> list[tuple]:
-    """Every directory and regular file below ``root``, sorted; ignored directories and links are passed over.
+def listing(spark: SparkSession, root: str, ignored_files: tuple[str, ...] = ()) -> DataFrame:
+    """path, is_directory, size, modified_at_ns of every directory and regular file below ``root``; ignored directories and links are passed over.
 
-    A walk of names on the driver: Spark's own file listing leaves out names that begin with ``_`` or ``.``.
+    The workers list the directories of a level, which gives the next one; ``root`` must lie where they see it. Names never
+    come to the driver, and a directory of any size is handed on in batches. What vanishes or can't be read
+    meanwhile has no rows. (Spark's own file listing leaves out names that begin with ``_`` or ``.``.)
     """
-    out = [(".", True, 0, 0)]
-    for top, dirs, names in os.walk(root):
-        dirs[:] = sorted(d for d in dirs if d not in classify.IGNORED_DIRECTORIES and not os.path.islink(os.path.join(top, d)))
-        at = os.path.relpath(top, root)
-        rel = lambda name: name if at == "." else f"{at}/{name}".replace(os.sep, "/")  # noqa: B023, E731
-        out += [(rel(d), True, 0, 0) for d in dirs]
-        for name in sorted(names):
-            full = os.path.join(top, name)
-            if name not in ignored_files and os.path.isfile(full) and not os.path.islink(full):
-                info = os.stat(full)
-                out.append((rel(name), False, info.st_size, info.st_mtime_ns))
-    return sorted(out)
+    skipped, unwanted = classify.IGNORED_DIRECTORIES, frozenset(ignored_files)
+
+    def rows(top: str) -> Iterator[tuple]:
+        try:
+            entries = os.scandir(os.path.join(root, top))
+        except OSError:
+            return
+        with entries:
+            for entry in entries:
+                path = entry.name if top == "." else f"{top}/{entry.name}"
+                try:
+                    if entry.is_symlink():
+                        continue
+                    if entry.is_dir():
+                        if entry.name not in skipped:
+                            yield path, True, 0, 0
+                    elif entry.is_file() and entry.name not in unwanted:
+                        info = entry.stat()
+                        yield path, False, info.st_size, info.st_mtime_ns
+                except OSError:
+                    continue
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+        for batch in batches:
+            for top in batch.column("path").to_pylist():
+                found = rows(top)
+                while part := list(itertools.islice(found, BATCH)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part, strict=True), kinds, strict=True)], names=["path", "is_directory", "size", "modified_at_ns"])
+
+    out = level = spark.createDataFrame([(".", True, 0, 0)], LISTING)
+    while True:
+        level = checkpoint(level.where("is_directory").select("path").repartition("path").mapInArrow(run, LISTING))
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
 
 
 def scan(spark: SparkSession, root: str, ignored_files: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
     """(directories, files) of a tree, classified."""
-    rows = spark.createDataFrame(listing(root, ignored_files), LISTING)
+    rows = listing(spark, root, ignored_files)
     path, name = F.col("path"), paths.name_of(F.col("path"))
     top = path == "."
     directories = rows.where("is_directory").select(
@@ -54,8 +85,6 @@ def scan(spark: SparkSession, root: str, ignored_files: tuple[str, ...] = ()) ->
 def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """``files`` (id, path) with content, size, modified_at_ns; read by the workers, so ``root`` must lie where they see it."""
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             held: list[list] = [[], [], []]
             for path in batch.column("path").to_pylist():
@@ -78,6 +107,11 @@ def fingerprints(read: DataFrame) -> DataFrame:
     return read.where("content is not null").select("path", "size", "modified_at_ns", F.sha2("content", 256).alias("content_hash"))
 
 
+def current_fingerprints(spark: SparkSession, root: str, ignored_files: tuple[str, ...] = ()) -> DataFrame:
+    """Fingerprints of the tree as it is now, added files among them."""
+    return fingerprints(contents(spark, root, scan(spark, root, ignored_files)[1]))
+
+
 def analyse(spark: SparkSession, root: str, registry: parse.Registry | None = None) -> Graph:
     """The whole graph of a tree: scanned, parsed and linked."""
     directories, files = scan(spark, root)

@@ -3,7 +3,7 @@
 import subprocess
 
 import pytest
-from graphloom.operators import changes
+from graphloom.operators import changes, history
 from graphloom.schema import Graph
 from graphloom.sources import config, parse, snapshot, tree, vcs
 from graphloom.streaming import history as runs
@@ -149,7 +149,7 @@ def test_version_control(spark, tmp_path):
     git("commit", "-qam", "second")
     git("mv", "b c.py", "d.py")
     write(tmp_path, {"new.py": ""})
-    found = vcs.commits(spark, vcs.log_text(str(tmp_path)))
+    found = vcs.commits(spark, str(tmp_path))
     assert {r.message: len(r.changes) for r in found.collect()} == {"first | change": 2, "second": 1}
     assert {(r.path, r.additions) for r in vcs.changes(found).collect()} == {("a.py", 1), ("b c.py", 2)}
     status = {r.path: r for r in vcs.status(spark, str(tmp_path)).collect()}
@@ -160,6 +160,97 @@ def test_version_control(spark, tmp_path):
             vcs.parse_status(bad)
 
 
+def test_commit_log_by_ranges_and_by_stream(spark, tmp_path):
+    """Partitions of two commits, renames with both names and their own counts, a merge, odd names, a limit; a stream takes each commit once."""
+    repo, out = tmp_path / "r", str(tmp_path / "out")
+    repo.mkdir()
+    tick = iter(range(1, 100))
+
+    def git(*a):
+        at = f"2024-01-01T00:00:{next(tick):02d}+02:00"
+        return subprocess.run(["git", "-C", str(repo), "-c", "user.name=Ä b", "-c", "user.email=a@b", *a], check=True, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin:/usr/local/bin", "GIT_AUTHOR_DATE": at, "GIT_COMMITTER_DATE": at}).stdout
+
+    git("init", "-q", "-b", "main")
+    assert vcs.commits(spark, str(repo)).count() == 0
+
+    def streamed():
+        spark.dataSource.register(vcs.CommitLog)
+        spark.readStream.format("commit_log").option("commits_per_partition", 2).load(str(repo)).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out).awaitTermination(90)
+        return sorted((r.ordinal, r.message) for r in spark.read.schema(vcs.COMMITS).parquet(out).collect())
+
+    def commit(text, files):
+        write(repo, files)
+        git("add", "-A")
+        git("commit", "-qm", text)
+
+    commit("one", {"a.py": "1\n2\n3\n4\n5\n6\n", "é \t.py": "x\n"})
+    commit("two", {"a.py": "1\n2\n3\n4\n5\n6\n7\n"})
+    git("mv", "a.py", "b.py")
+    commit("three", {"b.py": "1\n2\n3\n4\n5\n6\n7\n8\n"})
+    first = streamed()
+    git("checkout", "-qb", "side", "HEAD~1")
+    commit("side", {"s.py": "s\n"})
+    git("checkout", "-q", "main")
+    commit("four", {"c.py": "c\n"})
+    git("merge", "-qm", "merge", "side")
+    git("rm", "-q", "c.py")
+    commit("gone", {})
+    found = {r.message: r for r in vcs.commits(spark, str(repo), commits_per_partition=2).collect()}
+    changed = lambda m: {(c.path, c.old_path, c.status, c.additions, c.deletions) for c in found[m].changes}
+    assert changed("one") == {("a.py", None, "A", 6, 0), ("é \t.py", None, "A", 1, 0)} and changed("two") == {("a.py", None, "M", 1, 0)}
+    assert changed("three") == {("b.py", "a.py", "R", 1, 0)} and changed("merge") == set() and len(found["merge"].parents) == 2 and changed("gone") == {("c.py", None, "D", 0, 1)}
+    assert sorted(r.ordinal for r in found.values()) == list(range(7)) and found["one"].ordinal == 0 and found["gone"].ordinal == 6 and found["one"].author == "Ä b"
+    assert [r.message for r in vcs.commits(spark, str(repo), limit=1).collect()] == ["gone"]
+    assert vcs.commits(spark, str(repo), commits_per_partition=2).rdd.getNumPartitions() == 4
+    after = streamed()
+    assert [m for _, m in first] == ["one", "two", "three"] and after[:3] == first and sorted(o for o, _ in after) == list(range(7)) and {m for _, m in after} == set(found)
+    with pytest.raises(Exception, match="limit must be positive"):
+        vcs.commits(spark, str(repo), limit=0).count()
+
+
+def test_paths_today(spark):
+    """Chains of renames, a name used again, a deletion and a new file of the same name."""
+    events = [(0, "a", None, "A"), (1, "a", None, "M"), (2, "b", "a", "R"), (3, "a", None, "A"), (4, "c", "b", "R"), (5, "a", None, "D"), (6, "a", None, "A"), (7, "d", "a", "R"), (8, "c", None, "M"), (9, "d", "c", "C"), (10, "e", None, "A"), (11, "e", None, "D")]
+    got = {(r.ordinal, r.path): r.current_path for r in history.paths_today(spark.createDataFrame(events, "ordinal long, path string, old_path string, status string")).collect()}
+    assert got == {(0, "a"): "c", (1, "a"): "c", (2, "b"): "c", (3, "a"): None, (4, "c"): "c", (5, "a"): None, (6, "a"): "d", (7, "d"): "d", (8, "c"): "c", (9, "d"): "d", (10, "e"): None, (11, "e"): None}
+    long = [(i, f"p{i}", f"p{i - 1}" if i else None, "R" if i else "A") for i in range(300)]
+    assert {r.current_path for r in history.paths_today(spark.createDataFrame(long, "ordinal long, path string, old_path string, status string")).collect()} == {"p299"}
+
+
+def test_mapped_paths_and_roots(spark):
+    files = spark.createDataFrame([("f1", "src/a.py"), ("f2", "./twice"), ("f3", "old.py")], "id string, path string")
+    directories = spark.createDataFrame([("d1", "src"), ("d2", "twice")], "id string, path string")
+    status = spark.createDataFrame([("p/src/a.py", None), ("p/src/", None), ("p/twice", None), ("./p/new.py", "p/old.py"), ("p", None), ("q/x", None), ("/abs", None), ("C:/x", None), ("p/../x", None), ("p\\src\\a.py", "q/gone.py")], "path string, orig_path string")
+    got = {r.path: (r.match, r.entity_id, r.candidates, r.reason, r.orig_match, r.orig_entity_id) for r in history.map_paths(status, files, directories, "/r", "/r/p/").collect()}
+    assert got == {
+        "p/src/a.py": ("matched", "f1", 1, None, None, None), "p/src/": ("matched", "d1", 1, None, None, None), "p/twice": ("ambiguous", None, 2, None, None, None), "./p/new.py": ("unmatched", None, 0, "no_entity", "matched", "f3"),
+        "p": ("unmatched", None, 0, "no_entity", None, None), "q/x": ("unmatched", None, 0, "outside_root", None, None), "/abs": ("unmatched", None, 0, "escapes_root", None, None), "C:/x": ("unmatched", None, 0, "escapes_root", None, None),
+        "p/../x": ("unmatched", None, 0, "escapes_root", None, None), "p\\src\\a.py": ("matched", "f1", 1, None, None, None),
+    }
+    far = history.map_paths(status, files, directories, "/r", "/other")
+    assert {r.match for r in far.collect()} == {"unavailable"} and history.mapping_counts(far).first().outcome == "blocked"
+    assert history.mapping_counts(history.map_paths(status.where("path = 'p/src/'"), files, directories, "/r", "/r/p")).first().asDict() == {"total": 1, "matched": 1, "unmatched": 0, "ambiguous": 0, "unavailable": 0, "outcome": "success"}
+
+
+def test_listing_is_what_a_walk_finds(spark, tmp_path):
+    import os
+
+    files = {f"d{i}/e{j}/f{k}.py": "x" for i in range(3) for j in range(2) for k in range(2)} | {"__pycache__/c.py": "x", "d0/.git/h": "x", "_x/.y": "z", "top.md": "t", "skip.db": "s"}
+    write(tmp_path, files)
+    (tmp_path / "link.py").symlink_to(tmp_path / "top.md")
+    (tmp_path / "loop").symlink_to(tmp_path)
+    (tmp_path / "empty").mkdir()
+    want = {(".", True, 0)}
+    for top, dirs, names in os.walk(tmp_path):
+        dirs[:] = [d for d in dirs if d not in tree.classify.IGNORED_DIRECTORIES and not os.path.islink(os.path.join(top, d))]
+        at = lambda n, top=top: os.path.relpath(os.path.join(top, n), tmp_path)
+        want |= {(at(d), True, 0) for d in dirs} | {(at(n), False, os.path.getsize(os.path.join(top, n))) for n in names if n != "skip.db" and not os.path.islink(os.path.join(top, n))}
+    got = [(r.path, r.is_directory, r.size) for r in tree.listing(spark, str(tmp_path), ("skip.db",)).collect()]
+    assert set(got) == want and len(got) == len(want) and ("_x/.y", False, 1) in want
+    assert tree.listing(spark, str(tmp_path / "none")).collect()[0].path == "."
+    assert {r.path for r in tree.current_fingerprints(spark, str(tmp_path), ("skip.db",)).collect()} == {p for p, is_dir, _ in want if not is_dir}
+
+
 def test_configuration(tmp_path):
     (tmp_path / "c.toml").write_text('impact_depth = 2\n[packages]\ndefault_policy = "deny"\ndeny = ["a -> b"]\n[[rules]]\nkind = "isolated_component"\nsource = "db"\n')
     found = config.validate(config.load(str(tmp_path / "c.toml")))
