@@ -147,30 +147,12 @@ def preflight(root: str, files: DataFrame | None = None) -> dict:
 
 
 def freshness(reason: str, status: str, has_errors: bool) -> str:
-    """current, stale, incomplete or indeterminate."""
-    if reason in ("missing_metadata", "missing_fingerprints", "missing_current_fingerprints"):
+    """current, stale, incomplete or indeterminate; changed files come before errors, which may be of files that changed."""
+    if reason == "files_changed":
+        return "stale"
+    if reason != "fresh":
         return "indeterminate"
-    if status not in COMPLETE or has_errors:
-        return "incomplete"
-    return "current" if reason == "fresh" else "stale"
-
-
-class NotCurrent(RuntimeError):
-    """The snapshot can't be used; ``state`` says why."""
-
-    def __init__(self, state: str):
-        super().__init__(f"the snapshot is {state}")
-        self.state = state
-
-
-def guarded(assess, refresh, load):
-    """A current snapshot: as it is, or after one refresh; else NotCurrent."""
-    if assess() != "current":
-        refresh()
-        state = assess()
-        if state != "current":
-            raise NotCurrent(state)
-    return load()
+    return "current" if status in COMPLETE and not has_errors else "incomplete"
 
 
 def outcome(diagnostics: DataFrame) -> DataFrame:

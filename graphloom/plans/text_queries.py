@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, tasks
-from ..operators import changes, classify, history, link, metrics, search, structure
+from ..operators import changes, classify, freshness, history, link, metrics, search, structure
 from ..schema import Graph, edge_id
 from ..session import table
 from .bindings import COMMERCE, WEB, commerce, web
@@ -454,3 +454,34 @@ def stable_ids(spark, d):
 def latest_versions(spark, d):
     docs = table(spark, d, "documents")
     return docs.withColumn("o", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n_chars"), F.desc("doc_id")))).where("o = 1").select(F.col("source").alias("path"), "lang")
+
+
+_FRESH = """WITH e AS (SELECT 'r' || user_id % 40 AS repository, ts AS t, CASE event_type WHEN 'purchase' THEN 'cached' WHEN 'signup' THEN 'analysed' WHEN 'error' THEN NULL ELSE 'seen' END AS kind, 'p' || event_id % 25 AS path,
+  CASE WHEN event_id % 25 < 22 THEN 'h' WHEN user_id % 3 = 0 THEN NULL ELSE 'h' || event_id % 2 END AS h, user_id % 40 AS r FROM events),
+last AS (SELECT repository, path, (max({'t': t, 'h': h}) FILTER (kind = 'cached')).h AS a, (max({'t': t, 'h': h}) FILTER (kind = 'seen')).h AS b FROM (SELECT * REPLACE (coalesce(h, '') AS h) FROM e) GROUP BY 1, 2),
+n AS (SELECT repository, count(nullif(a, '')) AS cached, count(*) FILTER (nullif(a, '') <> nullif(b, '')) AS modified, count(*) FILTER (nullif(a, '') IS NULL AND nullif(b, '') IS NOT NULL) AS added, count(*) FILTER (nullif(a, '') IS NOT NULL AND nullif(b, '') IS NULL) AS deleted FROM last GROUP BY 1),
+m AS (SELECT repository, max(CASE WHEN r % 5 = 1 THEN 1 ELSE 2 END) AS v, max(CASE WHEN r % 5 = 2 THEN 'partial' ELSE 'analyzed' END) AS status, max(CASE WHEN r % 5 = 3 THEN 4 ELSE 0 END) AS errors FROM e WHERE kind = 'analysed' GROUP BY 1)
+SELECT repository, coalesce(cached, 0) AS cached, coalesce(modified, 0) AS modified, coalesce(added, 0) AS added, coalesce(deleted, 0) AS deleted,
+  CASE WHEN v IS NULL OR v <> 2 OR (coalesce(cached, 0) = 0 AND added > 0) THEN 'indeterminate' WHEN modified + added + deleted > 0 THEN 'stale' WHEN status = 'partial' OR errors > 0 THEN 'incomplete' ELSE 'current' END AS state,
+  CASE WHEN v IS NULL THEN 'missing_analysis' WHEN v <> 2 THEN 'schema_version_mismatch' WHEN coalesce(cached, 0) = 0 AND added > 0 THEN 'missing_fingerprints'
+    WHEN modified + added + deleted > 0 THEN 'files changed (' || concat_ws(', ', CASE WHEN modified > 0 THEN modified || ' modified' END, CASE WHEN added > 0 THEN added || ' added' END, CASE WHEN deleted > 0 THEN deleted || ' deleted' END) || ')'
+    WHEN status = 'partial' THEN 'analysis_partial' WHEN errors > 0 THEN errors || ' analysis errors recorded' ELSE 'fresh' END AS reason
+FROM (SELECT DISTINCT repository FROM e) LEFT JOIN n USING (repository) LEFT JOIN m USING (repository)"""
+
+
+def freshness_events(spark, d):
+    """The events table as what is heard of forty repositories: analyses, cached hashes and seen ones."""
+    e = table(spark, d, "events")
+    kind = F.when(F.col("event_type") == "purchase", "cached").when(F.col("event_type") == "signup", "analysed").when(F.col("event_type") != "error", "seen")
+    place, r = F.col("event_id") % 25, F.col("user_id") % 40
+    digest = F.when(place < 22, "h").when(F.col("user_id") % 3 != 0, F.concat(F.lit("h"), (F.col("event_id") % 2).cast("string")))
+    told = lambda v: F.when(kind == "analysed", v)
+    return e.select(
+        F.concat(F.lit("r"), r.cast("string")).alias("repository"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"), F.concat(F.lit("p"), place.cast("string")).alias("path"), digest.alias("content_hash"),
+        told(F.when(r % 5 == 2, "partial").otherwise("analyzed")).alias("status"), told(F.when(r % 5 == 1, 1).otherwise(2)).alias("schema_version"), told(F.lit(changes.ANALYZER_VERSION)).alias("analyzer_version"), told(F.when(r % 5 == 3, 4).otherwise(0)).alias("errors"),
+    )
+
+
+@query("repository_freshness", _FRESH)
+def repository_freshness(spark, d):
+    return freshness.assess(freshness_events(spark, d)).select("repository", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cached", "modified", "added", "deleted")), "state", "reason")
