@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..schema import Graph
+from ..schema import REPORT_LIMIT, Graph
+from .order import first_within, positions_within
 
 
 def files_by_path(files: DataFrame, path: str, root: str | None = None) -> DataFrame:
@@ -76,8 +77,8 @@ def _rung(targets: DataFrame, hits: DataFrame, on: Column, rank: int) -> DataFra
     return targets.join(hits, on).select("target", F.lit(rank).alias("rung"), "id", "kind", F.coalesce("path", F.lit("")).alias("path"), "name", F.coalesce("is_import", F.lit(False)).alias("is_import"))
 
 
-def resolve_targets(graph: Graph, targets: DataFrame) -> DataFrame:
-    """What each ``target`` string names: target, status, candidates, id, candidate_ids.
+def resolve_targets(graph: Graph, targets: DataFrame, limit: int = REPORT_LIMIT) -> DataFrame:
+    """What each ``target`` string names: target, status, candidates (all of them), id, candidate_ids (the first ``limit``).
 
     Exact file paths come first. A dotted target is a qualified or module-qualified symbol, then a
     module, then a bare name; any other a bare name, then a module. Definitions beat imports and
@@ -102,7 +103,8 @@ def resolve_targets(graph: Graph, targets: DataFrame) -> DataFrame:
         hits = hits.unionByName(part)
     hits = hits.where(~F.col("is_import")).dropDuplicates(["target", "rung", "id"])
     best = hits.groupBy("target").agg(F.min("rung").alias("rung"))
-    chosen = hits.join(best, ["target", "rung"]).groupBy("target").agg(F.count("*").alias("candidates"), F.sort_array(F.collect_list(F.struct("path", "name", "id"))).alias("c"))
+    listed = first_within(hits.join(best, ["target", "rung"]), "target", "path", "name", "id", limit=limit)
+    chosen = listed.groupBy("target").agg(F.max("total").alias("candidates"), F.sort_array(F.collect_list(F.struct("path", "name", "id"))).alias("c"))
     out = targets.join(chosen, "target", "left")
     status = F.when(F.col("candidates").isNull(), "not_found").when(F.col("candidates") == 1, "resolved").otherwise("ambiguous")
     return out.select("target", status.alias("status"), F.coalesce("candidates", F.lit(0)).alias("candidates"), F.when(F.col("candidates") == 1, F.col("c")[0]["id"]).alias("id"), F.transform("c", lambda x: x["id"]).alias("candidate_ids"))
@@ -146,8 +148,7 @@ def reference_listing(graph: Graph, symbol_ids: DataFrame) -> DataFrame:
     """References to symbols: symbol_id, path, line (null where it isn't a number), edge id, position by (path, line, id)."""
     hits = graph.edges.where("relationship_type = 'references'").join(symbol_ids, F.col("target_id") == F.col("symbol_id"))
     listed = hits.join(graph.files.select(F.col("id").alias("source_id"), "path"), "source_id").select("symbol_id", "path", line_of(F.col("metadata")).alias("line"), "id")
-    order = Window.partitionBy("symbol_id").orderBy("path", F.coalesce("line", F.lit(0)), "id")
-    return listed.withColumn("position", F.row_number().over(order))
+    return positions_within(listed, "symbol_id", "path", F.coalesce("line", F.lit(0)), "id")
 
 
 def relationship_listing(graph: Graph, edges: DataFrame) -> DataFrame:

@@ -32,36 +32,48 @@ def unresolved_imports(files: DataFrame, imports: DataFrame) -> DataFrame:
 
 
 def integrity(graph: Graph) -> DataFrame:
-    """(finding, id, missing): rows that point at nothing or at the wrong kind."""
-    known = graph.vertices().select("id", "kind")
+    """(finding, id, points_at): rows that point at nothing or at the wrong kind.
 
-    def ends(rows: DataFrame, column: str, wanted: tuple[str, ...], finding: str) -> DataFrame:
-        met = rows.where(F.col(column).isNotNull()).join(known.select(F.col("id").alias(column), F.col("kind").alias("found")), column, "left")
-        name = F.when(F.col("found").isNull(), f"missing_{finding}").when(~F.col("found").isin(*wanted), f"invalid_{finding}")
-        return met.select(name.alias("finding"), "id", F.col(column).alias("points_at")).where("finding is not null")
+    All pointers of all tables meet the vertices in one join. Edges other than defines and contains may dangle; these two
+    must lead from a file to a symbol, and from a symbol to a symbol.
+    """
+    def pointers(rows: DataFrame, column: str, role: str, wanted: str, file: str | None = None, kind: str | None = None) -> DataFrame:
+        null = F.lit(None).cast("string")
+        own = F.col(file) if file else null
+        return rows.where(F.col(column).isNotNull()).select("id", F.lit(role).alias("role"), F.lit(wanted).alias("wanted"), F.col(column).alias("points_at"), own.alias("own_file"), (F.lit(kind) if kind else null).alias("edge_kind"))
 
-    held = graph.edges.where(F.col("relationship_type").isin(*CONTAINMENT_TYPES))
-    parents = graph.symbols.select(F.col("id").alias("parent_symbol_id"), F.col("file_id").alias("parent_file"))
-    torn = graph.symbols.join(parents, "parent_symbol_id").where("file_id <> parent_file").select(F.lit("inconsistent_symbol_parent").alias("finding"), "id", F.col("parent_symbol_id").alias("points_at"))
     parts = [
-        ends(graph.directories, "parent_id", ("directory",), "directory_parent"),
-        ends(graph.files, "directory_id", ("directory",), "file_directory"),
-        ends(graph.symbols, "file_id", ("file",), "symbol_file"),
-        ends(graph.symbols, "parent_symbol_id", ("symbol",), "parent_symbol"),
-        torn,
-        ends(graph.edges, "source_id", ("file", "directory", "symbol"), "relationship_endpoint"),
-        ends(graph.edges, "target_id", ("file", "directory", "symbol"), "relationship_endpoint"),
-        ends(held.where("relationship_type = 'defines'"), "source_id", ("file", "directory"), "containment_source").where("finding like 'invalid%'"),
-        ends(held.where("relationship_type = 'contains'"), "source_id", ("symbol", "directory"), "containment_source").where("finding like 'invalid%'"),
-        ends(held, "target_id", ("symbol", "file", "directory"), "containment_target").where("finding like 'invalid%'"),
+        pointers(graph.directories, "parent_id", "directory_parent", "directory"),
+        pointers(graph.files, "directory_id", "file_directory", "directory"),
+        pointers(graph.symbols, "file_id", "symbol_file", "file"),
+        pointers(graph.symbols, "parent_symbol_id", "parent_symbol", "symbol", file="file_id"),
     ]
+    for kind, source in (("defines", "file"), ("contains", "symbol")):
+        held = graph.edges.where(F.col("relationship_type") == kind)
+        parts += [pointers(held, "source_id", "source", source, kind=kind), pointers(held, "target_id", "target", "symbol", kind=kind)]
     if graph.imports is not None:
-        rows = graph.imports.withColumn("id", F.concat_ws(":", F.lit("import"), "file_id", "ordinal"))
-        parts.append(rows.join(graph.files.select(F.col("id").alias("file_id")), "file_id", "left_anti").select(F.lit("missing_import_file").alias("finding"), "id", F.col("file_id").alias("points_at")))
-    out = parts[0]
+        named = graph.imports.withColumn("id", F.concat_ws(":", F.lit("import"), "file_id", "ordinal"))
+        parts.append(pointers(named, "file_id", "import_file", "file"))
+    every = parts[0]
     for part in parts[1:]:
-        out = out.unionByName(part)
-    if graph.status not in COMPLETE:
+        every = every.unionByName(part)
+    met = every.join(graph.vertices().select(F.col("id").alias("points_at"), F.col("kind").alias("found"), F.col("file_id").alias("found_file")), "points_at", "left")
+    role, gone, wrong = F.col("role"), F.col("found").isNull(), F.col("found") != F.col("wanted")
+    of_edge = F.col("edge_kind").isNotNull()
+    finding = (
+        F.when(of_edge, F.when(gone, "missing_relationship_endpoint").when(wrong, "invalid_relationship_endpoint_type"))
+        .when(role == "import_file", F.when(gone | wrong, "missing_import_file"))
+        .when(gone, F.concat(F.lit("missing_"), role))
+        .when(wrong, F.concat(F.lit("invalid_"), role, F.lit("_type")))
+        .when((role == "parent_symbol") & (F.col("found_file") != F.col("own_file")), "inconsistent_symbol_parent")
+    )
+    # What is wrong with an edge is one finding whichever end it is, the source if both, and none where an end is missing.
+    broken = met.select("id", F.when(of_edge, "").otherwise(role).alias("of"), finding.alias("finding"), role.alias("role"), "points_at").where("finding is not null")
+    each = broken.groupBy("id", "of").agg(F.sort_array(F.collect_list(F.struct("role", "points_at", "finding"))).alias("f"))
+    missing = F.filter("f", lambda x: x["finding"] == "missing_relationship_endpoint")
+    said = F.when(F.col("of") != "", F.col("f")).when(F.size(missing) > 0, missing).otherwise(F.slice("f", 1, 1))
+    out = each.select("id", F.explode(said).alias("x")).select(F.col("x.finding").alias("finding"), "id", F.col("x.points_at").alias("points_at"))
+    if graph.status != "analyzed":
         out = out.unionByName(graph.edges.sparkSession.range(1).select(F.lit("incomplete_analysis").alias("finding"), F.lit("project").alias("id"), F.lit(graph.status).alias("points_at")))
     return out
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import CONTAINMENT_TYPES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, Graph, metadata_key
 from ..session import checkpoint, forget, stored
 from . import lookup
+from .order import positions_within
 
 STEP = ("rank", "relationship_type", "path", "name", "kind", "to_id", "detail", "edge_id")
 
@@ -80,8 +81,8 @@ def direct_impact(graph: Graph, targets: DataFrame, direction: str = "both", typ
     rows = hits.join(ends, "other_id", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
     if kinds is not None:
         rows = rows.where(F.col("kind").isin(*kinds))
-    order = Window.partitionBy("entity_id").orderBy("direction", "relationship_type", F.coalesce("path", F.lit("")), "name", "kind", "other_id", metadata_key(F.col("metadata")), "id")
-    return rows.withColumn("position", F.row_number().over(order))
+    order = ("direction", "relationship_type", F.coalesce("path", F.lit("")), "name", "kind", "other_id", metadata_key(F.col("metadata")), "id")
+    return positions_within(rows, "entity_id", *order)
 
 
 def impact(graph: Graph, targets: DataFrame, max_depth: int = IMPACT_DEPTH, direction: str = "both", types=IMPACT_TYPES, kinds=None) -> DataFrame:

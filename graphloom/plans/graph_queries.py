@@ -283,14 +283,38 @@ def containment_edges(spark, d):
     return structure.containment(commerce(spark, d))
 
 
-@query("integrity_findings", """, broken AS (SELECT * FROM edges WHERE target_id NOT IN (SELECT id FROM symbols WHERE p_partkey % 10 = 3))
-SELECT 'missing_symbol_file' AS finding, s.id, file_id AS points_at FROM symbols s JOIN files f ON f.id = file_id WHERE s_suppkey % 10 = 4
-UNION ALL SELECT 'missing_relationship_endpoint', e.id, source_id FROM edges e JOIN files f ON f.id = source_id WHERE s_suppkey % 10 = 4
-UNION ALL SELECT 'missing_relationship_endpoint', e.id, target_id FROM edges e JOIN files f ON f.id = target_id WHERE s_suppkey % 10 = 4""")
+_BROKEN = """, f2 AS (SELECT id, CASE s_suppkey % 10 WHEN 5 THEN 'dir:none' WHEN 6 THEN 'symbol:1' ELSE directory_id END AS directory_id, s_suppkey AS k FROM files WHERE s_suppkey % 10 <> 4),
+d2 AS (SELECT id, CASE WHEN depth = 2 AND length(name) = 8 THEN 'dir:gone' WHEN depth = 2 AND name LIKE '%5' THEN 'symbol:1' ELSE parent_id END AS parent_id FROM directories),
+s2 AS (SELECT id, CASE WHEN p_partkey % 20 = 7 THEN 'dir:AFRICA' ELSE file_id END AS file_id, CASE p_partkey % 20 WHEN 8 THEN 'symbol:gone' WHEN 9 THEN 'dir:AFRICA' WHEN 11 THEN 'symbol:' || (p_partkey + 1) END AS parent, p_partkey AS k FROM symbols),
+e2 AS (SELECT id, source_id, target_id, relationship_type AS t FROM edges UNION ALL SELECT 'c1:' || id, id, 'symbol:' || (k - 1), 'contains' FROM s2 WHERE k % 20 = 13 UNION ALL SELECT 'c2:' || id, id, 'symbol:1', 'contains' FROM f2 UNION ALL SELECT 'd:' || id, id, 'dir:AFRICA', 'defines' FROM d2),
+i2 AS (SELECT id AS file_id, s_suppkey AS k FROM files),
+kinds AS (SELECT id, 'file' AS kind, id AS file_id FROM f2 UNION ALL SELECT id, 'directory', NULL FROM d2 UNION ALL SELECT id, 'symbol', file_id FROM s2),
+held AS (SELECT e2.id, source_id, target_id, a.kind AS ak, b.kind AS bk, CASE t WHEN 'defines' THEN 'file' ELSE 'symbol' END AS want FROM e2 LEFT JOIN kinds a ON a.id = source_id LEFT JOIN kinds b ON b.id = target_id WHERE t IN ('defines', 'contains'))
+SELECT 'incomplete_analysis' AS finding, 'project' AS id, 'partial' AS points_at
+UNION ALL SELECT CASE WHEN v.id IS NULL THEN 'missing_directory_parent' ELSE 'invalid_directory_parent_type' END, d2.id, parent_id FROM d2 LEFT JOIN kinds v ON v.id = parent_id WHERE parent_id IS NOT NULL AND coalesce(v.kind, '') <> 'directory'
+UNION ALL SELECT CASE WHEN v.id IS NULL THEN 'missing_file_directory' ELSE 'invalid_file_directory_type' END, f2.id, directory_id FROM f2 LEFT JOIN kinds v ON v.id = directory_id WHERE coalesce(v.kind, '') <> 'directory'
+UNION ALL SELECT CASE WHEN v.id IS NULL THEN 'missing_symbol_file' ELSE 'invalid_symbol_file_type' END, s2.id, s2.file_id FROM s2 LEFT JOIN kinds v ON v.id = s2.file_id WHERE coalesce(v.kind, '') <> 'file'
+UNION ALL SELECT CASE WHEN v.id IS NULL THEN 'missing_parent_symbol' WHEN v.kind <> 'symbol' THEN 'invalid_parent_symbol_type' ELSE 'inconsistent_symbol_parent' END, s2.id, parent FROM s2 LEFT JOIN kinds v ON v.id = parent WHERE parent IS NOT NULL AND (coalesce(v.kind, '') <> 'symbol' OR v.file_id <> s2.file_id)
+UNION ALL SELECT 'missing_import_file', 'import:' || file_id || ':' || k, file_id FROM i2 WHERE k % 10 = 4
+UNION ALL SELECT 'missing_relationship_endpoint', id, source_id FROM held WHERE ak IS NULL UNION ALL SELECT 'missing_relationship_endpoint', id, target_id FROM held WHERE bk IS NULL
+UNION ALL SELECT 'invalid_relationship_endpoint_type', id, CASE WHEN ak <> want THEN source_id ELSE target_id END FROM held WHERE ak <> want OR (bk <> 'symbol' AND ak IS NOT NULL)"""
+
+
+@query("integrity_findings", _BROKEN)
 def integrity_findings(spark, d):
+    """Every kind of finding, in a graph whose pointers are broken by rule."""
     g = commerce(spark, d)
-    g.files = g.files.where(F.substring("name", -1, 1) != "4")
-    return structure.integrity(g)
+    supplier, part = F.substring("name", -9, 9).cast("int"), F.substring_index("id", ":", -1).cast("int")
+    imports = g.files.select(F.col("id").alias("file_id"), F.lit("m").alias("module_name"), F.lit(None).cast("string").alias("imported_name"), F.lit(None).cast("string").alias("alias"), F.lit(0).alias("level"), supplier.cast("bigint").alias("ordinal"))
+    files = g.files.where(supplier % 10 != 4).withColumn("directory_id", F.when(supplier % 10 == 5, "dir:none").when(supplier % 10 == 6, "symbol:1").otherwise(F.col("directory_id")))
+    nation = F.col("depth") == 2
+    directories = g.directories.withColumn("parent_id", F.when(nation & (F.length("name") == 8), "dir:gone").when(nation & F.col("name").endswith("5"), "symbol:1").otherwise(F.col("parent_id")))
+    next_one = lambda n: F.concat(F.lit("symbol:"), (part + n).cast("string"))
+    symbols = g.symbols.withColumn("file_id", F.when(part % 20 == 7, "dir:AFRICA").otherwise(F.col("file_id")))
+    symbols = symbols.withColumn("parent_symbol_id", F.when(part % 20 == 8, "symbol:gone").when(part % 20 == 9, "dir:AFRICA").when(part % 20 == 11, next_one(1)))
+    more = lambda rows, mark, target, kind: rows.select(F.concat(F.lit(mark), "id").alias("id"), F.col("id").alias("source_id"), target.alias("target_id"), F.lit(kind).alias("relationship_type"), F.lit(1.0).alias("confidence"), F.expr("cast(map() as map<string,string>)").alias("metadata"))
+    edges = g.edges.unionByName(more(symbols.where(part % 20 == 13), "c1:", next_one(-1), "contains")).unionByName(more(files, "c2:", F.lit("symbol:1"), "contains")).unionByName(more(directories, "d:", F.lit("dir:AFRICA"), "defines"))
+    return structure.integrity(Graph(directories, files, symbols, edges, imports, status="partial"))
 
 
 PACKAGES = """, package_of AS (SELECT id AS file_id, regexp_replace(path, '/[^/]*$', '') AS package FROM files), ends AS (SELECT id, id AS file_id FROM files UNION ALL SELECT id, file_id FROM symbols),

@@ -64,7 +64,10 @@ def test_dangling_ends_are_unknown_and_loops_count_twice(spark):
     g = graph(spark, ["a.py"], edges=[("file:a.py", "gone", "calls", 1, 1.0), ("file:a.py", "file:a.py", "calls", 1, 1.0)])
     got = traverse.direct_impact(g, spark.createDataFrame([("file:a.py",)], "entity_id string")).collect()
     assert sorted((r.direction, r.kind) for r in got) == [("incoming", "file"), ("outgoing", "file"), ("outgoing", "unknown")]
-    assert {r.finding for r in structure.integrity(g).collect()} == {"missing_relationship_endpoint"}
+    # Only edges of containment must have both ends.
+    assert structure.integrity(g).count() == 0
+    g = graph(spark, ["a.py"], edges=[("file:a.py", "gone", "defines", 1, 1.0), ("file:a.py", "file:a.py", "contains", 1, 1.0)])
+    assert {r.finding for r in structure.integrity(g).collect()} == {"missing_relationship_endpoint", "invalid_relationship_endpoint_type"}
 
 
 def test_strong_components_against_brute_force(spark):
@@ -344,3 +347,31 @@ def test_expansion_replaces_weaker_evidence(spark):
         assert {r.entity_id: ((r.candidate_confidence, -r.depth, r.from_id), r.relationship_type) for r in got if r.level} == evidence
     first = plain_expansion(*cases[0])
     assert first[0]["b"] == (0.2, 1) and first[1]["b"] == ((0.9, -2, "c"), "imports")
+
+
+def test_ranks_within_a_hub(spark):
+    """A key with half of all rows lies in several ranges, and has the places of one sorted list; the first few come with the count of all."""
+    from graphloom.operators import order
+    from pyspark.sql import Window
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 2 == 0, "hub").otherwise(F.concat(F.lit("k"), F.col("id") % 97)).alias("k"), F.xxhash64("id").alias("v"), "id")
+    df = df.unionByName(spark.createDataFrame([(None, 1, -1), (None, 0, -2)], "k string, v long, id long"))
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = order.positions_within(df, "k", "v", "id")
+        want = df.withColumn("position", F.row_number().over(Window.partitionBy("k").orderBy("v", "id")))
+        assert sorted(map(tuple, got.select("id", "position").collect())) == sorted(map(tuple, want.select("id", "position").collect()))
+        runs = df.orderBy("k", "v", "id").withColumn("r", F.spark_partition_id()).where("k = 'hub'").groupBy("r").count().collect()
+        assert len(runs) > 1 and max(r["count"] for r in runs) < 7000
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    first = order.first_within(df, "k", "v", "id", limit=3)
+    assert {tuple(r) for r in first.select("k", "id", "position").collect()} == {tuple(r) for r in want.where("position <= 3").select("k", "id", "position").collect()}
+    assert first.where("k = 'hub'").first()["total"] == 10_000
+    assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_join_finds_broken_pointers(spark, chain):
+    plan = structure.integrity(chain)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") <= 2
