@@ -2,8 +2,8 @@
 
 A page is cut at block tags into flat blocks. Each block has its words and link density,
 those of its neighbours, and the mark of the nearest telling container (article or main: 1;
-navigation, footer, aside, form, or a name such as "ad" or "comments": -1; none: 0). A
-decision tree, grown from the small labelled table below, tells main text from the rest.
+navigation, footer, aside, form, or a name such as "ad" or "comments": -1; none: 0); an article
+within comments or an aside stays other matter. A decision tree, grown from the small labelled table below, tells main text from the rest.
 """
 
 from __future__ import annotations
@@ -34,6 +34,10 @@ BAD_NAME = frozenset(
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs crumbs sidebar sidebars widget widgets footer masthead topbar toolbar skip share sharing social "
     "comment comments commentlist respond replies disqus newsletter subscribe subscription signup login pagination pager copyright imprint hidden".split()
 )
+#: Names of other matter even as a part of a longer name; other parts of such names can be layout around an article, which a main or article element in it then is.
+FIRM_NAME = frozenset("ad ads adv advert adverts advertisement advertising adsense sponsor sponsored cookie cookies consent gdpr comments commentlist respond replies disqus newsletter popup modal hidden".split())
+#: Parts that say that a page has something, not that an element is it.
+ABOUT_LAYOUT = frozenset("has with no without layout page".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
@@ -54,32 +58,58 @@ class Block:
     density: float = 0.0
 
 
+#: Marks: main text, loosely or firmly other matter.
+GOOD, LOOSE, FIRM = 1, -1, -2
+
+
+def name_mark(own: str) -> int:
+    """What one class or id tells of its element: FIRM or LOOSE other matter, GOOD, or 0.
+
+    ``notice`` tells only as a whole name, and ``comment`` as one or at its beginning: a notice board or an editor's comment is text.
+    """
+    parts = PART.findall(own)
+    if own.replace("-", "").replace("_", "") in GOOD_NAME:
+        return GOOD
+    bad = [p for i, p in enumerate(parts) if p in BAD_NAME and not (len(parts) > 1 and (p in ("notice", "notices") or (p == "comment" and i)))]
+    if not bad or ABOUT_LAYOUT & set(parts):
+        return 0
+    return FIRM if len(parts) == 1 or parts[0] == "comment" or FIRM_NAME & set(bad) else LOOSE
+
+
+def unseen(rest: str) -> bool:
+    """Whether an element says of itself that it isn't shown."""
+    return any(n.lower() == "hidden" or (n.lower() == "style" and "display:none" in v.replace(" ", "").lower()) for n, v in ATTRIBUTE.findall(rest))
+
+
 def mark_of(tag: str, rest: str, within: int) -> int:
-    """1 for a container of main text, -1 for one of other matter, 0 for neither."""
-    if tag in GOOD_TAG:
-        good = 1
-    elif tag in BAD_TAG or (tag == "header" and within <= 0):
-        return -1
-    else:
-        good = 0
-    if not rest or rest.isspace():
-        return good
-    for name, value in ATTRIBUTE.findall(rest):
-        name, value = name.lower(), value.strip("\"'").lower()
-        if name == "role":
-            if value in BAD_ROLE:
-                return -1
-            good = good or int(value in ("main", "article"))
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return -1
-        elif name in ("class", "id"):
-            for own in value.split():
-                parts = set(PART.findall(own))
-                if own.replace("-", "").replace("_", "") in GOOD_NAME:
-                    good = good or 1
-                elif parts & BAD_NAME and good < 1:
-                    return -1
-    return good
+    """The mark of an element in a container of the mark ``within``: firm other matter holds nothing else, loose one can hold a main or article element."""
+    if within == FIRM:
+        return FIRM
+    good = GOOD if tag in GOOD_TAG else 0
+    if tag in BAD_TAG or (tag == "header" and within <= 0):
+        return FIRM
+    told = 0
+    if rest and not rest.isspace() and tag not in ("html", "body"):
+        for name, value in ATTRIBUTE.findall(rest):
+            name, value = name.lower(), value.strip("\"'").lower()
+            if name == "role":
+                if value in BAD_ROLE:
+                    return FIRM
+                good = good or int(value in ("main", "article"))
+            elif (name == "aria-hidden" and value == "true") or unseen(rest):
+                return FIRM
+            elif name in ("class", "id"):
+                for own in value.split():
+                    mark = name_mark(own)
+                    if mark == FIRM and not good:
+                        return FIRM
+                    told = told or mark
+        # What an article is called besides doesn't make it another thing, but a comment that is one stays one.
+        if good and any(name_mark(own) == FIRM for name, value in ATTRIBUTE.findall(rest) if name.lower() in ("class", "id") for own in value.strip("\"'").lower().split()):
+            return FIRM
+    if good:
+        return GOOD
+    return within if within == LOOSE or not told else told
 
 
 def tags(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
@@ -132,8 +162,9 @@ def blocks(page: str) -> list[Block]:
     now = Block()
     stack: list[tuple[str, int]] = []  # name, mark of the nearest telling container
     opened: dict[str, int] = {}
-    heading = item = False
-    anchors = 0
+    heading = item = spoilt = False
+    anchors = deep = 0
+    dark = ""  # the inline element that isn't shown, and how deep it is in others of its name
 
     def close() -> None:
         nonlocal now
@@ -142,13 +173,13 @@ def blocks(page: str) -> list[Block]:
             if now.text:
                 now.words = now.text.count(" ") + 1
                 now.density = min(1.0, now.linked / now.words)
-                now.mark = stack[-1][1] if stack else 0
+                now.mark = -1 if spoilt else max(-1, stack[-1][1]) if stack else 0
                 now.heading, now.item = heading, item
                 found.append(now)
         now = Block()
 
     def hold(text: str) -> None:
-        if text:
+        if text and not dark:
             now.parts.append(text)
             if anchors:
                 now.linked += len(text.split())
@@ -163,13 +194,9 @@ def blocks(page: str) -> list[Block]:
             if not closing and not rest.endswith("/"):
                 shut = re.compile(f"</{name}", re.I).search(page, at)
                 at = shut.start() if shut else len(page)
-        elif name == "a":
-            anchors = 0 if closing else 1
-        elif name == "br":
-            hold(" ")
         elif name in BLOCK:
             close()
-            anchors = 0
+            anchors, dark, spoilt = 0, "", name == "p" and not closing and mark_of(name, rest, 0) < 0
             if name in HEADINGS:
                 heading = not closing
             elif name in ("li", "dt", "dd"):
@@ -177,7 +204,7 @@ def blocks(page: str) -> list[Block]:
             if name != "p" and name not in VOID:
                 if not closing:
                     within = stack[-1][1] if stack else 0
-                    stack.append((name, mark_of(name, rest, within) or within))
+                    stack.append((name, mark_of(name, rest, within)))
                     opened[name] = opened.get(name, 0) + 1
                 elif opened.get(name):
                     while True:
@@ -185,6 +212,15 @@ def blocks(page: str) -> list[Block]:
                         opened[last] -= 1
                         if last == name:
                             break
+        elif dark:
+            deep += name == dark and (-1 if closing else 1)
+            dark = dark if deep else ""
+        elif not closing and name not in VOID and rest and not rest.isspace() and unseen(rest):
+            dark, deep = name, 1
+        elif name == "a":
+            anchors = 0 if closing else 1
+        elif name == "br":
+            hold(" ")
         try:
             tag = scan.send(at)
         except StopIteration:
@@ -211,7 +247,7 @@ def features(found: list[Block]) -> np.ndarray:
     return x
 
 
-#: Small labelled table (features as above, then 1 for main text), from blocks of pages labelled by hand.
+#: Small labelled table (features as above, then 1 for main text): made-up blocks of the usual shapes of pages, labelled by the rule that a reader would use.
 LABELLED = [
     # paragraphs, headings and short lines of a marked article
     (120, 0.00, 60, 0.00, 80, 0.00, 1, 0, 0, 1, 1), (60, 0.05, 9, 0.00, 45, 0.00, 1, 0, 0, 1, 1), (1, 0.00, 40, 0.00, 90, 0.00, 1, 0, 0, 1, 1), (2, 0.00, 1, 0.00, 1, 0.00, 1, 0, 0, 1, 1),
@@ -222,9 +258,9 @@ LABELLED = [
     # its lines beside menus, and single links in it
     (6, 0.00, 30, 0.00, 2, 1.00, 1, 0, 0, 1, 1), (2, 0.00, 45, 0.00, 1, 1.00, 1, 0, 0, 1, 1), (1, 0.00, 2, 1.00, 3, 1.00, 1, 0, 0, 1, 1), (40, 0.00, 12, 0.00, 2, 1.00, 1, 0, 0, 1, 1), (70, 0.05, 1, 1.00, 1, 1.00, 1, 0, 0, 1, 1), (9, 0.00, 3, 1.00, 4, 1.00, 1, 1, 0, 1, 1), (11, 0.20, 2, 1.00, 5, 1.00, 1, 0, 1, 1, 1), (20, 0.00, 9, 0.00, 4, 1.00, 1, 0, 0, 1, 1), (4, 0.00, 80, 0.00, 3, 1.00, 1, 0, 0, 1, 1),
     (7, 0.50, 60, 0.00, 3, 1.00, 1, 0, 0, 1, 1), (55, 0.00, 70, 0.00, 6, 0.90, 1, 0, 0, 1, 1), (3, 0.00, 20, 0.00, 8, 1.00, 1, 1, 0, 1, 1),
-    # menus inside a marked article
-    (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 1, 1, 0), (2, 1.00, 1, 1.00, 2, 1.00, 1, 0, 1, 1, 0), (3, 1.00, 4, 1.00, 3, 1.00, 1, 0, 1, 1, 0), (5, 1.00, 6, 1.00, 4, 1.00, 1, 0, 1, 1, 0),
-    (8, 0.95, 7, 1.00, 9, 1.00, 1, 0, 1, 1, 0), (2, 1.00, 40, 0.00, 3, 1.00, 1, 0, 1, 1, 0), (3, 1.00, 65, 0.00, 2, 1.00, 1, 0, 1, 1, 0), (4, 1.00, 30, 0.00, 4, 1.00, 1, 0, 1, 1, 0), (2, 1.00, 1, 1.00, 2, 1.00, 1, 0, 0, 1, 0),
+    # its lists of links: a menu in it is a nav element or is called one
+    (1, 1.00, 1, 1.00, 1, 1.00, 1, 0, 1, 1, 1), (2, 1.00, 1, 1.00, 2, 1.00, 1, 0, 1, 1, 1), (3, 1.00, 4, 1.00, 3, 1.00, 1, 0, 1, 1, 1), (5, 1.00, 6, 1.00, 4, 1.00, 1, 0, 1, 1, 1),
+    (8, 0.95, 7, 1.00, 9, 1.00, 1, 0, 1, 1, 1), (2, 1.00, 40, 0.00, 3, 1.00, 1, 0, 1, 1, 1), (3, 1.00, 65, 0.00, 2, 1.00, 1, 0, 1, 1, 1), (4, 1.00, 30, 0.00, 4, 1.00, 1, 0, 1, 1, 1), (2, 1.00, 1, 1.00, 2, 1.00, 1, 0, 0, 1, 1),
     # menus, notices, adverts, footers, comments: marked as other matter
     (1, 1.00, 0, 0.00, 1, 1.00, -1, 0, 1, 1, 0), (1, 1.00, 1, 1.00, 8, 0.00, -1, 0, 1, 1, 0), (8, 0.00, 1, 1.00, 10, 0.00, -1, 0, 0, 1, 0), (9, 0.00, 80, 0.00, 0, 0.00, -1, 0, 0, 1, 0),
     (45, 0.00, 80, 0.00, 30, 0.00, -1, 0, 0, 1, 0), (30, 0.00, 45, 0.00, 60, 0.00, -1, 0, 0, 1, 0), (5, 0.00, 12, 0.00, 40, 0.00, -1, 1, 0, 1, 0), (20, 0.10, 6, 0.00, 11, 0.00, -1, 0, 1, 1, 0),

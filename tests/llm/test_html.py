@@ -33,6 +33,27 @@ def test_parts_of_an_article_that_are_none():
     assert html_text.main_text(page) == f"Title\n{LONG.strip()}\na <b> c"
 
 
+def test_comments_asides_and_hidden_text():
+    """Comments and teasers that are article elements, paragraphs called adverts, hidden inline text; lists of links and telling names inside an article stay."""
+    body = f"<article><h1>Title</h1><p>{LONG}</p>"
+    others = [
+        f'<div id="comments"><ol class="comment-list"><li class="comment"><article class="comment-body"><p>{LONG} said</p></article></li></ol></div>',
+        f'<section id="comments"><article class="comment"><p>{LONG} said</p></article></section>',
+        f'<aside><article><h2>Teaser</h2><p>{LONG}</p></article></aside>',
+        f'<p class="ad">{LONG}</p>', f'<p class="cookie-notice">{LONG}</p>', f'<p hidden>{LONG}</p>', f'<div class="sidebar"><main><p>{LONG}</p></main></div>',
+        f'<div role="complementary"><article><p>{LONG}</p></article></div>', f'<article class="comment even"><p>{LONG}</p></article>',
+    ]
+    for other in others:
+        assert html_text.main_text(f"<body>{body}{other}</article></body>") == f"Title\n{LONG.strip()}", other
+        assert html_text.main_text(f"<body>{body}</article>{other}</body>") == f"Title\n{LONG.strip()}", other
+    assert html_text.main_text(f"{body}<p>a <span hidden>b <span>c</span> d</span> e <i style='display: none'>f</i><b hidden>g</p><p>h</p></article>") == f"Title\n{LONG.strip()}\na e\nh"
+    assert html_text.main_text(f'{body}<ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li><li><a href="/c">Three</a></li></ul></article>') == f"Title\n{LONG.strip()}\nOne\nTwo\nThree"
+    for name in ("notice-board", "editor-comment", "has-sidebar", "page-menu-layout"):
+        assert html_text.main_text(f'{body}<section class="{name}"><p>kept</p></section></article>') == f"Title\n{LONG.strip()}\nkept", name
+    for around in ('<body class="single sidebar-right comments-open">', '<div class="content-sidebar-wrap">', '<div id="menu-and-text">'):
+        assert html_text.main_text(f"{around}{body}</article>") == f"Title\n{LONG.strip()}", around
+
+
 def test_edges(spark):
     assert [html_text.main_text(x) for x in (None, "", "<", "<p", "</", "<!--", "<script>", "&#xD800;&")][:7] == [""] * 7
     assert html_text.main_text("<article><p>x" + "y" * 200_000) == "x" + "y" * 200_000
