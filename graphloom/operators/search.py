@@ -89,15 +89,6 @@ def depth_decision(candidates: DataFrame, mode: str | None = None) -> DataFrame:
     return counts.select(F.when(F.col("n") == 0, 0).when((F.col("n") >= 5) | (F.col("strong") >= 3), 2).otherwise(1).alias("depth"))
 
 
-def merge_units(units: DataFrame) -> DataFrame:
-    """Units (entity_id, entity_type, ordinal, relevance, content, facts) merged by entity: highest relevance, first content, distinct facts in order."""
-    ordered = F.array_sort(F.collect_list(F.struct("ordinal", "content", "facts")))
-    rows = units.groupBy("entity_id", "entity_type").agg(F.max("relevance").alias("relevance"), F.min("ordinal").alias("ordinal"), ordered.alias("o"))
-    content = F.get(F.transform(F.filter("o", lambda x: x["content"].isNotNull()), lambda x: x["content"]), F.lit(0))
-    facts = F.array_distinct(F.flatten(F.transform("o", lambda x: F.coalesce(x["facts"], F.array().cast("array<string>")))))
-    return rows.select("entity_id", "entity_type", "ordinal", "relevance", content.alias("content"), facts.alias("facts"))
-
-
 def within_budget(units: DataFrame, most: int = CONTEXT_UNITS) -> DataFrame:
     """The ``most`` units of highest relevance (earlier ordinal first), in their former order (position)."""
     top = units.orderBy(F.desc("relevance"), "ordinal").limit(most)

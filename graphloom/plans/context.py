@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tasks
-from ..operators import search, traverse
+from ..operators import search, traverse, units
 from ..schema import CONTEXT_UNITS, Graph
 from ..session import checkpoint
 
@@ -39,22 +39,22 @@ def candidates(graph: Graph, task: str, changes: DataFrame | None = None) -> Dat
 
 
 def package(graph: Graph, task: str, contents: DataFrame | None = None, changes: DataFrame | None = None, budget: int = CONTEXT_UNITS, depth: str | None = None) -> DataFrame:
-    """The units of a task in order of priority: entity, relevance, content, facts, priority, position.
+    """The units of a task in order of priority: entity, relevance, content, signals, facts, inferences, priority, position.
 
-    The budget is applied before contents are read: its key doesn't depend on them.
+    The budget is applied before facts and contents are read: its key doesn't depend on them.
     """
     ranked = checkpoint(candidates(graph, task, changes))
     hops = search.depth_decision(ranked.select("final_score").withColumnRenamed("final_score", "score"), depth).first()["depth"]
-    adjacent = traverse.adjacency(graph, "both", None)
-    spread = traverse.expand(adjacent, ranked.select("entity_id", F.col("final_score").alias("score")), hops)
-    kinds = graph.vertices().select(F.col("id").alias("entity_id"), F.col("kind").alias("entity_type"), "name", "path")
-    units = spread.join(kinds, "entity_id").select("entity_id", "entity_type", "path", F.col("score").alias("relevance"), "depth", "from_id", F.concat_ws(" ", "entity_type", "name").alias("fact"))
-    order = F.struct("depth", -F.col("relevance"), "entity_type", "entity_id")
-    top = search.within_budget(units.withColumn("ordinal", order), budget)
-    facts = top.withColumn("facts", F.filter(F.array("fact", F.when(F.col("from_id").isNotNull(), F.concat(F.lit("reached from "), "from_id"))), lambda f: f.isNotNull()))
-    facts = facts.withColumn("evidence", F.when(F.col("from_id").isNull(), 1).otherwise(2))
+    spread = traverse.expand(traverse.adjacency(graph, "both", None), ranked.select("entity_id", F.col("final_score").alias("score")), hops)
+    kinds = graph.vertices().select(F.col("id").alias("entity_id"), F.col("kind").alias("entity_type"), "path")
+    order = F.struct("level", -F.col("score"), "entity_type", "entity_id")
+    rows = spread.join(kinds, "entity_id").join(ranked.select("entity_id", "source", "git"), "entity_id", "left")
+    rows = rows.withColumns({"ordinal": order, "relevance": F.col("score"), "source": F.coalesce("source", F.lit("relationship_expansion")), "reason": F.when(F.col("level") > 0, "Relationship-aware repository expansion")})
+    top = checkpoint(search.within_budget(rows, budget))
+    text = F.lit(None).cast("string")
     if contents is not None:
-        facts = facts.join(contents.select("path", F.col("content").cast("string").alias("content")), "path", "left").withColumn("content", F.when(F.col("entity_type") == "file", F.col("content")))
-    else:
-        facts = facts.withColumn("content", F.lit(None).cast("string"))
-    return search.priorities(facts.select("entity_id", "entity_type", "path", "relevance", "content", "facts", "evidence"))
+        top = top.join(contents.select("path", F.col("content").cast("string").alias("content")), "path", "left")
+        text = F.when(F.col("entity_type") == "file", F.col("content"))
+    merged = checkpoint(units.merge_items(units.signals(top).unionByName(units.facts(graph, top))))
+    found = units.nested(top.select("entity_id", "entity_type", "path", "ordinal", "relevance", text.alias("content")), merged)
+    return search.priorities(found.join(units.evidence_counts(merged), units.UNIT, "left").na.fill(0, ["evidence"])).drop("ordinal")

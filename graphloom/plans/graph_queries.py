@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lookup, search, structure, traverse, usage
+from ..operators import lookup, search, structure, traverse, units, usage
 from ..schema import Graph, edge_id
 from ..session import table
 from . import reports
@@ -278,6 +278,28 @@ def relation_expansion_limited(spark, d):
     return _expansion(spark, d, max_candidates=60).select("entity_id", "level")
 
 
+@query("selection_signals", _EXPANSION + """, reached AS (SELECT entity_id, score, depth, a, t, cc FROM known JOIN best ON b = entity_id AND n = 1)
+SELECT id AS entity_id, 'selection' AS name, CAST(score AS DOUBLE) AS number, id AS source_id, 'Selected from search with relevance score ' || printf('%.3f', CAST(score AS DOUBLE)) AS description FROM roots
+UNION ALL SELECT entity_id, 'selection', CAST(score AS DOUBLE), entity_id, 'found; selected from relationship_expansion with relevance score ' || printf('%.3f', CAST(score AS DOUBLE)) FROM reached
+UNION ALL SELECT entity_id, 'relationship_retrieval', CAST(cc AS DOUBLE), a, 'Retrieved through ' || t || ' relationship at depth ' || depth || '; relationship-aware repository expansion' FROM reached""")
+def selection_signals(spark, d):
+    """Why each unit of an expansion is there."""
+    reached = F.col("level") > 0
+    rows = _expansion(spark, d).withColumns({"entity_type": F.lit("symbol"), "ordinal": F.lit(0), "source": F.when(reached, "relationship_expansion").otherwise("search"), "reason": F.when(reached, "found"), "git": F.lit(0.0)})
+    return units.signals(rows).select("entity_id", "name", "number", "source_id", "description")
+
+
+@query("unit_facts", """, f AS (SELECT id, unnest(['file_path', 'file_type', 'extension', 'size', 'generated', 'ignored']) AS name, unnest([path, 'source', '', size::VARCHAR, 'False', 'False']) AS value, 'file metadata: ' || path AS description FROM files),
+s AS (SELECT id, unnest(['symbol_name', 'symbol_kind', 'start_line', 'end_line', 'qualified_name', 'signature']) AS name, unnest([name, kind, start_line::VARCHAR, end_line::VARCHAR, qualified_name, signature]) AS value, 'symbol metadata: ' || symbols.name AS description FROM symbols),
+e AS (SELECT unnest(CASE WHEN source_id = target_id THEN [source_id] ELSE [source_id, target_id] END) AS id, relationship_type || ':' || source_id || ':' || target_id AS value, 'relationship: ' || relationship_type AS description FROM edges)
+SELECT id AS entity_id, name, value, description FROM f UNION ALL SELECT * FROM s UNION ALL SELECT id, 'relationship', value, description FROM e""")
+def unit_facts(spark, d):
+    """What the graph says of every file and symbol."""
+    g = commerce(spark, d)
+    rows = g.vertices().where("kind <> 'directory'").select(F.col("id").alias("entity_id"), F.col("kind").alias("entity_type"), F.lit(0).alias("ordinal"))
+    return units.facts(g, rows).select("entity_id", "name", "value", "description")
+
+
 @query("containment_edges", " SELECT parent_id, id AS child_id, 'directory-directory' AS kind FROM directories WHERE parent_id IS NOT NULL UNION SELECT directory_id, id, 'directory-file' FROM files UNION SELECT file_id, id, 'file-symbol' FROM symbols")
 def containment_edges(spark, d):
     return structure.containment(commerce(spark, d))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, tasks
-from ..operators import changes, classify, freshness, history, link, metrics, search, structure
+from ..operators import changes, classify, freshness, history, link, metrics, search, structure, units
 from ..schema import Graph, edge_id
 from ..session import table
 from .bindings import COMMERCE, WEB, commerce, web
@@ -184,8 +184,22 @@ def priority_order(spark, d):
 
 @query("merge_units", "SELECT source AS entity_id, CAST(max(n_chars) AS DOUBLE) AS relevance, arg_min(lang, doc_id) AS content, string_agg(DISTINCT lang, ',' ORDER BY lang) AS facts FROM documents GROUP BY 1")
 def merge_units(spark, d):
-    units = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.lit("file").alias("entity_type"), F.col("doc_id").alias("ordinal"), F.col("n_chars").cast("double").alias("relevance"), F.col("lang").alias("content"), F.array("lang").alias("facts"))
-    return search.merge_units(units).select("entity_id", "relevance", "content", F.array_join(F.array_sort("facts"), ",").alias("facts"))
+    null = lambda kind: F.lit(None).cast(kind)
+    docs = table(spark, d, "documents").select(F.col("source").alias("entity_id"), F.lit("file").alias("entity_type"), F.col("doc_id").alias("ordinal"), F.col("n_chars").cast("double").alias("relevance"), F.col("lang").alias("content"))
+    items = docs.select("entity_id", "entity_type", "ordinal", F.lit("fact").alias("kind"), F.lit("000").alias("place"), F.lit("lang").alias("name"), F.col("content").alias("value"), null("double").alias("number"), F.lit(0).alias("at"), F.col("entity_id").alias("source_id"), F.lit("language").alias("description"))
+    facts = units.merge_items(items).groupBy("entity_id").agg(F.array_join(F.array_sort(F.collect_list("value")), ",").alias("facts"))
+    return units.merge(docs).join(facts, "entity_id", "left").select("entity_id", "relevance", "content", "facts")
+
+
+@query("merged_evidence", """WITH e AS (SELECT source AS entity_id, lang AS name, CAST(n_chars % 3 AS DOUBLE) AS number, 'd' || doc_id % 5 AS source_id, min(doc_id) AS p FROM documents GROUP BY ALL)
+SELECT entity_id, name, number, min(p) AS ordinal, count(*) AS pieces, string_agg(source_id, ',' ORDER BY p) AS sources FROM e GROUP BY 1, 2, 3""")
+def merged_evidence(spark, d):
+    """Signals of thousands of units of one entity: each stays once, where it came first, with the ordered union of its evidence."""
+    docs = table(spark, d, "documents")
+    null = F.lit(None).cast("string")
+    items = docs.select(F.col("source").alias("entity_id"), F.lit("file").alias("entity_type"), F.col("doc_id").alias("ordinal"), F.lit("signal").alias("kind"), F.lit("000").alias("place"), F.col("lang").alias("name"), null.alias("value"), (F.col("n_chars") % 3).cast("double").alias("number"), F.lit(0).alias("at"), F.concat(F.lit("d"), (F.col("doc_id") % 5).cast("string")).alias("source_id"), F.lit("seen").alias("description"))
+    each = units.merge_items(items).groupBy("entity_id", "name", "number").agg(F.min("ordinal").alias("ordinal"), F.count("*").alias("pieces"), F.sort_array(F.collect_list(F.struct("at", "source_id"))).alias("e"))
+    return each.select("entity_id", "name", "number", "ordinal", "pieces", F.array_join(F.transform("e", lambda x: x["source_id"]), ",").alias("sources"))
 
 
 @query("context_json", "SELECT CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS VARCHAR) AS json FROM documents")

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..operators.changes import ANALYZER_VERSION, SCHEMA_VERSION
 from ..schema import Graph
@@ -79,6 +80,14 @@ def invalidate(spark: SparkSession, store: str) -> bool:
     return any([fs.delete(_path(spark, f"{store}/{n}"), False) for n in ("_current.json", "_next.json")])
 
 
+def _ordered(value: Column, kind: DataType) -> Column:
+    """``value`` with the fields of all its structs in alphabetical order."""
+    if isinstance(kind, StructType):
+        fields = F.struct(*(_ordered(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)))
+        return F.when(value.isNotNull(), fields)
+    return F.transform(value, lambda x: _ordered(x, kind.elementType)) if isinstance(kind, ArrayType) else value
+
+
 def package_json(units: DataFrame) -> DataFrame:
-    """One JSON text a unit: keys in alphabetical order, no blanks."""
-    return units.select(F.to_json(F.struct(*sorted(units.columns))).alias("json"))
+    """One JSON text a unit: keys in alphabetical order at every level, no blanks, nulls left out."""
+    return units.select(F.to_json(F.struct(*(_ordered(F.col(f.name), f.dataType).alias(f.name) for f in sorted(units.schema.fields, key=lambda f: f.name)))).alias("json"))

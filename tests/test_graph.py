@@ -4,7 +4,7 @@ import random
 
 import pytest
 from graphloom.functions import paths, tasks
-from graphloom.operators import changes, classify, history, link, lookup, metrics, search, structure, traverse, usage
+from graphloom.operators import changes, classify, history, link, lookup, metrics, search, structure, traverse, units, usage
 from graphloom.plans import context, reports
 from graphloom.schema import DIRECTORIES, EDGES, ERRORS, FILES, IMPORTS, REFERENCES, SYMBOLS, Graph, violations
 from pyspark.sql import functions as F
@@ -229,10 +229,47 @@ def test_context_is_ranked_and_within_budget(spark, chain):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
+def plain_merge(rows):
+    """Units as dicts of lists, merged one after another."""
+    out = {}
+    for entity, kind, relevance, content, items in rows:
+        unit = out.setdefault((entity, kind), [relevance, None, {}])
+        unit[0] = max(unit[0], relevance)
+        unit[1] = content if unit[1] is None else unit[1]
+        for group, name, value, evidence in items:
+            held = unit[2].setdefault(group, {}).setdefault((name, value), {})
+            for e in evidence:
+                held.setdefault(e)
+    return {k: (r, c, {g: [(n, v, list(e)) for (n, v), e in i.items()] for g, i in items.items()}) for k, (r, c, items) in out.items()}
+
+
 def test_merged_units(spark):
-    rows = [("x", "file", 2, 0.5, "late", ["b", "a"]), ("x", "file", 1, 0.9, None, ["a"]), ("x", "file", 3, 0.1, "later", None)]
-    r = search.merge_units(spark.createDataFrame(rows, "entity_id string, entity_type string, ordinal long, relevance double, content string, facts array<string>")).first()
-    assert (r.relevance, r.content, r.facts) == (0.9, "late", ["a", "b"])
+    """Random units with repeated signals, facts and inferences: keep-first, ordered unions of evidence, first content, highest relevance."""
+    rng = random.Random(31)
+    rows = []
+    for _ in range(40):
+        items = [(g, rng.choice("pqr"), rng.choice("xy") if g == "fact" else rng.choice((0.25, 0.5)), [(rng.choice("st"), rng.choice("uv")) for _ in range(rng.randrange(1, 4))]) for g in rng.choices(("signal", "fact", "inference"), k=rng.randrange(4))]
+        rows.append((rng.choice("abc"), rng.choice(("file", "symbol")), rng.random(), rng.choice((None, "one", "two")), items))
+    flat = [(e, k, i, g, f"{j:03d}", n, v if g == "fact" else None, None if g == "fact" else v, at, s, d) for i, (e, k, _, _, items) in enumerate(rows) for j, (g, n, v, ev) in enumerate(items) for at, (s, d) in enumerate(ev)]
+    item = spark.createDataFrame(flat, "entity_id string, entity_type string, ordinal int, kind string, place string, name string, value string, number double, at int, source_id string, description string").repartition(3)
+    unit = spark.createDataFrame([(e, k, i, r, c) for i, (e, k, r, c, _) in enumerate(rows)], "entity_id string, entity_type string, ordinal int, relevance double, content string").repartition(3)
+    got = {}
+    for r in units.nested(units.merge(unit), units.merge_items(item)).collect():
+        shown = {g: [(*x[:2], [tuple(e) for e in x[2]]) for x in r[f]] for g, f in (("signal", "signals"), ("fact", "facts"), ("inference", "inferences")) if r[f]}
+        got[r.entity_id, r.entity_type] = (r.relevance, r.content, shown)
+    assert got == plain_merge(rows)
+
+
+def test_package_with_its_evidence(spark, chain):
+    got = {r.entity_id: r for r in context.package(chain, "Fix src/a.py", budget=3).collect()}
+    first, other = got[ids("a")], next(r for r in got.values() if r.position > 1)
+    assert [x.name for x in first.signals] == ["selection"] and first.signals[0].evidence[0].source_id == ids("a")
+    assert [f.value for f in first.facts if f.fact_type == "file_path"] == ["src/a.py"] and {f.fact_type for f in first.facts} >= {"size", "generated", "relationship"}
+    assert all("selected from" in s.evidence[0].description.lower() for r in got.values() for s in r.signals if s.name == "selection") and other.signals
+    from graphloom.sources.snapshot import package_json
+
+    text = package_json(context.package(chain, "Fix src/a.py", budget=1)).first().json
+    assert text.index('"entity_id"') < text.index('"facts":[{"evidence":[{"description"') < text.index('"signals"')
 
 
 def test_diffs(spark):
