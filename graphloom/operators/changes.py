@@ -38,6 +38,29 @@ def invalidation(reason: str) -> str:
     return {"fresh": "none", "files_changed": "paths"}.get(reason, "full")
 
 
+def cache_reasons(metadata: DataFrame, cached: DataFrame, current: DataFrame) -> DataFrame:
+    """(repository, reason, action) of many snapshots at once, by the ladder of ``cache_reason``.
+
+    metadata: repository, schema_version, analyzer_version; cached and current: repository, path, content_hash.
+    """
+    prints = lambda df, name: df.select("repository", "path", F.col("content_hash").alias(name))
+    both = prints(cached, "before").join(prints(current, "after"), ["repository", "path"], "full_outer")
+    counts = both.groupBy("repository").agg(F.count("before").alias("had"), F.count("after").alias("has"), F.count_if(~F.col("before").eqNullSafe(F.col("after"))).alias("changed"))
+    rows = counts.join(metadata, "repository", "full_outer")
+    none = lambda c: F.coalesce(c, F.lit(0)) == 0
+    reason = (
+        F.when(F.col("schema_version").isNull() & F.col("analyzer_version").isNull(), "missing_metadata")
+        .when(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION), "schema_version_mismatch")
+        .when(~F.col("analyzer_version").eqNullSafe(ANALYZER_VERSION), "analyzer_version_mismatch")
+        .when(none("had"), "missing_fingerprints")
+        .when(none("has"), "missing_current_fingerprints")
+        .when(F.col("changed") > 0, "files_changed")
+        .otherwise("fresh")
+    )
+    action = F.when(F.col("reason") == "fresh", "none").when(F.col("reason") == "files_changed", "paths").otherwise("full")
+    return rows.select("repository", reason.alias("reason")).withColumn("action", action)
+
+
 def without_paths(graph: Graph, gone: DataFrame) -> Graph:
     """``graph`` less the files of ``gone`` (path), what they hold, and the edges at either."""
     files = graph.files.join(gone.select("path"), "path", "left_anti").select(graph.files.columns)

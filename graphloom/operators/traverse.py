@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,6 +76,70 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int = 1, types=None,
     return found
 
 
+def bfs_tree(adjacent: DataFrame, starts: DataFrame, max_depth: int, by_id: bool = False) -> DataFrame:
+    """The edge by which each node is first found from the ``starts`` (root, node): root, node, depth, from_id, relationship_type, edge_id, confidence, place.
+
+    A predecessor for each (root, node) and no paths; ``walk`` rebuilds these. The nodes of a level are taken in the order in which they were found
+    (``place``), what each leads to by id; with ``by_id`` they are taken by id, and edges by type and id. Starts themselves have no row.
+    """
+    ways = adjacent.select("from_id", "to_id", F.col("step.relationship_type").alias("relationship_type"), F.col("step.edge_id").alias("edge_id"), "confidence")
+    seen = checkpoint(starts.select("root", "node").distinct())
+    level, found = seen.withColumn("place", F.lit(1)), None
+    order = F.struct(*(["from_id"] if by_id else ["place", "from_id"]), "relationship_type", "edge_id", "confidence")
+    for depth in range(1, max_depth + 1):
+        met = level.join(ways, F.col("node") == F.col("from_id")).select("root", F.col("to_id").alias("node"), order.alias("e"))
+        fresh = met.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("e").alias("e"))
+        fresh = fresh.select("root", "node", F.lit(depth).alias("depth"), *(F.col(f"e.{c}").alias(c) for c in ("from_id", "relationship_type", "edge_id", "confidence")), *((F.lit(None).cast("int").alias("parent_place"),) if by_id else (F.col("e.place").alias("parent_place"),)))
+        fresh = checkpoint(positions_within(fresh, "root", *(("node",) if by_id else ("parent_place", "node")), column="place").drop("parent_place"))
+        if fresh.isEmpty():
+            break
+        found = fresh if found is None else found.unionByName(fresh)
+        seen = checkpoint(seen.unionByName(fresh.select("root", "node")))
+        level = fresh.select("root", "node", "place")
+    if found is None:
+        text = F.lit(None).cast("string")
+        found = level.select("root", "node", F.lit(0).alias("depth"), text.alias("from_id"), text.alias("relationship_type"), text.alias("edge_id"), F.lit(0.0).alias("confidence"), "place").where("false")
+    return found
+
+
+def walk(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The tree's edges on the way to the ``wanted`` (root, node): root, node, hop (1 at the root), from_id, to_id, relationship_type, edge_id."""
+    edges = tree.select("root", F.col("node").alias("to_id"), F.col("depth").alias("hop"), "from_id", "relationship_type", "edge_id")
+    now, out = wanted.select("root", "node", F.col("node").alias("to_id")), None
+    while True:
+        step = checkpoint(now.join(edges, ["root", "to_id"]).select("root", "node", "hop", "from_id", "to_id", "relationship_type", "edge_id"))
+        if out is not None and step.isEmpty():
+            return out
+        out = step if out is None else out.unionByName(step)
+        now = step.select("root", "node", F.col("from_id").alias("to_id"))
+
+
+def store_adjacency(graph: Graph, folder: str, buckets: int = 64) -> str:
+    """Writes the adjacency of all edges by ``BUCKET`` of the node that they lead from, sorted by it, for queries of few nodes; returns the folder."""
+    rows = adjacency(graph, "both", None, first="outgoing").withColumn("bucket", F.pmod(F.xxhash64("from_id"), F.lit(buckets)).cast("int"))
+    rows.withColumn("buckets", F.lit(buckets)).repartition("bucket").sortWithinPartitions("bucket", "from_id").write.mode("overwrite").partitionBy("bucket").parquet(folder)
+    return folder
+
+
+def stored_ways(graph: Graph, folder: str, direction: str, types) -> Callable[[list[str]], DataFrame]:
+    """What leads on from a list of nodes, read from ``store_adjacency``: their buckets alone, and of these the row groups that can hold them."""
+    spark = graph.edges.sparkSession
+    rows = spark.read.parquet(folder)
+    one = rows.select("buckets").first()
+    if direction != "both":
+        rows = rows.where(F.col("direction") == direction)
+    if types is not None:
+        rows = rows.where(F.col("step.relationship_type").isin(*types))
+
+    def of(nodes: list[str]) -> DataFrame:
+        if one is None or not nodes:
+            return rows.where("false").select("from_id", "to_id", "step")
+        asked = spark.createDataFrame([(n,) for n in nodes], "node string").select(F.pmod(F.xxhash64("node"), F.lit(one[0])).cast("int").alias("b")).distinct()
+        return rows.where(F.col("bucket").isin(*(r.b for r in asked.collect())) & F.col("from_id").isin(*nodes)).select("from_id", "to_id", "step")
+
+    return of
+
+
 def direct_impact(graph: Graph, targets: DataFrame, direction: str = "both", types=IMPACT_TYPES, kinds=None) -> DataFrame:
     """Edges at the targets (entity_id) with the vertex at their other end and its position."""
     hits = lookup.edges_of(graph.edges, targets, direction, types)
@@ -113,9 +179,11 @@ def change_impact(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH,
     return merged.join(own, "node", "left").select("node", "min_depth", "roots", F.col("best.path").alias("path"), kind.alias("classification"))
 
 
-def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", types=None, max_depth: int = PATH_DEPTH, max_expansions: int = PATH_EXPANSIONS) -> dict:
+def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", types=None, max_depth: int = PATH_DEPTH, max_expansions: int = PATH_EXPANSIONS, stored_in: str | None = None) -> dict:
     """First path that a breadth-first queue with ordered neighbours finds.
 
+    With ``stored_in``, a folder of ``store_adjacency``, each level reads the buckets of its own nodes (no more than the budget) and no other edges.
+
     Returns status (resolved, no_path_found, depth_limited, expansion_limited), the steps
     and the number of expansions. A level of the queue is ranked by its parents' ranks and the step
     order; what lies past the budget isn't expanded, so a level never holds more than the budget.
@@ -123,9 +191,15 @@ def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", ty
     if start == end:
         return {"status": "resolved", "path": [], "expansions": 0, "exhaustive": True}
     types = types or None
-    adjacent = checkpoint(adjacency(graph, direction, types, first="outgoing").select("from_id", "to_id", "step"))
     spark = graph.edges.sparkSession
-    step = adjacent.schema["step"].dataType.simpleString()
+    if stored_in is None:
+        every = checkpoint(adjacency(graph, direction, types, first="outgoing").select("from_id", "to_id", "step"))
+        ways = lambda _: every
+    else:
+        of = stored_ways(graph, stored_in, direction, types)
+        ways = lambda level: of([r.node for r in level.select("node").collect()])
+        every = of([])
+    step = every.schema["step"].dataType.simpleString()
     level = spark.range(1).select(F.lit(start).alias("node"), F.lit(1).alias("place"), F.array().cast(f"array<{step}>").alias("path"))
     seen = level.select("node")
     spent, limited = 0, False
@@ -136,6 +210,7 @@ def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", ty
         if size > max_expansions - spent:
             level, limited = level.where(F.col("place") <= max_expansions - spent), True
         spent += min(size, max_expansions - spent)
+        adjacent = ways(level)
         if depth == max_depth:
             more = level.join(adjacent, F.col("node") == F.col("from_id")).join(seen.select(F.col("node").alias("to_id")), "to_id", "left_anti")
             status = "expansion_limited" if limited else "no_path_found" if more.isEmpty() else "depth_limited"

@@ -278,6 +278,35 @@ def relation_expansion_limited(spark, d):
     return _expansion(spark, d, max_candidates=60).select("entity_id", "level")
 
 
+_WAYS = """, roots AS (SELECT id FROM files WHERE s_suppkey IN (1, 2, 3)),
+ways AS (SELECT source_id AS a, target_id AS b, relationship_type AS t, id FROM edges WHERE relationship_type <> 'defines' UNION ALL SELECT target_id, source_id, relationship_type, id FROM edges WHERE relationship_type <> 'defines'),
+"""
+
+
+def _trees(spark, d, together: bool):
+    g = commerce(spark, d)
+    ids = g.files.where(F.col("name").isin(*(f"Supplier#{k:09d}" for k in (1, 2, 3)))).select(F.col("id").alias("node"))
+    starts = ids.select((F.lit("task") if together else F.col("node")).alias("root"), "node")
+    return traverse.bfs_tree(traverse.adjacency(g, "both", ["references", "imports"]), starts, 2, by_id=together)
+
+
+@query("grounding_tree", _WAYS + """m1 AS (SELECT b, a, t, id, row_number() OVER (PARTITION BY b ORDER BY a, t, id) AS n FROM ways WHERE a IN (SELECT id FROM roots) AND b NOT IN (SELECT id FROM roots)),
+l1 AS (SELECT * FROM m1 WHERE n = 1), m2 AS (SELECT b, a, t, id, row_number() OVER (PARTITION BY b ORDER BY a, t, id) AS n FROM ways WHERE a IN (SELECT b FROM l1) AND b NOT IN (SELECT id FROM roots) AND b NOT IN (SELECT b FROM l1))
+SELECT b AS node, 1 AS depth, a AS from_id, t AS relationship_type, id AS edge_id FROM l1 UNION ALL SELECT b, 2, a, t, id FROM m2 WHERE n = 1""")
+def grounding_tree(spark, d):
+    """Two hops from three grounded suppliers together, with the edge by which each node is first found."""
+    return _trees(spark, d, True).select("node", "depth", "from_id", "relationship_type", "edge_id")
+
+
+@query("expansion_trees", _WAYS + """m1 AS (SELECT a AS root, b AS node, min(b) AS x FROM ways WHERE a IN (SELECT id FROM roots) AND a <> b GROUP BY 1, 2), l1 AS (SELECT root, node, row_number() OVER (PARTITION BY root ORDER BY node) AS place FROM m1),
+m2 AS (SELECT root, b AS node, min(place) AS p FROM l1 JOIN ways ON a = node WHERE b <> root AND NOT EXISTS (SELECT 1 FROM l1 k WHERE k.root = l1.root AND k.node = b) GROUP BY 1, 2),
+l2 AS (SELECT root, node, p, row_number() OVER (PARTITION BY root ORDER BY p, node) AS place FROM m2)
+SELECT root, node, 1 AS depth, root AS from_id, CAST(place AS INTEGER) AS place FROM l1 UNION ALL SELECT l2.root, l2.node, 2, l1.node, CAST(l2.place AS INTEGER) FROM l2 JOIN l1 ON l1.root = l2.root AND l1.place = p""")
+def expansion_trees(spark, d):
+    """Two hops from each of three suppliers, in the order in which a queue finds them."""
+    return _trees(spark, d, False).select("root", "node", "depth", "from_id", "place")
+
+
 @query("selection_signals", _EXPANSION + """, reached AS (SELECT entity_id, score, depth, a, t, cc FROM known JOIN best ON b = entity_id AND n = 1)
 SELECT id AS entity_id, 'selection' AS name, CAST(score AS DOUBLE) AS number, id AS source_id, 'Selected from search with relevance score ' || printf('%.3f', CAST(score AS DOUBLE)) AS description FROM roots
 UNION ALL SELECT entity_id, 'selection', CAST(score AS DOUBLE), entity_id, 'found; selected from relationship_expansion with relevance score ' || printf('%.3f', CAST(score AS DOUBLE)) FROM reached

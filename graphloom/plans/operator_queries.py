@@ -74,22 +74,22 @@ def content_hashes(spark, d):
     return tree.fingerprints(rows).drop("modified_at_ns")
 
 
-@query(
-    "snapshot_reasons",
-    """SELECT * FROM (VALUES ('as it was', 'fresh', 'none'), ('a part changed', 'files_changed', 'paths'), ('never read', 'missing_current_fingerprints', 'full'), ('no fingerprints', 'missing_fingerprints', 'full'),
-  ('no manifest', 'missing_metadata', 'full'), ('older schema', 'schema_version_mismatch', 'full'), ('other analyzer', 'analyzer_version_mismatch', 'full')) AS t("case", reason, action)""",
-)
+@query("snapshot_reasons", """WITH p AS (SELECT s_suppkey AS r, p_partkey AS k FROM supplier JOIN (SELECT p_partkey, min(l_suppkey) AS s FROM part JOIN lineitem ON l_partkey = p_partkey GROUP BY 1) ON s = s_suppkey),
+n AS (SELECT r, count(*) FILTER (r % 11 <> 4) AS had, count(*) FILTER (r % 11 <> 5) AS has, count(*) FILTER (k % 40 = 7 AND r % 3 = 0) AS changed FROM p GROUP BY 1),
+w AS (SELECT s_suppkey AS r, CASE WHEN s_suppkey % 11 = 1 THEN 'missing_metadata' WHEN s_suppkey % 11 = 2 THEN 'schema_version_mismatch' WHEN s_suppkey % 11 = 3 THEN 'analyzer_version_mismatch' WHEN coalesce(had, 0) = 0 THEN 'missing_fingerprints'
+  WHEN has = 0 THEN 'missing_current_fingerprints' WHEN changed > 0 THEN 'files_changed' ELSE 'fresh' END AS reason FROM supplier LEFT JOIN n ON r = s_suppkey WHERE r IS NOT NULL OR s_suppkey % 11 <> 1)
+SELECT r AS repository, reason, CASE reason WHEN 'fresh' THEN 'none' WHEN 'files_changed' THEN 'paths' ELSE 'full' END AS action FROM w""")
 def snapshot_reasons(spark, d):
-    """K4: why a snapshot of all parts can't be used as it is, and what goes."""
-    known = {"schema_version": changes.SCHEMA_VERSION, "analyzer_version": changes.ANALYZER_VERSION}
-    prints = _k(spark, d).select(F.format_string("src/m%d.py", "k").alias("path"), F.md5("p_name").alias("content_hash"), "k")
-    changed = prints.withColumn("content_hash", F.when(F.col("k") == 7, F.lit("other")).otherwise(F.col("content_hash")))
-    cases = {
-        "as it was": (known, prints, prints), "a part changed": (known, prints, changed), "never read": (known, prints, None), "no fingerprints": (known, prints.limit(0), prints), "no manifest": (None, prints, prints),
-        "older schema": (known | {"schema_version": 0}, prints, prints), "other analyzer": (known | {"analyzer_version": "0"}, prints, prints),
-    }
-    rows = [(case, reason := changes.cache_reason(*given), changes.invalidation(reason)) for case, given in cases.items()]
-    return spark.createDataFrame(rows, "case string, reason string, action string")
+    """K4, K6: why the snapshot of each supplier's parts can't be used as it is, and what goes."""
+    home = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("k")).agg(F.min("l_suppkey").alias("repository"))
+    prints = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.md5("p_name").alias("hash")).join(home, "k").join(table(spark, d, "supplier").select(F.col("s_suppkey").alias("repository")), "repository")
+    prints = prints.select("repository", "k", F.format_string("src/m%d.py", "k").alias("path"), "hash")
+    r = F.col("repository") % 11
+    cached = prints.where(r != 4).select("repository", "path", F.col("hash").alias("content_hash"))
+    current = prints.where(r != 5).select("repository", "path", F.when((F.col("k") % 40 == 7) & (F.col("repository") % 3 == 0), "other").otherwise(F.col("hash")).alias("content_hash"))
+    metadata = table(spark, d, "supplier").select(F.col("s_suppkey").alias("repository")).where(r != 1)
+    metadata = metadata.withColumns({"schema_version": F.when(r == 2, 0).otherwise(changes.SCHEMA_VERSION), "analyzer_version": F.when(r == 3, "0").otherwise(changes.ANALYZER_VERSION)})
+    return changes.cache_reasons(metadata, cached, current)
 
 
 @query("errors_kept", "SELECT 'src/m' || p_partkey || '.py:1: broken' AS message, CAST(p_partkey AS BIGINT) AS ordinal FROM part WHERE p_partkey % 4 <> 0")

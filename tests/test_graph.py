@@ -412,3 +412,56 @@ def test_ranks_within_a_hub(spark):
 def test_one_join_finds_broken_pointers(spark, chain):
     plan = structure.integrity(chain)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") <= 2
+
+
+def plain_path(edges, start, end, most=10):
+    """A queue with neighbours by (outgoing first, type, path, name, kind, id, edge id); files' paths are their ids less ``file:``."""
+    ways = {}
+    for s, t, kind, own in edges:
+        ways.setdefault(s, []).append((0, kind, t.removeprefix("file:"), t, own))
+        ways.setdefault(t, []).append((1, kind, s.removeprefix("file:"), s, own))
+    level, seen = [(start, [])], {start}
+    for _ in range(most):
+        later = []
+        for node, path in level:
+            for w in sorted(ways.get(node, [])):
+                if w[3] not in seen:
+                    seen.add(w[3])
+                    later.append((w[3], [*path, w[4]]))
+        for node, path in later:
+            if node == end:
+                return path
+        level = later
+    return None
+
+
+def test_paths_from_stored_adjacency(spark, tmp_path):
+    """Random graphs: the steps of the path are those of a plain queue, with all edges at hand and from stored buckets; each level reads its own buckets only."""
+    rng = random.Random(17)
+    names = [f"n{i:02d}.py" for i in range(30)]
+    edges = [(f"file:{rng.choice(names)}", f"file:{rng.choice(names)}", rng.choice(("imports", "calls")), i, 1.0) for i in range(45)]
+    g = graph(spark, names, edges=edges)
+    own = {(r.source_id, r.target_id, r.relationship_type): r.id for r in g.edges.collect()}
+    plain = sorted({(s, t, k, own[s, t, k]) for s, t, k, _, _ in edges})
+    folder = traverse.store_adjacency(g, str(tmp_path / "adjacent"), 16)
+    for start, end in rng.sample([(f"file:{a}", f"file:{b}") for a in names for b in names if a != b], 3):
+        want = plain_path(plain, start, end)
+        for stored in (None, folder):
+            got = traverse.find_path(g, start, end, stored_in=stored)
+            assert [s["edge_id"] for s in got["path"]] == (want or []) and (got["status"] == "resolved") == (want is not None)
+    rows = traverse.stored_ways(g, folder, "both", None)(["file:n00.py", "file:n01.py"])
+    assert {r.from_id for r in rows.collect()} <= {"file:n00.py", "file:n01.py"}
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert len({f.split("bucket=")[1].split("/")[0] for f in rows.inputFiles()}) <= 16
+
+
+def test_breadth_first_trees_and_walks(spark, chain):
+    tree = traverse.bfs_tree(traverse.adjacency(chain, "both", None), spark.createDataFrame([("r", ids("a"))], "root string, node string"), 4)
+    paths_ = traverse.walk(tree, tree.select("root", "node")).collect()
+    depth = {r.node: r.depth for r in tree.collect()}
+    for node, n in depth.items():
+        steps = sorted((r.hop, r.from_id, r.to_id) for r in paths_ if r.node == node)
+        assert [h for h, _, _ in steps] == list(range(1, n + 1)) and steps[0][1] == ids("a") and steps[-1][2] == node
+        assert all(x[2] == y[1] for x, y in zip(steps[:-1], steps[1:], strict=True))
+    assert traverse.bfs_tree(traverse.adjacency(chain, "both", None), spark.createDataFrame([("r", "none")], "root string, node string"), 2).count() == 0
