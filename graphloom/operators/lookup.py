@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
-from ..schema import REPORT_LIMIT, Graph
+from ..schema import EXCERPT_LINES, REPORT_LIMIT, Graph
 from .order import first_within, positions_within
 
 
@@ -170,6 +170,27 @@ def excerpts(rows: DataFrame, max_lines: int) -> DataFrame:
     return out.withColumn("excerpt", F.when(ok, text)).withColumn("truncated", ok & (F.col("excerpt_end") < F.col("end_line")))
 
 
+def source_evidence(rows: DataFrame, max_lines: int = EXCERPT_LINES) -> DataFrame:
+    """``rows`` (name, kind, path, start_line, end_line, content, read_state) with status, excerpt, excerpt_end, truncated and header.
+
+    ``read_state`` is what ``tree.read_sources`` says of the file. Status, in this order: invalid_location (no start, or an end before it),
+    missing_file (no path, or no such file), path_outside_root, invalid_path, invalid_file_type, unreadable_file, location_out_of_range (the file
+    is shorter), stale_location (the excerpt doesn't begin with the definition), success. An end past the file's is cut.
+    """
+    if max_lines < 1:
+        raise ValueError("max_lines must be positive")
+    lines = paths.split_lines(F.col("content"))
+    start, end = F.col("start_line"), F.coalesce("end_line", "start_line")
+    failed = F.when(start.isNull() | (start < 1) | (end < start), "invalid_location").when(F.coalesce("path", F.lit("")) == "", "missing_file").when(F.col("read_state") != "read", F.col("read_state")).when(F.size(lines) < start, "location_out_of_range")
+    rows = rows.withColumn("_failed", failed)
+    good = F.col("_failed").isNull()
+    last = F.least(end, F.size(lines))
+    rows = rows.withColumns({"excerpt_end": F.when(good, F.least(last, start + max_lines - 1)), "truncated": good & (last - start + 1 > max_lines)})
+    text = F.array_join(F.slice(lines, start, F.col("excerpt_end") - start + 1), "\n")
+    rows = header_status(rows.withColumn("excerpt", F.when(good, text)))
+    return rows.withColumn("status", F.coalesce("_failed", F.when(F.col("header") == "stale", "stale_location"), F.lit("success"))).drop("_failed")
+
+
 def header_status(rows: DataFrame) -> DataFrame:
     """Whether ``excerpt`` starts with the definition of ``name`` by ``kind``: valid, stale or unsupported.
 

@@ -499,3 +499,19 @@ def freshness_events(spark, d):
 @query("repository_freshness", _FRESH)
 def repository_freshness(spark, d):
     return freshness.assess(freshness_events(spark, d)).select("repository", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("cached", "modified", "added", "deleted")), "state", "reason")
+
+
+@query("source_evidence", """WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l, doc_id % 6 AS st, doc_id % 6 + doc_id % 5 AS en, doc_id % 13 AS k FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, CASE WHEN l[-1] = '' THEN len(l) - 1 ELSE len(l) END AS n FROM d),
+f AS (SELECT *, CASE WHEN st < 1 THEN 'invalid_location' WHEN k = 1 THEN 'missing_file' WHEN k = 2 THEN 'path_outside_root' WHEN k = 3 THEN 'invalid_file_type' WHEN k = 4 THEN 'unreadable_file' WHEN n < st THEN 'location_out_of_range' ELSE 'success' END AS status FROM s)
+SELECT doc_id, status, CASE WHEN status = 'success' THEN array_to_string(l[st:least(least(en, n), st + 1)], chr(10)) END AS excerpt, status = 'success' AND least(en, n) - st + 1 > 2 AS truncated FROM f""")
+def source_evidence(spark, d):
+    """Excerpts of two lines at most from every document, with all that can go wrong with a place."""
+    from ..operators import lookup
+
+    k, n = F.col("doc_id") % 13, F.col("doc_id")
+    state = F.when(k == 2, "path_outside_root").when(k == 3, "invalid_file_type").when(k == 4, "unreadable_file").otherwise("read")
+    rows = table(spark, d, "documents").where("text is not null").select(
+        "doc_id", F.lit("x").alias("name"), F.lit("module").alias("kind"), F.when(k != 1, F.concat(F.lit("d/"), n)).alias("path"), (n % 6).cast("int").alias("start_line"), (n % 6 + n % 5).cast("int").alias("end_line"), F.col("text").alias("content"), state.alias("read_state")
+    )
+    return lookup.source_evidence(rows, 2).select("doc_id", "status", "excerpt", "truncated")

@@ -86,3 +86,39 @@ def resolve(project: dict | None = None, everywhere: dict | None = None) -> dict
     layers = (("project", project or {}), ("global", everywhere or {}), ("default", DEFAULTS))
     keys = dict.fromkeys(k for _, layer in layers for k in layer)
     return {k: next((layer[k], name) for name, layer in layers if layer.get(k) is not None) for k in keys if any(layer.get(k) is not None for _, layer in layers)}
+
+
+def audit(project_path: str | None = None, global_path: str | None = None, known: tuple[str, ...] = tuple(DEFAULTS)) -> dict:
+    """What the two files give together: status (default, valid, invalid), values, precedence, presence and diagnostics.
+
+    Every file is looked at whatever is wrong with the other; a blocker of either leaves no values. ``precedence``
+    says of each key in ``known`` which layer its value is from.
+    """
+    found: dict[str, dict] = {}
+    present, diagnostics = {}, []
+    for layer, path in (("project", project_path), ("global", global_path)):
+        file = Path(path) if path else None
+        present[layer] = file is not None and file.exists()
+        found[layer] = {}
+        if not present[layer]:
+            continue
+        try:
+            if not file.is_file():
+                diagnostics.append(("CONFIG_NOT_A_FILE", path, "it is no file"))
+                continue
+            raw = load(path)
+        except ConfigurationError as error:
+            diagnostics.append(("CONFIG_LOAD_ERROR", path, str(error)))
+            continue
+        except OSError as error:
+            diagnostics.append(("CONFIG_IO_ERROR", path, str(error)))
+            continue
+        try:
+            found[layer] = validate(raw)
+        except ConfigurationError as error:
+            diagnostics += [("CONFIG_VALIDATION_ERROR", path, line) for line in str(error).split("\n")]
+    out = {"present": present, "diagnostics": [{"severity": "blocker", "code": c, "path": p, "message": m, "source": "config"} for c, p, m in diagnostics]}
+    if diagnostics:
+        return out | {"status": "invalid", "values": None, "precedence": {}}
+    values = resolve(found["project"], found["global"])
+    return out | {"status": "valid" if any(present.values()) else "default", "values": {k: v for k, (v, _) in values.items()}, "precedence": {k: values[k][1] for k in known}}

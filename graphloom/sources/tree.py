@@ -102,6 +102,42 @@ def contents(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     return files.select("id", "path").mapInArrow(run, "id string, path string, content binary, size bigint, modified_at_ns bigint")
 
 
+def read_sources(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (path) with content and read_state: read, missing_file, path_outside_root, invalid_path, invalid_file_type or unreadable_file.
+
+    A path is outside where it is absolute or, once its links are followed, doesn't lie below ``root``. Bytes that aren't UTF-8 are replaced.
+    """
+    def read(path: str | None) -> tuple[str | None, str]:
+        if not path:
+            return None, "missing_file"
+        if os.path.isabs(path):
+            return None, "path_outside_root"
+        try:
+            base = os.path.realpath(root)
+            full = os.path.realpath(os.path.join(base, path), strict=False)
+            if os.path.commonpath([base, full]) != base:
+                return None, "path_outside_root"
+            if not os.path.exists(full):
+                return None, "missing_file"
+        except (OSError, ValueError):
+            return None, "invalid_path"
+        if not os.path.isfile(full):
+            return None, "invalid_file_type"
+        try:
+            with open(full, encoding="utf-8", errors="replace", newline="") as file:
+                return file.read(), "read"
+        except OSError:
+            return None, "unreadable_file"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                content, state = read(path)
+                yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([content], pa.string()), pa.array([state])], names=["path", "content", "read_state"])
+
+    return wanted.select("path").distinct().mapInArrow(run, "path string, content string, read_state string")
+
+
 def fingerprints(read: DataFrame) -> DataFrame:
     """path, size, modified_at_ns and sha256 of read files."""
     return read.where("content is not null").select("path", "size", "modified_at_ns", F.sha2("content", 256).alias("content_hash"))

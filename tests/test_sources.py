@@ -261,3 +261,38 @@ def test_configuration(tmp_path):
         config.validate({"packages": {}, "boundaries": {}})
     with pytest.raises(config.ConfigurationError, match="needs a target"):
         config.validate({"rules": [{"kind": "layer_boundary", "source": "a"}]})
+
+
+def test_source_evidence_and_its_guard(spark, tmp_path):
+    from graphloom.operators import lookup
+
+    root = tmp_path / "r"
+    write(root, {"a.py": "import os\n@d\ndef go():\n    return 1\n\nX = 2\n", "dir/b.py": "class B:\r\n    pass\r\n"})
+    write(tmp_path, {"secret.py": "class S: pass\n"})
+    (root / "link.py").symlink_to(tmp_path / "secret.py")
+    (root / "bytes.py").write_bytes(b"class \xff:\n    pass\n")
+    rows = [
+        ("go", "function", "a.py", 2, 4), ("go", "function", "a.py", 6, 6), ("go", "function", "a.py", 9, 9), ("go", "function", "a.py", None, 3), ("go", "function", "a.py", 4, 2), ("X", "constant", "a.py", 6, 60), ("B", "class", "dir/b.py", 1, 2),
+        ("S", "class", "link.py", 1, 1), ("S", "class", "../secret.py", 1, 1), ("S", "class", str(tmp_path / "secret.py"), 1, 1), ("D", "class", "dir", 1, 1), ("N", "class", "none.py", 1, 1), ("N", "class", None, 1, 1), ("N", "class", "bad\0name.py", 1, 1), ("u", "module", "bytes.py", 1, 2),
+    ]
+    asked = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, name string, kind string, path string, start_line int, end_line int")
+    read = tree.read_sources(spark, str(root), asked.where("path is not null"))
+    got = [(r.status, r.excerpt, r.truncated) for r in lookup.source_evidence(asked.join(read, "path", "left"), 2).orderBy("i").collect()]
+    assert [s for s, _, _ in got] == ["success", "stale_location", "location_out_of_range", "invalid_location", "invalid_location", "success", "success", "path_outside_root", "path_outside_root", "path_outside_root", "invalid_file_type", "missing_file", "missing_file", "invalid_path", "success"]
+    assert got[0][1:] == ("@d\ndef go():", True) and got[5][1:] == ("X = 2", False) and got[6][1] == "class B:\n    pass" and all(e is None for s, e, _ in got if s not in ("success", "stale_location"))
+    with pytest.raises(ValueError):
+        lookup.source_evidence(asked, 0)
+
+
+def test_configuration_audit(tmp_path):
+    one, two = tmp_path / "p.toml", tmp_path / "g.toml"
+    assert (found := config.audit(str(one), str(two)))["status"] == "default" and set(found["precedence"].values()) == {"default"} and not any(found["present"].values())
+    one.write_text("impact_depth = 2\n")
+    two.write_text("impact_depth = 9\nreport_limit = 7\n")
+    found = config.audit(str(one), str(two))
+    assert found["status"] == "valid" and found["precedence"] == {"context_budget": "default", "impact_depth": "project", "report_limit": "global"} and found["values"]["impact_depth"] == 2
+    one.write_text("impact_depth = 0\nreport_limit = 'x'\n")
+    two.write_text("= broken")
+    found = config.audit(str(one), str(two))
+    assert found["status"] == "invalid" and found["values"] is None and found["precedence"] == {} and [d["code"] for d in found["diagnostics"]] == ["CONFIG_VALIDATION_ERROR"] * 2 + ["CONFIG_LOAD_ERROR"]
+    assert config.audit(str(tmp_path))["diagnostics"][0]["code"] == "CONFIG_NOT_A_FILE"
