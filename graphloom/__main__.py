@@ -1,6 +1,7 @@
 """Command line: ``python -m graphloom STORE COMMAND [ARGUMENTS]`` prints rows as JSON lines.
 
-``analyse ROOT`` makes the store; all other commands are methods of Project.
+``analyse ROOT`` makes the store and ``preflight ROOT`` says whether it can be made; all other commands are methods of Project.
+Runs of analyse and refresh are recorded in the store.
 """
 
 from __future__ import annotations
@@ -11,13 +12,17 @@ import sys
 
 from pyspark.sql import DataFrame
 
+from .plans import reports
 from .project import AmbiguousTarget, Project
 from .session import session, ship
+from .sources import tree
+from .sources.runs import recorded_run
 
 COMMANDS = {
     "summary": [], "health": [], "diagnostics": [], "cycles": [], "integrity": [], "architecture": [], "unused": [], "package_boundaries": [],
     "search": ["query"], "file": ["path"], "locate": ["name"], "references": ["target"], "relationships": ["target"], "dependencies": ["target"], "dependents": ["target"],
     "traverse": ["target"], "direct_impact": ["target"], "impact": ["target"], "path": ["start", "end"], "context": ["task"], "excerpt": ["target"], "changeset": ["targets"], "checklist": ["targets"], "risk": ["targets"],
+    "status": [], "refresh": [], "cache": [], "history": [], "rule_report": ["config_path"], "post_change": ["targets"], "inspect_change": ["target"],
 }
 
 
@@ -35,6 +40,7 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--root", help="the tree, for commands that read sources")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("analyse").add_argument("tree")
+    commands.add_parser("preflight").add_argument("tree")
     for name, needs in COMMANDS.items():
         sub = commands.add_parser(name)
         for need in needs:
@@ -43,9 +49,18 @@ def main(arguments: list[str] | None = None) -> int:
     spark = session()
     ship(spark)
     if given.command == "analyse":
-        print("\n".join(shown(Project.analyse(spark, given.tree, given.store).summary())))
+        with recorded_run(spark, given.store, "analyse", given.tree):
+            print("\n".join(shown(Project.analyse(spark, given.tree, given.store).summary())))
         return 0
+    if given.command == "preflight":
+        found = reports.preflight(given.tree, tree.scan(spark, given.tree)[1])
+        print("\n".join(shown(found)))
+        return 0 if found["ready"] else 1
     try:
+        if given.command == "refresh":
+            with recorded_run(spark, given.store, "refresh", given.root or ""):
+                print("\n".join(shown(Project.load(spark, given.store, given.root).refresh().summary())))
+            return 0
         project = Project.load(spark, given.store, given.root)
         print("\n".join(shown(getattr(project, given.command)(*[getattr(given, n) for n in COMMANDS[given.command]]))))
     except AmbiguousTarget as error:

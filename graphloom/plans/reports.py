@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..operators import changes, classify, history, lookup, structure, traverse, usage
 from ..schema import COMPLETE, EXCERPT_LINES, IMPACT_DEPTH, REPORT_LIMIT, Graph
+from ..session import checkpoint
 
 
 def import_pairs(graph: Graph) -> DataFrame:
@@ -56,13 +57,14 @@ def tests_for(graph: Graph, targets: DataFrame) -> dict[str, DataFrame]:
     return {"direct": direct, "heuristic": heuristic, "unknown": usage.untested(targets, direct, heuristic)}
 
 
-def checklist(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH) -> DataFrame:
-    """(rank, category, item, detail) of what to run and to look at after a change of ``roots`` (root).
+def checklist(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH, hit: DataFrame | None = None) -> DataFrame:
+    """(rank, category, item, detail) of what to run and to look at after a change of ``roots`` (root); ``hit``: their impact, if it is known.
 
     1 tests linked to what is affected, 2 tests named after it, 3 areas without any test, 4 caveats; two or more
     tests make a run of all of them.
     """
-    affected = traverse.change_impact(graph, roots, max_depth).select(F.col("node").alias("target_id")).union(roots.select("root")).distinct()
+    hit = traverse.change_impact(graph, roots, max_depth) if hit is None else hit
+    affected = hit.select(F.col("node").alias("target_id")).union(roots.select("root")).distinct()
     met = tests_for(graph, affected)
     grouped = lambda df: df.groupBy("test_path").agg(F.array_join(F.array_sort(F.collect_set("target_id")), ", ").alias("detail"))
     direct = grouped(met["direct"]).select(F.lit(1).alias("rank"), F.lit("direct_test").alias("category"), F.col("test_path").alias("item"), "detail")
@@ -74,9 +76,9 @@ def checklist(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH) ->
     return every.unionByName(run).unionByName(areas).unionByName(caveat)
 
 
-def risk_facts(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH) -> DataFrame:
+def risk_facts(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH, hit: DataFrame | None = None) -> DataFrame:
     """(fact, node, text): roots, direct and downstream components with their paths, tests, package crossings."""
-    hit = traverse.change_impact(graph, roots, max_depth)
+    hit = traverse.change_impact(graph, roots, max_depth) if hit is None else hit
     named = graph.vertices().select(F.col("id").alias("node"), "name")
     text = F.array_join(F.transform("path", lambda s: F.concat(s["relationship_type"], F.lit(":"), s["name"])), " => ")
     # A root that another root reaches is listed with what is downstream.
@@ -110,13 +112,14 @@ def post_change(before: Graph, after: Graph, changed_paths: DataFrame, before_pr
     """Everything to know after a change of ``changed_paths`` (path); without them, pass the paths of a status table."""
     sized = lambda g, p: g.files.select("path", "size").join(p.select("path", "content_hash"), "path", "left")
     roots = after.files.join(changed_paths.select("path"), "path", "left_semi").select(F.col("id").alias("root"))
-    facts = risk_facts(after, roots)
+    hit = checkpoint(traverse.change_impact(after, roots))
+    facts = risk_facts(after, roots, hit=hit)
     out = {
         "file_diff": changes.diff_files(sized(before, before_prints), sized(after, after_prints)),
         "symbol_diff": changes.diff_symbols(before, after),
         "edge_diff": changes.diff_edges(changes.keyed_edges(before), changes.keyed_edges(after)),
-        "impact": traverse.change_impact(after, roots),
-        "checklist": checklist(after, roots),
+        "impact": hit,
+        "checklist": checklist(after, roots, hit=hit),
         "risk": risk_concerns(facts, after.status not in COMPLETE),
     }
     if rules:
@@ -124,6 +127,38 @@ def post_change(before: Graph, after: Graph, changed_paths: DataFrame, before_pr
     return out
 
 
+def after_change(graph: Graph, roots: DataFrame, rules: list[dict] | None = None, policy: dict | None = None, state: str = "current", comparison: str = "not_performed", failures: tuple[str, ...] = (), max_depth: int = IMPACT_DEPTH) -> dict[str, DataFrame]:
+    """Impact, checklist, risk, boundaries and rules after a change of ``roots`` (root), and ``summary``, one row with counts and status.
+
+    ``state`` is the freshness of the analysis and ``comparison`` how comparing with an earlier state went (not_performed, completed,
+    incomplete, blocked, failed); ``failures`` names stages that couldn't run. Status: blocked, failed, incomplete, partial (there are findings), success. The impact is walked once.
+    """
+    hit = checkpoint(traverse.change_impact(graph, roots, max_depth))
+    out = {"impact": hit, "checklist": checklist(graph, roots, max_depth, hit), "risk": risk_concerns(risk_facts(graph, roots, max_depth, hit), graph.status not in COMPLETE)}
+    counts = {"risk_concerns": out["risk"].where("severity in ('blocker', 'error', 'warning')")}
+    if policy is not None:
+        of = structure.package_of(graph.files, structure.packages(graph.files)).select("id", "package")
+        out["boundaries"] = structure.policy(structure.patterns(structure.endpoint_packages(graph, of)), policy.get("rules", []), policy.get("default_policy", "unrestricted"))
+        counts["policy_violations"] = out["boundaries"].where("decision in ('deny', 'prohibit')")
+    if rules:
+        out["rules"] = structure.evaluate_rules(graph, rules)
+        counts["rule_violations"] = out["rules"].where("outcome = 'violation'")
+    one = hit.agg(F.count_if(F.col("classification") == "direct").alias("direct"), F.count_if(F.col("classification") == "downstream").alias("downstream")).crossJoin(roots.agg(F.count_distinct("root").alias("roots")))
+    for name in ("risk_concerns", "policy_violations", "rule_violations"):
+        one = one.crossJoin(counts[name].agg(F.count("*").alias(name))) if name in counts else one.withColumn(name, F.lit(0).cast("bigint"))
+    found = F.col("risk_concerns") + F.col("policy_violations") + F.col("rule_violations") > 0
+    if comparison == "blocked":
+        status = F.lit("blocked")
+    elif failures or comparison == "failed":
+        status = F.lit("failed")
+    elif comparison == "incomplete" or state == "incomplete" or graph.status not in COMPLETE:
+        status = F.lit("incomplete")
+    else:
+        status = F.when(found, "partial").otherwise("success")
+    out["summary"] = one.withColumns({"freshness": F.lit(state), "comparison": F.lit(comparison), "status": status})
+    return out
+
+
 def pre_change(graph: Graph, contents: DataFrame, target: str, max_lines: int = EXCERPT_LINES) -> dict[str, DataFrame]:
     """Before a change of ``target``: what it is, its source and header, and its impact. ``contents``: path, content."""
     spark = graph.files.sparkSession

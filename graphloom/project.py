@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import changes, lookup, search, structure, traverse, usage
+from .operators import changes, freshness, history, lookup, search, structure, traverse, usage
 from .plans import context, reports
 from .schema import EXCERPT_LINES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, REPORT_LIMIT, Graph, violations
-from .sources import parse, snapshot, tree
+from .session import checkpoint
+from .sources import config, parse, runs, snapshot, tree
+from .streaming import incremental
 
 
 class AmbiguousTarget(LookupError):
@@ -22,6 +24,7 @@ class AmbiguousTarget(LookupError):
 class Project:
     def __init__(self, spark: SparkSession, graph: Graph, root: str | None = None):
         self.spark, self.graph, self.root = spark, graph, root
+        self.store: str | None = None
 
     @classmethod
     def analyse(cls, spark: SparkSession, root: str, store: str | None = None, registry: parse.Registry | None = None) -> Project:
@@ -37,7 +40,66 @@ class Project:
         graph = snapshot.load(spark, store)
         if graph is None:
             raise FileNotFoundError(f"no snapshot in {store}")
-        return cls(spark, graph, root)
+        out = cls(spark, graph, root)
+        out.store = store
+        return out
+
+    def _kept(self) -> str:
+        if self.store is None or self.root is None:
+            raise ValueError("this needs a store and a tree")
+        return self.store
+
+    def _file_changes(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """(directories, read files, changes by path) of the tree against the store's fingerprints."""
+        directories, files = tree.scan(self.spark, self.root)
+        read = tree.contents(self.spark, self.root, files)
+        cached = snapshot.load_fingerprints(self.spark, self._kept())
+        current = tree.fingerprints(read)
+        return directories, read, changes.file_changes(current.where("false") if cached is None else cached, current)
+
+    def status(self) -> DataFrame:
+        """One row: state and reason of the store's snapshot against the tree as it is, and the numbers of changed files."""
+        found = snapshot.manifest(self.spark, self._kept()) or {}
+        _, _, changed = self._file_changes()
+        n = lambda *kinds: F.count_if(F.col("change").isin(*kinds))
+        row = changed.agg(n("modified", "deleted", "unchanged").alias("cached"), *(n(k).alias(k) for k in ("modified", "added", "deleted")))
+        errors = self.spark.range(1).select(F.lit(0).alias("errors")) if self.graph.errors is None else self.graph.errors.agg(F.count("*").cast("int").alias("errors"))
+        known = {"status": F.lit(self.graph.status), "schema_version": F.lit(found.get("schema_version")).cast("int"), "analyzer_version": F.lit(found.get("analyzer_version")).cast("string")}
+        return freshness.ladder(row.crossJoin(errors).withColumns(known))
+
+    def refresh(self) -> Project:
+        """Parses the files that changed, links again what they concern and publishes the next version of the snapshot."""
+        store = self._kept()
+        directories, read, changed = self._file_changes()
+        some = checkpoint(changed.where("change <> 'unchanged'").select("path"))
+        if not some.isEmpty():
+            versions = some.join(read.select("path", "content"), "path", "left").withColumn("at", F.current_timestamp())
+            graph = incremental.apply_versions(self.graph, versions)
+            graph.directories = directories
+            snapshot.save(self.spark, graph, store, tree.fingerprints(read))
+        return Project.load(self.spark, store, self.root)
+
+    def cache(self) -> dict:
+        """What the store holds: version, schema, analyzer, status, tables."""
+        return snapshot.manifest(self.spark, self._kept()) or {}
+
+    def history(self, limit: int = 10) -> DataFrame:
+        """The latest recorded runs, newest first."""
+        return history.recent_runs(history.latest_runs(runs.recorded(self.spark, self._kept())), limit=limit)
+
+    def post_change(self, targets: list[str], config_path: str | None = None) -> dict[str, DataFrame]:
+        """What to know after a change of ``targets``, with the rules and the package policy of a configuration file."""
+        found = config.validate(config.load(config_path)) if config_path else {}
+        state = self.status().first()["state"] if self.store and self.root else "current"
+        return reports.after_change(self.graph, self._roots(targets), found.get("rules"), found.get("package_policy"), state)
+
+    def inspect_change(self, target: str) -> dict[str, DataFrame]:
+        """What to know before a change of ``target``."""
+        return reports.pre_change(self.graph, self.contents(), target)
+
+    def rule_report(self, config_path: str) -> DataFrame:
+        """The structural rules of a configuration file, evaluated."""
+        return self.rules(config.validate(config.load(config_path))["rules"])
 
     def freshness(self, store: str) -> str:
         """Whether the store's snapshot is current, stale, incomplete or indeterminate against the tree."""
@@ -158,6 +220,4 @@ class Project:
         return {"symbols": changes.diff_symbols(before.graph, self.graph), "edges": changes.diff_edges(changes.keyed_edges(before.graph), changes.keyed_edges(self.graph))}
 
     def diagnostics(self) -> DataFrame:
-        from .operators import history
-
         return history.parse_errors(self.graph.errors).orderBy(F.col("ordinal"))
