@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..schema import EXCERPT_LINES, REPORT_LIMIT, Graph
+from ..session import checkpoint
 from .order import first_within, positions_within
 
 
@@ -124,6 +125,29 @@ def changeset_paths(files: DataFrame, asked: DataFrame, root: str | None = None)
     return met.withColumn("status", status).select(*asked.columns, "status", "id")
 
 
+def changeset_targets(graph: Graph, asked: DataFrame, root: str | None = None, on_disk: DataFrame | None = None, limit: int = REPORT_LIMIT) -> DataFrame:
+    """``asked`` (path) with status, id and candidates: what each path or name of a change set means.
+
+    invalid (blank), outside_root (absolute and not below ``root``, or climbing), resolved (a file of that path, or what ``resolve_targets`` finds), ambiguous,
+    unindexed (not in the snapshot but in ``on_disk``, path), not_found. Repeated rows repeat.
+    """
+    raw = F.trim("path")
+    norm = paths.normalise(raw, root)
+    climbs = norm.isNull() | F.array_contains(F.split(norm, "/"), "..") | norm.rlike("^[A-Za-z]:")
+    bad = F.when(raw.isNull() | (raw == ""), "invalid").when(climbs, "outside_root")
+    rows = asked.select("path").distinct().withColumns({"_norm": norm, "_bad": bad, "_raw": raw})
+    known = graph.files.groupBy(paths.normalise(F.col("path")).alias("_norm")).agg(F.count("*").alias("_n"), F.min("id").alias("_file"))
+    rows = checkpoint(rows.join(known, "_norm", "left"))
+    open_ = rows.where("_bad is null and _n is null")
+    named = resolve_targets(graph, open_.select(F.col("_raw").alias("target")), limit).select(F.col("target").alias("_raw"), F.col("status").alias("_status"), F.col("id").alias("_named"), F.col("candidates").alias("_candidates"))
+    rows = rows.join(named, "_raw", "left")
+    seen = asked.sparkSession.createDataFrame([], "path string") if on_disk is None else on_disk.select("path")
+    rows = rows.join(seen.distinct().select(F.col("path").alias("_norm"), F.lit(True).alias("_there")), "_norm", "left")
+    status = F.coalesce("_bad", F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous"), F.when(F.col("_status") != "not_found", F.col("_status")), F.when(F.col("_there"), "unindexed"), F.lit("not_found"))
+    told = rows.select(F.col("path").alias("_path"), status.alias("status"), F.when(F.col("_bad").isNull(), F.when(F.col("_n") == 1, F.col("_file")).otherwise(F.col("_named"))).alias("id"), F.when(F.col("_bad").isNull(), F.coalesce("_n", "_candidates", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("candidates"))
+    return asked.join(told, asked["path"].eqNullSafe(told["_path"]), "left").drop("_path")
+
+
 def locate_symbols(graph: Graph, name: str, *, file_path: str | None = None, kind: str | None = None, qualified_name: str | None = None) -> DataFrame:
     """Symbols that ``name`` may mean, best rung only; imports stay only where nothing else is found."""
     owners = graph.files.select(F.col("id").alias("file_id"), "path", F.col("name").alias("file_name"), paths.query_module(F.col("path")).alias("module"))

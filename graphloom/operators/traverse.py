@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import CONTAINMENT_TYPES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, Graph, metadata_key
+from ..schema import CONTAINMENT_TYPES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, REPORT_LIMIT, Graph, metadata_key
 from ..session import checkpoint, forget, stored
 from . import lookup
-from .order import positions_within
+from .order import first_within, positions_within
 
 STEP = ("rank", "relationship_type", "path", "name", "kind", "to_id", "detail", "edge_id")
 
@@ -333,12 +333,13 @@ def components(pairs: DataFrame, rounds: list | None = None) -> DataFrame:
     return named.join(least, "component").select("node", F.col("least").alias("component"))
 
 
-def cycles(pairs: DataFrame) -> DataFrame:
-    """Dependency cycles: component, size, members, internal_edges. Single nodes count where they point at themselves."""
+def cycles(pairs: DataFrame, limit: int = REPORT_LIMIT) -> DataFrame:
+    """Dependency cycles: component, size, members (the first ``limit``), internal_edges. Single nodes count where they point at themselves."""
     nodes = components(pairs)
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_component"))
     inner = pairs.select("src", "dst").distinct().join(side("src"), "src").join(side("dst"), "dst").where("src_component = dst_component").groupBy(F.col("src_component").alias("component")).agg(F.count("*").alias("internal_edges"))
-    groups = nodes.groupBy("component").agg(F.count("*").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
+    first = first_within(nodes.join(inner, "component", "left_semi"), "component", "node", limit=limit)
+    groups = first.groupBy("component").agg(F.max("total").alias("size"), F.array_sort(F.collect_list("node")).alias("members"))
     return groups.join(inner, "component").select("component", "size", "members", "internal_edges")
 
 

@@ -307,6 +307,24 @@ def expansion_trees(spark, d):
     return _trees(spark, d, False).select("root", "node", "depth", "from_id", "place")
 
 
+@query("changeset_targets", """, asked AS (SELECT s_suppkey AS k, s_suppkey % 7 AS m, path, id FROM files), names AS (SELECT name, count(*) AS n, min(id) AS one FROM symbols GROUP BY 1), qualified AS (SELECT qualified_name AS q, count(*) AS n, min(id) AS one FROM symbols GROUP BY 1),
+picked AS (SELECT a.k, a.m, a.path, a.id, s.name, s.qualified_name AS q FROM asked a LEFT JOIN symbols s ON s.p_partkey = a.k)
+SELECT k, CASE m WHEN 0 THEN 'resolved' WHEN 1 THEN 'resolved' WHEN 2 THEN CASE WHEN name IS NULL THEN 'invalid' WHEN names.n = 1 THEN 'resolved' ELSE 'ambiguous' END WHEN 3 THEN CASE WHEN q IS NULL THEN 'invalid' WHEN qualified.n = 1 THEN 'resolved' ELSE 'ambiguous' END WHEN 4 THEN 'outside_root' WHEN 5 THEN 'unindexed' ELSE 'not_found' END AS status,
+  CASE WHEN m < 2 THEN id WHEN m = 2 AND names.n = 1 THEN names.one WHEN m = 3 AND qualified.n = 1 THEN qualified.one END AS id, CASE WHEN m < 2 THEN 1 WHEN m = 2 THEN coalesce(names.n, 0) WHEN m = 3 THEN coalesce(qualified.n, 0) ELSE 0 END::BIGINT AS candidates
+FROM picked LEFT JOIN names USING (name) LEFT JOIN qualified USING (q)""".replace("qualified.n", "qn").replace("qualified.one", "qone").replace("AS q, count(*) AS n, min(id) AS one", "AS q, count(*) AS qn, min(id) AS qone"))
+def changeset_targets(spark, d):
+    """A change set of file paths, names, qualified names, climbing paths, files that are only on disk, and nothing at all."""
+    g = commerce(spark, d)
+    key = F.substring("name", -9, 9).cast("int")
+    files = g.files.select(key.alias("k"), "path")
+    symbols = g.symbols.select(F.substring_index("id", ":", -1).cast("int").alias("k"), F.col("name").alias("s_name"), "qualified_name")
+    m = F.col("k") % 7
+    text = F.when(m == 0, F.col("path")).when(m == 1, F.concat(F.lit("/work/"), "path")).when(m == 2, F.coalesce("s_name", F.lit(" "))).when(m == 3, F.coalesce("qualified_name", F.lit(" ")))
+    text = text.when(m == 4, F.concat(F.lit("a/../"), "path")).when(m == 5, F.concat("path", F.lit(".new"))).otherwise(F.concat(F.lit("none"), "k"))
+    asked = files.join(symbols, "k", "left").select("k", text.alias("path"))
+    return lookup.changeset_targets(g, asked, "/work", files.select(F.concat("path", F.lit(".new")).alias("path"))).select("k", "status", "id", "candidates")
+
+
 @query("selection_signals", _EXPANSION + """, reached AS (SELECT entity_id, score, depth, a, t, cc FROM known JOIN best ON b = entity_id AND n = 1)
 SELECT id AS entity_id, 'selection' AS name, CAST(score AS DOUBLE) AS number, id AS source_id, 'Selected from search with relevance score ' || printf('%.3f', CAST(score AS DOUBLE)) AS description FROM roots
 UNION ALL SELECT entity_id, 'selection', CAST(score AS DOUBLE), entity_id, 'found; selected from relationship_expansion with relevance score ' || printf('%.3f', CAST(score AS DOUBLE)) FROM reached
