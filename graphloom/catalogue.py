@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import graph_queries, operator_queries, parse_queries, text_queries
+from .plans import assurance_queries, graph_queries, operator_queries, parse_queries, text_queries
 
-_PARTS = (graph_queries, text_queries, parse_queries, operator_queries)
+_PARTS = (graph_queries, text_queries, parse_queries, operator_queries, assurance_queries)
 
 
 def queries() -> dict:

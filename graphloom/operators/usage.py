@@ -26,8 +26,20 @@ def is_test_file(path: Column) -> Column:
 
 
 def is_changeset_test(path: Column) -> Column:
-    """The narrower predicate of change sets: name prefix or suffix, or a ``tests`` directory."""
-    return F.lower(paths.name_of(path)).rlike(r"^test_|_test\.py$") | path.rlike(r"(^|/)tests/")
+    """The predicate of change sets: name prefix or suffix, or a ``test`` or ``tests`` directory; upper and lower case count alike."""
+    low = F.lower(path)
+    return paths.name_of(low).rlike(r"^test_|_test\.py$") | low.rlike(r"(^|/)tests?(/|$)")
+
+
+def is_runner_file(name: Column) -> Column:
+    """The predicate of test runners: by the file's name alone."""
+    return F.lower(name).rlike(r"^test_|_test\.py$")
+
+
+def is_verification_test() -> Column:
+    """The predicate of verification, on ``file_type`` and ``path`` of a file: its type, else as in change sets, or a name that ends in ``_test``."""
+    low = F.lower("path")
+    return (F.col("file_type") == "test") | is_changeset_test(F.col("path")) | low.endswith("_test")
 
 
 def unused_symbols(graph: Graph) -> DataFrame:
@@ -102,8 +114,8 @@ def file_errors(files: DataFrame, errors: DataFrame) -> DataFrame:
     return best.where("b.n = 1").select("ordinal", "message", F.col("b.path").alias("path"))
 
 
-def direct_tests(graph: Graph, targets: DataFrame, is_test: Column, types=None) -> DataFrame:
-    """(test_path, target_id, types, directions): edges between tests and targets (target_id), either way."""
+def test_edges(graph: Graph, targets: DataFrame, is_test: Column, types=None) -> DataFrame:
+    """(test_path, target_id, relationship_type, direction): edges between tests and targets (target_id), either way."""
     tests = graph.files.where(is_test).select(F.col("id").alias("file_id"), F.col("path").alias("test_path"))
     ends = tests.select(F.col("file_id").alias("end_id"), "test_path").unionByName(graph.symbols.select(F.col("id").alias("end_id"), "file_id").join(tests, "file_id").select("end_id", "test_path"))
     edges = graph.edges if types is None else graph.edges.where(F.col("relationship_type").isin(*types))
@@ -111,6 +123,12 @@ def direct_tests(graph: Graph, targets: DataFrame, is_test: Column, types=None)
     out = e.select(F.col("source_id").alias("end_id"), F.col("target_id"), "relationship_type", F.lit("outgoing_from_test").alias("direction"))
     back = e.select(F.col("target_id").alias("end_id"), F.col("source_id").alias("target_id"), "relationship_type", F.lit("incoming_to_test").alias("direction"))
     met = out.unionByName(back).join(ends, "end_id").join(targets.select("target_id"), "target_id", "left_semi")
+    return met.select("test_path", "target_id", "relationship_type", "direction")
+
+
+def direct_tests(graph: Graph, targets: DataFrame, is_test: Column, types=None) -> DataFrame:
+    """(test_path, target_id, types, directions): ``test_edges`` by test and target."""
+    met = test_edges(graph, targets, is_test, types)
     return met.groupBy("test_path", "target_id").agg(F.array_join(F.array_sort(F.collect_set("relationship_type")), ", ").alias("types"), F.array_join(F.array_sort(F.collect_set("direction")), ", ").alias("directions"))
 
 
