@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame
 from .plans import reports
 from .project import AmbiguousTarget, Project
 from .session import session, ship
-from .sources import tree
-from .sources.runs import recorded_run
+from .sources import snapshot, tree
+from .sources.runs import operational_log, recorded_run
 
 COMMANDS = {
     "summary": [], "health": [], "diagnostics": [], "cycles": [], "integrity": [], "architecture": [], "unused": [], "package_boundaries": [],
-    "search": ["query"], "file": ["path"], "locate": ["name"], "references": ["target"], "relationships": ["target"], "dependencies": ["target"], "dependents": ["target"],
+    "search": ["query"], "symbol": ["name"], "file": ["path"], "locate": ["name"], "references": ["target"], "relationships": ["target"], "dependencies": ["target"], "dependents": ["target"],
     "traverse": ["target"], "direct_impact": ["target"], "impact": ["target"], "path": ["start", "end"], "context": ["task"], "excerpt": ["target"], "changeset": ["targets"], "checklist": ["targets"], "risk": ["targets"],
     "status": [], "refresh": [], "cache": [], "history": [], "rule_report": ["config_path"], "post_change": ["targets"], "inspect_change": ["target"],
 }
@@ -38,9 +38,12 @@ def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="graphloom")
     parser.add_argument("store")
     parser.add_argument("--root", help="the tree, for commands that read sources")
+    parser.add_argument("--log", help="a folder for the driver's log of analyses")
     commands = parser.add_subparsers(dest="command", required=True)
     commands.add_parser("analyse").add_argument("tree")
-    commands.add_parser("preflight").add_argument("tree")
+    check = commands.add_parser("preflight")
+    check.add_argument("tree")
+    check.add_argument("--config", help="a configuration file to look at")
     for name, needs in COMMANDS.items():
         sub = commands.add_parser(name)
         for need in needs:
@@ -49,11 +52,13 @@ def main(arguments: list[str] | None = None) -> int:
     spark = session()
     ship(spark)
     if given.command == "analyse":
-        with recorded_run(spark, given.store, "analyse", given.tree):
-            print("\n".join(shown(Project.analyse(spark, given.tree, given.store).summary())))
+        with recorded_run(spark, given.store, "analyse", given.tree), operational_log(given.log, given.tree) as counted:
+            summary = Project.analyse(spark, given.tree, given.store).summary()
+            counted.update({r["table"]: r["rows"] for r in summary.collect()})
+            print("\n".join(shown(summary)))
         return 0
     if given.command == "preflight":
-        found = reports.preflight(given.tree, tree.scan(spark, given.tree)[1])
+        found = reports.preflight(given.tree, lambda: tree.scan(spark, given.tree), given.config, analysed=snapshot.manifest(spark, given.store) is not None)
         print("\n".join(shown(found)))
         return 0 if found["ready"] else 1
     try:

@@ -11,6 +11,8 @@ PATH = r"(?<![\w./-])(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+(?![\w./-])"
 IDENTIFIER = r"^[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*)*$"
 ACTIONS = "add analyze build check clean create debug delete describe explain find fix generate get implement inspect list locate modify refactor remove retrieve search show test trace update validate verify".split()
 PLAIN = "class function method module file error test tests".split()
+# Why a task may not be enough to go by.
+REASONS = ("task is empty", "task intent is missing", "task concepts are missing", "requested action is missing")
 
 
 def tokens(task: Column) -> Column:
@@ -27,18 +29,22 @@ def _is_target(t: Column) -> Column:
 
 
 def understand(tasks: DataFrame) -> DataFrame:
-    """``tasks`` (task) with requested_action, target, concepts and state.
+    """``tasks`` (task) with requested_action, target, concepts, state and the reasons for doubt.
 
-    The first action word is the action and never the target; blank tasks are insufficient, tasks
-    without target ambiguous only where they have no concepts.
+    The first action word is the action and never the target. Blank and null tasks are insufficient; tasks with a text in their column ``ambiguity``, if there
+    is one, are ambiguous, with that text as a reason; all others are clear, also those that lack an action or concepts, which is a reason only.
     """
     words = tokens(F.trim("task"))
     action = F.get(F.filter("tokens", _is_action), F.lit(0))
     at = F.array_position(F.transform("tokens", lambda t: F.lower(t)), F.col("requested_action"))
     targets = F.filter("tokens", lambda t, i: _is_target(t) & (F.coalesce(at, F.lit(0)) != i + 1))
     rows = tasks.withColumn("tokens", words).withColumn("requested_action", F.lower(action)).withColumn("target", F.get(targets, F.lit(0))).withColumn("concepts", F.array_distinct("tokens"))
-    state = F.when(F.trim("task") == "", "insufficient").when(F.col("target").isNull() & (F.size("concepts") == 0), "ambiguous").otherwise("clear")
-    return rows.withColumn("state", state).drop("tokens")
+    blank = F.coalesce(F.trim("task") == "", F.lit(True))
+    unclear = F.nullif(F.trim("ambiguity"), F.lit("")) if "ambiguity" in tasks.columns else F.lit(None).cast("string")
+    lacks = (blank, blank, F.coalesce(F.size("concepts"), F.lit(0)) <= 0, F.col("requested_action").isNull())
+    reasons = F.array(*[F.when(when, text) for when, text in zip(lacks, REASONS, strict=True)], unclear)
+    state = F.when(blank, "insufficient").when(unclear.isNotNull(), "ambiguous").otherwise("clear")
+    return rows.withColumn("state", state).withColumn("reasons", F.filter(reasons, lambda r: r.isNotNull())).drop("tokens")
 
 
 def references(tasks: DataFrame) -> DataFrame:

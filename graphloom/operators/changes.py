@@ -102,6 +102,32 @@ def validate_states(before: dict | None, after: dict | None) -> list[dict]:
     return out
 
 
+def validate_pairs(pairs: DataFrame) -> DataFrame:
+    """``pairs`` of states to compare, with outcome (blocked, incomplete, partial, success), reason, is_complete and codes.
+
+    Needs before_ and after_ repository, status, errors, freshness and historical. A state without status isn't supplied. A missing state and two known
+    repositories that differ block. Unfinished analyses and ones with errors make it incomplete; freshness that is incomplete, indeterminate or, but for a
+    historical state, stale makes it partial. Null freshness is unknown and no fault. ``codes`` (severity and code) has at most four entries.
+    """
+    missing = lambda side: F.col(f"{side}_status").isNull()
+    known = [F.nullif(F.trim(F.col(f"{side}_repository").cast("string")), F.lit("")) for side in ("before", "after")]
+    mismatch = F.coalesce(known[0] != known[1], F.lit(False))
+    reason = F.when(missing("before"), "missing_before_state").when(missing("after"), "missing_after_state").when(mismatch, "repository_mismatch").otherwise("valid")
+    code = lambda severity, name: F.struct(F.lit(severity).alias("severity"), (F.lit(name) if isinstance(name, str) else name).alias("code"))
+    whole = {s: F.col(f"{s}_status").isin(*COMPLETE) & (F.coalesce(f"{s}_errors", F.lit(0)) == 0) for s in ("before", "after")}
+
+    def doubt(side: str):
+        state, old = F.col(f"{side}_freshness"), F.coalesce(f"{side}_historical", F.lit(False))
+        return F.when(state == "incomplete", "INCOMPLETE_FRESHNESS").when(state == "indeterminate", "INDETERMINATE_FRESHNESS").when((state == "stale") & ~old, "STALE_STATE")
+
+    warned = [F.when(~whole[s], code("warning", f"INCOMPLETE_{s.upper()}_STATE")) for s in whole] + [F.when(doubt(s).isNotNull(), code("warning", doubt(s))) for s in whole]
+    rows = pairs.withColumn("reason", reason)
+    blocked = F.col("reason") != "valid"
+    codes = F.when(blocked, F.array(code("blocker", F.upper("reason")))).otherwise(F.filter(F.array(*warned), lambda w: w.isNotNull()))
+    rows = rows.withColumn("codes", codes).withColumn("is_complete", ~blocked & whole["before"] & whole["after"])
+    return rows.withColumn("outcome", F.when(blocked, "blocked").when(~F.col("is_complete"), "incomplete").when(F.size("codes") > 0, "partial").otherwise("success"))
+
+
 def _moves(removed: DataFrame, added: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, n_before, n_after, old, new) of keys on both sides."""
     a = removed.groupBy(*keys).agg(F.count("*").alias("n_before"), F.min("item").alias("old"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 from ..schema import EXCERPT_LINES, REPORT_LIMIT, Graph
 from ..session import checkpoint
-from .order import first_within, positions_within
+from .order import first_within, positions, positions_within
 
 
 def files_by_path(files: DataFrame, path: str, root: str | None = None) -> DataFrame:
@@ -164,6 +164,36 @@ def locate_symbols(graph: Graph, name: str, *, file_path: str | None = None, kin
     return rows.join(F.broadcast(best), F.col("rung") == F.col("best")).drop("best", "rung", "module", "file_name")
 
 
+def memory_symbols(graph: Graph, name: str, *, file_path: str | None = None, kind: str | None = None) -> DataFrame:
+    """Symbols that ``name`` stands for, with path and position by path, line and name.
+
+    A dotted name is looked up as a qualified name; where that finds nothing or imports alone, as module and qualified name; where
+    neither finds any, as a name. ``file_path`` (a path, or a bare file name) and ``kind`` come after that choice. Imports stay only where nothing else is left, or where they are asked for.
+    """
+    name = name.strip()
+    owners = graph.files.select(F.col("id").alias("file_id"), "path", F.col("name").alias("file_name"), paths.query_module(F.col("path")).alias("module"))
+    rows = graph.symbols.join(owners, "file_id", "left").withColumn("plain", F.col("name") == name)
+    full = F.coalesce("qualified_name", "name")
+    qualified = F.coalesce(F.col("qualified_name") == name, F.lit(False)) if "." in name else F.lit(False)
+    in_module = qualified | F.coalesce((F.col("module") != "") & (F.concat_ws(".", "module", full) == name), F.lit(False)) if "." in name else F.lit(False)
+    rows = rows.withColumns({"qualified": qualified, "in_module": in_module, "is_import": F.col("kind") == "import"}).where("plain or qualified or in_module")
+    # One row each: what was found at all, then whether definitions are left.
+    found = rows.agg(F.count_if(F.col("qualified") & ~F.col("is_import")).alias("defined"), F.count_if("qualified").alias("named"), F.count_if("in_module").alias("of_modules"))
+    chosen = F.when(F.col("defined") > 0, F.col("qualified")).when(F.col("of_modules") > 0, F.col("in_module")).when(F.col("named") > 0, F.col("qualified")).otherwise(F.col("plain"))
+    rows = rows.crossJoin(F.broadcast(found)).where(chosen)
+    if file_path is not None:
+        wanted = file_path.strip().replace("\\", "/").removeprefix("./")
+        at = F.col("path") == wanted
+        rows = rows.where(at if "/" in wanted else at | (F.col("file_name") == wanted))
+    if kind is not None:
+        rows = rows.where(F.lower("kind") == kind.strip().lower())
+    if kind is None or kind.strip().lower() != "import":
+        left = rows.agg(F.count_if(~F.col("is_import")).alias("definitions"))
+        rows = rows.crossJoin(F.broadcast(left)).where(~F.col("is_import") | (F.col("definitions") == 0))
+    rows = rows.select(*graph.symbols.columns, "path")
+    return positions(rows, F.coalesce("path", F.lit("")), F.coalesce("start_line", F.lit(0)), "name", "id")
+
+
 def line_of(metadata: Column) -> Column:
     return F.expr("try_cast(metadata['line'] AS int)") if metadata is None else F.try_element_at(metadata, F.lit("line")).try_cast("int")
 

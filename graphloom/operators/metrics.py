@@ -32,6 +32,11 @@ def set_counts(expected: DataFrame, actual: DataFrame, by: list[str]) -> DataFra
     return both.groupBy(*by).agg(F.count("_e").alias("expected"), F.count("_a").alias("actual"), F.count_if(F.col("_e").isNotNull() & F.col("_a").isNotNull()).alias("matched"))
 
 
+def selection_counts(expected: DataFrame, selected: DataFrame, candidates: DataFrame, by: list[str]) -> DataFrame:
+    """``set_counts`` of what was selected among the candidates; what was selected without having been one doesn't count."""
+    return set_counts(expected, selected.select(expected.columns).intersect(candidates.select(expected.columns)), by)
+
+
 def macro(scored: DataFrame) -> DataFrame:
     return scored.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1")])
 

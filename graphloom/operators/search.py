@@ -63,6 +63,35 @@ def task_relevance(texts: Column, target: Column, concepts: Column) -> Column:
     return F.when(target.isNotNull() & within(target), 1.0).otherwise(share)
 
 
+def relevance(graph: Graph, candidates: DataFrame, interpretations: DataFrame) -> DataFrame:
+    """(task, entity_id, relevance) of files and symbols to tasks. ``candidates``: task, entity_id; ``interpretations``: task, target, concepts.
+
+    A file is relevant by its name and path: 1 where the target stands there, else the share of concepts that do, or that a name of a symbol in the file
+    holds. A symbol is relevant by its name and qualified name: 1 where one is the target, else concepts over both names by the number of concepts, at
+    most 1. Upper and lower case count alike; blank targets and concepts don't count; a task without concepts has 0.
+    """
+    cleaned = F.filter(F.transform("concepts", lambda c: F.lower(F.trim(c))), lambda c: c != "")
+    told = interpretations.select("task", F.nullif(F.lower(F.trim("target")), F.lit("")).alias("target"), F.coalesce(cleaned, F.array().cast("array<string>")).alias("concepts"))
+    asked = candidates.select("task", "entity_id").distinct().join(told, "task")
+    share = lambda n: F.when(F.size("concepts") > 0, F.least(F.lit(1.0), n / F.size("concepts"))).otherwise(0.0)
+
+    files = asked.join(graph.files.select(F.col("id").alias("entity_id"), F.lower(F.concat_ws(" ", "name", "path")).alias("text")), "entity_id")
+    files = files.withColumn("whole", F.coalesce(F.contains("text", "target"), F.lit(False)))
+    # One row a concept; what the file's own text lacks is looked for in its symbols, without gathering their names.
+    each = files.where(~F.col("whole")).select("task", "entity_id", "text", F.posexplode("concepts").alias("at", "concept"))
+    own = each.where(F.contains("text", "concept")).select("task", "entity_id", "at")
+    names = graph.symbols.select(F.col("file_id").alias("entity_id"), F.lower("name").alias("name")).distinct()
+    held = each.where(~F.contains("text", "concept")).join(names, "entity_id").where(F.contains("name", "concept")).select("task", "entity_id", "at").distinct()
+    met = own.unionByName(held).groupBy("task", "entity_id").agg(F.count("*").alias("n"))
+    of_files = files.join(met, ["task", "entity_id"], "left").select("task", "entity_id", F.when(F.col("whole"), 1.0).otherwise(share(F.coalesce("n", F.lit(0)))).alias("relevance"))
+
+    both = F.filter(F.array_distinct(F.array(F.lower("name"), F.lower(F.trim(F.coalesce("qualified_name", F.lit("")))))), lambda t: t != "")
+    symbols = asked.join(graph.symbols.select(F.col("id").alias("entity_id"), both.alias("names")), "entity_id")
+    hits = F.aggregate("concepts", F.lit(0), lambda n, c: n + F.size(F.filter("names", lambda t: F.contains(t, c))))
+    of_symbols = symbols.select("task", "entity_id", F.when(F.array_contains("names", F.col("target")), 1.0).otherwise(share(hits)).alias("relevance"))
+    return of_files.unionByName(of_symbols)
+
+
 def change_relevance(changes: DataFrame) -> DataFrame:
     """path, commits, relevance = commits that touch it / 10, at most 1. ``changes``: commit_hash, path."""
     return changes.select("commit_hash", "path").distinct().groupBy("path").agg(F.count("*").alias("commits")).withColumn("relevance", F.least(F.lit(1.0), F.col("commits") / 10))

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..schema import USAGE_TYPES, Graph
+from .order import first_within
 
 # Files that start programs, and methods that the language calls.
+KINDS = {"all": "all", "*": "all"} | {name: kind for kind in ("function", "method", "variable", "file", "symbol") for name in (kind, f"{kind}s")} | {"class": "class", "classes": "class"}
 ENTRY_POINTS = "__init__.py __main__.py main.py conftest.py setup.py manage.py wsgi.py asgi.py".split()
+MAIN_FILES = ("__main__.py", "main.py", "app.py", "manage.py", "cli.py")
 DATA_MODEL_METHODS = (
     "__new__ __init__ __del__ __repr__ __str__ __bytes__ __format__ __lt__ __le__ __eq__ __ne__ __gt__ __ge__ __hash__ __bool__ __getattr__ __getattribute__ __setattr__ __delattr__ __dir__ __get__ __set__ __delete__ "
     "__set_name__ __init_subclass__ __class_getitem__ __mro_entries__ __len__ __length_hint__ __getitem__ __setitem__ __delitem__ __missing__ __iter__ __next__ __reversed__ __contains__ __call__ __enter__ __exit__ __aenter__ __aexit__ __aiter__ __anext__ "
@@ -76,7 +79,9 @@ def unused_symbols(graph: Graph) -> DataFrame:
     else:
         rows = rows.withColumn("failed", F.lit(None).cast("boolean"))
     broken = F.col("path").isNull() | F.coalesce("failed", F.lit(False)) | (F.col("start_line") <= 0) | (F.col("end_line") < F.col("start_line"))
-    convention = F.col("name").isin(*DATA_MODEL_METHODS) | F.col("file_name").isin(*[e for e in ENTRY_POINTS if e != "__init__.py"]) | is_test_file(F.col("path"))
+    discovered = (F.col("kind").isin("function", "method") & F.col("name").startswith("test_")) | ((F.col("kind") == "class") & F.col("name").startswith("Test"))
+    called = F.col("name").isin(*DATA_MODEL_METHODS)
+    convention = called | (is_changeset_test(F.col("path")) & discovered) | ((F.col("name") == "main") & F.col("file_name").isin(*MAIN_FILES))
     kind = (
         F.when(broken, "cannot_assess").when(F.col("external") > 0, "used").when(F.col("no_line"), "cannot_assess").when(F.col("by_name") > 0, "used")
         .when(F.col("homonym") | F.coalesce(convention, F.lit(False)), "cannot_assess").otherwise("unused_candidate")
@@ -99,6 +104,31 @@ def summary(items: DataFrame) -> DataFrame:
     return items.groupBy("kind", "classification").agg(F.count("*").alias("entities"))
 
 
+def unused(graph: Graph, kind: str = "all") -> DataFrame:
+    """Symbols and files that nothing uses, or that can't be judged: id, name, kind, path, start_line, classification.
+
+    ``kind``: all, symbol, file, or one kind of symbol, in the singular or plural.
+    """
+    wanted = kind.strip().lower() or "all"
+    if wanted not in KINDS:
+        raise ValueError(f"unknown kind {kind}; kinds are {', '.join(sorted(set(KINDS.values())))}")
+    wanted = KINDS[wanted]
+    columns = ("id", "name", "kind", "path", "start_line", "classification")
+    symbols = unused_symbols(graph).select(*columns) if wanted != "file" else None
+    if symbols is not None and wanted not in ("all", "symbol"):
+        symbols = symbols.where(F.lower("kind") == wanted)
+    if wanted not in ("all", "file"):
+        return symbols
+    files = unused_files(graph).select("id", paths.name_of(F.col("path")).alias("name"), F.lit("file").alias("kind"), "path", F.lit(None).cast("int").alias("start_line"), "classification")
+    return files if symbols is None else symbols.unionByName(files)
+
+
+def listed(items: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of the candidates and of those that can't be judged, each by path, line, name and kind, with position and total."""
+    order = ("path", F.coalesce("start_line", F.lit(0)), "name", "kind", "id")
+    return first_within(items, "classification", *order, limit=limit)
+
+
 def file_errors(files: DataFrame, errors: DataFrame) -> DataFrame:
     """(ordinal, message, path) of errors that name one file: at their start, else by its path, else by its name.
 

@@ -1,15 +1,16 @@
-"""Queries on tests, checklists and risk of a change, each with its SQL."""
+"""Queries on tests, checklists and risk of a change, and on what their inputs mean, each with its SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import traverse
+from ..functions import tasks
+from ..operators import changes, classify, lookup, metrics, search, traverse, usage
 from ..schema import Graph, edge_id
 from ..session import checkpoint, table
 from . import assurance
 from .bindings import COMMERCE, commerce
-from .graph_queries import _closure, _root
+from .graph_queries import _closure, _customers, _root
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -178,3 +179,122 @@ CASE kind WHEN 'untested' THEN 'missing_test_associations' WHEN 'incomplete' THE
 def risk_gaps(spark, d):
     """What the facts leave open."""
     return assurance.missing_evidence(_facts(spark, d))
+
+
+@query(
+    "unused_listing",
+    """WITH s AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'tests/' ELSE '' END || c_name || '.py' AS path, CASE WHEN c_custkey % 2 = 0 THEN 'Test' ELSE '' END || c_name AS name FROM customer),
+used AS (SELECT DISTINCT user_id FROM events), i AS (
+SELECT 'symbol:c' || k AS id, name, 'class' AS kind, path, 1 AS start_line, CASE WHEN k % 6 = 0 THEN 'cannot_assess' ELSE 'unused_candidate' END AS classification FROM s WHERE k NOT IN (SELECT user_id FROM used)
+UNION ALL SELECT 'file:c' || k, split_part(path, '/', -1), 'file', path, NULL, CASE WHEN k % 3 = 0 THEN 'cannot_assess' ELSE 'unused_candidate' END FROM s WHERE k NOT IN (SELECT user_id FROM used))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY classification ORDER BY path, coalesce(start_line, 0), name, kind, id) AS INTEGER) AS position, count(*) OVER (PARTITION BY classification) AS total FROM i) WHERE position <= 7""",
+)
+def unused_listing(spark, d):
+    """What nothing uses, symbols and files, in two lists of their own limit."""
+    g = _customers(spark, d)
+    k = F.substring_index("id", ":c", -1).cast("int")
+    folder = F.when(k % 3 == 0, "tests/").otherwise("")
+    g.files = g.files.withColumn("path", F.concat(folder, "path"))
+    g.symbols = g.symbols.withColumn("name", F.concat(F.when(k % 2 == 0, "Test").otherwise(""), "name"))
+    return usage.listed(usage.unused(g), 7)
+
+
+_ASKED = """, asked AS (SELECT n_nationkey AS k, n_name AS task, CASE WHEN n_nationkey % 3 = 0 THEN ' SUPPLIER#00000000' || (n_nationkey % 10) WHEN n_nationkey % 3 = 1 THEN 'red widget' ELSE '' END AS target,
+  CASE WHEN n_nationkey % 4 = 3 THEN [] ELSE [upper(n_name), 'Green ', 'supplier', 'brand#1', 'rod', ' '] END AS concepts FROM nation),
+told AS (SELECT task, k, nullif(lower(trim(target)), '') AS target, [lower(trim(c)) FOR c IN concepts IF trim(c) <> ''] AS concepts FROM asked),
+home AS (SELECT fid, s_nationkey FROM keys JOIN supplier USING (s_suppkey)),
+f AS (SELECT task, id AS entity_id, t.target, concepts, lower(name || ' ' || path) AS text FROM told t JOIN home ON s_nationkey = k JOIN files ON id = fid),
+fm AS (SELECT task, entity_id, target, text, len(concepts) AS size, (SELECT count(*) FROM (SELECT unnest(concepts) AS c, generate_subscripts(concepts, 1) AS at) WHERE contains(text, c) OR EXISTS (SELECT 1 FROM symbols s WHERE s.file_id = entity_id AND contains(lower(s.name), c))) AS n FROM f),
+s AS (SELECT task, id AS entity_id, t.target, concepts, list_distinct([lower(name), lower(trim(qualified_name))]) AS names FROM told t JOIN home ON s_nationkey = k JOIN symbols ON file_id = fid),
+sm AS (SELECT task, entity_id, target, names, len(concepts) AS size, (SELECT count(*) FROM (SELECT unnest(concepts) AS c), (SELECT unnest(names) AS t) WHERE contains(t, c)) AS n FROM s)
+SELECT task, entity_id, round(CASE WHEN target IS NOT NULL AND contains(text, target) THEN 1.0 WHEN size > 0 THEN least(1.0, CAST(n AS DOUBLE) / size) ELSE 0 END, 9) AS relevance FROM fm
+UNION ALL SELECT task, entity_id, round(CASE WHEN target IS NOT NULL AND list_contains(names, target) THEN 1.0 WHEN size > 0 THEN least(1.0, CAST(n AS DOUBLE) / size) ELSE 0 END, 9) FROM sm"""
+
+
+@query("task_relevance", COMMERCE + _ASKED)
+def task_relevance(spark, d):
+    """Files by name, path and the names of their symbols, symbols by name and qualified name; a task for each nation."""
+    g = commerce(spark, d)
+    k, none = F.col("n_nationkey"), F.array().cast("array<string>")
+    target = F.when(k % 3 == 0, F.concat(F.lit(" SUPPLIER#00000000"), (k % 10).cast("string"))).when(k % 3 == 1, "red widget").otherwise("")
+    concepts = F.when(k % 4 == 3, none).otherwise(F.array(F.upper("n_name"), *map(F.lit, ("Green ", "supplier", "brand#1", "rod", " "))))
+    asked = table(spark, d, "nation").select(F.col("n_name").alias("task"), target.alias("target"), concepts.alias("concepts"))
+    files = g.files.select(F.substring_index(F.regexp_replace("directory_id", "^dir:", ""), "/", -1).alias("task"), F.col("id").alias("file_id"))
+    candidates = files.select("task", F.col("file_id").alias("entity_id")).unionByName(files.join(g.symbols.select("file_id", F.col("id").alias("entity_id")), "file_id").select("task", "entity_id"))
+    return search.relevance(g, candidates, asked).withColumn("relevance", F.round("relevance", 9))
+
+
+@query(
+    "task_states",
+    """WITH t AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '  ' WHEN 1 THEN 'fix ' || o_orderpriority WHEN 2 THEN o_orderpriority ELSE '!?' END AS task, CASE WHEN o_orderkey % 5 = 0 THEN 'several ' || o_orderpriority WHEN o_orderkey % 5 = 1 THEN ' ' END AS ambiguity FROM orders)
+SELECT o_orderkey, CASE WHEN trim(task) = '' THEN 'insufficient' WHEN ambiguity > ' ' THEN 'ambiguous' ELSE 'clear' END AS state,
+concat_ws('|', CASE WHEN trim(task) = '' THEN 'task is empty|task intent is missing' END, CASE WHEN o_orderkey % 4 IN (0, 3) THEN 'task concepts are missing' END, CASE WHEN o_orderkey % 4 <> 1 THEN 'requested action is missing' END, CASE WHEN ambiguity > ' ' THEN ambiguity END) AS reasons FROM t""",
+)
+def task_states(spark, d):
+    """States of tasks with every reason."""
+    k = F.col("o_orderkey")
+    task = F.when(k % 4 == 0, "  ").when(k % 4 == 1, F.concat(F.lit("fix "), "o_orderpriority")).when(k % 4 == 2, F.col("o_orderpriority")).otherwise("!?")
+    unclear = F.when(k % 5 == 0, F.concat(F.lit("several "), "o_orderpriority")).when(k % 5 == 1, " ")
+    rows = table(spark, d, "orders").select("o_orderkey", task.alias("task"), unclear.alias("ambiguity"))
+    return tasks.understand(rows).select("o_orderkey", "state", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("memory_symbols", COMMERCE + ", hit AS (SELECT s.id, f.path, s.start_line, s.name FROM symbols s JOIN files f ON f.id = s.file_id WHERE s.name = 'red widget') SELECT *, CAST(row_number() OVER (ORDER BY path, start_line, name, id) AS INTEGER) AS position FROM hit")
+def memory_symbols(spark, d):
+    """the symbols of one name, in the order of a listing."""
+    return lookup.memory_symbols(commerce(spark, d), "red widget").select("id", "path", "start_line", "name", "position")
+
+
+@query(
+    "selection_metrics",
+    """WITH e AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS m FROM lineitem WHERE l_quantity > 25), a AS (SELECT l_suppkey AS k, l_partkey AS m FROM lineitem WHERE l_discount <= 0.05 INTERSECT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_tax <= 0.04),
+c AS (SELECT k, count(*) FILTER (x) AS expected, count(*) FILTER (y) AS actual, count(*) FILTER (x AND y) AS matched FROM (SELECT coalesce(e.k, a.k) AS k, e.k IS NOT NULL AS x, a.k IS NOT NULL AS y FROM e FULL JOIN a ON e.k = a.k AND e.m = a.m) GROUP BY 1),
+s AS (SELECT *, CASE WHEN actual > 0 THEN matched / CAST(actual AS DOUBLE) WHEN expected = 0 THEN 1 ELSE 0 END AS p, CASE WHEN expected > 0 THEN matched / CAST(expected AS DOUBLE) ELSE 1 END AS r FROM c)
+SELECT k AS "case", expected, actual, matched, round(p, 9) AS "precision", round(r, 9) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9) AS f1 FROM s""",
+)
+def selection_metrics(spark, d):
+    """M4: what was selected among the candidates against what was expected, by case."""
+    item = table(spark, d, "lineitem")
+    members = lambda when: item.where(when).select(F.col("l_suppkey").alias("case"), F.col("l_partkey").alias("member"))
+    counts = metrics.selection_counts(members("l_quantity > 25"), members("l_discount <= 0.05"), members("l_tax <= 0.04"), ["case"])
+    return metrics.scores(counts).withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+@query(
+    "state_validation",
+    """WITH p AS (SELECT o_orderkey AS k, o_custkey % 50 AS br, CASE WHEN o_orderkey % 13 = 0 THEN o_custkey % 50 + 1 WHEN o_orderkey % 17 <> 0 THEN o_custkey % 50 END AS ar,
+  CASE WHEN o_orderkey % 19 <> 0 THEN CASE o_orderstatus WHEN 'O' THEN 'analyzed' WHEN 'F' THEN 'completed' ELSE 'partial' END END AS bs, CASE WHEN o_orderkey % 23 <> 0 THEN 'analyzed' END AS av, o_orderkey % 11 = 0 AS ae,
+  CASE o_orderkey % 7 WHEN 0 THEN 'stale' WHEN 1 THEN 'indeterminate' WHEN 2 THEN 'current' END AS bf, CASE o_orderkey % 9 WHEN 0 THEN 'stale' WHEN 1 THEN 'incomplete' END AS af, o_orderkey % 2 = 0 AS h FROM orders),
+r AS (SELECT *, CASE WHEN bs IS NULL THEN 'missing_before_state' WHEN av IS NULL THEN 'missing_after_state' WHEN br <> ar THEN 'repository_mismatch' ELSE 'valid' END AS reason, bs IN ('analyzed', 'completed') AS bw, NOT ae AS aw FROM p),
+c AS (SELECT *, CASE WHEN reason <> 'valid' THEN 'blocker:' || upper(reason) ELSE concat_ws(',', CASE WHEN NOT bw THEN 'warning:INCOMPLETE_BEFORE_STATE' END, CASE WHEN NOT aw THEN 'warning:INCOMPLETE_AFTER_STATE' END,
+  CASE WHEN bf = 'indeterminate' THEN 'warning:INDETERMINATE_FRESHNESS' WHEN bf = 'stale' AND NOT h THEN 'warning:STALE_STATE' END, CASE WHEN af = 'incomplete' THEN 'warning:INCOMPLETE_FRESHNESS' WHEN af = 'stale' THEN 'warning:STALE_STATE' END) END AS codes FROM r)
+SELECT k AS o_orderkey, reason, reason = 'valid' AND bw AND aw AS is_complete, codes, CASE WHEN reason <> 'valid' THEN 'blocked' WHEN NOT (bw AND aw) THEN 'incomplete' WHEN codes <> '' THEN 'partial' ELSE 'success' END AS outcome FROM c""",
+)
+def state_validation(spark, d):
+    """Pairs of states, one for each order."""
+    k, repository = F.col("o_orderkey"), F.col("o_custkey") % 50
+    status = F.when(F.col("o_orderstatus") == "O", "analyzed").when(F.col("o_orderstatus") == "F", "completed").otherwise("partial")
+    pairs = table(spark, d, "orders").select(
+        "o_orderkey", repository.alias("before_repository"), F.when(k % 13 == 0, repository + 1).when(k % 17 != 0, repository).alias("after_repository"), F.when(k % 19 != 0, status).alias("before_status"), F.when(k % 23 != 0, "analyzed").alias("after_status"),
+        F.lit(0).alias("before_errors"), F.when(k % 11 == 0, 3).alias("after_errors"), F.when(k % 7 == 0, "stale").when(k % 7 == 1, "indeterminate").when(k % 7 == 2, "current").alias("before_freshness"),
+        F.when(k % 9 == 0, "stale").when(k % 9 == 1, "incomplete").alias("after_freshness"), (k % 2 == 0).alias("before_historical"), F.lit(None).cast("boolean").alias("after_historical"),
+    )
+    codes = F.array_join(F.transform("codes", lambda c: F.concat(c["severity"], F.lit(":"), c["code"])), ",")
+    return changes.validate_pairs(pairs).select("o_orderkey", "reason", "is_complete", codes.alias("codes"), "outcome")
+
+
+@query(
+    "test_predicates",
+    """WITH p AS (SELECT p_partkey, p_size, CASE p_size % 6 WHEN 0 THEN 'Tests/' WHEN 1 THEN 'a/test/' WHEN 2 THEN 'contest/' ELSE '' END || CASE p_partkey % 5 WHEN 0 THEN 'Test_' ELSE 'x' END || p_partkey || CASE p_partkey % 7 WHEN 0 THEN '_test' WHEN 1 THEN '_TEST.py' WHEN 2 THEN '_test.js' ELSE '.py' END AS path FROM part),
+q AS (SELECT *, p_partkey % 5 = 0 OR p_partkey % 7 = 1 AS named, p_size % 6 < 2 AS placed FROM p)
+SELECT p_partkey, named OR placed AS changeset, named AS runner, p_size % 10 = 9 OR named OR placed OR p_partkey % 7 = 0 AS verification, CASE p_partkey % 7 WHEN 0 THEN 'unknown' WHEN 2 THEN 'javascript' ELSE 'python' END AS language FROM q""",
+)
+def test_predicates(spark, d):
+    """Three predicates of test files, and the parser's language by extension."""
+    k, size = F.col("p_partkey"), F.col("p_size") % 6
+    folder = F.when(size == 0, "Tests/").when(size == 1, "a/test/").when(size == 2, "contest/").otherwise("")
+    ending = F.when(k % 7 == 0, "_test").when(k % 7 == 1, "_TEST.py").when(k % 7 == 2, "_test.js").otherwise(".py")
+    rows = table(spark, d, "part").select("p_partkey", F.concat(folder, F.when(k % 5 == 0, "Test_").otherwise("x"), k.cast("string"), ending).alias("path"), F.when(F.col("p_size") % 10 == 9, "test").otherwise("source").alias("file_type"))
+    name = F.substring_index("path", "/", -1)
+    language = F.coalesce(classify.parser_language(F.col("path")), F.lit("unknown"))
+    return rows.select("p_partkey", usage.is_changeset_test(F.col("path")).alias("changeset"), usage.is_runner_file(name).alias("runner"), usage.is_verification_test().alias("verification"), language.alias("language"))

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..functions import paths
 from ..operators import changes, classify, history, lookup, structure, traverse, usage
 from ..schema import COMPLETE, EXCERPT_LINES, IMPACT_DEPTH, REPORT_LIMIT, Graph
 from ..session import checkpoint
+from ..sources import config
+from . import assurance
 
 
 def import_pairs(graph: Graph) -> DataFrame:
@@ -134,7 +139,8 @@ def after_change(graph: Graph, roots: DataFrame, rules: list[dict] | None = None
     incomplete, blocked, failed); ``failures`` names stages that couldn't run. Status: blocked, failed, incomplete, partial (there are findings), success. The impact is walked once.
     """
     hit = checkpoint(traverse.change_impact(graph, roots, max_depth))
-    out = {"impact": hit, "checklist": checklist(graph, roots, max_depth, hit), "risk": risk_concerns(risk_facts(graph, roots, max_depth, hit), graph.status not in COMPLETE)}
+    told = assurance.assess(graph, roots, rules=(policy or {}).get("rules"), freshness=state, max_depth=max_depth, hit=hit)
+    out = {"impact": hit, "checklist": told["checklist"], "risk": told["concerns"], "missing_evidence": told["missing_evidence"]}
     counts = {"risk_concerns": out["risk"].where("severity in ('blocker', 'error', 'warning')")}
     if policy is not None:
         of = structure.package_of(graph.files, structure.packages(graph.files)).select("id", "package")
@@ -170,14 +176,48 @@ def pre_change(graph: Graph, contents: DataFrame, target: str, max_lines: int =
     return {"resolution": resolved, "source": source, "impact": traverse.impact(graph, found.select(F.col("id").alias("root")))}
 
 
-def preflight(root: str, files: DataFrame | None = None) -> dict:
-    """Whether a tree can be analysed, and what languages it holds; ``files`` of a scan add the counts."""
-    checks = {"exists": os.path.exists(root), "is_directory": os.path.isdir(root), "readable": os.access(root, os.R_OK | os.X_OK), "version_control": os.path.isdir(os.path.join(root, ".git"))}
-    out = {"checks": checks, "ready": checks["exists"] and checks["is_directory"] and checks["readable"]}
-    if files is not None:
-        counts = files.withColumn("language", F.coalesce(classify.language(F.col("path")), F.lit("other"))).groupBy("language").agg(F.count("*").alias("n")).collect()
-        out["languages"] = {r["language"]: {"files": r["n"], "supported": r["language"] == "Python"} for r in counts}
-        out["ready"] = out["ready"] and "Python" in out["languages"]
+def preflight(root: str, scan: Callable[[], tuple[DataFrame, DataFrame]] | None = None, config_path: str | None = None, global_path: str | None = None, analysed: bool = False, supported: tuple[str, ...] = ("Python",)) -> dict:
+    """Whether a tree can be analysed, and what it holds: readiness (blocked, ready_with_limitations, ready), checks, configuration, inventory, languages, diagnostics.
+
+    ``scan`` gives (directories, files) of the tree and is called only where it can be read; ``analysed`` says whether a snapshot exists. A path that doesn't exist, is no directory or
+    can't be read, a configuration with errors and a failing scan block. Languages without a parser and trees without files or supported sources limit.
+    """
+    checks = {"exists": os.path.exists(root), "is_directory": os.path.isdir(root), "readable": os.access(root, os.R_OK | os.X_OK), "version_control": os.path.exists(os.path.join(root, ".git"))}
+    diagnostics, limits = [], []
+
+    def tell(severity: str, code: str, message: str) -> None:
+        diagnostics.append({"severity": severity, "code": code, "message": message})
+
+    for check, code in (("exists", "REPOSITORY_NOT_FOUND"), ("is_directory", "REPOSITORY_NOT_A_DIRECTORY"), ("readable", "REPOSITORY_INACCESSIBLE")):
+        if not checks[check]:
+            tell("blocker", code, root)
+            break
+    out = {"checks": checks, "configuration": {"status": "unavailable"}, "inventory": {"directories": 0, "files": 0, "source_files": 0}, "languages": {}, "diagnostics": diagnostics, "limitations": limits}
+    if not diagnostics:
+        limits += [] if checks["version_control"] else ["no version control"]
+        limits += [] if analysed else ["not analysed yet"]
+        out["configuration"] = config.audit(config_path, global_path)
+        diagnostics += out["configuration"]["diagnostics"]
+    if not diagnostics and scan is not None:
+        try:
+            directories, files = scan()
+            counts = files.groupBy(classify.language(F.col("path")).alias("language")).agg(F.count("*").alias("n")).orderBy("language").collect()
+            out["inventory"] = {"directories": directories.count(), "files": sum(r["n"] for r in counts), "source_files": sum(r["n"] for r in counts if r["language"])}
+        except (OSError, PySparkException, Py4JJavaError) as error:
+            tell("blocker", "SCAN_ERROR", str(error).split("\n")[0])
+        else:
+            out["languages"] = {r["language"]: {"files": r["n"], "supported": r["language"] in supported} for r in counts if r["language"]}
+            for name, found in out["languages"].items():
+                if not found["supported"]:
+                    tell("warning", "UNSUPPORTED_LANGUAGE", f"{found['files']} files of {name} have no parser")
+            if not out["inventory"]["files"]:
+                tell("info", "EMPTY_REPOSITORY", root)
+                limits.append("no files")
+            elif out["languages"] and not any(found["supported"] for found in out["languages"].values()):
+                tell("warning", "NO_SUPPORTED_SOURCES", root)
+    severities = {each["severity"] for each in diagnostics}
+    out["readiness"] = "blocked" if severities & {"blocker", "error"} else "ready_with_limitations" if "warning" in severities or limits else "ready"
+    out["ready"] = out["readiness"] != "blocked"
     return out
 
 

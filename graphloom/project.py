@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import changes, freshness, history, lookup, search, structure, traverse, usage
-from .plans import context, reports
+from .plans import assurance, context, reports
 from .schema import EXCERPT_LINES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, REPORT_LIMIT, Graph, violations
 from .session import checkpoint
 from .sources import config, parse, runs, snapshot, tree
@@ -198,11 +198,21 @@ class Project:
         cut = lambda df: structure.limited(df, ["path", "id"], limit, ["classification"])
         return {"symbols": cut(usage.unused_symbols(self.graph)), "files": cut(usage.unused_files(self.graph))}
 
+    def assess(self, targets: list[str], max_depth: int = IMPACT_DEPTH, **how) -> dict[str, DataFrame]:
+        """Tests, checklist, facts, concerns and gaps of a change of ``targets``; those that can't be resolved are told of, not refused."""
+        asked = checkpoint(lookup.changeset_targets(self.graph, self.spark.createDataFrame([(t,) for t in targets], "path string"), self.root))
+        state = self.status().first()["state"] if self.store and self.root else "current"
+        roots = asked.where("status = 'resolved'").select(F.col("id").alias("root")).distinct()
+        return assurance.assess(self.graph, roots, asked=asked, freshness=state, max_depth=max_depth, **how)
+
     def checklist(self, targets: list[str], max_depth: int = IMPACT_DEPTH) -> DataFrame:
-        return reports.checklist(self.graph, self._roots(targets), max_depth)
+        return self.assess(targets, max_depth)["checklist"].orderBy("rank", "item_id")
 
     def risk(self, targets: list[str], max_depth: int = IMPACT_DEPTH) -> DataFrame:
-        return reports.risk_concerns(reports.risk_facts(self.graph, self._roots(targets), max_depth))
+        return self.assess(targets, max_depth)["concerns"].orderBy("severity_rank", "category", "concern_id")
+
+    def symbol(self, name: str) -> DataFrame:
+        return lookup.memory_symbols(self.graph, name).orderBy("position")
 
     def contents(self) -> DataFrame:
         if self.root is None:
