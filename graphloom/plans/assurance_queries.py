@@ -138,7 +138,7 @@ def _facts(spark, d):
     change = F.when(size == 0, "added").when(size == 1, "removed").when(size == 2, "modified").otherwise("moved")
     diff = table(spark, d, "part").select(change.alias("change"), F.concat_ws("/", "p_name", "p_partkey").alias("path"), F.concat(F.lit("old/"), F.col("p_partkey").cast("string")).alias("old_path"))
     asked = table(spark, d, "nation").select(F.col("n_name").alias("path"), F.lit("not_found").alias("status"))
-    met = assurance.associations(g, assurance.change_targets(roots, hit))
+    met = checkpoint(assurance.associations(g, assurance.change_targets(roots, hit)))
     return assurance.facts(g, roots, hit, met, of_file=of_file, rules=POLICY, diff=diff, asked=asked, freshness="stale")
 
 
