@@ -183,7 +183,8 @@ def facts(graph: Graph, roots: DataFrame, hit: DataFrame, met: DataFrame, *, of_
     crossing = structure.cross_package(structure.endpoint_packages(graph, of_file)).where("class = 'cross'").select("source_id", "target_id", "source_package", "target_package")
     side = lambda p: ends.select(F.col("node").alias(f"{p}_id"), F.col("path").alias(f"{p}_path"))
     both = crossing.join(side("source"), "source_id").join(side("target"), "target_id").select("source_package", "target_package", "source_path", "target_path").distinct()
-    near_ends = both.join(touched, both["source_path"] == touched["path"], "left_semi").unionByName(both.join(touched, both["target_path"] == touched["path"], "left_semi")).distinct()
+    at = lambda p: touched.select(F.col("path").alias(f"{p}_path"), F.lit(True).alias(f"{p}_touched"))
+    near_ends = both.join(at("source"), "source_path", "left").join(at("target"), "target_path", "left").where("source_touched or target_touched").drop("source_touched", "target_touched")
     judged = structure.policy(near_ends, rules or [])
     ways = F.concat("source_package", F.lit("->"), "target_package", F.lit(":"), "source_path", F.lit("->"), "target_path")
     parts.append(judged.select(F.lit("package_boundary").alias("category"), F.lit("crossing").alias("kind"), F.concat(F.lit("pkg_boundary:"), ways).alias("fact_id"), F.lit(None).cast("string").alias("name"), F.col("source_path").alias("path"), ways.alias("statement"), "source_package", "target_package", F.col("decision").alias("policy"), "rule_id"))
