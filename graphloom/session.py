@@ -49,6 +49,25 @@ def ship(spark: SparkSession) -> None:
     context._graphloom_shipped = True
 
 
+def measured_broadcasts(spark: SparkSession, on: bool = True) -> None:
+    """Joins broadcast a side by its measured size alone (``on``), or by the planner's estimate too, as Spark does by default.
+
+    Estimates follow the size of files. Rows derived from a few columns of well compressed tables (sources, symbols, names) are many times as large, and a
+    side that was to be under the threshold fills the driver. The threshold itself stays as the session has it.
+    """
+    static, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    estimated, measured = spark.conf.get(static), spark.conf.get(adaptive, None)
+    if on and estimated != "-1":
+        spark.conf.set(adaptive, measured or estimated)
+        spark.conf.set(static, "-1")
+        spark._graphloom_broadcasts = (estimated, measured)
+    elif not on and getattr(spark, "_graphloom_broadcasts", None):
+        estimated, measured = spark._graphloom_broadcasts
+        spark.conf.set(static, estimated)
+        spark.conf.set(adaptive, measured) if measured else spark.conf.unset(adaptive)
+        spark._graphloom_broadcasts = None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

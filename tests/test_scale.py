@@ -12,3 +12,17 @@ def test_parsing_is_spread_over_tasks(spark):
     parsed = parse.parse_files(files)
     filled = parsed.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
     assert sum(filled) == 200 and max(filled) < 60
+
+
+def test_graph_queries_broadcast_by_measured_size(spark):
+    import __spark_entry__ as entry
+
+    # The planner takes both sides for small, as `part` is a small file; what is derived from it isn't.
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for name in ("errors_by_file", "linked_imports"):
+        df = entry.queries()[name](spark, SF)
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == "-1"
+    # The training-data operators have the session's own setting.
+    entry.queries()["op7_quality"](spark, SF)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == was
