@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..schema import CONTAINMENT_TYPES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, REPORT_LIMIT, Graph, metadata_key
 from ..session import checkpoint, forget, stored
 from . import lookup
-from .order import first_within, positions_within
+from .order import first_within, positions, positions_within
 
 STEP = ("rank", "relationship_type", "path", "name", "kind", "to_id", "detail", "edge_id")
 
@@ -179,15 +179,18 @@ def change_impact(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH,
     return merged.join(own, "node", "left").select("node", "min_depth", "roots", F.col("best.path").alias("path"), kind.alias("classification"))
 
 
-def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", types=None, max_depth: int = PATH_DEPTH, max_expansions: int = PATH_EXPANSIONS, stored_in: str | None = None) -> dict:
+def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", types=None, max_depth: int = PATH_DEPTH, max_expansions: int | None = PATH_EXPANSIONS, stored_in: str | None = None) -> dict:
     """First path that a breadth-first queue with ordered neighbours finds.
 
     With ``stored_in``, a folder of ``store_adjacency``, each level reads the buckets of its own nodes (no more than the budget) and no other edges.
 
     Returns status (resolved, no_path_found, depth_limited, expansion_limited), the steps
     and the number of expansions. A level of the queue is ranked by its parents' ranks and the step
-    order; what lies past the budget isn't expanded, so a level never holds more than the budget.
+    order; what lies past the budget isn't expanded, so a level never holds more than the budget. Without one (None) every
+    level is expanded whole and ranked over all partitions.
     """
+    if max_expansions is None and stored_in is not None:
+        raise ValueError("stored_in reads a level's nodes on the driver and needs max_expansions")
     if start == end:
         return {"status": "resolved", "path": [], "expansions": 0, "exhaustive": True}
     types = types or None
@@ -207,9 +210,10 @@ def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", ty
         size = level.count()
         if size == 0:
             return {"status": "no_path_found", "path": [], "expansions": spent, "exhaustive": not limited}
-        if size > max_expansions - spent:
-            level, limited = level.where(F.col("place") <= max_expansions - spent), True
-        spent += min(size, max_expansions - spent)
+        left = size if max_expansions is None else max_expansions - spent
+        if size > left:
+            level, limited = level.where(F.col("place") <= left), True
+        spent += min(size, left)
         adjacent = ways(level)
         if depth == max_depth:
             more = level.join(adjacent, F.col("node") == F.col("from_id")).join(seen.select(F.col("node").alias("to_id")), "to_id", "left_anti")
@@ -223,9 +227,13 @@ def find_path(graph: Graph, start: str, end: str, *, direction: str = "both", ty
             return {"status": "resolved", "path": [*(s.asDict() for s in f["path"]), f["step"].asDict()], "expansions": spent, "exhaustive": True}
         if limited:
             return {"status": "expansion_limited", "path": [], "expansions": spent, "exhaustive": False}
-        # At most the budget's nodes of a level matter, and one more to tell that it ran out.
-        ranked = first.orderBy("f.place", "f.step").limit(max_expansions - spent + 1)
-        level = checkpoint(ranked.select(F.col("to_id").alias("node"), F.row_number().over(Window.orderBy("f.place", "f.step")).alias("place"), F.concat("f.path", F.array("f.step")).alias("path")))
+        if max_expansions is None:
+            level = positions(first, "f.place", "f.step", column="place")
+        else:
+            # At most the budget's nodes of a level matter, and one more to tell that it ran out.
+            ranked = first.orderBy("f.place", "f.step").limit(max_expansions - spent + 1)
+            level = ranked.withColumn("place", F.row_number().over(Window.orderBy("f.place", "f.step")))
+        level = checkpoint(level.select(F.col("to_id").alias("node"), "place", F.concat("f.path", F.array("f.step")).alias("path")))
         seen = checkpoint(seen.unionByName(first.select(F.col("to_id").alias("node"))))
     raise AssertionError
 

@@ -1,5 +1,8 @@
 """How work is spread, and what is left to the driver."""
 
+import pytest
+from graphloom.operators import traverse
+from graphloom.schema import Graph
 from graphloom.sources import parse
 
 SF = "/root/testdata/sf0.001"
@@ -26,3 +29,22 @@ def test_graph_queries_broadcast_by_measured_size(spark):
     # The training-data operators have the session's own setting.
     entry.queries()["op7_quality"](spark, SF)
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == was
+
+
+def test_a_path_beyond_the_budget_is_found_without_one(spark):
+    # 1,200 files next to the start, the end behind the last of them: the queue's budget of 1,000 runs out before it.
+    name = lambda i: f"n{i:05d}"
+    pairs = [("start", name(i)) for i in range(1200)] + [(name(1199), "end")]
+    ids = ["start", "end", *(name(i) for i in range(1200))]
+    files = spark.createDataFrame([(f, "d", f"{f}.py", f, ".py", "source", 1, False, False) for f in ids], "id string, directory_id string, path string, name string, extension string, file_type string, size bigint, is_generated boolean, is_ignored boolean")
+    edges = spark.createDataFrame([(f"{a}>{b}", a, b, "imports", 1.0, {"line": "1"}) for a, b in pairs], "id string, source_id string, target_id string, relationship_type string, confidence double, metadata map<string,string>")
+    none = lambda columns: spark.createDataFrame([], columns)
+    graph = Graph(
+        none("id string, path string, name string, parent_id string, depth int, directory_type string"), files,
+        none("id string, file_id string, name string, kind string, qualified_name string, start_line int, end_line int, parent_symbol_id string, signature string"), edges,
+    )
+    assert traverse.find_path(graph, "start", "end", direction="outgoing")["status"] == "expansion_limited"
+    got = traverse.find_path(graph, "start", "end", direction="outgoing", max_expansions=None)
+    assert (got["status"], got["expansions"], [s["to_id"] for s in got["path"]]) == ("resolved", 1201, [name(1199), "end"])
+    with pytest.raises(ValueError):
+        traverse.find_path(graph, "start", "end", max_expansions=None, stored_in="/tmp/none")
