@@ -8,45 +8,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CONTAINMENT_TYPES, IMPACT_DEPTH, IMPACT_TYPES, PATH_DEPTH, PATH_EXPANSIONS, REPORT_LIMIT, Graph, metadata_key
-from ..session import checkpoint, forget, stored
+from ..session import checkpoint, few, forget, stored
 from . import lookup
 from .order import first_within, positions, positions_within
 
 STEP = ("rank", "relationship_type", "path", "name", "kind", "to_id", "detail", "edge_id")
 
 
-def adjacency(graph: Graph, direction: str = "both", types=IMPACT_TYPES, first: str = "incoming") -> DataFrame:
+def adjacency(graph: Graph, direction: str = "both", types=IMPACT_TYPES, first: str = "incoming", at: DataFrame | None = None) -> DataFrame:
     """from_id, to_id, confidence and ``step``, a struct whose order is the order of preference.
 
-    ``first`` names the direction that is preferred: incoming for impact, outgoing for paths.
+    ``first`` names the direction that is preferred: incoming for impact, outgoing for paths. ``at`` (node) limits the rows to what
+    leads on from these nodes, before anything is looked up for the other ends.
     """
     ends = graph.vertices().select(F.col("id").alias("to_id"), F.coalesce("path", F.lit("")).alias("path"), "name", "kind")
     edges = graph.edges if types is None else graph.edges.where(F.col("relationship_type").isin(*types))
     common = ["relationship_type", "confidence", F.col("id").alias("edge_id"), metadata_key(F.col("metadata")).alias("detail")]
-    parts = []
-    if direction in ("both", "outgoing"):
-        parts.append(edges.select(F.col("source_id").alias("from_id"), F.col("target_id").alias("to_id"), F.lit("outgoing").alias("direction"), *common))
-    if direction in ("both", "incoming"):
-        parts.append(edges.select(F.col("target_id").alias("from_id"), F.col("source_id").alias("to_id"), F.lit("incoming").alias("direction"), *common))
-    if not parts:
+    way = lambda a, b, name: F.struct(F.col(a).alias("from_id"), F.col(b).alias("to_id"), F.lit(name).alias("direction"))
+    ways = {"outgoing": way("source_id", "target_id", "outgoing"), "incoming": way("target_id", "source_id", "incoming")}
+    if direction != "both" and direction not in ways:
         raise ValueError(f"unknown direction {direction}")
-    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # Both ways come from one pass over the edges.
+    wanted = list(ways.values()) if direction == "both" else [ways[direction]]
+    both = edges.select(F.explode(F.array(*wanted)).alias("w"), *common).select("w.*", "relationship_type", "confidence", "edge_id", "detail")
+    if at is not None:
+        both = both.join(at, F.col("from_id") == F.col("node"), "left_semi")
     named = both.join(ends, "to_id", "left").withColumns({"rank": F.when(F.col("direction") == first, 0).otherwise(1), "path": F.coalesce("path", F.lit("")), "name": F.coalesce("name", F.lit("")), "kind": F.coalesce("kind", F.lit("unknown"))})
     return named.select("from_id", "to_id", "direction", "confidence", F.struct(*STEP).alias("step"))
 
 
-def shortest_paths(adjacent: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
+def ways_from(graph: Graph, direction: str = "both", types=IMPACT_TYPES, first: str = "incoming") -> Callable[[DataFrame], DataFrame]:
+    """``adjacency`` of given nodes (node) alone, for walks that ask for it level by level: other edges are neither shuffled nor looked up."""
+
+    def of(nodes: DataFrame) -> DataFrame:
+        nodes = checkpoint(nodes.distinct())
+        return adjacency(graph, direction, types, first, few(nodes, nodes.count()))
+
+    return of
+
+
+def _leading(adjacent: DataFrame | Callable[[DataFrame], DataFrame], level: DataFrame, node: str) -> DataFrame:
+    return adjacent(level.select(F.col(node).alias("node"))) if callable(adjacent) else adjacent
+
+
+def shortest_paths(adjacent: DataFrame | Callable[[DataFrame], DataFrame], roots: DataFrame, max_depth: int) -> DataFrame:
     """root, node, depth and the least shortest ``path`` (array of steps) of all nodes within ``max_depth``.
 
     A level extends the best path of each node of the one before, which makes the least path of
-    every node exact. Roots themselves are not listed. Frontier and visited nodes stay tables.
+    every node exact. Roots themselves are not listed. Frontier and visited nodes stay tables. ``adjacent`` may be ``ways_from``.
     """
-    step = adjacent.select("step").schema["step"].dataType.simpleString()
     seen = roots.select("root", F.col("root").alias("node")).distinct()
+    step = _leading(adjacent, seen.limit(0), "node").schema["step"].dataType.simpleString()
     frontier = seen.withColumn("path", F.array().cast(f"array<{step}>"))
     found = None
     for depth in range(1, max_depth + 1):
-        reached = frontier.join(adjacent, F.col("node") == F.col("from_id")).select("root", F.col("to_id").alias("node"), F.concat("path", F.array("step")).alias("path"))
+        reached = frontier.join(_leading(adjacent, frontier, "node"), F.col("node") == F.col("from_id")).select("root", F.col("to_id").alias("node"), F.concat("path", F.array("step")).alias("path"))
         level = checkpoint(reached.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("path").alias("path")).withColumn("depth", F.lit(depth)))
         if level.isEmpty():
             break
@@ -76,17 +92,17 @@ def traverse(edges: DataFrame, roots: DataFrame, max_depth: int = 1, types=None,
     return found
 
 
-def bfs_tree(adjacent: DataFrame, starts: DataFrame, max_depth: int, by_id: bool = False) -> DataFrame:
+def bfs_tree(adjacent: DataFrame | Callable[[DataFrame], DataFrame], starts: DataFrame, max_depth: int, by_id: bool = False) -> DataFrame:
     """The edge by which each node is first found from the ``starts`` (root, node): root, node, depth, from_id, relationship_type, edge_id, confidence, place.
 
     A predecessor for each (root, node) and no paths; ``walk`` rebuilds these. The nodes of a level are taken in the order in which they were found
     (``place``), what each leads to by id; with ``by_id`` they are taken by id, and edges by type and id. Starts themselves have no row.
     """
-    ways = adjacent.select("from_id", "to_id", F.col("step.relationship_type").alias("relationship_type"), F.col("step.edge_id").alias("edge_id"), "confidence")
     seen = checkpoint(starts.select("root", "node").distinct())
     level, found = seen.withColumn("place", F.lit(1)), None
     order = F.struct(*(["from_id"] if by_id else ["place", "from_id"]), "relationship_type", "edge_id", "confidence")
     for depth in range(1, max_depth + 1):
+        ways = _leading(adjacent, level, "node").select("from_id", "to_id", F.col("step.relationship_type").alias("relationship_type"), F.col("step.edge_id").alias("edge_id"), "confidence")
         met = level.join(ways, F.col("node") == F.col("from_id")).select("root", F.col("to_id").alias("node"), order.alias("e"))
         fresh = met.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("e").alias("e"))
         fresh = fresh.select("root", "node", F.lit(depth).alias("depth"), *(F.col(f"e.{c}").alias(c) for c in ("from_id", "relationship_type", "edge_id", "confidence")), *((F.lit(None).cast("int").alias("parent_place"),) if by_id else (F.col("e.place").alias("parent_place"),)))
@@ -156,7 +172,7 @@ def impact(graph: Graph, targets: DataFrame, max_depth: int = IMPACT_DEPTH, dire
 
     ``kinds`` filters what is listed; the walk goes through all.
     """
-    found = shortest_paths(adjacency(graph, direction, types), targets, max_depth)
+    found = shortest_paths(ways_from(graph, direction, types), targets, max_depth)
     ends = graph.vertices().select(F.col("id").alias("node"), "kind", "name", F.col("path").alias("node_path"), "qualified_name")
     rows = found.join(ends, "node", "left").withColumn("kind", F.coalesce("kind", F.lit("unknown")))
     if kinds is not None:
@@ -172,7 +188,7 @@ def impact_summary(items: DataFrame) -> DataFrame:
 def change_impact(graph: Graph, roots: DataFrame, max_depth: int = IMPACT_DEPTH, direction: str = "both", types=IMPACT_TYPES) -> DataFrame:
     """Impact of several roots merged: node, min_depth, roots, path and class root, direct or downstream."""
     every = roots.select(F.col("root").alias("node")).distinct()
-    found = shortest_paths(adjacency(graph, direction, types), roots, max_depth)
+    found = shortest_paths(ways_from(graph, direction, types), roots, max_depth)
     merged = found.groupBy("node").agg(F.min("depth").alias("min_depth"), F.array_sort(F.collect_set("root")).alias("roots"), F.min(F.struct("depth", "path", "root")).alias("best"))
     own = every.withColumn("is_root", F.lit(True))
     kind = F.when(F.coalesce("is_root", F.lit(False)), "root").when(F.col("min_depth") == 1, "direct").otherwise("downstream")
@@ -367,7 +383,7 @@ def relevant_tests(graph: Graph, affected: DataFrame, is_test: Column) -> DataFr
     return both.join(tests, "test_id", "left_semi").join(affected.select("node"), "node", "left_semi").select("test_id", F.col("node").alias("target_id"), "relationship_type").distinct()
 
 
-def expand(adjacent: DataFrame, candidates: DataFrame, max_depth: int, max_candidates: int | None = None) -> DataFrame:
+def expand(adjacent: DataFrame | Callable[[DataFrame], DataFrame], candidates: DataFrame, max_depth: int, max_candidates: int | None = None) -> DataFrame:
     """Candidates (entity_id, score) spread along edges, breadth first: entity_id, score, level, depth, from_id, relationship_type, confidence, candidate_confidence.
 
     A queue takes the candidates by falling score, then id, and what a node leads to by type, id and edge. A
@@ -377,7 +393,12 @@ def expand(adjacent: DataFrame, candidates: DataFrame, max_depth: int, max_candi
     queue's order, once so many are known, candidates among them; evidence found by then counts. Candidates are level 0 and need no evidence.
     """
     step = F.struct(F.lit(0.0).alias("score"), F.col("step.relationship_type").alias("type"), F.col("to_id").alias("node"), F.col("step.edge_id").alias("edge"))
-    ways = adjacent.where(F.col("step.kind") != "unknown").select("from_id", "to_id", F.col("confidence").cast("double").alias("confidence"), F.col("step.relationship_type").alias("relationship_type"), step.alias("place"))
+
+    def leading(level: DataFrame) -> DataFrame:
+        rows = _leading(adjacent, level, "entity_id").where(F.col("step.kind") != "unknown")
+        rows = rows.select("from_id", "to_id", F.col("confidence").cast("double").alias("confidence"), F.col("step.relationship_type").alias("relationship_type"), step.alias("place"))
+        return checkpoint(rows) if callable(adjacent) else rows
+
     own = candidates.groupBy("entity_id").agg(F.max(F.col("score").cast("double")).alias("score"))
     start = F.array(F.struct((-F.col("score")).alias("score"), F.lit("").alias("type"), F.col("entity_id").alias("node"), F.lit("").alias("edge")))
     known = own.select("entity_id", "score", F.lit(0).alias("level"), start.alias("queue"))
@@ -385,11 +406,12 @@ def expand(adjacent: DataFrame, candidates: DataFrame, max_depth: int, max_candi
         known = known.orderBy("queue").limit(max_candidates)
     known = frontier = checkpoint(known)
     room = None if max_candidates is None else max_candidates - known.count()
-    stop, last = None, 0
+    stop, last, used = None, 0, []
     for level in range(1, max_depth + 1):
         if room == 0:
             break
-        met = frontier.join(ways, F.col("entity_id") == F.col("from_id")).select(F.col("to_id").alias("entity_id"), F.least("score", "confidence").alias("score"), F.concat("queue", F.array("place")).alias("queue"))
+        used.append((frontier, leading(frontier)))
+        met = frontier.join(used[-1][1], F.col("entity_id") == F.col("from_id")).select(F.col("to_id").alias("entity_id"), F.least("score", "confidence").alias("score"), F.concat("queue", F.array("place")).alias("queue"))
         fresh = met.join(known.select("entity_id"), "entity_id", "left_anti").groupBy("entity_id").agg(F.min(F.struct("queue", "score")).alias("f"))
         fresh = fresh.select("entity_id", "f.score", F.lit(level).alias("level"), "f.queue")
         if room is not None:
@@ -403,7 +425,12 @@ def expand(adjacent: DataFrame, candidates: DataFrame, max_depth: int, max_candi
             room -= found
             if room == 0:
                 stop = frontier.agg(F.max("queue").alias("stop"))
-    given = known.where(F.col("level") < last).join(ways, F.col("entity_id") == F.col("from_id"))
+    # Every level but the last has been expanded; its edges are read again.
+    used = used or [(known, leading(known.limit(0)))]
+    given = None
+    for part, ways in used:
+        met = part.join(ways, F.col("entity_id") == F.col("from_id"))
+        given = met if given is None else given.unionByName(met)
     given = given.select(F.col("to_id").alias("entity_id"), "from_id", (F.col("level") + 1).alias("depth"), "relationship_type", "confidence", F.least("score", "confidence").alias("candidate_confidence"), F.concat("queue", F.array("place")).alias("queue"))
     if stop is not None:
         given = given.crossJoin(F.broadcast(stop)).where((F.col("depth") < last) | (F.col("queue") <= F.col("stop")))

@@ -45,7 +45,7 @@ def package(graph: Graph, task: str, contents: DataFrame | None = None, changes:
     """
     ranked = checkpoint(candidates(graph, task, changes))
     hops = search.depth_decision(ranked.select("final_score").withColumnRenamed("final_score", "score"), depth).first()["depth"]
-    spread = traverse.expand(traverse.adjacency(graph, "both", None), ranked.select("entity_id", F.col("final_score").alias("score")), hops)
+    spread = traverse.expand(traverse.ways_from(graph, "both", None), ranked.select("entity_id", F.col("final_score").alias("score")), hops)
     kinds = graph.vertices().select(F.col("id").alias("entity_id"), F.col("kind").alias("entity_type"), "path")
     order = F.struct("level", -F.col("score"), "entity_type", "entity_id")
     rows = spread.join(kinds, "entity_id").join(ranked.select("entity_id", "source", "git"), "entity_id", "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(name: str = "graphloom", **settings: str) -> SparkSession:
@@ -68,6 +69,15 @@ def measured_broadcasts(spark: SparkSession, on: bool = True) -> None:
         spark._graphloom_broadcasts = None
 
 
+#: Up to so many rows (some 40 MB as a hash table of ids and paths, measured at 60,000) a side that has been counted is broadcast.
+FEW = 100_000
+
+
+def few(df: DataFrame, n: int) -> DataFrame:
+    """``df``, which has ``n`` rows, with a hint to broadcast it where these are few."""
+    return F.broadcast(df) if n <= FEW else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
