@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..schema import EXCERPT_LINES, REPORT_LIMIT, Graph
-from ..session import checkpoint
+from ..session import checkpoint, few
 from .order import first_within, positions, positions_within
 
 
@@ -201,7 +201,7 @@ def line_of(metadata: Column) -> Column:
 def reference_listing(graph: Graph, symbol_ids: DataFrame) -> DataFrame:
     """References to symbols: symbol_id, path, line (null where it isn't a number), edge id, position by (path, line, id)."""
     hits = graph.edges.where("relationship_type = 'references'").join(symbol_ids, F.col("target_id") == F.col("symbol_id"))
-    listed = hits.join(graph.files.select(F.col("id").alias("source_id"), "path"), "source_id").select("symbol_id", "path", line_of(F.col("metadata")).alias("line"), "id")
+    listed = hits.join(few(graph.files.select(F.col("id").alias("source_id"), "path"), graph.files.count()), "source_id").select("symbol_id", "path", line_of(F.col("metadata")).alias("line"), "id")
     return positions_within(listed, "symbol_id", "path", F.coalesce("line", F.lit(0)), "id")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, few
 
 
 def positions(df: DataFrame, *order, column: str = "position") -> DataFrame:
@@ -21,12 +21,29 @@ def positions(df: DataFrame, *order, column: str = "position") -> DataFrame:
     return placed.withColumn("_own", own).join(F.broadcast(offsets), "_range").withColumn(column, (F.col("_own") + F.col("_offset")).cast("int")).drop("_range", "_own", "_offset")
 
 
-def positions_within(df: DataFrame, key: str, *order, column: str = "position") -> DataFrame:
+#: A key of more rows than this is placed by ranges; one task sorts those of any other.
+HUB = 200_000
+
+
+def positions_within(df: DataFrame, key: str, *order, column: str = "position", hub: int = HUB) -> DataFrame:
     """``df`` with the place of each row among those of its ``key`` by ``order``, from 1, without one task for all rows of a key.
 
-    Rows are sorted by key and order over all partitions, so a key with half of all rows lies in many ranges. A row's place is the
-    number of its key's rows in earlier ranges (one count for each range and key) and its place in its own. The order should be total.
+    Keys are counted first (``df`` is computed for that as well). Rows of keys up to ``hub`` are ranked where a shuffle by key puts them;
+    those of larger ones are placed by ranges. The order should be total.
     """
+    counts = df.groupBy(F.col(key).alias("_hub")).agg(F.count("*").alias("_n"))
+    hubs = checkpoint(counts.where(F.col("_n") > hub).select("_hub"))
+    n = hubs.count()
+    ranked = lambda rows: rows.withColumn(column, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("int"))
+    if not n:
+        return ranked(df)
+    large, on = few(hubs, n), F.col(key).eqNullSafe(F.col("_hub"))
+    return ranked(df.join(large, on, "left_anti")).unionByName(_placed_by_ranges(df.join(large, on, "left_semi"), key, *order, column=column))
+
+
+def _placed_by_ranges(df: DataFrame, key: str, *order, column: str) -> DataFrame:
+    """Rows are sorted by key and order over all partitions, so a key with half of all rows lies in many ranges. A row's place is the
+    number of its key's rows in earlier ranges (one count for each range and key) and its place in its own."""
     placed = checkpoint(df.orderBy(key, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(key, "_range").agg(F.count("*").alias("_n")).withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -106,7 +106,7 @@ def bfs_tree(adjacent: DataFrame | Callable[[DataFrame], DataFrame], starts: Dat
         met = level.join(ways, F.col("node") == F.col("from_id")).select("root", F.col("to_id").alias("node"), order.alias("e"))
         fresh = met.join(seen, ["root", "node"], "left_anti").groupBy("root", "node").agg(F.min("e").alias("e"))
         fresh = fresh.select("root", "node", F.lit(depth).alias("depth"), *(F.col(f"e.{c}").alias(c) for c in ("from_id", "relationship_type", "edge_id", "confidence")), *((F.lit(None).cast("int").alias("parent_place"),) if by_id else (F.col("e.place").alias("parent_place"),)))
-        fresh = checkpoint(positions_within(fresh, "root", *(("node",) if by_id else ("parent_place", "node")), column="place").drop("parent_place"))
+        fresh = checkpoint(positions_within(checkpoint(fresh), "root", *(("node",) if by_id else ("parent_place", "node")), column="place").drop("parent_place"))
         if fresh.isEmpty():
             break
         found = fresh if found is None else found.unionByName(fresh)

@@ -1,7 +1,8 @@
 """How work is spread, and what is left to the driver."""
 
 import pytest
-from graphloom.operators import traverse
+from pyspark.sql import functions as F
+from graphloom.operators import order, traverse
 from graphloom.schema import Graph
 from graphloom.sources import parse
 
@@ -48,3 +49,34 @@ def test_a_path_beyond_the_budget_is_found_without_one(spark):
     assert (got["status"], got["expansions"], [s["to_id"] for s in got["path"]]) == ("resolved", 1201, [name(1199), "end"])
     with pytest.raises(ValueError):
         traverse.find_path(graph, "start", "end", max_expansions=None, stored_in="/tmp/none")
+
+
+def test_walks_take_the_edges_of_their_nodes_alone(spark):
+    import __spark_entry__ as entry
+    from graphloom.plans.bindings import commerce
+
+    entry.queries()["relation_expansion"](spark, SF)
+    g = commerce(spark, SF)
+    node = g.files.limit(1).select(F.col("id").alias("node")).first()[0]
+    nodes = spark.createDataFrame([(node,)], "node string")
+    whole = traverse.adjacency(g, "both", None)
+    got = traverse.ways_from(g, "both", None)(nodes)
+    asked = whole.where(F.col("from_id") == node)
+    assert got.count() == asked.count() > 0 and got.exceptAll(asked).isEmpty()
+    # The filter by the nodes comes below the look-up of the other ends.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Join LeftSemi")
+
+
+@pytest.mark.parametrize("hub", [0, 3, 200_000])
+def test_places_within_keys_are_the_same_with_and_without_ranges(spark, hub):
+    rows = [(None if i % 11 == 0 else f"k{i % 4}" if i % 2 else "hub", i * 37 % 101) for i in range(101)]
+    got = order.positions_within(spark.createDataFrame(rows, "key string, v int"), "key", "v", hub=hub).collect()
+    expected = {(k, v): sorted(x for q, x in rows if q == k).index(v) + 1 for k, v in rows}
+    assert len(got) == 101 and all(r["position"] == expected[(r["key"], r["v"])] for r in got)
+
+
+def test_places_within_small_keys_write_nothing_but_one_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 50).cast("string").alias("key"), "id")
+    plan = order.positions_within(df, "key", "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
