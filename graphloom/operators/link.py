@@ -131,7 +131,9 @@ def reference_edges(symbols: DataFrame, references: DataFrame, imports: DataFram
     """
     names = count_names(symbols) if names is None else names
     local = symbols.where("kind <> 'import'").groupBy("file_id", "name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("s")).where("n = 1").drop("n")
-    found = references.join(_unique(names, "symbol", "qualified_name", "q"), "qualified_name", "left")
+    # References without a qualified name would all meet in one task; they get keys that no name has.
+    full = F.coalesce("qualified_name", F.concat(F.lit("\0"), F.pmod(F.xxhash64("file_id", "ordinal"), F.lit(4096)).cast("string")))
+    found = references.withColumn("_full", full).join(_unique(names, "symbol", "qualified_name", "q").withColumnRenamed("qualified_name", "_full"), "_full", "left").drop("_full")
     bound = _only(_bound(references, imports, names, "symbol"), ["file_id", "ordinal"], "b")
     found = found.join(bound, ["file_id", "ordinal"], "left").join(local, ["file_id", "name"], "left").join(_unique(names, "symbol", "name", "g"), "name", "left")
     confidence = F.when(F.col("q").isNotNull(), 1.0).when(F.col("b").isNotNull(), 0.9).when(F.col("s").isNotNull(), 0.8).otherwise(0.7)

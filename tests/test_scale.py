@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from graphloom.operators import order, traverse
+from graphloom.operators import link, order, traverse
 from graphloom.schema import Graph
 from graphloom.sources import parse
 
@@ -80,3 +80,13 @@ def test_places_within_small_keys_write_nothing_but_one_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 50).cast("string").alias("key"), "id")
     plan = order.positions_within(df, "key", "id")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+
+
+def test_references_without_a_qualified_name_are_spread(spark):
+    symbols = spark.createDataFrame([("s1", "f1", "one", "function", "f.one")], "id string, file_id string, name string, kind string, qualified_name string")
+    refs = spark.createDataFrame([(f"f{i}", "one", i, 0, "f.one" if i == 7 else None, "reference", i) for i in range(400)], "file_id string, name string, line int, col int, qualified_name string, kind string, ordinal bigint")
+    imports = spark.createDataFrame([], "file_id string, module_name string, imported_name string, alias string, level int, ordinal bigint")
+    got = link.reference_edges(symbols, refs, imports)
+    assert got.count() == 400 and [r["source_id"] for r in got.where("confidence = 1").collect()] == ["f7"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "_full" in plan and "Join LeftOuter, (qualified_name" not in plan
