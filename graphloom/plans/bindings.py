@@ -24,17 +24,17 @@ def commerce(spark: SparkSession, sf_dir: str) -> Graph:
     located = supplier.join(F.broadcast(places), supplier.s_nationkey == places.n_nationkey).withColumn("file_path", F.concat_ws("/", "path", "s_name"))
     files = located.select(file_id(F.col("file_path")).alias("id"), directory_id(F.col("path")).alias("directory_id"), F.col("file_path").alias("path"), F.col("s_name").alias("name"), F.lit("").alias("extension"), F.lit("source").alias("file_type"), F.col("s_acctbal").cast("bigint").alias("size"), F.lit(False).alias("is_generated"), F.lit(False).alias("is_ignored"))
     n = supplier.count()
-    keys = few(located.select(F.col("s_suppkey"), file_id(F.col("file_path")).alias("fid")), n)
+    keys = located.select(F.col("s_suppkey"), file_id(F.col("file_path")).alias("fid"))
     homes = item.groupBy("l_partkey").agg(F.min("l_suppkey").alias("s_suppkey")).join(keys, "s_suppkey")
     symbols = part.join(homes, part.p_partkey == homes.l_partkey).select(
         F.concat(F.lit("symbol:"), F.col("p_partkey").cast("string")).alias("id"), F.col("fid").alias("file_id"), F.col("p_name").alias("name"), F.lower("p_type").alias("kind"),
         F.concat_ws(".", "p_brand", "p_name").alias("qualified_name"), F.col("p_size").alias("start_line"), (F.col("p_size") + 10).alias("end_line"), null.alias("parent_symbol_id"), F.col("p_type").alias("signature"),
     )
-    sold = item.groupBy("l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("line"), F.min("l_discount").alias("d")).join(keys, F.col("l_suppkey") == F.col("s_suppkey"))
+    sold = item.groupBy("l_suppkey", "l_partkey").agg(F.min("l_linenumber").alias("line"), F.min("l_discount").alias("d")).join(few(keys, n), F.col("l_suppkey") == F.col("s_suppkey"))
     symbol_of = F.concat(F.lit("symbol:"), F.col("l_partkey").cast("string"))
     reference = sold.select(F.col("fid").alias("source_id"), symbol_of.alias("target_id"), F.lit("references").alias("relationship_type"), F.round(1 - F.col("d"), 2).alias("confidence"), F.col("line"))
     big = item.where((F.col("l_quantity") >= 49) & (F.col("l_discount") <= 0.01)).groupBy("l_suppkey", (F.col("l_partkey") % n).alias("to")).agg(F.min("l_linenumber").alias("line"))
-    other = few(keys.select(F.col("s_suppkey").alias("to"), F.col("fid").alias("target_id")), n)
+    other = keys.select(F.col("s_suppkey").alias("to"), F.col("fid").alias("target_id"))
     imported = big.join(keys, F.col("l_suppkey") == F.col("s_suppkey")).join(other, "to").select(F.col("fid").alias("source_id"), "target_id", F.lit("imports").alias("relationship_type"), F.lit(1.0).alias("confidence"), "line")
     defined = symbols.select(F.col("file_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("defines").alias("relationship_type"), F.lit(1.0).alias("confidence"), F.col("start_line").alias("line"))
     edges = reference.unionByName(imported).unionByName(defined)
