@@ -85,9 +85,11 @@ def resolve_targets(graph: Graph, targets: DataFrame, limit: int = REPORT_LIMIT)
     module, then a bare name; any other a bare name, then a module. Definitions beat imports and
     imports alone are not found. One candidate is resolved, several are ambiguous.
     """
-    targets = targets.select("target").distinct()
+    # Targets and symbols are read by every rung, however many joins they come from.
+    targets = checkpoint(targets.select("target").distinct())
     files = graph.files.select("id", F.lit("file").alias("kind"), "path", "name", F.lit(False).alias("is_import"), paths.query_module(F.col("path")).alias("module"), paths.build_module(F.col("path")).alias("raw_module"))
     symbols = graph.symbols.join(files.select(F.col("id").alias("file_id"), "path", "module"), "file_id", "left").select("id", F.lit("symbol").alias("kind"), "path", "name", "qualified_name", (F.col("kind") == "import").alias("is_import"), F.concat_ws(".", "module", "qualified_name").alias("in_module"))
+    symbols = checkpoint(symbols)
     dotted, plain = targets.where(F.contains("target", F.lit("."))), targets.where(~F.contains("target", F.lit(".")))
     modules = files.select("id", "kind", "path", "name", "is_import", F.explode(F.array_distinct(F.array("module", "raw_module"))).alias("m"))
     parts = [

@@ -90,3 +90,12 @@ def test_references_without_a_qualified_name_are_spread(spark):
     assert got.count() == 400 and [r["source_id"] for r in got.where("confidence = 1").collect()] == ["f7"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "_full" in plan and "Join LeftOuter, (qualified_name" not in plan
+
+
+def test_symbols_are_derived_once_for_all_rungs(spark):
+    from graphloom.operators import lookup
+    from graphloom.plans.bindings import commerce
+
+    g = commerce(spark, SF)
+    plan = lookup.resolve_targets(g, g.symbols.select(F.col("name").alias("target")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_partkey") == 0
