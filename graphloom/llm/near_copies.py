@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._graph import components
-from ._spark import by_slice, checkpoint
+from ._graph import components, with_roots
+from ._spark import by_slice, checkpoint, release
 
 #: Chance to miss a pair on the threshold; registers at most; bits kept below the leading one.
 MISS, REGISTERS, MANTISSA = 1e-6, 420, 10
@@ -281,20 +281,23 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
     banded = _banded(classes, threshold)
     shared = banded.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1")
     members = checkpoint(banded.join(shared, "bucket"))
+    release(docs.sparkSession)
     degree = members.groupBy("id").agg(F.count("*").alias("degree"))
     contested = members.join(degree, "id").withColumn("root", F.col("id"))
-    links = roots = None
+    roots = None
     for turn in range(PIVOTS + 1):
         order = -F.col("degree") if turn == 0 else F.xxhash64("id", F.lit(turn)).bitwiseAND(F.lit((1 << 62) - 1))
         pivots = contested.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "id", "root")).alias("p")).select("bucket", F.col("p.id").alias("b"), F.col("p.root").alias("rb"))
         pairs = contested.select("bucket", F.col("id").alias("a"), "root").join(pivots, "bucket").where("root <> rb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         likely = checkpoint(_likely(pairs, classes, threshold))
         more = checkpoint(_confirmed(likely, docs, classes, shingle, percent))
-        links = more if links is None else links.unionByName(more)
-        roots = components(links) if turn == 0 or not more.isEmpty() else roots
+        release(docs.sparkSession)
+        if roots is None or not more.isEmpty():
+            roots = components(with_roots(more, roots))
         rooted = contested.drop("root").where("m > 2").join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_buckets = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
         contested = checkpoint(rooted.join(open_buckets, "bucket"))
+        release(docs.sparkSession)
         if contested.isEmpty():
             break
     if not contested.isEmpty():
@@ -304,8 +307,9 @@ def near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFra
         dealt = dealt.select("bucket", "id", "root", "chunk", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
         whole = dealt.join(full, "id").join(classes.select("id", "n", "registers"), "id")
         more = checkpoint(_within_blocks(whole, percent, count, rows))
+        release(docs.sparkSession)
         if not more.isEmpty():
-            roots = components(links.unionByName(more))
+            roots = components(with_roots(more, roots))
     linked = classes.select("k1", "k2", "n", "id", "doc").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = linked.groupBy("root").agg(F.min("doc").alias("least"))
     found = every.join(linked.join(least, "root").select("k1", "k2", "n", "least"), ["k1", "k2", "n"], "left")

@@ -120,3 +120,15 @@ def test_sketches_estimate_similarity():
 def test_shingle_hashes():
     words = _words.words(pa.array(["a b c a b c d"]))
     assert len(set(_words.shingles(words.hash, 3))) == 4 and len(_words.shingles(words.hash[:2], 3)) == 1
+
+
+def test_earlier_roots_take_no_round(spark, monkeypatch):
+    """Stars are found as they are; new links are added to earlier roots, not to all links from the start."""
+    held, checkpoint = [], _graph.checkpoint
+    monkeypatch.setattr(_graph, "checkpoint", lambda df: held.append(1) or checkpoint(df))
+    stars = spark.createDataFrame([(9, 1), (8, 1), (1, 7), (5, 3), (5, 5)], "a long, b long")
+    roots = _graph.components(stars)
+    assert {r.node: r.root for r in roots.collect()} == {1: 1, 7: 1, 8: 1, 9: 1, 3: 3, 5: 3} and len(held) == 1
+    more = spark.createDataFrame([(8, 5), (20, 9), (31, 30)], "a long, b long")
+    got = {r.node: r.root for r in _graph.components(_graph.with_roots(more, roots)).collect()}
+    assert got == {**dict.fromkeys((1, 3, 5, 7, 8, 9, 20), 1), 30: 30, 31: 30}
