@@ -192,21 +192,29 @@ def natural_keys(graph: Graph) -> DataFrame:
     return files.unionByName(symbols).unionByName(dirs)
 
 
-def keyed_edges(graph: Graph) -> DataFrame:
-    """Edges by the keys of their ends; edges with an end that has no key are left out."""
+def keyed_edges(graph: Graph, sources: DataFrame | None = None, *also: str) -> DataFrame:
+    """Edges by the keys of their ends, with the columns ``also``; edges with an end that has no key are left out.
+
+    ``sources`` (id, key) are the keys that sources can have, where these are known to be some of all.
+    """
     keys = natural_keys(graph)
-    side = lambda p: keys.select(F.col("id").alias(f"{p}_id"), F.col("key").alias(f"{p}_key"))
-    return graph.edges.join(side("source"), "source_id").join(side("target"), "target_id").select("source_key", "target_key", "relationship_type", "confidence", metadata_key(F.col("metadata")).alias("detail"))
+    side = lambda p, k: k.select(F.col("id").alias(f"{p}_id"), F.col("key").alias(f"{p}_key"))
+    return graph.edges.join(side("source", keys if sources is None else sources), "source_id").join(side("target", keys), "target_id").select("source_key", "target_key", "relationship_type", "confidence", metadata_key(F.col("metadata")).alias("detail"), *also)
 
 
 def diff_edges(before: DataFrame, after: DataFrame) -> DataFrame:
     """(change, source_key, target_key, relationship_type) of keyed edges; parallel ones are ambiguous where they differ."""
+    return diff_sides(before.withColumn("side", F.lit("before")).unionByName(after.withColumn("side", F.lit("after"))))
+
+
+def diff_sides(edges: DataFrame) -> DataFrame:
+    """As ``diff_edges``, of keyed edges of both sides (side: before or after); what one task holds of an edge's two sides is shuffled as one row."""
     keys = ["source_key", "target_key", "relationship_type"]
-    side = lambda df, p: df.groupBy(*keys).agg(F.count("*").alias(f"n{p}"), F.array_sort(F.collect_list(F.struct("confidence", "detail"))).alias(f"e{p}"))
-    both = side(before, "a").join(side(after, "b"), keys, "full_outer")
-    x, y = F.col("ea")[0], F.col("eb")[0]
+    of = lambda s: F.array_sort(F.collect_list(F.when(F.col("side") == s, F.struct("confidence", "detail"))))
+    both = edges.groupBy(*keys).agg(of("before").alias("ea"), of("after").alias("eb"))
+    x, y, na, nb = F.get("ea", F.lit(0)), F.get("eb", F.lit(0)), F.size("ea"), F.size("eb")
     differ = (F.abs(x["confidence"] - y["confidence"]) > 1e-6) | ~x["detail"].eqNullSafe(y["detail"])
-    kind = F.when((F.col("na") > 1) | (F.col("nb") > 1), F.when(F.col("ea").eqNullSafe(F.col("eb")), F.lit(None).cast("string")).otherwise("ambiguous")).when(F.col("na").isNull(), "added").when(F.col("nb").isNull(), "removed").when(differ, "modified")
+    kind = F.when((na > 1) | (nb > 1), F.when(F.col("ea").eqNullSafe(F.col("eb")), F.lit(None).cast("string")).otherwise("ambiguous")).when(na == 0, "added").when(nb == 0, "removed").when(differ, "modified")
     return both.withColumn("change", kind).where("change is not null").select("change", *keys)
 
 

@@ -465,3 +465,18 @@ def test_breadth_first_trees_and_walks(spark, chain):
         assert [h for h, _, _ in steps] == list(range(1, n + 1)) and steps[0][1] == ids("a") and steps[-1][2] == node
         assert all(x[2] == y[1] for x, y in zip(steps[:-1], steps[1:], strict=True))
     assert traverse.bfs_tree(traverse.adjacency(chain, "both", None), spark.createDataFrame([("r", "none")], "root string, node string"), 2).count() == 0
+
+
+def test_both_sides_of_an_edge_diff_are_keyed_once(spark):
+    """Parallel, missing and changed edges, as when each side is grouped by itself; the query asks for its edges once."""
+    from graphloom.operators import changes
+    from graphloom.plans import text_queries
+
+    row = lambda s, t, c, d="x": (s, t, "references", c, d)
+    make = lambda rows: spark.createDataFrame(rows, "source_key string, target_key string, relationship_type string, confidence double, detail string")
+    before = make([row("a", "b", 1.0), row("a", "c", 1.0), row("a", "d", 1.0), row("p", "q", 1.0), row("p", "q", 0.5), row("r", "s", 1.0), row("r", "s", 1.0), row("k", "k", 1.0, None)])
+    after = make([row("a", "b", 0.5), row("a", "d", 1.0), row("a", "e", 1.0), row("p", "q", 1.0), row("r", "s", 1.0), row("r", "s", 1.0), row("k", "k", 1.0, None)])
+    got = {(r.change, r.source_key, r.target_key) for r in changes.diff_edges(before, after).collect()}
+    assert got == {("modified", "a", "b"), ("removed", "a", "c"), ("added", "a", "e"), ("ambiguous", "p", "q")}
+    plan = text_queries.edge_diff(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lineitem") + plan.count("l_suppkey#") > 0 and plan.count("Join FullOuter") == 0 and plan.count("Relation [l_orderkey") <= 2
