@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..schema import USAGE_TYPES, Graph
+from ..session import checkpoint, few
 from .order import first_within
 
 # Files that start programs, and methods that the language calls.
@@ -148,6 +149,9 @@ def test_edges(graph: Graph, targets: DataFrame, is_test: Column, types=None) ->
     """(test_path, target_id, relationship_type, direction): edges between tests and targets (target_id), either way."""
     tests = graph.files.where(is_test).select(F.col("id").alias("file_id"), F.col("path").alias("test_path"))
     ends = tests.select(F.col("file_id").alias("end_id"), "test_path").unionByName(graph.symbols.select(F.col("id").alias("end_id"), "file_id").join(tests, "file_id").select("end_id", "test_path"))
+    # Tests are counted first: where they are few, no edge is shuffled to find its test.
+    ends = checkpoint(ends)
+    ends = few(ends, ends.count())
     edges = graph.edges if types is None else graph.edges.where(F.col("relationship_type").isin(*types))
     e = edges.select("source_id", "target_id", "relationship_type")
     out = e.select(F.col("source_id").alias("end_id"), F.col("target_id"), "relationship_type", F.lit("outgoing_from_test").alias("direction"))

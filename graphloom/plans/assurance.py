@@ -12,6 +12,7 @@ from ..functions import paths
 from ..operators import structure, traverse, usage
 from ..operators.order import first_within
 from ..schema import COMPLETE, IMPACT_DEPTH, REPORT_LIMIT, Graph
+from ..session import checkpoint
 
 # Categories of the checklist in their order, severities in theirs, how much a concern shows.
 CHECKLIST = ("detected_structural", "heuristic_recommendation", "additional_verification", "unverified_area")
@@ -180,11 +181,12 @@ def facts(graph: Graph, roots: DataFrame, hit: DataFrame, met: DataFrame, *, of_
 
     of_file = structure.package_of(graph.files, structure.packages(graph.files)).select("id", "package") if of_file is None else of_file
     touched = own.select("path").unionByName(reached.select("path")).where("path is not null").distinct()
-    crossing = structure.cross_package(structure.endpoint_packages(graph, of_file)).where("class = 'cross'").select("source_id", "target_id", "source_package", "target_package")
-    side = lambda p: ends.select(F.col("node").alias(f"{p}_id"), F.col("path").alias(f"{p}_path"))
-    both = crossing.join(side("source"), "source_id").join(side("target"), "target_id").select("source_package", "target_package", "source_path", "target_path").distinct()
-    at = lambda p: touched.select(F.col("path").alias(f"{p}_path"), F.lit(True).alias(f"{p}_touched"))
-    near_ends = both.join(at("source"), "source_path", "left").join(at("target"), "target_path", "left").where("source_touched or target_touched").drop("source_touched", "target_touched")
+    # All edges meet packages and the mark of the change alone, once a side; paths are looked up for those that cross next to it.
+    homes = checkpoint(ends.join(of_file.select(F.col("id").alias("file_id"), "package").where("package is not null"), "file_id").join(touched.withColumn("touched", F.lit(True)), "path", "left").select("node", "package", "touched", "path"))
+    side = lambda p: homes.select(F.col("node").alias(f"{p}_id"), F.col("package").alias(f"{p}_package"), F.col("touched").alias(f"{p}_touched"))
+    crossing = graph.edges.select("source_id", "target_id").join(side("target"), "target_id").join(side("source"), "source_id").where("source_package <> target_package and (source_touched or target_touched)")
+    at = lambda p: homes.select(F.col("node").alias(f"{p}_id"), F.col("path").alias(f"{p}_path"))
+    near_ends = crossing.join(at("source"), "source_id").join(at("target"), "target_id").select("source_package", "target_package", "source_path", "target_path").distinct()
     judged = structure.policy(near_ends, rules or [])
     ways = F.concat("source_package", F.lit("->"), "target_package", F.lit(":"), "source_path", F.lit("->"), "target_path")
     parts.append(judged.select(F.lit("package_boundary").alias("category"), F.lit("crossing").alias("kind"), F.concat(F.lit("pkg_boundary:"), ways).alias("fact_id"), F.lit(None).cast("string").alias("name"), F.col("source_path").alias("path"), ways.alias("statement"), "source_package", "target_package", F.col("decision").alias("policy"), "rule_id"))

@@ -117,3 +117,23 @@ def test_edges_of_patterns_stand_in_no_hash_table(spark):
     assert len(found) == 5 and set(found) == set(rows)
     plan = _executed(entry.queries()["cross_package_patterns"](spark, SF))
     assert "Window" in plan and not re.search(r"HashAggregate\(keys=\[[^\]]*source_id", plan)
+
+
+def test_edges_are_not_shuffled_for_few_tests(spark):
+    from graphloom.operators import usage
+    from graphloom.plans.bindings import commerce
+    from graphloom.session import measured_broadcasts
+
+    measured_broadcasts(spark)
+    g = commerce(spark, SF)
+    targets = g.files.select(F.col("id").alias("target_id"))
+    assert "hashpartitioning(end_id" not in _executed(usage.test_edges(g, targets, F.col("name").endswith("1")))
+
+
+def test_facts_join_paths_to_no_other_edges(spark):
+    import re
+
+    import __spark_entry__ as entry
+
+    # Paths of all edges were joined, and what the change touches was looked up by them.
+    assert not re.search(r"Join \[source_path", _executed(entry.queries()["risk_fact_list"](spark, SF)))
